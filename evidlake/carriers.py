@@ -1,0 +1,4 @@
+"""Registered queries over the driver's tables, with their SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
