@@ -7,10 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidlake.llm import chat, mixing, secrets, sharding
+from evidlake.llm import chat, decontamination, language, mixing, ngram_join, secrets, sharding, substrings, toxicity
 from evidlake.llm.common import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), 3, 90)
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    third = language.fold(F.col("doc_id"), 3)
+    model = language.train(docs.where(third != 1))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (third == 1).alias("held_out"), "language.lang_pred", "language.score", "language.cross_entropy", "language.rejected")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fifth = language.fold(F.col("doc_id"), 5)
+    model = toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels"), fifth != 0))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (fifth == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
@@ -34,9 +62,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_ngram_join": op2_ngram_join,
+    "op3_language": op3_language,
+    "op4_toxicity": op4_toxicity,
     "op5_mix_sources": op5_mix_sources,
     "op6_shard": op6_shard,
     "op7_secrets": op7_secrets,
+    "op8_repeats": op8_repeats,
     "op10_chat": op10_chat,
 }
 

@@ -44,7 +44,7 @@ def test_mix(spark, docs):
         free -= stop
     for s in names:
         assert target[s] == pytest.approx(want[s])
-        assert abs(taken[s] - want[s]) <= (5000 if s == "s2" else 25), (s, taken[s], want[s])  # s2 is one document of 30,000 words
+        assert abs(taken[s] - want[s]) <= (6000 if s == "s2" else 25), (s, taken[s], want[s])  # s2 is one document of 30,000 words
     again = {(r.doc_id, r.taken) for r in mixing.mix_sources(docs.repartition(5)).select("doc_id", "mix.taken").collect()}
     assert again == {(r.doc_id, r.taken) for r in got}
     assert mixing.mix_sources(docs.limit(0)).count() == 0
