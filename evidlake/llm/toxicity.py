@@ -1,13 +1,13 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A text becomes words (runs of letters and digits, lower case). A word's input has a word part (hashed embedding, and the
-log-odds of its bucket between toxic and other training documents) and a character part (mean embedding of its hashed
-3-grams, and the largest log-odds among its hashed 3- to 5-grams, those at its start apart). Two gated recurrent networks read
+lean of its bucket to toxic training documents) and a character part (mean embedding of its hashed
+3-grams, and the largest lean among its hashed 3- to 5-grams and, apart, among its beginnings of 4 to 8 bytes). Two gated recurrent networks read
 windows of WINDOW words in either direction; attention pools their states into one logit per window. All windows of all texts are scored,
 overlapping by WINDOW - STRIDE words; a document has the logit of its highest window, calibrated to a probability.
 
 Training reads at most TRAIN_ROWS labelled rows (all of either class up to half of that, chosen by a hash of doc_id) in
-one task. A fifth of them only calibrates. As labels are per document, a toxic document teaches with its strongest windows: by log-odds
+one task. A fifth of them only calibrates. As labels are per document, a toxic document teaches with its strongest windows: by lean
 first, in which its own row doesn't count, then by the network itself. Other documents teach with strong and random windows.
 
 Defined cases: a null or empty text has one window of padding and so the lowest evidence; a window shorter than WINDOW
@@ -32,9 +32,11 @@ from evidlake.llm.decontamination import _BREAK
 TRAIN_ROWS = 4000
 WINDOW, STRIDE = 24, 16
 HIDDEN, EMBED = 8, 4
-WORD_BUCKETS, GRAM_BUCKETS, EMBED_BUCKETS = 1 << 17, 1 << 16, 1 << 13
-WINDOWS_OF_ONE = 24
+WORD_BUCKETS, GRAM_BUCKETS, EMBED_BUCKETS = 1 << 19, 1 << 19, 1 << 13
+WINDOWS_OF_ONE = 40
 EPOCHS, BATCH, RATE = 4, 512, 0.01
+DROP, DECAY = 0.6, 1e-3
+HEADS = (4, 5, 6, 7, 8)
 INPUT = 3 + 2 * EMBED
 
 
@@ -59,15 +61,20 @@ class Vocabulary:
             place = np.repeat(start[which] - begin, count) + np.arange(count.sum())
             found = span_hashes(sums, place, place + n)
             self.grams.append((which, (found & np.uint64(GRAM_BUCKETS - 1)).astype(np.int32), begin))
-            self.heads.append((which, (mix(found[begin] + np.uint64(n)) & np.uint64(GRAM_BUCKETS - 1)).astype(np.int32)))
+
+        for n in HEADS:
+            which = np.flatnonzero(size >= n)
+            found = mix(span_hashes(sums, start[which], start[which] + n) + np.uint64(n))
+            self.heads.append((which, (found & np.uint64(GRAM_BUCKETS - 1)).astype(np.int32)))
 
     def evidence(self, word_odds: np.ndarray, gram_odds: np.ndarray) -> np.ndarray:
         out = np.zeros((len(self.word), 3), dtype=np.float32)
         out[:, 0] = word_odds[self.word]
-        for (which, bucket, begin), (_, head) in zip(self.grams, self.heads, strict=True):
+        for which, bucket, begin in self.grams:
             if len(which):
                 out[which, 1] = np.maximum(out[which, 1], np.maximum.reduceat(gram_odds[bucket], begin))
-                out[which, 2] = np.maximum(out[which, 2], gram_odds[head])
+        for which, head in self.heads:
+            out[which, 2] = np.maximum(out[which, 2], gram_odds[head])
         return out
 
     def buckets(self) -> tuple[np.ndarray, np.ndarray]:
@@ -81,8 +88,16 @@ def windows_of(n: int) -> list[tuple[int, int]]:
 
 
 def odds(toxic: np.ndarray, other: np.ndarray, n_toxic: float, n_other: float) -> np.ndarray:
-    share = n_toxic / max(1.0, n_toxic + n_other)
-    return (np.log((toxic + share + 1e-9) / (other + 1 - share + 1e-9)) - np.log((share + 1e-9) / (1 - share + 1e-9))).astype(np.float32) / 4
+    """How far a bucket's documents lean to one class: the signed root of their likelihood ratio against the classes' shares.
+
+    It grows with the number of documents, so a bucket seen in two toxic documents alone says little.
+    """
+    share = max(1e-6, n_toxic / max(1.0, n_toxic + n_other))
+    n = toxic + other
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(toxic > 0, toxic * np.log(toxic / (n * share)), 0.0) + np.where(other > 0, other * np.log(other / (n * (1 - share))), 0.0)
+    lean = np.sign(toxic - n * share) * np.sqrt(2 * np.maximum(ratio, 0.0))
+    return (np.clip(lean, -20, 20) / 8).astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -186,7 +201,7 @@ class Network:
 
 
 class Model:
-    """What scoring needs: network, log-odds tables and calibration; its size is fixed by the constants above."""
+    """What scoring needs: network, tables of leans and calibration; its size is fixed by the constants above."""
 
     def __init__(self, network: Network, word_odds: np.ndarray, gram_odds: np.ndarray, slope: float, shift: float):
         self.network, self.word_odds, self.gram_odds, self.slope, self.shift = network, word_odds, gram_odds, slope, shift
@@ -217,7 +232,7 @@ class Model:
             logits, row = self.window_logits(Vocabulary(data, offsets))
             out.append(np.maximum.reduceat(logits, np.searchsorted(row, np.arange(len(offsets) - 1))))
         top = np.concatenate(out) if out else np.zeros(0, np.float32)
-        return 1 / (1 + np.exp(-(self.slope * top.astype(np.float64) + self.shift)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * top.astype(np.float64) + self.shift, -40, 40)))
 
 
 class Constant:
@@ -248,7 +263,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, seed: int = 11) -> Model | C
     n = {k: float((y[~spare] == k).sum()) for k in (True, False)}
     word_odds, gram_odds = (odds(counts[True][k], counts[False][k], n[True], n[False]) for k in (0, 1))
 
-    # One table of all training documents' words, with their own document left out of the odds.
+    # One table of all training documents' words, with their own document left out of the leans.
     evidence, grams, strength, spans, base = [], [], [], [], 0
     for i in np.flatnonzero(~spare):
         v, kind = vocabularies[i], bool(y[i])
@@ -307,13 +322,18 @@ def fit(texts: list[str | None], toxic: np.ndarray, seed: int = 11) -> Model | C
         for k in range(0, len(order), BATCH):
             s = order[k : k + BATCH]
             table, index, used, own_grams = _compact(net, evidence, word, table_grams, first_of, ends, rows[s])
+            drop = rng.random(len(table)) < DROP  # words whose embeddings are left out, so that they aren't learned by heart
+            table[drop, 3:] = 0
             _, g, dtable = net.gradients(table, index, mask[s], goal[s], balance[s].astype(np.float32))
+            dtable[drop, 3:] = 0
             g["word"], g["gram"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["gram"])
             np.add.at(g["word"], word[used] % EMBED_BUCKETS, dtable[:, 3 : 3 + EMBED])
             which, bucket, begin = own_grams
             if len(which):
                 count = np.diff(np.r_[begin, len(bucket)])
                 np.add.at(g["gram"], bucket % EMBED_BUCKETS, np.repeat(dtable[which, 3 + EMBED :] / count[:, None], count, axis=0))
+            for name in ("word", "gram"):
+                g[name] += DECAY * net.p[name]
             step += 1
             for name, value in g.items():
                 m, v = moments[name]
@@ -343,7 +363,7 @@ def _compact(net: Network, evidence, word, grams, first_of, ends, rows):
 def calibrated(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic curve, by Newton steps with a weak pull to (1, 0)."""
     w, x = np.array([1.0, 0.0]), np.stack([logit, np.ones_like(logit)], axis=1)
-    weight = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, len(y) - y.sum())) * len(y)
+    weight = np.ones_like(y)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (weight * (p - y)) + 0.5 * (w - np.array([1.0, 0.0]))
