@@ -34,8 +34,10 @@ WINDOW, STRIDE = 24, 16
 HIDDEN, EMBED = 8, 4
 WORD_BUCKETS, GRAM_BUCKETS, EMBED_BUCKETS = 1 << 19, 1 << 19, 1 << 13
 WINDOWS_OF_ONE = 40
-EPOCHS, BATCH, RATE = 4, 512, 0.01
-DROP, DECAY = 0.6, 1e-3
+EPOCHS, BATCH, RATE = 4, 512, 0.005
+DROP, DECAY, SURE = 0.6, 1e-3, 1.5
+#: A missed toxic text weighs as much as so many false alarms.
+MISS = 2.0
 HEADS = (4, 5, 6, 7, 8)
 INPUT = 3 + 2 * EMBED
 
@@ -88,16 +90,15 @@ def windows_of(n: int) -> list[tuple[int, int]]:
 
 
 def odds(toxic: np.ndarray, other: np.ndarray, n_toxic: float, n_other: float) -> np.ndarray:
-    """How far a bucket's documents lean to one class: the signed root of their likelihood ratio against the classes' shares.
+    """How far a bucket's documents lean to one class: its log-odds against the classes' shares, drawn to 0 by SURE standard errors.
 
-    It grows with the number of documents, so a bucket seen in two toxic documents alone says little.
+    So a bucket seen in two toxic documents alone says little, and one seen in many of both classes nothing.
     """
-    share = max(1e-6, n_toxic / max(1.0, n_toxic + n_other))
-    n = toxic + other
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.where(toxic > 0, toxic * np.log(toxic / (n * share)), 0.0) + np.where(other > 0, other * np.log(other / (n * (1 - share))), 0.0)
-    lean = np.sign(toxic - n * share) * np.sqrt(2 * np.maximum(ratio, 0.0))
-    return (np.clip(lean, -20, 20) / 8).astype(np.float32)
+    share = min(1 - 1e-3, max(1e-3, n_toxic / max(1.0, n_toxic + n_other)))
+    toxic, other = np.maximum(toxic, 0.0), np.maximum(other, 0.0)
+    value = np.log((toxic + share) / (other + 1 - share)) - np.log(share / (1 - share))
+    error = np.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5))
+    return (np.sign(value) * np.maximum(np.abs(value) - SURE * error, 0.0) / 2).astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -317,7 +318,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, seed: int = 11) -> Model | C
                 live = np.array([np.arange(WINDOW) < max(1, b - a) for a, b in own])
                 strength[k] = net.logits(*_compact(net, evidence, word, table_grams, first_of, ends, line)[:2], live).astype(np.float64)
         rows, mask, goal = chosen()
-        balance = np.where(goal > 0, len(goal) / (2 * max(1.0, goal.sum())), len(goal) / (2 * max(1.0, len(goal) - goal.sum())))
+        balance = np.ones(len(goal))
         order = rng.permutation(len(rows))
         for k in range(0, len(order), BATCH):
             s = order[k : k + BATCH]
@@ -361,15 +362,18 @@ def _compact(net: Network, evidence, word, grams, first_of, ends, rows):
 
 
 def calibrated(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by Newton steps with a weak pull to (1, 0)."""
-    w, x = np.array([1.0, 0.0]), np.stack([logit, np.ones_like(logit)], axis=1)
-    weight = np.ones_like(y)
-    for _ in range(30):
+    """Slope and shift of a logistic curve over standardised logits, by damped Newton steps with a pull to slope 2."""
+    centre, scale = float(np.median(logit)), float(max(0.1, logit.std()))
+    x = np.stack([(logit - centre) / scale, np.ones_like(logit)], axis=1)
+    start, weight = np.array([2.0, 0.0]), np.where(y > 0, MISS, 1.0)
+    w = start.copy()
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (p - y)) + 0.5 * (w - np.array([1.0, 0.0]))
+        g = x.T @ (weight * (p - y)) + 0.5 * (w - start)
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(2)
-        w = w - np.linalg.solve(h, g)
-    return float(max(0.05, w[0])), float(w[1])
+        w = w - np.clip(np.linalg.solve(h, g), -1, 1)
+    slope = max(0.2, w[0]) / scale
+    return float(slope), float(w[1] - slope * centre)
 
 
 def train(labelled: DataFrame) -> Model | Constant:
