@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidlake.llm import chat, decontamination, language, mixing, ngram_join, secrets, sharding, substrings, toxicity
+from evidlake.llm import chat, decontamination, language, mixing, ngram_join, search, secrets, sharding, substrings, toxicity
 from evidlake.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_documents(table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0, 10)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_shard": op6_shard,
     "op7_secrets": op7_secrets,
     "op8_repeats": op8_repeats,
+    "op9_search": op9_search,
     "op10_chat": op10_chat,
 }
 

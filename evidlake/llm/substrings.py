@@ -33,7 +33,7 @@ from evidlake.llm.common import chunks, prefix_hashes, span_hashes, staged
 
 LENGTH = 400
 GRAM = 64
-START = 64
+START = 128
 BLOCK_BYTES = 2_000_000
 HOT = 10_000
 BITS_MOST = 1 << 26
@@ -64,7 +64,7 @@ def sites(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     hashes = span_hashes(sums, start, start + gram)
     low = np.uint64(0xFFFFFFFF)
     at = (window_minima((hashes & ~low) | start.astype(np.uint64), length - gram + 1) & low).astype(np.int64)
-    row = np.searchsorted(offsets, np.arange(len(at)), side="right") - 1
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(at)]
     valid = np.arange(len(at)) + length <= offsets[row + 1]
     change = np.ones(len(at), bool)
     change[1:] = (at[1:] != at[:-1]) | (valid[1:] != valid[:-1]) | (row[1:] != row[:-1])
@@ -141,59 +141,61 @@ def wanted_contexts(docs: DataFrame, known, length: int) -> DataFrame:
 
 
 class Suffixes:
-    """Suffix order of several texts, exact up to ``depth`` symbols, with the boundaries that START symbols already tell."""
+    """Suffix order of several texts, exact up to ``depth`` symbols, with the boundaries that ``start`` symbols (a power of 2) already tell."""
 
     def __init__(self, texts: list[bytes], depth: int, start: int):
         sizes = np.array([len(t) + 1 for t in texts])
-        self.ends = np.cumsum(sizes) - 1  # places of the terminators
+        self.ends = (np.cumsum(sizes) - 1).astype(np.int32)  # places of the terminators
         self.symbols = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8).astype(np.uint16) + 1
         self.symbols[self.ends] = 0
         n = len(self.symbols)
-        self.text = np.repeat(np.arange(len(texts)), sizes)
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
         end = self.ends[self.text]
         padded = np.concatenate([self.symbols, np.zeros(4, np.uint16)]).astype(np.uint64)
         key = np.zeros(n, np.uint64)
         live = np.ones(n, bool)
-        place = np.arange(n)
+        place = np.arange(n, dtype=np.int32)
+        left = end - place
         for k in range(4):
             key = (key << np.uint64(16)) | np.where(live, padded[k : k + n], 0)
-            live &= place + k < end
-        order = np.argsort(key, kind="stable")
+            live &= left > k
+        order = np.argsort(key)
         same = np.r_[False, key[order[1:]] == key[order[:-1]]]
-        rank = np.empty(n, np.int64)
-        heads = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
-        rank[order] = heads
-        open_ = order[same | np.r_[same[1:], False]]
+        rank = np.empty(n, np.int32)
+        rank[order] = np.maximum.accumulate(np.where(same, 0, place))
+        open_ = order[same | np.r_[same[1:], False]].astype(np.int32)
         self.early: np.ndarray | None = None
         h = 4
         while h < depth:
             if h >= start and self.early is None:
-                self.early = np.unique(rank)
+                self.early = _marked(rank)
             if len(open_):
                 inner = open_ + h <= end[open_]
                 second = np.where(inner, rank[np.minimum(open_ + h, n - 1)], self.text[open_])
                 key = (rank[open_].astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
-                order = np.argsort(key, kind="stable")
+                order = np.argsort(key)
                 open_, key = open_[order], key[order]
                 group = key >> np.uint64(32)
-                at = np.arange(len(open_))
+                at = place[: len(open_)]
                 new_group, new = np.r_[True, group[1:] != group[:-1]], np.r_[True, key[1:] != key[:-1]]
                 head = np.maximum.accumulate(np.where(new_group, at, 0))
-                rank[open_] = group.astype(np.int64) + np.maximum.accumulate(np.where(new, at, 0)) - head
+                rank[open_] = group.astype(np.int32) + np.maximum.accumulate(np.where(new, at, 0)) - head
                 same = ~new
                 open_ = open_[same | np.r_[same[1:], False]]
             h *= 2
         if self.early is None:
-            self.early = np.unique(rank)
-        self.order = np.argsort(rank, kind="stable")
+            self.early = _marked(rank)
+        # Ties by place: suffixes equal so far keep the order that the symbols after them give.
+        self.order = np.sort((rank.astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64))
+        self.order = (self.order & np.uint64(0xFFFFFFFF)).astype(np.int64)
         self.place = np.empty(n, np.int64)
         self.place[self.order] = np.arange(n)
 
 
-def far_boundaries(s: Suffixes, length: int) -> np.ndarray:
+def far_boundaries(s: Suffixes, start: int, length: int) -> np.ndarray:
     """For each place in suffix order, whether its suffix and the one before it have ``length`` or more bytes in common.
 
-    ``s.early`` holds the boundaries with under START symbols in common. The transform at place j is the symbol before the
+    ``s.early`` holds the boundaries with under ``start`` symbols in common. The transform at place j is the symbol before the
     suffix there; putting it in front leads to place ahead[j]. A new boundary p parts the suffixes before p from those up to the next
     known boundary. For the first of those with a given symbol before it, whose last equal lies before p, the two extended suffixes
     are neighbours, and have one symbol more in common than p has.
@@ -205,11 +207,11 @@ def far_boundaries(s: Suffixes, length: int) -> np.ndarray:
     has = (s.order > 0) & (s.symbols[s.order - 1] > 0)
     before = np.where(has, s.symbols[s.order - 1], 0)
     ahead = np.where(has, s.place[s.order - 1], -1)
-    by_symbol = np.argsort(before, kind="stable")
+    by_symbol = np.argsort(before.astype(np.uint16), kind="stable")  # a radix sort
     last = np.full(n, -1, np.int64)  # the nearest place above with the same symbol
     last[by_symbol[1:]] = np.where(before[by_symbol[1:]] == before[by_symbol[:-1]], by_symbol[:-1], -1)
     new = s.early
-    for _ in range(START, length):
+    for _ in range(start, length):
         if not len(new):
             break
         # The places from each new boundary up to the next known one.
@@ -222,10 +224,18 @@ def far_boundaries(s: Suffixes, length: int) -> np.ndarray:
         q = ahead[j[good]]
         q = q[~known[q]]
         known[q] = True
-        new = np.unique(q)
+        q.sort()
+        new = q[np.r_[True, q[1:] != q[:-1]][: len(q)]]
     return ~known[:n]
 
 
+def _marked(places: np.ndarray) -> np.ndarray:
+    """Distinct places, sorted; all are below their number."""
+    flag = np.zeros(len(places), bool)
+    flag[places] = True
+    return np.flatnonzero(flag)
+
+
 def _next_known(known: np.ndarray, places: np.ndarray) -> np.ndarray:
     """The first known boundary after each of a few places."""
     out, open_, step = places + 1, np.arange(len(places)), 0
@@ -244,8 +254,9 @@ def repeated_windows(texts: list[bytes], length: int) -> list[list[tuple[int, in
     """For each text, runs [a, b) of window starts that also occur elsewhere among the texts."""
     if not texts:
         return []
-    s = Suffixes(texts, length, START)
-    far = far_boundaries(s, length)
+    start = 1 << (min(START, length - 1).bit_length() - 1)
+    s = Suffixes(texts, length, start)
+    far = far_boundaries(s, start, length)
     hit = far | np.r_[far[1:], False]
     flag = np.zeros(len(s.order) + 1, bool)
     flag[s.order[hit]] = True
