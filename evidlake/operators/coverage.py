@@ -41,8 +41,8 @@ def profile_matrix(subjects: DataFrame, packs: DataFrame, dimensions: tuple[str,
     """Subject by dimension; packs: subject, dimension. The dimensions are a fixed list, so the product only multiplies rows by it."""
     grid = subjects.select("subject", F.explode(F.array(*map(F.lit, dimensions))).alias("dimension"))
     rows = grid.join(packs.select("subject", "dimension", F.lit(True).alias("has")).distinct(), ["subject", "dimension"], "left")
-    state = F.when(F.col("dimension") == "DETECTION", "COVERED").when("has", "UNAVAILABLE").otherwise("UNSUPPORTED")
-    reason = F.when(F.col("dimension") == "DETECTION", F.lit(None)).when("has", "PACK_NOT_RUN").otherwise("NO_PACK")
+    state = F.when(F.col("dimension") == "DETECTION", "COVERED").when(F.col("has"), "UNAVAILABLE").otherwise("UNSUPPORTED")
+    reason = F.when(F.col("dimension") == "DETECTION", F.lit(None)).when(F.col("has"), "PACK_NOT_RUN").otherwise("NO_PACK")
     return rows.select("subject", "dimension", state.alias("state"), reason.alias("reason"))
 
 
@@ -63,10 +63,10 @@ def roll_up(areas: DataFrame, key: str, required: tuple[str, ...] = AREAS) -> tu
 def run_coverage(runs: DataFrame, rejects: DataFrame) -> DataFrame:
     """Engine runs to coverage; a completed run whose output was rejected FAILED as MALFORMED. rejects: run_id."""
     table = [F.struct(F.lit(t).alias("t"), F.lit(s).alias("s"), F.lit(r).cast("string").alias("r")) for t, s, r in TERMINATIONS]
-    row = F.element_at(F.filter(F.array(*table), lambda x: x["t"] == F.col("termination")), 1)
+    row = F.get(F.filter(F.array(*table), lambda x: x["t"] == F.col("termination")), F.lit(0))
     rows = runs.join(rejects.select("run_id", F.lit(True).alias("bad")).distinct(), "run_id", "left")
     bad = F.coalesce("bad", F.lit(False)) & (F.col("termination") == "COMPLETED")
-    return rows.select("run_id", F.when(bad, "FAILED").otherwise(F.coalesce(F.try_element_at(F.array(row), F.lit(1))["s"], F.lit("FAILED"))).alias("state"), F.when(bad, "MALFORMED").otherwise(F.try_element_at(F.array(row), F.lit(1))["r"]).alias("reason"))
+    return rows.select("run_id", F.when(bad, "FAILED").otherwise(F.coalesce(row["s"], F.lit("FAILED"))).alias("state"), F.when(bad, "MALFORMED").otherwise(row["r"]).alias("reason"))
 
 
 def reasoning_coverage(steps: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def exposed(objects: DataFrame, config: DataFrame) -> DataFrame:
 
 def row_security(relations: DataFrame, config: DataFrame) -> DataFrame:
     """Tables that the API shows or may show, with their row-level security state (J8). relations: repo_id, object_schema, object_name, rls_enabled."""
-    state = F.when(F.col("rls_enabled").isNull(), "UNKNOWN").when("rls_enabled", "ENABLED").otherwise("DISABLED")
+    state = F.when(F.col("rls_enabled").isNull(), "UNKNOWN").when(F.col("rls_enabled"), "ENABLED").otherwise("DISABLED")
     return exposed(relations, config).where("exposure <> 'HIDDEN'").withColumn("row_security", state)
 
 
@@ -113,7 +113,7 @@ def api_grants(in_force: DataFrame, config: DataFrame) -> DataFrame:
 def api_schemas(config: DataFrame, most: int = 128) -> DataFrame:
     """One row for the API and one per schema it shows (J10); too many schemas is a diagnostic."""
     over = F.size("schemas") > most
-    api = config.select("repo_id", F.lit("API").alias("kind"), F.when("api_enabled", "ENABLED").otherwise("DISABLED").alias("name"))
+    api = config.select("repo_id", F.lit("API").alias("kind"), F.when(F.col("api_enabled"), "ENABLED").otherwise("DISABLED").alias("name"))
     rows = config.where(F.col("api_enabled") & ~over).select("repo_id", F.lit("SCHEMA").alias("kind"), F.explode("schemas").alias("name"))
     return api.unionByName(rows).unionByName(config.where(F.col("api_enabled") & over).select("repo_id", F.lit("DIAGNOSTIC").alias("kind"), F.lit("TOO_MANY_SCHEMAS").alias("name")))
 
@@ -149,7 +149,7 @@ def edge_auth(config: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFra
     dynamic = F.bool_or(F.col("line").rlike(r"\bimport\s*\("))
     seen = sources.groupBy("repo_id", "function").agg(F.when(proof, "PROVEN").when(dynamic, "UNKNOWN").otherwise("NOT_PROVEN").alias("source_check"))
     rows = config.join(seen, ["repo_id", "function"], "full_outer")
-    flag = F.when(F.col("verify_jwt").isNull(), "UNKNOWN").when("verify_jwt", "ENABLED").otherwise("DISABLED")
+    flag = F.when(F.col("verify_jwt").isNull(), "UNKNOWN").when(F.col("verify_jwt"), "ENABLED").otherwise("DISABLED")
     rows = rows.select("repo_id", "function", flag.alias("token_check"), F.coalesce("source_check", F.lit("UNKNOWN")).alias("source_check"))
     coverage = rows.select("repo_id", "function", F.when((F.col("token_check") == "UNKNOWN") | (F.col("source_check") == "UNKNOWN"), "PARTIAL").otherwise("COVERED").alias("state"))
     return rows.where("token_check = 'DISABLED' and source_check = 'NOT_PROVEN'"), coverage
