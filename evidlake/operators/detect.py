@@ -28,12 +28,16 @@ def lines(files: DataFrame, column: str = "content") -> DataFrame:
 
 def scan_secrets(files: DataFrame, rules: tuple = SECRETS) -> DataFrame:
     """(repo_id, path, rule, line_no, start_col, end_col, display, fingerprint): where secrets stand, never what they are."""
-    every = F.array(*[F.transform(F.regexp_extract_all("line", F.lit(p), F.lit(0)), lambda m, i, r=r, p=p: F.struct(F.lit(r).alias("rule"), m.alias("match"), i.alias("nth"))) for r, p in rules])
+    def matches(rule: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("line", F.lit(pattern), F.lit(0)), lambda m, i: F.struct(F.lit(rule).alias("rule"), m.alias("match"), i.alias("nth")))
+
+    every = F.array(*[matches(r, p) for r, p in rules])
     hit = lines(files).where(F.coalesce(*[F.when(F.col("line").rlike(p), True) for _, p in rules], F.lit(False))).select("repo_id", "path", "line_no", "line", F.explode(F.flatten(every)).alias("m"))
     # The n-th occurrence of a matched text in its line is where the text before it ends.
     nth = F.row_number().over(Window.partitionBy("repo_id", "path", "line_no", "m.rule", "m.match").orderBy("m.nth"))
     hit = hit.withColumn("same", nth)
-    start = F.length(F.array_join(F.slice(F.split("line", F.concat(F.lit("\\Q"), F.col("m.match"), F.lit("\\E")), -1), F.lit(1), F.col("same")), F.col("m.match"))) + 1
+    before = F.slice(F.split("line", F.concat(F.lit("\\Q"), F.col("m.match"), F.lit("\\E")), -1), F.lit(1), F.col("same"))
+    start = F.aggregate(before, F.lit(0), lambda n, piece: n + F.length(piece)) + (F.col("same") - 1) * F.length("m.match") + 1
     hit = hit.withColumn("start_col", start).withColumn("end_col", start + F.length("m.match"))
     fingerprint = content_id("secret.position", {"rule": F.col("m.rule"), "path": F.col("path"), "line": F.col("line_no"), "start": F.col("start_col"), "end": F.col("end_col")})
     return hit.select("repo_id", "path", F.col("m.rule").alias("rule"), "line_no", "start_col", "end_col", F.lit(TOKEN).alias("display"), fingerprint.alias("fingerprint"))

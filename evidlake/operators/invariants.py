@@ -14,7 +14,7 @@ def in_scope(invariants: DataFrame, paths: DataFrame) -> DataFrame:
     Scope arrays: routes, methods, resources, kinds, target_paths. Paths: path_id, route_pattern, method, resource, kind.
     """
     rows = invariants.join(paths, "repo_id")
-    fits = lambda scope, c: (F.size(scope) == 0) | F.array_contains(scope, F.col(c))
+    fits = lambda scope, c: (F.size(scope) == 0) | F.array_contains(scope, F.col(c).cast("string"))
     return rows.withColumn("applies", F.coalesce(fits("routes", "route_pattern") & fits("methods", "method") & fits("resources", "resource") & fits("kinds", "kind") & fits("target_paths", "path_id"), F.lit(False)))
 
 

@@ -91,6 +91,6 @@ def metric_changes(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     b = baseline.select("metric", F.col("num").alias("bn"), F.col("den").alias("bd"), F.col("higher_is_better").alias("bh"))
     rows = b.join(candidate, "metric", "full_outer")
     move = F.col("num") * F.col("bd") - F.col("bn") * F.col("den")
-    better = F.when("higher_is_better", move > 0).otherwise(move < 0)
+    better = F.when(F.col("higher_is_better"), move > 0).otherwise(move < 0)
     change = F.when(F.col("bn").isNull(), "NEWLY_MEASURED").when(F.col("num").isNull(), "NO_LONGER_MEASURED").when((F.col("bd") == 0) | (F.col("den") == 0) | (F.col("bh") != F.col("higher_is_better")), "INCOMPARABLE").when(move == 0, "UNCHANGED").when(better, "IMPROVED").otherwise("REGRESSED")
     return rows.select("metric", change.alias("change"))

@@ -484,7 +484,7 @@ def j21(s, d):
     return paths.review_context(p, routes, evals, changed)[0].select("path_id", "file", F.array_join("evaluations", ",").alias("evaluations"), "changed")
 
 
-@query("j32_explanation_chains", "SELECT DISTINCT o_orderkey AS finding_id, l_orderkey AS path_id, l_orderkey || '-' || l_linenumber AS evaluation_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 2 = 0 OR l_linenumber = 1")
+@query("j32_explanation_chains", "SELECT DISTINCT o_orderkey AS finding_id, l_orderkey AS path_id, l_orderkey || '-' || l_linenumber AS evaluation_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 2 = 0 OR l_linenumber = 1 OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1)")
 def j32(s, d):
     key = F.col("o_orderkey").cast("string")
     exact = F.array(F.concat(F.lit("cross_layer_path:"), key), F.concat(F.lit("invariant_evaluation:"), key, F.lit("-1")))
@@ -595,9 +595,9 @@ def j27(s, d):
     return regression.snapshot_compatibility(pairs, b.unionByName(c))
 
 
-@query("j28_snapshots", "SELECT l_orderkey AS revision, count(*) AS n, sha256(string_agg(l_linenumber || '=' || l_returnflag, chr(10) ORDER BY l_linenumber || '=' || l_returnflag)) AS input_digest FROM lineitem GROUP BY 1")
+@query("j28_snapshots", "SELECT r AS revision, count(*) AS n, sha256(string_agg(i || '=' || p, chr(10) ORDER BY i || '=' || p)) AS input_digest FROM (SELECT DISTINCT l_orderkey AS r, l_linenumber || '-' || l_partkey AS i, l_partkey AS p FROM lineitem) GROUP BY 1")
 def j28(s, d):
-    rows = table(s, d, "lineitem").select(F.col("l_orderkey").alias("revision"), F.col("l_linenumber").cast("string").alias("id"), F.col("l_returnflag").alias("digest"))
+    rows = table(s, d, "lineitem").select(F.col("l_orderkey").alias("revision"), F.concat_ws("-", "l_linenumber", "l_partkey").alias("id"), F.col("l_partkey").cast("string").alias("digest"))
     return regression.compose_snapshot(rows.unionByName(rows), rows.select("revision", "id", F.lit("1").alias("needs")))[0]
 
 
@@ -790,7 +790,7 @@ def drained(s, stream, name):
 def event_stream(s, d):
     schema = table(s, d, "events").schema
     rows = s.readStream.schema(schema).parquet(f"{d}/events.parquet*")
-    return rows.withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return rows.withColumn("k", F.get_json_object("props", "$.k").cast("long")).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("st1_chain_stream", "SELECT user_id AS session_id, q AS sequence, 'APPENDED' AS outcome FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS q FROM events)")
@@ -806,7 +806,7 @@ def st1(s, d):
 @query("st2_approval_stream")
 def st2(s, d):
     i = F.col("event_id")
-    rows = event_stream(s, d).select((F.col("user_id") % 50).cast("string").alias("digest"), F.when(i % 3 == 0, "APPROVAL").otherwise("ASK").alias("kind"), i.cast("string").alias("id"), i.alias("at"))
+    rows = event_stream(s, d).select((F.col("user_id") % 50).cast("string").alias("digest"), F.when(i % 3 == 0, "APPROVAL").otherwise("ASK").alias("kind"), i.cast("string").alias("id"), F.col("ts").alias("event_time"))
     return drained(s, jobs.approval_stream(rows), "approvals")
 
 

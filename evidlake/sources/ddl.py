@@ -28,8 +28,8 @@ def discover_migrations(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def masked(sql: Column) -> Column:
     """SQL without comments, with string and dollar-quoted bodies emptied: what is left of ``;`` parts statements."""
-    bodies = r"(?s)\$([A-Za-z_]*)\$.*?\$\1\$|'(?:[^']|'')*'"
-    return F.regexp_replace(F.regexp_replace(sql, bodies, "''"), r"(?s)--[^\n]*|/\*.*?\*/", " ")
+    # One pass from the left, so a quote within a comment opens nothing, nor a comment within a literal.
+    return F.regexp_replace(sql, r"(?s)--[^\n]*|/\*.*?\*/|\$([A-Za-z_]*)\$.*?\$\1\$|'(?:[^']++|'')*+'", " ")
 
 
 def _plain(name: Column) -> Column:
@@ -44,7 +44,7 @@ def extract_ddl(migrations: DataFrame) -> DataFrame:
     """
     rows = migrations.withColumn("bare", masked(F.col("content")))
     broken = F.col("bare").rlike(r"\$[A-Za-z_]*\$") | (F.size(F.split(F.col("bare"), "'")) % 2 == 0) | F.col("bare").contains("/*")
-    rows = rows.withColumn("broken", broken).select("repo_id", "path", "migration_order", "broken", F.posexplode(F.split("bare", ";")).alias("nth", "s"))
+    rows = rows.withColumn("broken", broken).select("repo_id", "path", "migration_order", "broken", F.posexplode(F.regexp_extract_all("bare", F.lit(r'(?:[^;"]++|"[^"]*+")++'), F.lit(0))).alias("nth", "s"))
     text = F.trim(F.regexp_replace("s", r"\s+", " "))
     rows = rows.withColumn("s", text).where("s <> ''").withColumn("statement_index", F.row_number().over(Window.partitionBy("repo_id", "path").orderBy("nth")) - 1)
     kind = F.coalesce(*[F.when(F.col("s").rlike(p), F.lit(k)) for k, p in FORMS])

@@ -61,14 +61,17 @@ APPROVAL = "digest string, invocation_id string, approval_id string, outcome str
 
 
 def consume_approvals(ttl_ms: int):
-    """Single-use approvals of one digest with a time to live (ST2). Rows: kind (APPROVAL, ASK), id, at (epoch ms)."""
+    """Single-use approvals of one digest with a time to live (ST2). Rows: kind (APPROVAL, ASK), id, event_time.
+
+    State that the watermark has outlived is dropped, so digests that fall silent leave nothing behind.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        have = list(state.get[0]) if state.exists else []
         out = []
         if state.hasTimedOut:
             state.remove()
         else:
+            have = list(state.get[0]) if state.exists else []
             rows = pd.concat(list(frames)).sort_values(["at", "kind", "id"])
             for row in rows.itertuples(index=False):
                 have = [h for h in have if int(h.split("|", 1)[0]) + ttl_ms > row.at]
@@ -79,14 +82,15 @@ def consume_approvals(ttl_ms: int):
                 else:
                     out.append((key[0], row.id, None, "WAITING"))
             state.update((have,))
-            state.setTimeoutDuration(ttl_ms)
+            state.setTimeoutTimestamp(max(int(rows["at"].max()) + ttl_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["digest", "invocation_id", "approval_id", "outcome"])
 
     return run
 
 
-def approval_stream(rows: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
-    return rows.select("digest", "kind", "id", "at").groupBy("digest").applyInPandasWithState(consume_approvals(ttl_ms), APPROVAL, "have array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def approval_stream(rows: DataFrame, ttl_ms: int = 3_600_000, late: str = "10 minutes") -> DataFrame:
+    timed = rows.withWatermark("event_time", late).select("digest", "kind", "id", "event_time", F.unix_millis("event_time").alias("at"))
+    return timed.groupBy("digest").applyInPandasWithState(consume_approvals(ttl_ms), APPROVAL, "have array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def evidence_sink(path: str, conflicts: str, key: str = "evidence_id", digest: str = "digest"):
