@@ -34,13 +34,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float =
     turn = (F.row_number().over(every.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
     by_stop = every.orderBy("stop", F.col("source").asc_nulls_last())
     before, onward = (by_stop.rowsBetween(Window.unboundedPreceding, -1), by_stop.rowsBetween(0, Window.unboundedFollowing))
+    whole = by_stop.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = (
         sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")).cast("double"))
         .withColumn("stop", cap * F.col("source_size") / F.col("weight"))
         .withColumn("total", F.sum("source_size").over(every) * F.lit(share))
         .withColumn("stopped", F.coalesce(F.sum(cap * F.col("source_size")).over(before), F.lit(0.0)))
         .withColumn("level", F.try_divide(F.col("total") - F.col("stopped"), F.sum("weight").over(onward)))
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("stop"), F.col("level"))).over(every))
+        .withColumn("level", F.first(F.when(F.col("level") <= F.col("stop"), F.col("level")), ignorenulls=True).over(whole))
     )
     target = F.least(F.col("weight") * F.coalesce("level", F.lit(float("inf"))), cap * F.col("source_size"))
     return rows.select("source", "source_size", F.col("weight").alias("source_weight"), target.cast("double").alias("target"))

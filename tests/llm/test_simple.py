@@ -50,6 +50,16 @@ def test_mix(spark, docs):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_targets_without_stops(spark):
+    """No source is near its cap: shares are plainly 1, 2, 3 of 6."""
+    sizes = spark.createDataFrame([("a", 400), ("b", 390), ("c", 410)], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(sizes).collect()}
+    assert got == pytest.approx({"a": 200.0, "b": 400.0, "c": 600.0})
+    sizes = spark.createDataFrame([("a", 1000), ("b", 10), ("c", 100), (None, 5)], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(sizes).collect()}
+    assert got == pytest.approx({"a": 1115 - 30 - 300 - 15, "b": 30.0, "c": 300.0, None: 15.0})
+
+
 def test_mix_weights(spark):
     """Inclusion follows the weights."""
     from pyspark.sql import functions as F
