@@ -78,4 +78,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
 }
 
-ORACLES: dict[str, str] = {}
+_CONTROL = "|".join([chat.ESCAPE, *(c.replace("|", r"\|").replace("[", r"\[").replace("]", r"\]").replace("/", r"\/") for c in chat.CONTROL)])
+
+ORACLES: dict[str, str] = {
+    # Every control string, and the escape itself, grows by one character; a turn adds 24 of the template's own.
+    "op10_chat": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r0, text AS t0 FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]'
+           UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(text) + length(role) + 24 + len(regexp_extract_all(text, '{_CONTROL}')) + len(regexp_extract_all(role, '{_CONTROL}')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id""",
+    "op9_search": f"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM documents),
+     p AS (SELECT doc_id, term, least(count(*), 65535) AS tf FROM w GROUP BY 1, 2), z AS (SELECT doc_id, count(*) AS n FROM w GROUP BY 1),
+     g AS (SELECT (SELECT count(*) FROM documents) AS total, (SELECT count(*) FROM w) / (SELECT count(*) FROM documents)::DOUBLE AS mean), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+     s AS (SELECT q.doc_id AS query_id, d.doc_id, sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * (d.tf * {search.K1 + 1} / (d.tf + {search.K1} * ({1 - search.B} + {search.B} * z.n / mean)))) AS score
+           FROM p q JOIN p d ON q.term = d.term JOIN f ON f.term = q.term JOIN z ON z.doc_id = d.doc_id CROSS JOIN g WHERE q.doc_id % 50 = 0 AND q.doc_id <> d.doc_id GROUP BY 1, 2)
+SELECT query_id, rank, doc_id, score FROM (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
+}
