@@ -441,11 +441,11 @@ PACK = "SELECT DISTINCT 'e' || (l_suppkey % 2) AS ecosystem, l_partkey AS name,
 
 
 def package_sets(s, d):
-    rows = table(s, d, "lineitem").select(F.concat(F.lit("e"), (F.col("l_suppkey") % 2).cast("string")).alias("ecosystem"), F.col("l_partkey").alias("name"), F.col("l_linenumber").alias("version"), (F.year("l_shipdate") >= 1995).alias("late"))
+    rows = table(s, d, "lineitem").select(F.concat(F.lit("e"), (F.col("l_suppkey") % 2).cast("string")).alias("ecosystem"), F.col("l_partkey").alias("name"), F.col("l_linenumber").alias("version"), (F.year("l_shipdate") >= 1998).alias("late"))
     return rows.where("not late").drop("late"), rows.where("late").drop("late")
 
 
-ADDED = f"({PACK} WHERE year(l_shipdate) >= 1995 EXCEPT {PACK} WHERE year(l_shipdate) < 1995)"
+ADDED = f"({PACK} WHERE year(l_shipdate) >= 1998 EXCEPT {PACK} WHERE year(l_shipdate) < 1998)"
 
 
 @query("j2_dependency_added", f"SELECT * FROM {ADDED}")
@@ -453,7 +453,7 @@ def j2(s, d):
     return deltas.set_delta(*package_sets(s, d))[0]
 
 
-@query("j2_dependency_removed", f"{PACK} WHERE year(l_shipdate) < 1995 EXCEPT {PACK} WHERE year(l_shipdate) >= 1995")
+@query("j2_dependency_removed", f"{PACK} WHERE year(l_shipdate) < 1998 EXCEPT {PACK} WHERE year(l_shipdate) >= 1998")
 def j2_removed(s, d):
     return deltas.set_delta(*package_sets(s, d))[1]
 

@@ -149,10 +149,10 @@ def d13(s, d):
 
 def tools(s, d):
     k = F.col("p_partkey")
-    return table(s, d, "part").select((k % 20).alias("server_id"), F.when((k % 20 == 3) & (k % 40 == 3), "same").otherwise(F.col("p_name")).alias("name"), F.col("p_type").alias("description"), F.create_map(F.lit("b"), F.col("p_brand"), F.lit("a"), F.lit("x")).alias("schema"), "p_partkey")
+    return table(s, d, "part").select((k % 20).alias("server_id"), F.when((k % 20 == 3) & (k % 40 == 3), "same").otherwise(F.concat("p_name", k.cast("string"))).alias("name"), F.col("p_type").alias("description"), F.create_map(F.lit("b"), F.col("p_brand"), F.lit("a"), F.lit("x")).alias("schema"), "p_partkey")
 
 
-TOOL_SQL = "SELECT p_partkey % 20 AS server_id, CASE WHEN p_partkey % 40 = 3 THEN 'same' ELSE p_name END AS name, p_type, p_brand FROM part"
+TOOL_SQL = "SELECT p_partkey % 20 AS server_id, CASE WHEN p_partkey % 40 = 3 THEN 'same' ELSE p_name || p_partkey END AS name, p_type, p_brand FROM part"
 
 
 @query("d15_tool_inventory", f"SELECT server_id, name, {sid('tool.description', chr(39) + '{' + chr(34) + 'description' + chr(34) + ':' + chr(34) + chr(39) + ' || p_type || ' + chr(39) + chr(34) + ',' + chr(34) + 'name' + chr(34) + ':' + chr(34) + chr(39) + ' || name || ' + chr(39) + chr(34) + '}' + chr(39))} AS description_hash FROM ({TOOL_SQL}) WHERE server_id NOT IN (SELECT server_id FROM ({TOOL_SQL}) GROUP BY server_id HAVING count(DISTINCT name) < count(*))")
