@@ -3,7 +3,7 @@
 A document is expected ``target / source size`` times in the mix. The whole part of that number is allocated as certain
 copies. The rest is its inclusion probability p: with a uniform u fixed by (seed, doc_id, text), documents are ranked by
 ``(u / (1 - u)) / (p / (1 - p))`` and taken in that order until the source's words are spent, so the sample has a fixed
-size in words. One further document per source, the one that brings the words nearest to the target, closes the gap at the cut.
+size in words. Up to FILL_ROUNDS further documents per source close the gap at the cut.
 
 The order is cut without sorting a source: ranks are counted in cells of 2^-12, then of 2^-24, and only the rows of the one
 cell that holds the cut are ordered. What is joined to documents is one row per source.
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from evidlake.llm.common import staged, word_count
 
 CELL = 4096
+FILL_ROUNDS = 4
+FILLERS = "array<struct<size:bigint,r:double,doc_id:bigint>>"
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, share: float = 1.0) -> DataFrame:
@@ -91,15 +93,26 @@ def mix_plan(docs: DataFrame, copies: int = 3, weights: tuple[int, ...] = (1, 2,
     plan = plan.join(cuts, F.col("source").eqNullSafe(F.col("mix_source")), "left").drop("mix_source")
     plan = staged(plan)
 
-    rows = _ranked(docs, plan, copies).withColumn("extra", _within())
-    used = rows.groupBy("mix_source", "target").agg(F.sum((F.col("whole") + F.col("extra").cast("int")) * F.col("size")).alias("words"))
-    gap = staged(used.select("mix_source", (F.col("target") - F.col("words")).alias("gap")))
-    rest = rows.join(gap, same(rows, gap)).drop(gap["mix_source"]).where("rank is not null and not extra")
+    # What is left at the cut is filled up: in each round the largest document that fits, in the last the nearest.
+    used = _ranked(docs, plan, copies).withColumn("extra", _within()).groupBy("mix_source", "target").agg(F.sum((F.col("whole") + F.col("extra").cast("int")) * F.col("size")).alias("words"))
+    gap = used.select(F.col("mix_source").alias("s"), (F.col("target") - F.col("words")).alias("gap"))
+    plan = staged(plan.join(gap, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("fillers", F.array().cast(FILLERS)))
     row = F.struct("size", (-F.col("rank")).alias("r"), "doc_id")
-    ends = rest.groupBy("mix_source", "gap").agg(F.max(F.when(F.col("size") <= F.col("gap"), row)).alias("under"), F.min(F.when(F.col("size") > F.col("gap"), row)).alias("over"))
-    nearer = F.col("over.size") - F.col("gap") < F.col("gap") - F.coalesce("under.size", F.lit(0))
-    best = ends.select("mix_source", F.when(nearer, F.col("over")).otherwise(F.col("under")).alias("filler"))
-    return staged(plan.join(best, F.col("source").eqNullSafe(F.col("mix_source")), "left").drop("mix_source"))
+    for k in range(FILL_ROUNDS):
+        rest = _ranked(docs, plan, copies).where(F.col("rank").isNotNull() & ~_within() & ~_fills())
+        ends = rest.groupBy("mix_source", "gap").agg(F.max(F.when(F.col("size") <= F.col("gap"), row)).alias("under"), F.min(F.when(F.col("size") > F.col("gap"), row)).alias("over"))
+        nearer = F.col("over.size") - F.col("gap") < F.col("gap") - F.coalesce("under.size", F.lit(0))
+        pick = F.when(nearer & (F.col("under").isNull() | F.lit(k == FILL_ROUNDS - 1)), F.col("over")).otherwise(F.col("under"))
+        ends = ends.select(F.col("mix_source").alias("s"), pick.alias("pick"))
+        plan = plan.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+        plan = plan.withColumn("fillers", F.when(F.col("pick").isNull(), F.col("fillers")).otherwise(F.concat("fillers", F.array("pick")))).withColumn("gap", F.col("gap") - F.coalesce("pick.size", F.lit(0))).drop("pick")
+        plan = staged(plan)
+    return plan
+
+
+def _fills() -> Column:
+    same = F.exists("fillers", lambda f: (f["size"] == F.col("size")) & (f["r"] == -F.col("rank")) & f["doc_id"].eqNullSafe(F.col("doc_id")))
+    return F.coalesce(same, F.lit(False))
 
 
 def _within() -> Column:
@@ -110,11 +123,10 @@ def mix_sources(docs: DataFrame, weight: Column | None = None, seed: int = 17, c
     """documents plus struct ``out``: size, source_size, target, copies (times the row is in the mix), taken (words)."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11).cast("double") + 0.5) / float(1 << 53)
     worth = F.lit(1.0) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0))
-    base = staged(docs.select("doc_id", F.col("source").alias("mix_source"), word_count(F.col("text")).alias("size"), u.alias("u"), worth.alias("mix_weight")))
+    base = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("mix_source"), word_count(F.col("text")).alias("size"), u.alias("u"), worth.alias("mix_weight")))
     plan = mix_plan(base, copies, weights, share)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d"), docs["doc_id"].alias("doc_id"), docs["source"].alias("mix_source"), word_count(docs["text"]).alias("size"), u.alias("u"), worth.alias("mix_weight"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d"), docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("mix_source"), word_count(docs["text"]).alias("size"), u.alias("u"), worth.alias("mix_weight"))
     rows = _ranked(rows, plan, copies)
-    fills = F.col("filler").isNotNull() & (F.col("size") == F.col("filler.size")) & (-F.col("rank") == F.col("filler.r")) & F.col("doc_id").eqNullSafe(F.col("filler.doc_id"))
-    n = (F.col("whole") + (_within() | F.coalesce(fills, F.lit(False))).cast("int")).cast("long")
+    n = (F.col("whole") + (_within() | _fills()).cast("int")).cast("long")
     result = F.struct("size", F.col("source_size").cast("long").alias("source_size"), F.col("target"), n.alias("copies"), (n * F.col("size")).alias("taken"))
     return rows.select("d.*", result.alias(out))
