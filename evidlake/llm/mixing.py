@@ -129,4 +129,5 @@ def mix_sources(docs: DataFrame, weight: Column | None = None, seed: int = 17, c
     rows = _ranked(rows, plan, copies)
     n = (F.col("whole") + (_within() | _fills()).cast("int")).cast("long")
     result = F.struct("size", F.col("source_size").cast("long").alias("source_size"), F.col("target"), n.alias("copies"), (n * F.col("size")).alias("taken"))
-    return rows.select("d.*", result.alias(out))
+    # Made before the columns of documents are spread out again, as those may have any names.
+    return rows.withColumn("mixed", result).select("d.*", F.col("mixed").alias(out))
