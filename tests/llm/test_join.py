@@ -66,6 +66,9 @@ def test_similar_edges(spark):
     got = sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.similar_documents(df, 3, 90).collect())
     assert got == [(0, 0), (1, 1), (1, 1), (7, 7)]
     assert ngram_join.similar_documents(df.limit(0)).count() == 0
+    # Two texts under one doc_id: the rows are one node, linked by the text of the least digest; no row is lost.
+    both = spark.createDataFrame([(3, "a b c d e f"), (3, "x y z u v w"), (5, "q r s t u v")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in ngram_join.similar_documents(both, 3, 90).collect()) == [(3, 3), (3, 3), (5, 5)]
     assert ngram_join.one_of_each(df.withColumn("copy", df.doc_id)).columns == ["doc_id", "text", "copy"]
 
 
