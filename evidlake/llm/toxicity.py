@@ -35,6 +35,7 @@ HIDDEN, EMBED = 8, 4
 WORD_BUCKETS, GRAM_BUCKETS, EMBED_BUCKETS = 1 << 19, 1 << 19, 1 << 13
 WINDOWS_OF_ONE = 40
 EPOCHS, BATCH, RATE = 4, 512, 0.005
+STEPS = 400
 DROP, DECAY, SURE = 0.6, 1e-3, 1.5
 #: A missed toxic text weighs as much as so many false alarms.
 MISS = 2.0
@@ -310,8 +311,10 @@ def fit(texts: list[str | None], toxic: np.ndarray, seed: int = 11) -> Model | C
     step = 0
     first_of = np.searchsorted(table_grams[0], np.arange(base + 2))
     ends = np.r_[table_grams[2], len(table_grams[1])]
-    for epoch in range(EPOCHS):
-        if epoch == EPOCHS // 2:  # the network's own view of the windows of toxic documents
+    # Few rows are gone over more often, so that every training takes some STEPS steps at least.
+    epochs = max(EPOCHS, -(-STEPS * BATCH // max(1, sum(min(WINDOWS_OF_ONE, len(own)) for _, own in spans))))
+    for epoch in range(epochs):
+        if epoch == epochs // 2:  # the network's own view of the windows of toxic documents
             for k in np.flatnonzero(labels):
                 at, own = spans[k]
                 line = np.array([np.r_[at[a:b], np.full(WINDOW - (b - a), base)] for a, b in own])
