@@ -31,7 +31,7 @@ from evidlake.llm.decontamination import _BREAK
 from evidlake.llm.substrings import BitTable
 
 K1, B = 1.2, 0.75
-SHARD_DOCS = 16_384
+SHARD_DOCS = 6_144
 BLOCK = 64
 QUERY_BLOCK = 10_000
 SLACK = 1e-7
