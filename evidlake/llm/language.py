@@ -2,13 +2,13 @@
 
 Texts are lower case; every character that isn't a letter becomes a space and runs of spaces one. All 4-grams of all
 training rows are counted per language by Spark. Lower orders follow from the 4-gram types: order n counts the different characters
-that precede an n-gram. The frequent 4-grams (at most GRAMS in all, so the model's size is bounded) are collected, and the
-log-probability of each under every language is tabled beside a sorted array of their hashes; a gram not tabled is worked out by backing off.
-A text goes to the language of least cross-entropy per character.
+that precede an n-gram. Counts of all grams and contexts of all orders are kept: executors write them as sorted arrays to the
+shared folder and map them from there, and the driver holds only where they lie and each order's discount. What a worker has worked
+out stays in a cache of CACHE_BYTES, which changes no result. A text goes to the language of least cross-entropy per character.
 
-Calibration uses at most CALIBRATION_ROWS training rows: the temperature that makes the softmax of the cross-entropies
-likeliest gives ``score``; median and spread of each language's own cross-entropy give the value above which a text is ``rejected`` as
-being in none of the languages.
+Calibration uses all training rows, by Spark aggregates: the temperature that makes the softmax of the cross-entropies
+likeliest gives ``score``; median and spread of each language's own cross-entropy (to CELL nats) give the value above which a text is
+``rejected`` as being in none of the languages.
 
 Defined cases: a null text or one without letters is ``und``, rejected, score 0; without training rows all texts are;
 one-letter texts are scored by what they have; repeated rows count as often as they occur; other columns aren't read.
@@ -16,21 +16,24 @@ one-letter texts are scored by what they have; repeated rows count as often as t
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidlake.llm.common import mix, staged
+from evidlake.llm.common import mix, shared_dir, staged
 
 ORDER = 4
-GRAMS = 600_000
-GRAMS_OF_ONE = 100_000
-CALIBRATION_ROWS = 1500
+CACHE_BYTES = 1 << 26
+TEMPERATURES = (0.02, 0.05, 0.1, 0.2, 0.4, 0.8)
+CELL = 1e-4
 CHUNK_CHARS = 1 << 19
 #: A text is rejected when its cross-entropy is over the median of its language by so many spreads and by so many nats, more
 #: for short texts. The nats keep texts that mix known languages.
@@ -128,84 +131,159 @@ def count_grams(rows: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def frequent(counts: DataFrame) -> DataFrame:
-    """The most frequent grams of each language, by a least count read off a histogram: at most GRAMS in all."""
-    step = F.floor(F.log2("n") * 8)
-    bins = counts.groupBy("lang", step.alias("bin")).agg(F.count("*").alias("k")).collect()
-    langs = sorted({r.lang for r in bins})
-    limit, least = min(GRAMS_OF_ONE, GRAMS // max(1, len(langs))), {}
-    for lang in langs:
-        held = 0
-        for b, k in sorted(((r.bin, r.k) for r in bins if r.lang == lang), reverse=True):
-            held += k
-            if held > limit:
-                break
-            least[lang] = b
-    if not least:
-        return counts.limit(0)
-    keep = F.lit(False)
-    for lang, b in least.items():
-        keep = keep | ((F.col("lang") == lang) & (step >= b))
-    return counts.where(keep)
-
-
-@dataclass
-class _Order:
-    """One order of one language: sorted grams with their discounted share, and sorted contexts with their backing-off weight."""
-
-    grams: np.ndarray
-    share: np.ndarray
-    contexts: np.ndarray
-    weight: np.ndarray
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-    return at, (keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool))
-
-
-def _estimate(codes: np.ndarray, n: np.ndarray) -> _Order:
-    ones, twos = (n == 1).sum(), (n == 2).sum()
-    discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-    contexts, at = np.unique(codes >> np.uint64(16), return_inverse=True)
-    total = np.bincount(at, weights=n)
-    return _Order(codes, (n - discount) / total[at], contexts, discount * np.bincount(at) / total)
+def gram_tables(counts: DataFrame, langs: list[str]) -> DataFrame:
+    """(t, key, a, b) of all orders: t is 8 * language + 2 * (order - 1), and 1 more for contexts. A gram's a is its count, of lower
+    orders the number of grams one longer that end in it; a context's a is the sum of the counts of its grams, b their number."""
+    level, found = counts.select((F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1).alias("lang"), "gram", "n"), []
+    for k in range(ORDER, 0, -1):
+        if k < ORDER:
+            level = staged(level.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << (16 * k)) - 1)).alias("gram")).agg(F.count("*").alias("n")))
+        t = F.col("lang") * (2 * ORDER) + 2 * (k - 1)
+        found.append(level.select(t.alias("t"), F.col("gram").alias("key"), F.col("n").cast("double").alias("a"), F.lit(0.0).alias("b")))
+        contexts = level.groupBy("lang", F.shiftrightunsigned("gram", 16).alias("key")).agg(F.sum("n").cast("double").alias("a"), F.count("*").cast("double").alias("b"))
+        found.append(contexts.select((t + 1).alias("t"), "key", "a", "b"))
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return staged(out)
+
+
+def _files(path: str) -> tuple[fs.FileSystem, str]:
+    path = re.sub(r"^file:/+", "/", path)
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
+def write_tables(tables: DataFrame) -> dict[int, list[tuple]]:
+    """Writes the tables as sorted arrays to the shared folder, each task its range; gives the pieces of each t in order."""
+    folder = f"{shared_dir(tables.sparkSession)}/evidlake-{uuid.uuid4().hex}"
+    system, path = _files(folder)
+    system.create_dir(path, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, at, runs = f"{folder}/{uuid.uuid4().hex}", 0, []
+        with ExitStack() as stack:
+            outs = []
+            for batch in batches:
+                if not outs:
+                    outs = [stack.enter_context(_files(f"{name}.{c}")[0].open_output_stream(_files(f"{name}.{c}")[1])) for c in ("key", "a", "b")]
+                t, keys = batch["t"].to_numpy(), batch["key"].to_numpy()
+                for out, c in zip(outs, ("key", "a", "b"), strict=True):
+                    out.write(np.ascontiguousarray(batch[c].to_numpy()).tobytes())
+                begins = np.flatnonzero(np.diff(t, prepend=-1)).tolist()
+                for i, j in zip(begins, [*begins[1:], len(t)], strict=True):
+                    if runs and runs[-1][0] == t[i]:
+                        runs[-1][4] += j - i
+                    else:
+                        runs.append([int(t[i]), int(keys[i]), name, at + i, j - i])
+                at += len(t)
+        yield pa.RecordBatch.from_pydict({c: [r[k] for r in runs] for k, c in enumerate(pieces.names)}, schema=pieces)
+
+    pieces = pa.schema([("t", pa.int32()), ("first", pa.int64()), ("path", pa.string()), ("at", pa.int64()), ("length", pa.int64())])
+    n = int(tables.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = tables.repartitionByRange(n, "t", "key").sortWithinPartitions("t", "key")
+    found: dict[int, list[tuple]] = {}
+    for r in ranged.mapInArrow(write, "t int, first long, path string, at long, length long").collect():
+        found.setdefault(r.t, []).append((r.first, r.path, r.at, r.length))
+    return {t: sorted(p) for t, p in found.items()}
+
+
+def _mapped(path: str, dtype: str, at: int, length: int) -> np.ndarray:
+    system, path = _files(path)
+    if isinstance(system, fs.LocalFileSystem):
+        return np.asarray(np.memmap(path, dtype, "r", offset=8 * at, shape=(length,)))
+    with system.open_input_file(path) as source:
+        return np.frombuffer(source.read_at(8 * length, 8 * at), dtype)
+
+
+class _Table:
+    """A table of sorted keys in pieces, each (first key, path, at, length) or (first key, arrays). Only paths are pickled."""
+
+    def __init__(self, pieces: list[tuple]):
+        self.pieces, self.firsts, self.opened = pieces, np.array([p[0] for p in pieces], np.int64), {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"opened": {}}
+
+    def _arrays(self, i: int) -> tuple[np.ndarray, ...]:
+        if i not in self.opened:
+            _, *where = self.pieces[i]
+            self.opened[i] = where[0] if len(where) == 1 else tuple(_mapped(f"{where[0]}.{c}", d, *where[1:]) for c, d in (("key", "<i8"), ("a", "<f8"), ("b", "<f8")))
+        return self.opened[i]
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """a and b of each key, 0 where it isn't in the table."""
+        a, b = np.zeros(len(wanted)), np.zeros(len(wanted))
+        piece = np.searchsorted(self.firsts, wanted, side="right") - 1
+        for i in np.unique(piece[piece >= 0]).tolist():
+            own = np.flatnonzero(piece == i)
+            keys, x, y = self._arrays(i)
+            at = np.minimum(np.searchsorted(keys, wanted[own]), len(keys) - 1)
+            seen = keys[at] == wanted[own]
+            a[own[seen]], b[own[seen]] = x[at[seen]], y[at[seen]]
+        return a, b
+
+
+def _discount(ones: float, twos: float) -> float:
+    return ones / (ones + 2 * twos) if ones and twos else 0.5
 
 
 class LanguageModel:
-    """Tables of all languages; pickled to executors. Its size is bounded by GRAMS."""
+    """Tables of all languages, in memory or in files; pickled to executors. ``orders`` lists (grams, contexts, discount) of each language from order 1 up."""
 
     def __init__(self, langs: list[str], codes: list[np.ndarray], counts: list[np.ndarray]):
-        self.langs, self.orders = langs, []
-        self.temperature, self.median, self.spread = 0.1, np.zeros(len(langs)), np.full(len(langs), np.inf)
+        orders = []
         for c, n in zip(codes, counts, strict=True):
             order = np.argsort(c)
-            c, n = c[order], n[order].astype(np.float64)
-            levels = [_estimate(c, n)]
-            for k in range(ORDER - 1, 0, -1):
-                c, n = np.unique(c & np.uint64((1 << (16 * k)) - 1), return_counts=True)
-                levels.append(_estimate(c, n.astype(np.float64)))
-            self.orders.append(levels)
-        every = np.unique(np.concatenate([*codes, np.zeros(0, np.uint64)]))
-        hashes = mix(every)
+            c, n, levels = c[order], n[order].astype(np.float64), []
+            for k in range(ORDER, 0, -1):
+                if k < ORDER:
+                    c, n = np.unique(c & np.uint64((1 << (16 * k)) - 1), return_counts=True)
+                contexts, at = np.unique(c >> np.uint64(16), return_inverse=True)
+                arrays = [(c.view(np.int64), n.astype(float), np.zeros(len(n))), (contexts.view(np.int64), np.bincount(at, weights=n), np.bincount(at).astype(float))]
+                of = [_Table([(int(x[0].min()), tuple(y[np.argsort(x[0])] for y in x))] if len(x[0]) else []) for x in arrays]
+                levels.append((*of, _discount((n == 1).sum(), (n == 2).sum())))
+            orders.append(levels[::-1])
+        self._begin(langs, orders)
+
+    @classmethod
+    def of_tables(cls, langs: list[str], tables: DataFrame) -> LanguageModel:
+        pieces = write_tables(tables)
+        rare = {r.t: _discount(r.ones, r.twos) for r in tables.where("t % 2 = 0").groupBy("t").agg(F.count_if(F.col("a") == 1).alias("ones"), F.count_if(F.col("a") == 2).alias("twos")).collect()}
+        model = cls.__new__(cls)
+        model._begin(langs, [[(_Table(pieces[t]), _Table(pieces[t + 1]), rare[t]) for t in range(2 * ORDER * j, 2 * ORDER * (j + 1), 2)] for j in range(len(langs))])
+        return model
+
+    def _begin(self, langs: list[str], orders: list[list[tuple]]) -> None:
+        self.langs, self.orders = langs, orders
+        self.temperature, self.median, self.spread = 0.1, np.zeros(len(langs)), np.full(len(langs), np.inf)
+        self._cache(np.zeros(0, np.uint64), np.zeros((0, len(langs)), np.float32))
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("hashes", "table", "first", "shift")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._cache(np.zeros(0, np.uint64), np.zeros((0, len(self.langs)), np.float32))
+
+    def _cache(self, hashes: np.ndarray, table: np.ndarray) -> None:
         order = np.argsort(hashes)
-        self.hashes, every = hashes[order], every[order]
-        self.table = self._worked_out(every)
-        bits = max(4, len(every).bit_length() + 1)
+        self.hashes, self.table = hashes[order], table[order]
+        bits = max(4, len(hashes).bit_length() + 1)
         self.shift = np.uint64(64 - bits)
-        self.first = np.searchsorted(self.hashes >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.first = np.append(np.searchsorted(self.hashes >> self.shift, np.arange(1 << bits, dtype=np.uint64)), len(hashes)).astype(np.int32)
 
     def _worked_out(self, codes: np.ndarray) -> np.ndarray:
         """Log-probabilities of 4-grams under each language, by interpolation of all orders."""
         out = np.empty((len(codes), len(self.langs)), dtype=np.float32)
         for j, levels in enumerate(self.orders):
             p = np.full(len(codes), 1.0 / 0x10000)
-            for k, level in zip(range(1, ORDER + 1), reversed(levels), strict=True):
+            for k, (grams_of, contexts, discount) in enumerate(levels, 1):
                 own = codes & np.uint64((1 << (16 * k)) - 1)
-                at, seen = _find(level.contexts, own >> np.uint64(16))
-                weight = np.where(seen, level.weight[at], 1.0)
-                at, seen = _find(level.grams, own)
-                p = weight * p + np.where(seen, level.share[at], 0.0)
+                total, types = contexts.find((own >> np.uint64(16)).view(np.int64))
+                n, _ = grams_of.find(own.view(np.int64))
+                seen = total > 0
+                total = np.where(seen, total, 1.0)
+                p = np.where(seen, discount * types / total, 1.0) * p + np.where(n > 0, (n - discount) / total, 0.0)
             out[:, j] = np.log(p)
         return out
 
@@ -214,19 +292,23 @@ class LanguageModel:
         bucket = (q >> self.shift).astype(np.int64)
         at, end = self.first[bucket], self.first[bucket + 1]
         last = np.int32(max(0, len(self.hashes) - 1))
-        open_ = np.flatnonzero((at < end) & (self.hashes[np.minimum(at, last)] != q))
         missing = [np.flatnonzero(at >= end)]
+        open_ = np.flatnonzero(at < end)
+        open_ = open_[self.hashes[at[open_]] != q[open_]]
         while len(open_):
             at[open_] += 1
             out = at[open_] >= end[open_]
             missing.append(open_[out])
             open_ = open_[~out]
             open_ = open_[self.hashes[at[open_]] != q[open_]]
-        result = self.table[np.minimum(at, last)]
+        result = self.table[np.minimum(at, last)] if len(self.hashes) else np.empty((len(codes), len(self.langs)), np.float32)
         lost = np.concatenate(missing)
         if len(lost):
             codes, inverse = np.unique(codes[lost], return_inverse=True)
-            result[lost] = self._worked_out(codes)[inverse]
+            found = self._worked_out(codes)
+            result[lost] = found[inverse]
+            if len(codes) > len(self.hashes) // 50 and (len(codes) + len(self.hashes)) * max(1, len(self.langs)) * 4 <= CACHE_BYTES:
+                self._cache(np.concatenate([self.hashes, mix(codes)]), np.concatenate([self.table, found]))
         return result
 
     def cross_entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -246,34 +328,37 @@ class LanguageModel:
         sums = np.add.reduceat(self.log_probabilities(codes[: offsets[-1]]), offsets[:-1], axis=0, dtype=np.float64) if len(texts) else np.zeros((0, len(self.langs)))
         return -sums / np.maximum(n, 1)[:, None], np.where(has, n, 0)
 
-    def calibrate(self, texts: list[str], langs: list[str]) -> None:
-        if not texts:
+    def calibrate(self, rows: DataFrame) -> None:
+        """Temperature, medians and spreads from all rows (lang, text)."""
+        known, each = rows.sparkSession.sparkContext.broadcast(self), [f"l{k}" for k in range(len(TEMPERATURES))]
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = known.value
+            place = {lang: j for j, lang in enumerate(model.langs)}
+            for batch in batches:
+                langs = batch["lang"].to_pylist()
+                for first, texts in text_chunks(batch["text"]):
+                    truth = np.array([place.get(lang, -1) for lang in langs[first : first + len(texts)]])
+                    x, n = model.cross_entropies(texts)
+                    ok = (n > 0) & (truth >= 0)
+                    x, truth = x[ok], truth[ok]
+                    own = x[np.arange(len(x)), truth]
+                    losses = []
+                    for t in TEMPERATURES:
+                        z = (x.min(axis=1, keepdims=True) - x) / t if len(x) else x
+                        losses.append(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), truth])
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (truth.astype(np.int32), np.rint(own / CELL).astype(np.int64), x.argmin(axis=1) == truth if len(x) else np.zeros(0, bool), *losses)], ["j", "cell", "agreed", *each])
+
+        scored = rows.select("lang", "text").mapInArrow(read, "j int, cell long, agreed boolean, " + ", ".join(f"{c} double" for c in each))
+        cells = staged(scored.groupBy("j", "cell", "agreed").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in each]))
+        losses = cells.agg(*[F.sum(c) for c in each]).first()
+        if losses[0] is None:
             return
-        found, part, size = [], [], 0
-        for i, t in enumerate(texts):  # in parts, as the driver's memory is small
-            part.append(t)
-            size += len(t)
-            if size >= CHUNK_CHARS or i == len(texts) - 1:
-                found.append(self.cross_entropies(part))
-                part, size = [], 0
-        x, n = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        truth = np.array([self.langs.index(lang) for lang in langs])
-        ok = n > 0
-        own = x[np.arange(len(x)), truth]
-        agreed = ok & (x.argmin(axis=1) == truth)
-        for j in range(len(self.langs)):
-            mine = own[agreed & (truth == j)]
-            if len(mine) >= 5:
-                self.median[j] = np.median(mine)
-                self.spread[j] = max(0.02, 1.4826 * np.median(np.abs(mine - self.median[j])))
-
-        def loss(t):
-            z = -x[ok] / t
-            z -= z.max(axis=1, keepdims=True)
-            return -(z[np.arange(len(z)), truth[ok]] - np.log(np.exp(z).sum(axis=1))).mean()
-
-        if ok.any():
-            self.temperature = min((0.02, 0.05, 0.1, 0.2, 0.4, 0.8), key=loss)
+        self.temperature = min(zip(losses, TEMPERATURES, strict=True))[1]
+        agreed = cells.where("agreed")
+        middle = agreed.groupBy("j").agg(F.percentile("cell", 0.5, F.col("n")).alias("m"), F.sum("n").alias("rows")).where("rows >= 5")
+        for r in agreed.join(middle, "j").groupBy("j", "m").agg(F.percentile(F.abs(F.col("cell") - F.col("m")), 0.5, F.col("n")).alias("away")).collect():
+            self.median[r.j], self.spread[r.j] = CELL * r.m, max(0.02, 1.4826 * CELL * r.away)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, cross-entropy per character, rejected."""
@@ -293,17 +378,11 @@ def train(rows: DataFrame) -> LanguageModel:
     """The model of rows (doc_id, lang, text) whose lang is not null."""
     rows = rows.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     counts = staged(count_grams(rows))
-    got = frequent(counts).toArrow().combine_chunks()
-    langs = sorted(got["lang"].unique().to_pylist())
-    codes, n = got["gram"].to_numpy().astype(np.int64).view(np.uint64), got["n"].to_numpy()
-    of = [pc.equal(got["lang"], lang).to_numpy(zero_copy_only=False) for lang in langs]
-    model = LanguageModel(langs, [codes[k] for k in of], [n[k] for k in of])
-    total = rows.count()
-    place = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 20))
-    sample = rows.where(place < int((1 << 20) * min(1.0, CALIBRATION_ROWS / max(1, total)))).select("lang", "text").limit(2 * CALIBRATION_ROWS).toArrow()
-    known = set(langs)
-    pairs = [(t.lower(), lang) for t, lang in zip(sample["text"].to_pylist(), sample["lang"].to_pylist(), strict=True) if lang in known]
-    model.calibrate([t for t, _ in pairs], [lang for _, lang in pairs])
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    if not langs:
+        return LanguageModel([], [], [])
+    model = LanguageModel.of_tables(langs, gram_tables(counts, langs))
+    model.calibrate(rows)
     return model
 
 

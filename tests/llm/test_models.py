@@ -1,5 +1,6 @@
 """Language and toxicity models: held-out accuracy, exact sums, gradients, odd inputs."""
 
+import pickle
 import random
 
 import numpy as np
@@ -46,6 +47,28 @@ def test_kneser_ney_sums_to_one():
     assert np.allclose(model.log_probabilities(every)[:, 0], model._worked_out(every)[:, 0])
 
 
+def test_language_keeps_all_grams(spark, monkeypatch):
+    """Over the former 100,000 grams a language, the model of tables in files equals the one of all counts in memory, whatever the cache holds."""
+    rng = random.Random(4)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 300)]
+    rows = [(i, "".join(rng.choices(letters, k=12_000)), "zh") for i in range(10)] + [(100 + i, sentence(rng, "en", 40), "en") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    counts = language.count_grams(df).collect()
+    of = {lang: [(r.gram, r.n) for r in counts if r.lang == lang] for lang in ("en", "zh")}
+    assert len(of["zh"]) > 100_000
+    codes = [np.array([g for g, _ in of[lang]], np.int64).view(np.uint64) for lang in of]
+    want = language.LanguageModel(["en", "zh"], codes, [np.array([n for _, n in of[lang]]) for lang in of])
+    got = language.train(df)
+    every = np.concatenate([*codes, np.random.default_rng(1).integers(1, 1 << 63, 1000, dtype=np.uint64)])
+    assert np.array_equal(got._worked_out(every), want._worked_out(every))
+    texts = [t.lower() for _, t, _ in rows]
+    x, _ = got.cross_entropies(texts)
+    monkeypatch.setattr(language, "CACHE_BYTES", 0)
+    assert np.array_equal(pickle.loads(pickle.dumps(got)).cross_entropies(texts)[0], x)
+    own = {j: [x[i, j] for i, (_, _, lang) in enumerate(rows) if lang == ("en", "zh")[j]] for j in (0, 1)}
+    assert all(got.median[j] == pytest.approx(np.median(own[j]), abs=2e-4) and got.spread[j] < 1 for j in (0, 1))
+
+
 def test_toxicity(spark, corpus):
     from pyspark.sql import functions as F
 
