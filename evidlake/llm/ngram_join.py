@@ -12,6 +12,8 @@ A-Z runs between white space. Two documents link when ``100 * shared >= percent
 4. A shingle whose list has over SHORT_LIST members isn't paired all with all. Its members are compared with a leader
    in ROUNDS rounds and joined into components; then only pairs of members from different components, at least one of them outside the
    list's largest one, are compared. Pairs left out are already connected, so the components are exact.
+5. ``links`` counts all links. Linked sets lie in one component, so in components with members of long lists all members are compared
+   with all, once a pair, in blocks of some BLOCK members dealt by hash; elsewhere step 3 has compared every pair.
 
 Only sets of documents that take part in a pair are made again and joined; nothing of all documents reaches the driver but
 shingle cells counted often, of which there are at most HOT_CELLS.
@@ -40,6 +42,9 @@ SHORT_LIST = 12
 ROUNDS = 3
 FLUSH = 2_000_000
 BITS = 1024
+BLOCK = 256
+BLOCK_BYTES = 1 << 24
+COLUMNS = 1 << 14
 BROADCAST_IDS = 500_000
 
 
@@ -244,7 +249,11 @@ def alike(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side(0), "a").join(side(1), "b").where(_bits_allow("n0", "n1", "bits0", "bits1", percent)).select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+def members_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets link."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,21 +267,57 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, p
                 keep.append(shared > 0 and 100 * shared >= percent * (len(s) + len(t) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = staged(sets_of(docs, staged(classes.join(ids, "id", "left_semi").groupBy("id").agg(F.min("f1").alias("f1"))), size))
     x, y = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     # A repeated row can give its set twice.
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(read, "a long, b long").distinct()
 
 
+def degrees(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, links) of nodes (node, label): with how many others of its label each one links, all compared with all in blocks."""
+    sized = nodes.join(sets.select(F.col("id").alias("node"), "shingles").dropDuplicates(["node"]), "node")
+    blocks = sized.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).cast("int").alias("k"))
+    dealt = sized.join(blocks, "label").withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("label", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "shingles")
+
+    def count(key: tuple, group: pa.Table) -> pa.Table:
+        low, high = key[1].as_py(), key[2].as_py()
+        own, node = group["own"].to_numpy(), group["node"].to_numpy()
+        sets_ = [np.frombuffer(b, np.uint64) for b in group["shingles"].to_pylist()]
+        sides = [np.flatnonzero(own == block) for block in (low, high)]
+        if not all(map(len, sides)):
+            return pa.table({"node": node[:0], "links": np.zeros(0, np.int64)})
+        sizes = [np.array([len(sets_[i]) for i in side]) for side in sides]
+        values = [np.concatenate([sets_[i] for i in side]) for side in sides]
+        rows = [np.repeat(np.arange(len(n)), n) for n in sizes]
+        both = np.intersect1d(*map(np.unique, values)) if low < high else np.unique(values[0])
+        at = [np.minimum(np.searchsorted(both, v), max(0, len(both) - 1)) for v in values]
+        held = [both[p] == v if len(both) else np.zeros(len(v), bool) for p, v in zip(at, values, strict=True)]
+        places = [(r[h], p[h]) for r, p, h in zip(rows, at, held, strict=True)]
+        shared = np.zeros((len(sides[0]), len(sides[1])), np.int64)
+        for first in range(0, len(both), COLUMNS):
+            parts = []
+            for n, (r, p) in zip(sizes, places, strict=True):
+                inside = (p >= first) & (p < first + COLUMNS)
+                parts.append(np.zeros((len(n), min(COLUMNS, len(both) - first)), np.float32))
+                parts[-1][r[inside], p[inside] - first] = 1
+            shared += np.rint(parts[0] @ parts[1].T).astype(np.int64)
+        linked = (shared > 0) & (100 * shared >= percent * (sizes[0][:, None] + sizes[1][None, :] - shared))
+        if low == high:
+            np.fill_diagonal(linked, False)
+            return pa.table({"node": node[sides[0]], "links": linked.sum(axis=1)})
+        return pa.table({"node": np.concatenate([node[side] for side in sides]), "links": np.concatenate([linked.sum(axis=1), linked.sum(axis=0)])})
+
+    return dealt.groupBy("label", "low", "high").applyInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+
+
 def _expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs of groups as pairs of their classes. members: gid, id."""
     return pairs.join(members.select(F.col("gid").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("gid").alias("b"), F.col("id").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, links): every row with its set's size, the least doc_id it is connected to, and the number of
-    verified links that its class has (0 if it was connected as a copy only)."""
+    classes that its class links with (0 if it was connected as a copy only). ``links`` is left out where it isn't asked for."""
     hot = shingle_counts(docs, size)
     rows = staged(signatures(docs, size, percent, hot))
     filled = rows.where("n > 0 and doc_id is not null")
@@ -298,23 +343,31 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     for turn in range(ROUNDS):
         pairs = pairs.unionByName(leader_pairs(long, percent, turn))
     pairs = staged(pairs.distinct())
-    links = staged(verified(pairs, docs, classes, size, percent))
+    taken = lambda ids: staged(sets_of(docs, staged(classes.join(ids, "id", "left_semi").groupBy("id").agg(F.min("f1").alias("f1"))), size))
+    sets = taken(members_of(pairs))
+    links = staged(verified(pairs, sets, percent))
     labels = staged(components(links))
     more = staged(apart_pairs(long, labels, percent).join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        found = staged(verified(more, docs, classes, size, percent))
+        sets = sets.unionByName(taken(members_of(more).join(sets.select("id"), "id", "left_anti")))
+        found = staged(verified(more, sets, percent))
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = staged(components(links))
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
-    classes = classes.select("n", "f1", "f2", F.col("id").alias("node")).join(labels, "node", "left").join(degree, "node", "left")
-    classes = staged(classes.select("n", "f1", "f2", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links")))
+    classes = classes.select("n", "f1", "f2", F.col("id").alias("node")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    if count_links:
+        partly = labels.join(long.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("label").distinct()
+        dense = staged(labels.join(partly, "label", "left_semi").select("node", "label"))
+        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
+        degree = ends.join(dense, "node", "left_anti").groupBy("node").agg(F.count("*").alias("links")).unionByName(degrees(dense, sets, percent))
+        classes = classes.join(degree, "node", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    classes = staged(classes.drop("node"))
     whole = rows.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left")
     own = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"), *([F.coalesce("links", F.lit(0)).alias("links")] if count_links else []))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """documents without near copies: of each component the row of the least doc_id, with all columns."""
-    copies = staged(similar_documents(docs, size, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("copy")).distinct())
+    copies = staged(similar_documents(docs, size, percent, count_links=False).where("doc_id <> component_id").select(F.col("doc_id").alias("copy")).distinct())
     return docs.join(copies, docs["doc_id"].cast("long") == copies["copy"], "left_anti")

@@ -61,6 +61,23 @@ def test_similar_documents(spark, monkeypatch, size, percent, short):
     assert got == expect(texts, size, percent)
 
 
+@pytest.mark.parametrize("block", [256, 7])
+def test_links_of_families(spark, monkeypatch, block):
+    """Every link of families of over SHORT_LIST different texts counts, as by brute force."""
+    rng = random.Random(block)
+    texts = near_copies(random.Random(6))
+    for length, k in ((90, 40), (200, 25)):
+        base = rng.choices(WORDS, k=length)
+        texts += [" ".join([*base[:at], rng.choice(WORDS), *base[at + 1 :]]) for at in rng.choices(range(length), k=k)]
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 50)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [frozenset(shingles(t, 3)) for t in texts]
+    linked = {s: sum(1 for t in set(sets) if s != t and 100 * len(s & t) >= 90 * len(s | t) and s & t) for s in set(sets)}
+    got = {r.doc_id: r.links for r in ngram_join.similar_documents(df, 3, 90).collect()}
+    assert got == {i: linked[s] for i, s in enumerate(sets)} and max(got.values()) > ngram_join.SHORT_LIST + ngram_join.ROUNDS
+
+
 def test_similar_edges(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (7, None)], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.similar_documents(df, 3, 90).collect())
