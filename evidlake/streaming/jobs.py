@@ -19,10 +19,13 @@ CHAIN = "session_id string, sequence long, event_hash string, previous_event_has
 def append_chain(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One session's rows in chain order (ST1). State: next sequence, last hash, and rows that came early.
 
-    Early rows wait in a buffer of BUFFER_MOST; beyond it they are rejected, as are forks and broken links. A replayed row is dropped.
+    A batch's rows are drained first; of those still ahead of the head the nearest BUFFER_MOST wait, and the others are rejected, as are
+    forks and broken links. A replayed row is dropped.
     """
     head, last, waiting = state.get if state.exists else (0, None, [])
-    early = {(int(s), h): p for s, h, p in (w.split("|", 2) for w in waiting)}
+    early: dict[int, dict[str, str]] = {}
+    for s, h, p in (w.split("|", 2) for w in waiting):
+        early.setdefault(int(s), {})[h] = p
     out = []
     for frame in frames:
         for row in frame.itertuples(index=False):
@@ -31,25 +34,20 @@ def append_chain(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState)
                 if row.sequence == head - 1 and row.event_hash != last:
                     out.append((key[0], row.sequence, row.event_hash, prior, "FORK"))
                 continue
-            if (row.sequence, row.event_hash) not in early and len(early) >= BUFFER_MOST:
-                out.append((key[0], row.sequence, row.event_hash, prior, "BUFFER_FULL"))
-                continue
-            early[row.sequence, row.event_hash] = prior
-    while True:
-        ready = sorted(k for k in early if k[0] == head)
-        if not ready:
-            break
+            early.setdefault(int(row.sequence), {})[row.event_hash] = prior
+    while head in early:
         taken = False
-        for k in ready:
-            prior = early.pop(k)
+        for h, prior in sorted(early.pop(head).items()):
             good = not taken and prior == (last or "")
-            out.append((key[0], k[0], k[1], prior, "APPENDED" if good else "FORK" if taken else "PREVIOUS_HASH"))
+            out.append((key[0], head, h, prior, "APPENDED" if good else "FORK" if taken else "PREVIOUS_HASH"))
             if good:
-                taken, fresh = True, k[1]
+                taken, fresh = True, h
         if not taken:
             break
         head, last = head + 1, fresh
-    state.update((head, last, [f"{s}|{h}|{p}" for (s, h), p in early.items()]))
+    ahead = sorted((s, h, p) for s, own in early.items() for h, p in own.items())
+    out += [(key[0], s, h, p, "BUFFER_FULL") for s, h, p in ahead[BUFFER_MOST:]]
+    state.update((head, last, [f"{s}|{h}|{p}" for s, h, p in ahead[:BUFFER_MOST]]))
     yield pd.DataFrame(out, columns=["session_id", "sequence", "event_hash", "previous_event_hash", "outcome"])
 
 

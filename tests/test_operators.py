@@ -193,3 +193,10 @@ def test_chain_state():
     assert run(("s", 1, "x", "a")) == [(1, "x", "FORK")]
     assert run(("s", 2, "c", "b")) == [(2, "c", "APPENDED"), (3, "d", "APPENDED")]
     assert run(("s", 4, "e", "wrong")) == [(4, "e", "PREVIOUS_HASH")]
+    # A session of over BUFFER_MOST events in one batch, in any order, is appended whole; only rows that still wait count.
+    state = State()
+    chain = [("s", i, f"h{i}", f"h{i - 1}" if i else None) for i in range(3 * jobs.BUFFER_MOST)]
+    assert run(*chain[::-1]) == [(i, f"h{i}", "APPENDED") for i in range(len(chain))]
+    state = State()
+    assert run(*chain[1:]) == [(i, f"h{i}", "BUFFER_FULL") for i in range(jobs.BUFFER_MOST + 1, len(chain))]
+    assert run(chain[0]) == [(i, f"h{i}", "APPENDED") for i in range(jobs.BUFFER_MOST + 1)]
