@@ -4,20 +4,23 @@ Every byte covered by a string of ``length`` bytes that also starts anywhere els
 
 1. Each such string, a window, belongs to one anchor: the K-gram in it of least hash, the leftmost of equals. So equal windows meet at equal
    anchors. Neighbouring windows of one anchor are a site, and the bytes they cover its context.
-2. Sites are counted by anchor. A lone anchor has no repeated window. Sites of equal context repeat in full. For the rest, one copy of
-   each context is sent to a block by its anchor.
-3. A block's contexts are sorted as suffixes (prefix doubling) and transformed. Prefix doubling parts all suffixes
+2. Sites are counted by anchor. A lone anchor has no repeated window. Sites of equal context repeat in full. One copy of every other
+   context is taken from its document by a join.
+3. A context is cut into pieces by where the anchor lies in a window, WIDTHS[0] places to a class. All windows of a class hold the bytes
+   around the anchor that are its core, so pieces with windows in common have equal cores: pieces are grouped by core. A lone piece has no
+   repeated window, equal pieces repeat in full, and one copy of each different piece is sent to a block by its core.
+4. A block's pieces are sorted as suffixes (prefix doubling) and transformed. Prefix doubling also tells the boundaries between suffixes
    that differ in their first START bytes; from there backward extension goes breadth-first: a boundary between suffixes with l bytes in
    common, extended by the symbols before them, gives boundaries with l + 1, so common prefixes come by increasing value, up to
    ``length - 1``. Boundaries never reached join suffixes with ``length`` or more bytes in common: repeated windows.
-4. An anchor with more than HOT contexts isn't put into one block: its windows are counted by their hash in a grouped
-   sum, which has no such group.
+5. A core with more than ``hot`` different pieces isn't put into one block: its pieces are cut again into narrower classes, whose
+   cores are longer, down to classes of one window, where a core is the window itself. No group outgrows a block, at any size.
 
-Documents reach executors whole. Bit tables of at most 2^26 bits tell a scan which contexts or documents are wanted; they
-are a bounded filter, and what they let through in error changes nothing.
+Contexts, pieces and cores are told apart by 64-bit hashes, equal contexts and pieces by two of them together.
 
-Defined cases: null is empty; texts under ``length`` bytes keep all and still cover nothing; repeated rows repeat each other; rows
-sharing a doc_id are told apart by their text's digest; an empty table gives an empty result.
+Defined cases: null is empty; texts under ``length`` bytes keep all and still cover nothing; very long texts are handled whole, in one task
+each; repeated rows repeat each other; rows sharing a doc_id are told apart by their text's digest; an empty table gives an empty result;
+further columns of documents aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,17 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidlake.llm.common import chunks, prefix_hashes, span_hashes, staged
+from evidlake.llm.common import chunks, prefix_hashes, span_hashes, staged, text_bytes
 
 LENGTH = 400
 GRAM = 64
 START = 128
 BLOCK_BYTES = 2_000_000
-HOT = 10_000
-BITS_MOST = 1 << 26
+HOT = 4_000
+WIDTHS = (57, 29, 15, 8, 4, 2, 1)
 STEP = 0x5BD1E995
 
 
@@ -56,9 +59,9 @@ def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def sites(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Row, first window, number of windows, anchor and context hash of every site of a chunk."""
+    """Row, first window, number of windows, place of the anchor from the first window on, anchor and context hash of every site of a chunk."""
     if len(data) < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     sums = prefix_hashes(data)
     start = np.arange(len(data) - gram + 1)
     hashes = span_hashes(sums, start, start + gram)
@@ -74,7 +77,7 @@ def sites(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     first, count = first[keep], count[keep]
     anchor = at[first]
     context = span_hashes(sums, first, first + count + length - 1) + (anchor - first).astype(np.uint64) * np.uint64(STEP)
-    return row[first], first, count, hashes[anchor], context
+    return row[first], first, count, anchor - first, hashes[anchor], context
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
@@ -87,63 +90,73 @@ def all_sites(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             keys = batch["key"].to_numpy()
             for first, data, offsets in chunks(batch["text"]):
-                row, start, count, anchor, context = sites(data, offsets, length)
-                arrays = [pa.array(keys[first + row]), pa.array((start - offsets[row]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, ["key", "start", "count", "anchor", "context"])
+                row, start, count, spot, anchor, context = sites(data, offsets, length)
+                arrays = [keys[first + row], *(x.astype(np.int32) for x in (start - offsets[row], count, spot)), anchor.view(np.int64), context.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["key", "start", "count", "spot", "anchor", "context"])
 
-    return docs.select("key", "text").mapInArrow(read, "key long, start int, count int, anchor long, context long")
+    return docs.select("key", "text").mapInArrow(read, "key long, start int, count int, spot int, anchor long, context long")
 
 
-# --- bounded filters -------------------------------------------------------------------------------------------------
+def context_bytes(docs: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
+    """contexts (anchor, context, key, start, count, spot) with their bytes, each cut from a document of its key."""
+    picks = contexts.groupBy("key").agg(F.collect_list(F.struct("anchor", "context", "start", "count", "spot")).alias("sites"))
+    texts = docs.groupBy("key").agg(F.first("text").alias("text"))  # equal rows share a key
+    names = ["anchor", "context", "count", "spot", "bytes"]
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch["text"])
+            lists = batch["sites"]
+            own, site = np.repeat(offsets[:-1], lists.value_lengths().to_numpy()), lists.flatten()
+            anchor, context, start, count, spot = (site.field(k) for k in range(5))
+            a = own + start.to_numpy()
+            body = [data[i:j].tobytes() for i, j in zip(a.tolist(), (a + count.to_numpy() + length - 1).tolist(), strict=True)]
+            for k in range(0, len(body), 10_000):
+                yield pa.RecordBatch.from_arrays([*(x.slice(k, 10_000) for x in (anchor, context, count, spot)), pa.array(body[k : k + 10_000], pa.binary())], names)
 
-def _slots(key: Column, bits: int) -> list[Column]:
-    return [F.shiftrightunsigned(key, s).bitwiseAND(bits - 1) for s in (0, 29)]
-
+    return texts.join(picks, "key").select("text", "sites").mapInArrow(read, "anchor long, context long, count int, spot int, bytes binary")
 
-class BitTable:
-    """A Bloom filter of 64-bit keys with two places a key, gathered as at most BITS_MOST / 64 words."""
 
-    def __init__(self, keys: DataFrame, column: str):
-        n = keys.count()
-        self.bits = 1 << min(BITS_MOST.bit_length() - 1, max(12, (24 * n).bit_length()))
-        slot = keys.select(F.explode(F.array(*_slots(F.col(column), self.bits))).alias("slot"))
-        got = slot.groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("set")).toArrow()
-        self.words = np.zeros(self.bits // 64, np.uint64)
-        self.words[got["word"].to_numpy()] = got["set"].to_numpy().astype(np.int64).view(np.uint64)
+# --- pieces ----------------------------------------------------------------------------------------------------------
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        found = np.ones(len(keys), bool)
-        for s in (0, 29):
-            slot = (keys.view(np.uint64) >> np.uint64(s)) & np.uint64(self.bits - 1)
-            found &= (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
-        return found
 
+def pieces(bodies: DataFrame, width: int, length: int, gram: int = GRAM) -> DataFrame:
+    """(core, piece, anchor, context, first, count): windows first .. first + count - 1 of a context, of one class each.
 
-def wanted_contexts(docs: DataFrame, known, length: int) -> DataFrame:
-    """(anchor, context, bytes) of the sites that the bit table lets through."""
+    bodies: anchor, context, spot, bytes, and the windows ``first`` and ``count`` in question.
+    """
+    last = length - gram  # the farthest place of an anchor in a window
+    names = ["core", "piece", "anchor", "context", "first", "count"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch["key"].to_numpy()
-            for first, data, offsets in chunks(batch["text"]):
-                row, start, count, anchor, context = sites(data, offsets, length)
-                own = keys[first + row] ^ ((start - offsets[row]) * STEP)
-                pick = np.flatnonzero(known.value(own))
-                if len(pick):
-                    body = [data[start[i] : start[i] + count[i] + length - 1].tobytes() for i in pick]
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[pick].view(np.int64)), pa.array(context[pick].view(np.int64)), pa.array(body, pa.binary())], ["anchor", "context", "bytes"])
-
-    return docs.select("key", "text").mapInArrow(read, "anchor long, context long, bytes binary")
+            for at, data, offsets in chunks(batch["bytes"]):
+                n = len(offsets) - 1
+                spot, first, count = (batch[c].slice(at, n).to_numpy().astype(np.int64) for c in ("spot", "first", "count"))
+                low, high = (spot - first - count + 1) // width, (spot - first) // width
+                classes = high - low + 1
+                own = np.repeat(np.arange(n), classes)
+                k = np.arange(len(own)) - np.repeat(np.cumsum(classes) - classes - low, classes)
+                nearest, farthest = k * width, np.minimum(k * width + width - 1, last)
+                a = np.maximum(spot[own] - farthest, first[own])
+                b = np.minimum(spot[own] - nearest, (first + count)[own] - 1)
+                sums, base = prefix_hashes(data), offsets[own]
+                core = span_hashes(sums, base + spot[own] - nearest, base + spot[own] - farthest + length) + k.astype(np.uint64) * np.uint64(STEP)
+                piece = span_hashes(sums, base + a, base + b + length) + (spot[own] - a).astype(np.uint64) * np.uint64(STEP)
+                arrays = [core.view(np.int64), piece.view(np.int64), batch["anchor"].to_numpy()[at + own], batch["context"].to_numpy()[at + own], a.astype(np.int32), (b - a + 1).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names)
+
+    picked = bodies.select("anchor", "context", "spot", "first", "count", "bytes")
+    return picked.mapInArrow(read, "core long, piece long, anchor long, context long, first int, count int")
 
 
 # --- the transform ---------------------------------------------------------------------------------------------------
 
 
 class Suffixes:
-    """Suffix order of several texts, exact up to ``depth`` symbols, with the boundaries that ``start`` symbols (a power of 2) already tell."""
+    """Suffix order of several texts, whose ends differ, with the boundaries that ``start`` symbols (a power of 2) already tell."""
 
-    def __init__(self, texts: list[bytes], depth: int, start: int):
+    def __init__(self, texts: list[bytes], start: int):
         sizes = np.array([len(t) + 1 for t in texts])
         self.ends = (np.cumsum(sizes) - 1).astype(np.int32)  # places of the terminators
         self.symbols = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8).astype(np.uint16) + 1
@@ -157,8 +170,9 @@ class Suffixes:
         place = np.arange(n, dtype=np.int32)
         left = end - place
         for k in range(4):
-            key = (key << np.uint64(16)) | np.where(live, padded[k : k + n], 0)
+            key = (key << np.uint64(9)) | np.where(live, padded[k : k + n], 0)
             live &= left > k
+        key = (key << np.uint64(28)) | np.where(live, 0, self.text).astype(np.uint64)  # a text's end is a symbol of its own
         order = np.argsort(key)
         same = np.r_[False, key[order[1:]] == key[order[:-1]]]
         rank = np.empty(n, np.int32)
@@ -166,30 +180,25 @@ class Suffixes:
         open_ = order[same | np.r_[same[1:], False]].astype(np.int32)
         self.early: np.ndarray | None = None
         h = 4
-        while h < depth:
+        while len(open_):  # suffixes equal in h symbols don't end within them
             if h >= start and self.early is None:
                 self.early = _marked(rank)
-            if len(open_):
-                inner = open_ + h <= end[open_]
-                second = np.where(inner, rank[np.minimum(open_ + h, n - 1)], self.text[open_])
-                key = (rank[open_].astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
-                order = np.argsort(key)
-                open_, key = open_[order], key[order]
-                group = key >> np.uint64(32)
-                at = place[: len(open_)]
-                new_group, new = np.r_[True, group[1:] != group[:-1]], np.r_[True, key[1:] != key[:-1]]
-                head = np.maximum.accumulate(np.where(new_group, at, 0))
-                rank[open_] = group.astype(np.int32) + np.maximum.accumulate(np.where(new, at, 0)) - head
-                same = ~new
-                open_ = open_[same | np.r_[same[1:], False]]
+            key = (rank[open_].astype(np.uint64) << np.uint64(32)) | rank[open_ + h].astype(np.uint64)
+            order = np.argsort(key)
+            open_, key = open_[order], key[order]
+            group = key >> np.uint64(32)
+            at = place[: len(open_)]
+            new_group, new = np.r_[True, group[1:] != group[:-1]], np.r_[True, key[1:] != key[:-1]]
+            head = np.maximum.accumulate(np.where(new_group, at, 0))
+            rank[open_] = group.astype(np.int32) + np.maximum.accumulate(np.where(new, at, 0)) - head
+            same = ~new
+            open_ = open_[same | np.r_[same[1:], False]]
             h *= 2
         if self.early is None:
-            self.early = _marked(rank)
-        # Ties by place: suffixes equal so far keep the order that the symbols after them give.
-        self.order = np.sort((rank.astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64))
-        self.order = (self.order & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        self.place = np.empty(n, np.int64)
-        self.place[self.order] = np.arange(n)
+            self.early = np.arange(n)
+        self.place = rank.astype(np.int64)  # every suffix has a rank of its own by now
+        self.order = np.empty(n, np.int64)
+        self.order[self.place] = np.arange(n)
 
 
 def far_boundaries(s: Suffixes, start: int, length: int) -> np.ndarray:
@@ -255,11 +264,11 @@ def repeated_windows(texts: list[bytes], length: int) -> list[list[tuple[int, in
     if not texts:
         return []
     start = 1 << (min(START, length - 1).bit_length() - 1)
-    s = Suffixes(texts, length, start)
+    s = Suffixes(texts, start)
     far = far_boundaries(s, start, length)
-    hit = far | np.r_[far[1:], False]
+    hit = s.order[far | np.r_[far[1:], False]]
     flag = np.zeros(len(s.order) + 1, bool)
-    flag[s.order[hit]] = True
+    flag[hit[hit + length <= s.ends[s.text[hit]]]] = True  # shorter suffixes are no windows
     edges = np.flatnonzero(np.diff(np.r_[False, flag]))
     begin = np.r_[0, s.ends[:-1] + 1]
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
@@ -271,42 +280,43 @@ def repeated_windows(texts: list[bytes], length: int) -> list[list[tuple[int, in
 
 # --- the operator ----------------------------------------------------------------------------------------------------
 
-RUNS = "array<struct<a:int,b:int>>"
 
-
-def _in_blocks(contexts: DataFrame, blocks: int, length: int) -> DataFrame:
-    """(anchor, context, runs) of contexts, block by block."""
+def _in_blocks(bodies: DataFrame, blocks: int, length: int) -> DataFrame:
+    """(anchor, context, a, b): runs of windows of lone pieces that other pieces of their block hold too."""
 
     def transform(group: pa.Table) -> pa.Table:
-        seen: dict[tuple[int, int], bytes] = {}
-        for anchor, context, body in zip(*(group[c].to_pylist() for c in ("anchor", "context", "bytes")), strict=True):
-            seen.setdefault((anchor, context), body)
-        keys, texts = list(seen), list(seen.values())
-        found = repeated_windows(texts, length)
-        hits = [(k, [{"a": a, "b": b} for a, b in runs]) for k, runs in zip(keys, found, strict=True) if runs]
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        return pa.table({"anchor": pa.array([k[0] for k, _ in hits], pa.int64()), "context": pa.array([k[1] for k, _ in hits], pa.int64()), "runs": pa.array([r for _, r in hits], kind)})
-
-    dealt = contexts.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(blocks)))
-    return dealt.groupBy("block").applyInArrow(transform, f"anchor long, context long, runs {RUNS}")
-
-
-def _by_hash(contexts: DataFrame, length: int) -> DataFrame:
-    """(anchor, context, runs) for anchors of too many contexts: windows counted by two hashes."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for anchor, context, body in zip(batch["anchor"].to_pylist(), batch["context"].to_pylist(), batch["bytes"].to_pylist(), strict=True):
-                sums = prefix_hashes(np.frombuffer(body, np.uint8))
-                at = np.arange(len(body) - length + 1)
-                one, two = span_hashes(sums, at, at + length), span_hashes(sums, at + 7, at + length)
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * len(at), pa.int64()), pa.array([context] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["anchor", "context", "a", "one", "two"])
-
-    windows = staged(contexts.dropDuplicates(["anchor", "context"]).mapInArrow(read, "anchor long, context long, a int, one long, two long"))
-    twice = windows.groupBy("one", "two").agg(F.count("*").alias("k")).where("k > 1").select("one", "two")
-    hits = windows.join(twice, ["one", "two"], "left_semi")
-    run = F.struct(F.col("a"), (F.col("a") + 1).alias("b"))
-    return hits.groupBy("anchor", "context").agg(F.collect_list(run).alias("runs"))
+        found = repeated_windows(group["bytes"].to_pylist(), length)
+        first, lone = group["first"].to_pylist(), group["n"].to_pylist()
+        hits = [(k, first[k] + a, first[k] + b) for k, runs in enumerate(found) if lone[k] == 1 for a, b in runs]
+        at = pa.array([k for k, *_ in hits], pa.int64())
+        return pa.table({"anchor": group["anchor"].take(at), "context": group["context"].take(at), "a": pa.array([a for _, a, _ in hits], pa.int32()), "b": pa.array([b for *_, b in hits], pa.int32())})
+
+    dealt = bodies.withColumn("block", F.pmod(F.xxhash64("core"), F.lit(blocks)))
+    return dealt.groupBy("block").applyInArrow(transform, "anchor long, context long, a int, b int")
+
+
+def shared_windows(bodies: DataFrame, length: int, hot: int) -> DataFrame:
+    """(anchor, context, a, b): runs of windows of contexts that other contexts hold too. bodies: anchor, context, count, spot, bytes."""
+    open_, found = bodies.withColumn("first", F.lit(0)), None
+    for width in WIDTHS:
+        cut_ = staged(pieces(open_, width, length))
+        each = staged(cut_.groupBy("core", "piece").agg(F.count("*").alias("n"), F.min(F.struct("anchor", "context", "first", "count")).alias("r")))
+        several = each.groupBy("core").agg(F.count("*").alias("k")).where("k > 1")
+        mixed = staged(each.join(several, "core").select("core", "n", "k", "r.*"))
+        whole = cut_.join(each.where("n > 1").select("core", "piece"), ["core", "piece"], "left_semi")
+        runs = whole.select("anchor", "context", F.col("first").alias("a"), (F.col("first") + F.col("count")).alias("b"))
+        fit = mixed.where(F.col("k") <= hot)
+        if size := fit.agg(F.sum(F.col("count") + length)).first()[0]:
+            texts = fit.join(bodies.drop("count", "spot"), ["anchor", "context"])
+            texts = texts.select("core", "n", "anchor", "context", "first", F.expr(f"substring(bytes, first + 1, count + {length - 1})").alias("bytes"))
+            runs = runs.unionByName(_in_blocks(texts, -(-size // BLOCK_BYTES), length))
+        runs = staged(runs)
+        found = runs if found is None else found.unionByName(runs)
+        rest = mixed.where(F.col("k") > hot).select("anchor", "context", "first", "count")
+        if rest.isEmpty():
+            break
+        open_ = bodies.drop("count").join(rest, ["anchor", "context"])
+    return found
 
 
 def repeated_runs(docs: DataFrame, length: int, hot: int = HOT) -> DataFrame:
@@ -315,23 +325,18 @@ def repeated_runs(docs: DataFrame, length: int, hot: int = HOT) -> DataFrame:
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed")).where("n > 1").select("anchor", "mixed")
     shared = staged(found.join(staged(anchors), "anchor"))
     mixed = shared.where("mixed")
-    contexts = staged(mixed.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "count")).alias("r")))
-    heavy = staged(contexts.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("anchor"))
-    size = contexts.agg(F.sum(F.col("r.count") + length)).first()[0] or 0
+    contexts = staged(mixed.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "count", "spot")).alias("r")))
+    bodies = staged(context_bytes(docs, contexts.select("anchor", "context", "r.*"), length))
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("count").alias("b")))
     parts = shared.where("not mixed").select("key", "start", whole.alias("runs"))
-    if size:
-        picked = contexts.select(F.col("r.key").bitwiseXOR(F.col("r.start").cast("long") * STEP).alias("own"))
-        table = docs.sparkSession.sparkContext.broadcast(BitTable(picked, "own"))
-        bodies = staged(wanted_contexts(docs, table, length))
-        runs = _in_blocks(bodies.join(heavy, "anchor", "left_anti"), -(-size // BLOCK_BYTES), length)
-        if not heavy.isEmpty():
-            runs = runs.unionByName(_by_hash(bodies.join(heavy, "anchor", "left_semi"), length))
-        runs = contexts.select("anchor", "context", "n", F.col("r.count").alias("count")).join(runs, ["anchor", "context"], "left")
-        runs = runs.select("anchor", "context", F.when(F.col("n") > 1, whole).otherwise(F.col("runs")).alias("runs")).where("runs is not null")
-        parts = parts.unionByName(mixed.join(staged(runs), ["anchor", "context"]).select("key", "start", "runs"))
+    # A context has at most as many runs as windows.
+    lone = shared_windows(bodies, length, hot).groupBy("anchor", "context").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    runs = contexts.select("anchor", "context", "n", F.col("r.count").alias("count")).join(lone, ["anchor", "context"], "left")
+    runs = runs.select("anchor", "context", F.when(F.col("n") > 1, whole).otherwise(F.col("runs")).alias("runs")).where("runs is not null")
+    parts = parts.unionByName(mixed.join(staged(runs), ["anchor", "context"]).select("key", "start", "runs"))
     shifted = F.transform("runs", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start") + length - 1).alias("b")))
-    return parts.select("key", shifted.alias("runs")).groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    # Equal rows bring the same runs: a set holds them once.
+    return parts.select("key", shifted.alias("runs")).groupBy("key").agg(F.flatten(F.collect_set("runs")).alias("runs"))
 
 
 def cut(body: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -352,27 +357,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     """(doc_id, kept, n_bytes, n_removed, n_spans): what is left of every document, as bytes."""
     rows = _with_key(docs)
     runs = staged(repeated_runs(rows, length, hot))
-    table = docs.sparkSession.sparkContext.broadcast(BitTable(runs, "key"))
-
-    @F.pandas_udf("boolean")
-    def touched(keys):
-        import pandas as pd
-
-        return pd.Series(table.value(keys.to_numpy()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = [t.encode() for t in batch["text"].to_pylist()]
-            got = [cut(t, [(r["a"], r["b"]) for r in own or ()]) for t, own in zip(bodies, batch["runs"].to_pylist(), strict=True)]
+            data, offsets = text_bytes(batch["text"])
+            bodies = [data[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            got = [cut(t, [(r["a"], r["b"]) for r in own]) if own else (t, 0, 0) for t, own in zip(bodies, batch["runs"].to_pylist(), strict=True)]
             arrays = [batch["doc_id"], pa.array([k for k, *_ in got], pa.binary()), pa.array([len(t) for t in bodies], pa.int64()), pa.array([n for _, n, _ in got], pa.int64()), pa.array([s for *_, s in got], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
     shape = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
-    # Repeated rows share a key and so the cut; runs of one text found twice are the same runs.
-    marked = rows.withColumn("touched", touched("key"))
-    clean = marked.where("not touched").select("doc_id", F.col("text").cast("binary").alias("kept"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
-    other = marked.where("touched").drop("touched").join(runs, "key", "left").select("doc_id", "text", "runs").mapInArrow(read, shape)
-    return clean.unionByName(other)
+    return rows.join(runs, "key", "left").select("doc_id", "text", "runs").mapInArrow(read, shape)
 
 
 def removal_digest(docs: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The n-gram join, components, decontamination and repeated strings against brute force."""
+"""The n-gram join, components and decontamination against brute force."""
 
 import itertools
 import random
@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from evidlake.llm import decontamination, ngram_join, substrings
+from evidlake.llm import decontamination, ngram_join
 from evidlake.llm.components import components
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -119,55 +119,3 @@ def test_leaks(spark):
     kept = decontamination.decontaminate(d, b)
     assert {r.doc_id for r in kept.collect()} == {3, 5, 6, 8, 9} and kept.columns == d.columns
     assert decontamination.find_leaks(d.limit(0), b).count() == 0 and decontamination.find_leaks(d, b.limit(0)).count() == 0
-
-
-def brute_removed(texts, length):
-    where = {}
-    for t, body in enumerate(texts):
-        for i in range(len(body) - length + 1):
-            where.setdefault(body[i : i + length], []).append((t, i))
-    cover = [np.zeros(len(b), bool) for b in texts]
-    for found in where.values():
-        if len(found) > 1:
-            for t, i in found:
-                cover[t][i : i + length] = True
-    return cover
-
-
-def repeating(rng):
-    noise = lambda k: "".join(rng.choices("abcdefgh é", k=k))
-    passage, other = noise(700), noise(450)
-    out = [noise(300) + passage + noise(200), passage[100:600] + noise(300), noise(50) + passage[:420] + noise(700) + other, other + other, "z " * 900, noise(399), "", None, passage[:399] + "!" + passage[400:]]
-    near = noise(1500)
-    for _ in range(12):
-        c = list(near)
-        c[rng.randrange(len(c))] = "#"
-        out.append("".join(c))
-    return out + [noise(2000)] * 3 + [noise(rng.randint(0, 900)) for _ in range(8)]
-
-
-@pytest.mark.parametrize("hot", [10_000, 3])
-def test_repeats(spark, hot):
-    texts = repeating(random.Random(3))
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, kept string").repartition(3)
-    bodies = [(t or "").encode() for t in texts]
-    cover = brute_removed(bodies, 400)
-    for r in substrings.remove_repeats(df, hot=hot).collect():
-        c = cover[r.doc_id]
-        assert bytes(r.kept) == bytes(np.frombuffer(bodies[r.doc_id], np.uint8)[~c]), r.doc_id
-        assert (r.n_bytes, r.n_removed, r.n_spans) == (len(c), int(c.sum()), int((np.diff(np.r_[0, c.astype(int)]) > 0).sum()))
-    assert substrings.remove_repeats(df.limit(0)).count() == 0
-
-
-def test_transform_alone():
-    rng = random.Random(8)
-    for _ in range(20):
-        texts = ["".join(rng.choices("ab", k=rng.randint(60, 400))).encode() for _ in range(4)]
-        texts += [texts[0][10:300] + b"x", b"\0" * 120, b""]
-        length = 70
-        cover = brute_removed(texts, length)
-        for body, runs, c in zip(texts, substrings.repeated_windows(texts, length), cover, strict=True):
-            got = np.zeros(len(body), bool)
-            for a, b in runs:
-                got[a : b + length - 1] = True
-            assert (got == c).all()
