@@ -24,12 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in tests on one machine."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, as in tests, one of this machine, which only a local master allows."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="spark-evidlake-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="spark-evidlake-"))
+        named = _OWN[0]
     return named.rstrip("/")
 
 

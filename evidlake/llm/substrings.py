@@ -220,12 +220,13 @@ def far_boundaries(s: Suffixes, start: int, length: int) -> np.ndarray:
     last = np.full(n, -1, np.int64)  # the nearest place above with the same symbol
     last[by_symbol[1:]] = np.where(before[by_symbol[1:]] == before[by_symbol[:-1]], by_symbol[:-1], -1)
     new = s.early
+    # The known boundaries in order: most of them, and the latest ones apart.
+    stops, recent = np.flatnonzero(known), np.full(1, n)
     for _ in range(start, length):
         if not len(new):
             break
         # The places from each new boundary up to the next known one.
-        stops = np.flatnonzero(known) if len(new) * 16 > n else None
-        stop = stops[np.searchsorted(stops, new, side="right")] if stops is not None else _next_known(known, new)
+        stop = np.minimum(stops[np.searchsorted(stops, new, side="right")], recent[np.searchsorted(recent, new, side="right")])
         size = stop - new
         begin = np.cumsum(size) - size
         j = np.repeat(new - begin, size) + np.arange(size.sum())
@@ -235,6 +236,9 @@ def far_boundaries(s: Suffixes, start: int, length: int) -> np.ndarray:
         known[q] = True
         q.sort()
         new = q[np.r_[True, q[1:] != q[:-1]][: len(q)]]
+        recent = np.sort(np.concatenate([recent, new]), kind="stable")
+        if len(recent) * 16 > len(stops):
+            stops, recent = np.flatnonzero(known), np.full(1, n)
     return ~known[:n]
 
 
@@ -245,20 +249,6 @@ def _marked(places: np.ndarray) -> np.ndarray:
     return np.flatnonzero(flag)
 
 
-def _next_known(known: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The first known boundary after each of a few places."""
-    out, open_, step = places + 1, np.arange(len(places)), 0
-    while len(open_):
-        open_ = open_[~known[out[open_]]]
-        out[open_] += 1
-        step += 1
-        if step > 64 and len(open_):
-            stops = np.flatnonzero(known)
-            out[open_] = stops[np.searchsorted(stops, places[open_], side="right")]
-            break
-    return out
-
-
 def repeated_windows(texts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
     """For each text, runs [a, b) of window starts that also occur elsewhere among the texts."""
     if not texts:
