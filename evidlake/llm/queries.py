@@ -93,7 +93,7 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t GROUP BY conv_id""",
     "op9_search": f"""
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM documents),
-     p AS (SELECT doc_id, term, least(count(*), 65535) AS tf FROM w GROUP BY 1, 2), z AS (SELECT doc_id, count(*) AS n FROM w GROUP BY 1),
+     p AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2), z AS (SELECT doc_id, count(*) AS n FROM w GROUP BY 1),
      g AS (SELECT (SELECT count(*) FROM documents) AS total, (SELECT count(*) FROM w) / (SELECT count(*) FROM documents)::DOUBLE AS mean), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
      s AS (SELECT q.doc_id AS query_id, d.doc_id, sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * (d.tf * {search.K1 + 1} / (d.tf + {search.K1} * ({1 - search.B} + {search.B} * z.n / mean)))) AS score
            FROM p q JOIN p d ON q.term = d.term JOIN f ON f.term = q.term JOIN z ON z.doc_id = d.doc_id CROSS JOIN g WHERE q.doc_id % 50 = 0 AND q.doc_id <> d.doc_id GROUP BY 1, 2)

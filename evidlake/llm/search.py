@@ -1,19 +1,23 @@
-"""Exact top-k search by BM25, with block-max WAND pruning in sharded inverted indexes.
+"""Exact top-k search by BM25, with block-max WAND pruning in inverted indexes of shards.
 
-Queries are whole texts: each distinct word of a query counts once. Documents are dealt to shards of about SHARD_DOCS by a hash of
-their id; a shard's index holds postings, the highest impact of each word in the shard, and the highest in each block of BLOCK documents.
-Statistics (documents, mean length, documents per word) are global, so scores of different shards compare and the k best of
-each shard hold the k best of all.
+Queries are whole texts: each distinct word of a query counts once. Every task reads its part of the documents as shards of about
+SHARD_POSTINGS postings, and indexes each: postings in order of word and document, cut into blocks of BLOCK documents, with the highest
+impact of each word in each block. Documents of a shard stand in an order that puts texts alike next to each other, so that maxima lie
+close to what a block's documents have. Statistics (documents, mean length, documents per word) are global, so scores of different
+shards compare and the k best of each task hold the k best of all.
 
-Per query and shard, words are taken from the highest bound down, and the best documents of the first few set a threshold. Words whose
-bounds together can't reach it propose no documents (the pivot rule). A document proposed by the others is scored in full only if what
-it has, plus the block's highest impacts of the remaining words, can reach the threshold. Nothing that could enter the top k is left out.
+Per query and shard, the block maxima of the query's words add up to a bound of each block. Blocks are opened from the highest bound
+down, some at a time, as long as the bound reaches the threshold: the k-th best score so far, over all shards that the task has
+read. Only postings inside opened blocks are touched; those of all others are jumped over. Nothing that could enter the top k is left out.
 
-Queries are joined to indexes in blocks of at most QUERY_BLOCK, so what is broadcast is bounded; only words that some query
-has are indexed.
+Queries go to tasks in blocks of about QUERY_BYTES of words and weights, whatever their number and length, so what is broadcast is
+bounded. A task gives k rows a query, however many shards it has read. A task's shards are indexed again for each block of queries:
+that is a small part of answering them, and keeps the index out of storage and shuffles.
 
 Defined cases: null and empty texts match nothing; documents that share no word with a query aren't returned; ties go to the
-smaller doc_id, null last; a query isn't an answer to itself; an empty table gives an empty result.
+smaller doc_id, null last; rows that share the query's doc_id are not its answers; other repeated rows are documents of their own, each with
+a rank; query rows of one doc_id are one query of all their words; rows without doc_id ask nothing; very long texts are indexed whole;
+an empty table gives an empty result; further columns of documents aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,38 +27,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidlake.llm.common import chunks, staged, word_hashes, words
 from evidlake.llm.decontamination import _BREAK
-from evidlake.llm.substrings import BitTable
 
 K1, B = 1.2, 0.75
-SHARD_DOCS = 6_144
+SHARD_POSTINGS = 1_000_000
 BLOCK = 64
-QUERY_BLOCK = 10_000
-SLACK = 1e-7
+QUERY_BYTES = 4 << 20
+OPENED_FIRST = 4
+#: Scores are compared after rounding to DIGITS, so a document this much under the threshold can tie with it.
+DIGITS, SLACK = 6, 2e-6
 
 
-def document_words(docs: DataFrame, known=None) -> DataFrame:
-    """(doc_id, size, terms, counts): words in all, distinct word hashes (those the bit table knows) and how often each occurs, packed."""
+def document_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, terms, counts): words in all, distinct word hashes and how often each occurs, packed."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
         for batch in batches:
             for first, data, offsets in chunks(pc.utf8_lower(batch["text"])):
                 w = words(data, offsets, _BREAK, lower=False)
                 hashes = word_hashes(w)
                 bounds = np.searchsorted(w.row, np.arange(len(offsets)))
-                keep = known.value(hashes) if known is not None else None
                 terms, counts = [], []
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    own = hashes[a:b] if keep is None else hashes[a:b][keep[a:b]]
-                    t, n = np.unique(own, return_counts=True)
+                    t, n = np.unique(hashes[a:b], return_counts=True)
                     terms.append(t.tobytes())
-                    counts.append(np.minimum(n, 65535).astype(np.uint16).tobytes())
+                    counts.append(n.astype(np.uint32).tobytes())
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, len(terms)), pa.array(np.diff(bounds).astype(np.int64)), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "size", "terms", "counts"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, "doc_id long, size long, terms binary, counts binary")
@@ -72,90 +74,83 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return rows.select("terms").mapInArrow(read, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places in the ranges, and which range each is of."""
+    size = end - start
+    begin = np.cumsum(size) - size
+    return np.repeat(start - begin, size) + np.arange(size.sum()), np.repeat(np.arange(len(size)), size)
+
+
 class Index:
     """Postings of one shard. Impacts leave out the word's own weight, which the query brings."""
 
-    def __init__(self, ids: list, sizes: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], mean: float):
+    def __init__(self, ids: np.ndarray, no_id: np.ndarray, sizes: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], mean: float):
+        # Least hashes are equal for texts alike; among those, texts of a length stand together.
+        least = np.array([t[0] if len(t) else 0 for t in terms], np.uint64)
+        second = np.array([t[1] if len(t) > 1 else 0 for t in terms], np.uint64)
+        order = np.lexsort((second, np.log2(sizes + 1).astype(np.int64), least))
+        terms, counts = [terms[i] for i in order], [counts[i] for i in order]
+        self.ids, self.no_id, sizes = ids[order], no_id[order], sizes[order]
         n = np.array([len(t) for t in terms], dtype=np.int64)
-        every = np.concatenate([*terms, np.zeros(0, np.uint64)])
-        tf = np.concatenate([*counts, np.zeros(0, np.uint16)]).astype(np.float64)
+        tf = np.concatenate([*counts, np.zeros(0, np.uint32)]).astype(np.float64)
         doc = np.repeat(np.arange(len(ids)), n)
-        length = K1 * (1 - B + B * sizes / max(mean, 1e-9))
-        impact = tf * (K1 + 1) / (tf + length[doc])
-        self.ids = ids
-        self.doc_from = np.r_[0, np.cumsum(n)]
-        self.terms, self.doc_term = np.unique(every, return_inverse=True)
-        self.doc_impact = impact
-        order = np.argsort(self.doc_term, kind="stable")
+        impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * sizes / max(mean, 1e-9)))[doc])
+        self.terms, of = np.unique(np.concatenate([*terms, np.zeros(0, np.uint64)]), return_inverse=True)
+        order = np.argsort(of, kind="stable")
         self.docs, self.impacts = doc[order], impact[order]
-        self.from_ = np.searchsorted(self.doc_term[order], np.arange(len(self.terms) + 1))
-        self.highest = np.maximum.reduceat(self.impacts, self.from_[:-1]) if len(self.terms) else np.zeros(0)
-        # Highest impact of each word in each block where it occurs.
-        block = self.docs // BLOCK
-        new = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (self.doc_term[order][1:] != self.doc_term[order][:-1])][: len(block)])
-        self.block = block[new]
-        self.block_highest = np.maximum.reduceat(self.impacts, new) if len(new) else np.zeros(0)
-        self.block_from = np.searchsorted(new, self.from_)
+        # A segment is a word's postings in one block.
+        block, of = self.docs // BLOCK, of[order]
+        new = np.ones(len(block), bool)
+        new[1:] = (block[1:] != block[:-1]) | (of[1:] != of[:-1])
+        self.segment = np.append(np.flatnonzero(new), len(block))
+        self.block = block[self.segment[:-1]]
+        self.highest = np.maximum.reduceat(self.impacts, self.segment[:-1]) if len(block) else np.zeros(0)
+        self.of_term = np.searchsorted(of[self.segment[:-1]], np.arange(len(self.terms) + 1))  # its segments
         self.blocks = -(-len(ids) // BLOCK)
 
-    def _rows(self, start: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the entries of several words, and which word each is of."""
-        size = start[which + 1] - start[which]
-        begin = np.cumsum(size) - size
-        return np.repeat(start[which] - begin, size) + np.arange(size.sum()), np.repeat(np.arange(len(which)), size)
-
-    def _full(self, docs: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        place, of = self._rows(self.doc_from, docs)
-        return np.bincount(of, self.doc_impact[place] * weights[self.doc_term[place]], minlength=len(docs))
-
-    def top(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Up to k best documents (places) and their scores, with all that tie with the last."""
+    def top(self, query: int, terms: np.ndarray, idf: np.ndarray, k: int, best: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        """The k best of ``best`` and of this shard, as (rounded score, doc_id, whether it is null). terms are sorted."""
         at = np.searchsorted(self.terms, terms)
         at[at == len(self.terms)] = 0
         found = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
         at, idf = at[found], idf[found]
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0)
-        weights = np.zeros(len(self.terms))
-        weights[at] = idf
-        bound = self.highest[at] * idf
+        segments, of = _ranges(self.of_term[at], self.of_term[at + 1])
+        own_block, weight = self.block[segments], idf[of]
+        bound = np.bincount(own_block, self.highest[segments] * weight, minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
-        at, idf, bound = at[order], idf[order], bound[order]
-        rest = np.cumsum(bound[::-1])[::-1]  # what this word and all after it can bring
-        held, score, taken, threshold = np.zeros(len(self.ids)), None, 0, 0.0
-        docs = np.zeros(0, np.int64)
-        postings = np.cumsum(self.from_[at + 1] - self.from_[at])
-        while taken < len(at) and rest[taken] >= threshold - SLACK:
-            # The next words until their postings double, or up to the pivot.
-            pivot = int(np.searchsorted(-rest, -(threshold - SLACK), side="right"))
-            more = int(np.searchsorted(postings, 2 * postings[taken - 1] + 4 * k if taken else 8 * k, side="right"))
-            upto = min(max(taken + 1, more), max(taken + 1, pivot), len(at))
-            place, of = self._rows(self.from_, at[taken:upto])
-            held += np.bincount(self.docs[place], self.impacts[place] * idf[taken:upto][of], minlength=len(held))
-            taken = upto
-            live = np.flatnonzero(held)
-            if len(live):
-                best = live if len(live) <= k else live[np.argpartition(-held[live], k - 1)[:k]]
-                s = np.sort(self._full(best, weights))[::-1]
-                if len(s) >= k:
-                    threshold = max(threshold, float(s[k - 1]))
-        live = np.flatnonzero(held)
-        if taken < len(at):
-            place, of = self._rows(self.block_from, at[taken:])
-            spare = np.bincount(self.block[place], self.block_highest[place] * idf[taken:][of], minlength=self.blocks)
-            live = live[held[live] + spare[live // BLOCK] >= threshold - SLACK]
-        else:
-            live = live[held[live] >= threshold - SLACK]
-        score = self._full(live, weights)
-        if len(live) > k:
-            edge = np.partition(score, len(score) - k)[len(score) - k]
-            keep = score >= edge - SLACK
-            live, score = live[keep], score[keep]
-        return live, score
-
-
-def _weighted_queries(queries: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """(query_id, part, terms, idf) of words that occur."""
+        opened, upto, more = np.zeros(self.blocks, bool), 0, OPENED_FIRST
+        while upto < self.blocks:
+            threshold = best[0][k - 1] - SLACK if len(best[0]) >= k else 0.0
+            turn = order[upto : upto + more]
+            turn = turn[(bound[turn] > 0) & (bound[turn] >= threshold)]
+            if not len(turn):
+                break
+            opened[:] = False
+            opened[turn] = True
+            inside = np.flatnonzero(opened[own_block])
+            s = segments[inside]
+            place, of = _ranges(self.segment[s], self.segment[s + 1])
+            score = np.bincount(self.docs[place], self.impacts[place] * weight[inside][of], minlength=len(self.ids))
+            live = np.flatnonzero((score > 0) & (score >= threshold))
+            live = live[(self.ids[live] != query) | self.no_id[live]]
+            best = _best(k, *(np.concatenate(x) for x in zip(best, (np.round(score[live], DIGITS), self.ids[live], self.no_id[live]), strict=True)))
+            upto, more = upto + more, 2 * more
+        return best
+
+
+NONE = (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool))
+
+
+def _best(k: int, score: np.ndarray, ids: np.ndarray, no_id: np.ndarray) -> tuple[np.ndarray, ...]:
+    if len(score) > 4 * k:  # ties with the k-th stay for the sort
+        keep = score >= np.partition(score, len(score) - k)[len(score) - k]
+        score, ids, no_id = score[keep], ids[keep], no_id[keep]
+    order = np.lexsort((ids, no_id, -score))[:k]
+    return score[order], ids[order], no_id[order]
+
+
+def weighted_queries(queries: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """(query_id, terms, idf): the words of each query in order and their weights, packed."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,54 +158,75 @@ def _weighted_queries(queries: DataFrame, counts: DataFrame, total: int) -> Data
             ids = np.repeat(batch["doc_id"].to_numpy(), [len(t) for t in every])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([*every, np.zeros(0, np.int64)]))], ["query_id", "term"])
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, idf = [], []
+            for words_ in batch["words"]:
+                t, w = (words_.values.field(k).to_numpy() for k in range(2))
+                order = np.argsort(t.view(np.uint64))
+                terms.append(t[order].tobytes())
+                idf.append(w[order].tobytes())
+            yield pa.RecordBatch.from_arrays([batch["query_id"], pa.array(terms, pa.binary()), pa.array(idf, pa.binary())], ["query_id", "terms", "idf"])
+
     rows = queries.where("doc_id is not null").select("doc_id", "terms").mapInArrow(spread, "query_id long, term long").distinct()
     idf = F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return rows.join(counts, "term").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", idf.alias("idf")))).alias("words"))
+    listed = rows.join(counts, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", idf.alias("idf"))).alias("words"))
+    return listed.mapInArrow(pack, "query_id long, terms binary, idf binary")
+
+
+def _answers(rows: DataFrame, asked, mean: float, k: int) -> DataFrame:
+    """(query_id, doc_id, score): for each query, the k best of each task's documents."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = [(q, np.frombuffer(t, np.uint64), np.frombuffer(w, np.float64)) for q, t, w in asked.value]
+        best = [NONE] * len(queries)
+
+        def shard(parts: list[pa.RecordBatch]) -> None:
+            group = pa.Table.from_batches(parts)
+            frame = lambda c, t: [np.frombuffer(x.as_buffer(), t) for x in group[c]]
+            ids = group["doc_id"].combine_chunks()
+            index = Index(ids.fill_null(0).to_numpy(), np.asarray(ids.is_null()), group["size"].to_numpy(), frame("terms", np.uint64), frame("counts", np.uint32), mean)
+            for j, (query, terms, idf) in enumerate(queries):
+                best[j] = index.top(query, terms, idf, k, best[j])
+
+        held, size = [], 0
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch["terms"]).to_numpy().astype(np.int64)) // 8
+            at = 0
+            while at < len(ends):
+                done = int(ends[at - 1]) if at else 0
+                upto = max(at + 1, int(np.searchsorted(ends, done + SHARD_POSTINGS - size, side="right")))
+                held.append(batch.slice(at, upto - at))
+                size += int(ends[upto - 1]) - done
+                at = upto
+                if size >= SHARD_POSTINGS or at < len(ends):
+                    shard(held)
+                    held, size = [], 0
+        if held:
+            shard(held)
+        for (query, *_), (score, ids, no_id) in zip(queries, best, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(score), query)), pa.array(ids, mask=no_id), pa.array(score)], ["query_id", "doc_id", "score"])
+
+    return rows.mapInArrow(search, "query_id long, doc_id long, score double")
 
 
 def top_documents(docs: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best other documents of every row for which ``is_query`` holds."""
     sc = docs.sparkSession.sparkContext
-    queries = staged(document_words(docs.where(is_query)))
-    n_queries = queries.count()
-    table = BitTable(term_counts(queries), "term")
-    rows = staged(document_words(docs, sc.broadcast(table)))
+    rows = staged(document_words(docs))
     total, words_in_all = rows.agg(F.count("*"), F.sum("size")).first()
     mean = (words_in_all or 0) / max(1, total)
-    weighted = staged(_weighted_queries(queries, staged(term_counts(rows)), total))
-    shards = max(1, -(-total // SHARD_DOCS))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    weighted = staged(weighted_queries(document_words(docs.where(is_query)), term_counts(rows), total))
+    blocks = max(1, -(-(weighted.agg(F.sum(F.octet_length("terms") + F.octet_length("idf"))).first()[0] or 0) // QUERY_BYTES))
     found = None
-    blocks = max(1, -(-n_queries // QUERY_BLOCK))
     for block in range(blocks):
         part = weighted.where(F.pmod(F.xxhash64(F.lit(7), "query_id"), F.lit(blocks)) == block).toArrow()
-        asked = [(q, np.array([w["term"] for w in ws], np.int64).view(np.uint64), np.array([w["idf"] for w in ws])) for q, ws in zip(part["query_id"].to_pylist(), part["words"].to_pylist(), strict=True)]
-        best = staged(_in_shards(dealt, sc.broadcast(asked), mean, k + 1))
+        asked = sc.broadcast(list(zip(*(part[c].to_pylist() for c in ("query_id", "terms", "idf")), strict=True)))
+        best = staged(_answers(rows, asked, mean, k))
+        asked.unpersist()
         found = best if found is None else found.unionByName(best)
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), F.col("doc_id").asc_nulls_last())
-    other = found.where(~F.col("doc_id").eqNullSafe(F.col("query_id"))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return other.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
-
-
-def _in_shards(dealt: DataFrame, asked, mean: float, k: int) -> DataFrame:
-    def search(group: pa.Table) -> pa.Table:
-        frame = lambda c, t: [np.frombuffer(x.as_buffer(), t) for x in group[c]]
-        ids = group["doc_id"].to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
-        terms, counts, sizes = frame("terms", np.uint64), frame("counts", np.uint16), group["size"].to_numpy()
-        index = Index([ids[i] for i in order], sizes[order], [terms[i] for i in order], [counts[i] for i in order], mean)
-        q, d, s = [], [], []
-        for query, words_, idf in asked.value:
-            place, score = index.top(words_, idf, k)
-            if len(place) > k:  # ties beyond k go to the smaller ids, and places follow ids
-                pick = np.lexsort((place, -np.round(score, 6)))[:k]
-                place, score = place[pick], score[pick]
-            q += [query] * len(place)
-            d += [index.ids[p] for p in place]
-            s.append(score)
-        return pa.table({"query_id": pa.array(q, pa.int64()), "doc_id": pa.array(d, pa.int64()), "score": pa.array(np.concatenate([*s, np.zeros(0)]))})
-
-    return dealt.groupBy("shard").applyInArrow(search, "query_id long, doc_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
 def bm25(tf: int, size: int, mean: float, df: int, total: int) -> float:

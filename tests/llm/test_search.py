@@ -2,15 +2,15 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from evidlake.llm import search
 
 
 def test_top_documents(spark, monkeypatch):
-    monkeypatch.setattr(search, "SHARD_DOCS", 40)
-    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
-    monkeypatch.setattr(search, "BLOCK", 4)
+    monkeypatch.setattr(search, "SHARD_POSTINGS", 700)
+    monkeypatch.setattr(search, "QUERY_BYTES", 2_000)
     rng = random.Random(6)
     vocab = [f"v{i}" for i in range(120)]
     texts = [" ".join(vocab[min(119, int(rng.expovariate(0.05)))] for _ in range(rng.randint(1, 60))) for _ in range(150)]
@@ -29,3 +29,40 @@ def test_top_documents(spark, monkeypatch):
             own = [d for _, d, _ in sorted(got.get(q, []))]
             assert own == best, (q, [(i, score[i]) for i in best], got.get(q))
     assert search.top_documents(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_repeated_rows_null_ids_and_long_texts(spark):
+    rng = random.Random(2)
+    vocab = [f"v{i}" for i in range(60)]
+    query = "alpha beta gamma"
+    rows = [(50, query)] * 4 + [(i, f"alpha {' '.join(rng.choices(vocab, k=5))}") for i in range(1, 25)] + [(7, "beta")] * 3
+    rows += [(None, "alpha beta gamma"), (None, "alpha"), (100, None), (None, " ".join(rng.choices(vocab, k=70_000)) + " alpha" * 70_000)]
+    df = spark.createDataFrame([(*r, 0.5, 3) for r in rows], "doc_id long, text string, score double, rank int").repartition(3)
+    got = sorted(search.top_documents(df, F.col("doc_id") % 50 == 0, 10).collect(), key=lambda r: r.rank)
+    bags = [Counter((t or "").split()) for _, t in rows]
+    total, mean = len(bags), sum(sum(b.values()) for b in bags) / len(bags)
+    seen = Counter(w for b in bags for w in b)
+    score = [(-round(sum(search.bm25(b[w], sum(b.values()), mean, seen[w], total) for w in query.split() if w in b), 6), i is None, i or 0) for (i, _), b in zip(rows, bags, strict=True) if i != 50]
+    best = [x for x in sorted(score) if x[0] < 0][:10]
+    assert [r.rank for r in got] == list(range(1, 11)) and {r.query_id for r in got} == {50}
+    assert [(-r.score, r.doc_id is None, r.doc_id or 0) for r in got] == best
+
+
+def test_blocks_are_jumped_over(monkeypatch):
+    """Texts alike share blocks, and what can't reach the threshold isn't scored."""
+    rng = np.random.default_rng(1)
+    groups = [rng.integers(1, 1 << 60, 40, dtype=np.uint64) for _ in range(30)]
+    terms = [np.unique(rng.choice(g, 30)) for g in groups for _ in range(64)]
+    counts = [np.ones(len(t), np.uint32) for t in terms]
+    index = search.Index(np.arange(len(terms)), np.zeros(len(terms), bool), np.array([len(t) for t in terms]), terms, counts, 20.0)
+    touched = []
+    ranges = search._ranges
+    monkeypatch.setattr(search, "_ranges", lambda a, b: touched.append(int((b - a).sum())) or ranges(a, b))
+    for q in range(0, len(terms), 97):
+        touched.clear()
+        score, ids, _ = index.top(q, terms[q], np.ones(len(terms[q])), 5, search.NONE)
+        every = np.array([np.isin(t, terms[q]).sum() * (search.K1 + 1) / (1 + search.K1 * (1 - search.B + search.B * len(t) / 20.0)) for t in terms])
+        every[q] = 0
+        order = np.lexsort((np.arange(len(every)), -np.round(every, 6)))[:5]
+        assert ids.tolist() == order.tolist() and np.allclose(score, every[order])
+        assert sum(touched[1:]) < 0.5 * sum(len(t) for t in terms)
