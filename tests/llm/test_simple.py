@@ -50,6 +50,77 @@ def test_mix(spark, docs):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def brute_mix(rows, target, weight, copies):
+    """Words taken of each (doc_id, unit) of one source, by going through units in order of rank. rows: doc_id, unit, size, weight."""
+    units = {}
+    for doc_id, unit, size, w in rows:
+        units.setdefault((doc_id, unit), [size, w, 0])[2] += 1
+    worth = sum(size * w * m for size, w, m in units.values())
+    times, ranks = {}, []
+    for (doc_id, unit), (size, w, m) in units.items():
+        e = m * min(w * target / worth, copies) if worth else 0.0
+        times[doc_id, unit] = int(e)
+        p, u = e - int(e), ((unit % (1 << 64) >> 11) + 0.5) / (1 << 53)
+        if p > 0 and size:
+            odds = (u / (1 - u)) / (p / (1 - p))
+            ranks.append((odds / (1 + odds), unit, doc_id, size))
+    room = target - sum(n * units[k][0] for k, n in times.items())
+    ranks.sort()
+    while ranks and ranks[0][3] <= room:
+        _, unit, doc_id, size = ranks.pop(0)
+        times[doc_id, unit] += 1
+        room -= size
+    near = [r for r in ranks if r[3] < 2 * room][: mixing.FILL]
+    for r in list(near):
+        if r[3] <= room:
+            times[r[2], r[1]] += 1
+            room -= r[3]
+            near.remove(r)
+    for r in near:
+        if room < r[3] < 2 * room:
+            times[r[2], r[1]] += 1
+            break
+    return {k: n * units[k][0] for k, n in times.items()}
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_pareto_order(spark, docs, weighted):
+    from pyspark.sql import functions as F
+
+    weight = F.when(F.col("doc_id") % 3 == 0, 2.5).otherwise(1.0) if weighted else None
+    again = docs.unionByName(docs.where("doc_id % 10 < 4")).unionByName(docs.where("doc_id % 10 = 2"))
+    taken = {}
+    for r in mixing.mix_copies(again, weight=weight).collect():
+        taken.setdefault(r.source, {}).setdefault(r.doc_id, []).append(r.taken)
+        target = r.target
+        taken[r.source]["target"] = target
+    sources = {}
+    for r in again.select("doc_id", "source", "text", mixing._digest(again, 17).alias("unit")).collect():
+        w = 2.5 if weighted and r.doc_id % 3 == 0 else 1.0
+        sources.setdefault(r.source, []).append((r.doc_id, r.unit, len((r.text or "").split()), w))
+    for source, rows in sources.items():
+        target = taken[source].pop("target")
+        want = brute_mix(rows, target, weight, 3)
+        assert {d: sum(t) for d, t in taken[source].items()} == {d: n for (d, _), n in want.items()}, source
+        assert all(max(t) - min(t) <= max(size for i, _, size, _ in rows if i == d) for d, t in taken[source].items())
+    same = lambda df: sorted((r.doc_id, r.taken) for r in df.collect())
+    assert same(mixing.mix_sources(again, weight=weight).select("doc_id", "mix.taken")) == same(mixing.mix_copies(again, weight=weight).select("doc_id", "taken"))
+
+
+def test_a_source_of_repeated_rows(spark):
+    """Repeats meet the cut one at a time; null ids and rows that differ elsewhere only are rows of their own."""
+    rows = [(1, "a b c d", "p", {"k": "v"})] * 200 + [(i, "a b c", "q", {}) for i in range(300)] + [(None, f"x y {i % 2}", "q", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix map<string,string>").repartition(4)
+    got = mixing.mix_sources(df, out="mixed")
+    by = {}
+    for r in got.select("source", "mixed.*").collect():
+        assert 0 <= r.taken <= 3 * r["size"]
+        by.setdefault(r.source, []).append((r.taken, r.target))
+    assert sorted(map(len, by.values())) == [200, 340] and got.where("mix is null").count() == 40
+    for found in by.values():
+        assert abs(sum(t for t, _ in found) - found[0][1]) <= 4
+
+
 def test_targets_without_stops(spark):
     """No source is near its cap: shares are plainly 1, 2, 3 of 6."""
     sizes = spark.createDataFrame([("a", 400), ("b", 390), ("c", 410)], "source string, source_size long")
