@@ -35,10 +35,10 @@ from evidlake.llm.common import chunks, staged, word_hashes, words
 from evidlake.llm.decontamination import _BREAK
 
 K1, B = 1.2, 0.75
-SHARD_POSTINGS = 1_000_000
+SHARD_POSTINGS = 2_000_000
 BLOCK = 64
 QUERY_BYTES = 4 << 20
-OPENED_FIRST = 4
+OPENED_FIRST = 8
 #: Scores are compared after rounding to DIGITS, so a document this much under the threshold can tie with it.
 DIGITS, SLACK = 6, 2e-6
 
@@ -75,10 +75,10 @@ def term_counts(rows: DataFrame) -> DataFrame:
 
 
 def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All places in the ranges, and which range each is of."""
+    """All places in the ranges, and the length of each range."""
     size = end - start
     begin = np.cumsum(size) - size
-    return np.repeat(start - begin, size) + np.arange(size.sum()), np.repeat(np.arange(len(size)), size)
+    return np.repeat(start - begin, size) + np.arange(size.sum()), size
 
 
 class Index:
@@ -95,17 +95,18 @@ class Index:
         tf = np.concatenate([*counts, np.zeros(0, np.uint32)]).astype(np.float64)
         doc = np.repeat(np.arange(len(ids)), n)
         impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * sizes / max(mean, 1e-9)))[doc])
-        self.terms, of = np.unique(np.concatenate([*terms, np.zeros(0, np.uint64)]), return_inverse=True)
-        order = np.argsort(of, kind="stable")
-        self.docs, self.impacts = doc[order], impact[order]
+        every = np.concatenate([*terms, np.zeros(0, np.uint64)])
+        order = np.argsort(every, kind="stable")
+        every, self.docs, self.impacts = every[order], doc[order], impact[order]
         # A segment is a word's postings in one block.
-        block, of = self.docs // BLOCK, of[order]
-        new = np.ones(len(block), bool)
-        new[1:] = (block[1:] != block[:-1]) | (of[1:] != of[:-1])
-        self.segment = np.append(np.flatnonzero(new), len(block))
+        block, other = self.docs // BLOCK, np.ones(len(every), bool)
+        other[1:] = every[1:] != every[:-1]
+        new = other.copy()
+        new[1:] |= block[1:] != block[:-1]
+        self.terms, self.segment = every[other], np.append(np.flatnonzero(new), len(block))
         self.block = block[self.segment[:-1]]
         self.highest = np.maximum.reduceat(self.impacts, self.segment[:-1]) if len(block) else np.zeros(0)
-        self.of_term = np.searchsorted(of[self.segment[:-1]], np.arange(len(self.terms) + 1))  # its segments
+        self.of_term = np.append(np.flatnonzero(other[self.segment[:-1]]), len(self.block))  # its segments
         self.blocks = -(-len(ids) // BLOCK)
 
     def top(self, query: int, terms: np.ndarray, idf: np.ndarray, k: int, best: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
@@ -114,8 +115,8 @@ class Index:
         at[at == len(self.terms)] = 0
         found = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
         at, idf = at[found], idf[found]
-        segments, of = _ranges(self.of_term[at], self.of_term[at + 1])
-        own_block, weight = self.block[segments], idf[of]
+        segments, size = _ranges(self.of_term[at], self.of_term[at + 1])
+        own_block, weight = self.block[segments], np.repeat(idf, size)
         bound = np.bincount(own_block, self.highest[segments] * weight, minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
         opened, upto, more = np.zeros(self.blocks, bool), 0, OPENED_FIRST
@@ -129,8 +130,8 @@ class Index:
             opened[turn] = True
             inside = np.flatnonzero(opened[own_block])
             s = segments[inside]
-            place, of = _ranges(self.segment[s], self.segment[s + 1])
-            score = np.bincount(self.docs[place], self.impacts[place] * weight[inside][of], minlength=len(self.ids))
+            place, size = _ranges(self.segment[s], self.segment[s + 1])
+            score = np.bincount(self.docs[place], self.impacts[place] * np.repeat(weight[inside], size), minlength=len(self.ids))
             live = np.flatnonzero((score > 0) & (score >= threshold))
             live = live[(self.ids[live] != query) | self.no_id[live]]
             best = _best(k, *(np.concatenate(x) for x in zip(best, (np.round(score[live], DIGITS), self.ids[live], self.no_id[live]), strict=True)))
