@@ -12,12 +12,12 @@ TOKEN = "[redacted]"
 SECRETS = (("github-token", r"gh[pousr]_[A-Za-z0-9]{36}"), ("aws-access-key", r"AKIA[A-Z0-9]{16}"), ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), ("provider-secret", r"sb_secret_[A-Za-z0-9_-]{8,}"), ("assigned-hex", r"(?i:token|secret|password|api_?key)\s*[:=]\s*[\"']?[0-9a-f]{32,}"))
 #: Text that addresses a model instead of a reader, by rule.
 NEEDLES = (
-    ("ignore-instructions", ("ignore previous instructions", "ignore all previous instructions", "disregard previous instructions", "forget previous instructions")),
-    ("role-override", ("you are now", "act as the system", "system prompt:", "developer message:")),
-    ("tool-coercion", ("call this tool", "execute this command", "run the following command", "invoke the tool")),
-    ("exfiltration", ("send the secret", "upload the token", "reveal your instructions", "print your system prompt")),
-    ("approval-bypass", ("without asking the user", "do not ask for approval", "approval is not required")),
-)
+    ("mcp.untrusted.ignore-prior-authority", ("ignore previous", "ignore prior", "disregard previous")),
+    ("mcp.untrusted.policy-override", ("override policy", "bypass policy", "disable guard", "ignore policy")),
+    ("mcp.untrusted.secret-exfiltration", ("reveal secret", "reveal credential", "send credential", "print api key", "show api key")),
+    ("mcp.untrusted.command-directive", ("execute command", "run shell", "run command", "execute shell")),
+    ("mcp.untrusted.hidden-instruction", ("system prompt", "do not tell the user", "keep this secret")),
+)
 TEXT_BYTES = 65536
 
 
@@ -66,8 +66,8 @@ def redact(text: Column, forms: list[str], token: str = TOKEN) -> Column:
 
 
 def flag_instructions(texts: DataFrame, needles: tuple = NEEDLES, column: str = "text") -> DataFrame:
-    """(content_hash, byte_len, rule_ids) of texts up to TEXT_BYTES; the text itself isn't passed on."""
-    low = F.lower(F.col(column))
+    """(content_hash, byte_len, rule_ids) of texts up to TEXT_BYTES, compared in ASCII lower case; the text itself isn't passed on."""
+    low = F.translate(F.col(column), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rules = F.array_compact(F.array(*[F.when(F.greatest(*[low.contains(n) for n in ns]) if len(ns) > 1 else low.contains(ns[0]), F.lit(r)) for r, ns in needles]))
     keep = [c for c in texts.columns if c != column]
     return texts.where(F.octet_length(column) <= TEXT_BYTES).select(*keep, F.concat(F.lit("sha256:"), F.sha2(F.col(column), 256)).alias("content_hash"), F.octet_length(column).alias("byte_len"), rules.alias("rule_ids"))

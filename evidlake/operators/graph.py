@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidlake.functions.identity import edge_id, node_id
@@ -13,13 +13,21 @@ DEPTH_MOST, SUBTREE_DEPTH, SUBTREE_NODES = 64, 32, 4096
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names; a temporary one only where that is unset, as in tests."""
+    """A reliable checkpoint in the folder that executors share."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-evidlake-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """What spark.checkpoint.dir names. Where that is unset, as in tests, a folder of this machine, which only a local master allows."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or tempfile.mkdtemp(prefix="spark-evidlake-")).rstrip("/")
+
+
 def reverse_reach(edges: DataFrame, seeds: DataFrame, max_depth: int, relations: tuple[str, ...] | None = None) -> DataFrame:
     """(seed, node, depth, via_edge): nodes from which a seed is reached, with the edge of one shortest way.
 

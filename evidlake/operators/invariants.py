@@ -64,6 +64,25 @@ def elevated_client(scoped: DataFrame, supported: DataFrame) -> DataFrame:
     return rows.select("invariant_id", "path_id", state.alias("state"))
 
 
+def project_states(declared: DataFrame, paths: DataFrame, filters: DataFrame, values: DataFrame, actors: DataFrame, guards: DataFrame, supported: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Project-declared invariants on paths: (invariant_id, path_id, state) by the evaluation of each one's kind, and rejects with a reason.
+
+    declared: repo_id, invariant_id, source, invariant_kind and the scope arrays; paths as for I0 to I4. Only declarations are
+    evaluated here; a path without a client, where one is needed, is a reject. The states tighten built-in ones by ``tightened``.
+    """
+    kinds = ("TENANT_BINDING", "REQUIRED_ROLE", "PROTECTED_PROPERTIES", "ELEVATED_CLIENT_CONTEXT")
+    reason = F.when(F.col("source") != "PROJECT_DECLARATION", "NOT_PROJECT_DECLARATION").when(~F.col("invariant_kind").isin(*kinds), "UNKNOWN_KIND")
+    admitted = in_scope(declared.where(F.coalesce(reason.isNull(), F.lit(False))), paths)
+    no_client = (F.col("invariant_kind") == "ELEVATED_CLIENT_CONTEXT") & F.col("client_id").isNull()
+    of = lambda kind: admitted.where((F.col("invariant_kind") == kind) & ~no_client)
+    found = [tenant_binding(of(kinds[0]), filters, values, actors), required_role(of(kinds[1]), guards).drop("supporting_guard"), protected_properties(of(kinds[2])), elevated_client(of(kinds[3]), supported)]
+    states = found[0]
+    for f in found[1:]:
+        states = states.unionByName(f)
+    rejects = declared.withColumn("reject_reason", reason).where("reject_reason is not null").select("invariant_id", F.lit(None).cast(paths.schema["path_id"].dataType).alias("path_id"), "reject_reason")
+    return states, rejects.unionByName(admitted.where(no_client).select("invariant_id", "path_id", F.lit("MISSING_PROVIDER_CLIENT").alias("reject_reason")))
+
+
 def tightened(*evaluations: DataFrame) -> DataFrame:
     """The tightest of built-in and project states per invariant and path."""
     rows = evaluations[0].select("invariant_id", "path_id", "state")

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidlake.operators.graph import cut_lineage
+from evidlake.sources.ddl import discover_migrations, extract_ddl
+
 API_ROLES = ("anon", "authenticated", "public")
 
 
@@ -73,7 +76,10 @@ def functions(statements: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFr
 
 def gaps(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Statements that leave the posture uncertain, and each repository's parse state (W6); duplicate positions reject the repository."""
-    unnamed = F.col("object_schema").isNull() & F.col("outcome").eqNullSafe("SUPPORTED")
+    schemaless = F.lit(False)
+    if {"kind", "object_kind"} <= set(statements.columns):  # schemas and sequences are named without one
+        schemaless = F.coalesce(F.col("kind") == "CREATE_SCHEMA", F.lit(False)) | F.coalesce(F.col("object_kind").isin("SCHEMA", "SEQUENCE"), F.lit(False))
+    unnamed = F.col("object_schema").isNull() & F.col("outcome").eqNullSafe("SUPPORTED") & ~schemaless
     reason = F.when(F.col("outcome").isin("UNSUPPORTED", "MALFORMED"), F.col("outcome")).when(unnamed, F.lit("UNQUALIFIED_NAME"))
     rows = statements.withColumn("gap", reason)
     states = rows.groupBy("repo_id").agg(F.count("gap").alias("gaps"), (F.countDistinct("pos") < F.count("*")).alias("ambiguous"))
@@ -86,6 +92,60 @@ def ambiguous_orders(migrations: DataFrame) -> DataFrame:
     return migrations.groupBy("repo_id", "order_key").count().where("count > 1").select("repo_id").distinct()
 
 
+def _moves(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Grants and revokes as one row per role and privilege; revoking ALL among others is revoking ALL."""
+    listed = F.when((F.col("kind") == "REVOKE") & F.array_contains("privileges", "ALL"), F.array(F.lit("ALL"))).otherwise(F.col("privileges"))
+    rows = rows.where("kind in ('GRANT', 'REVOKE')").select(*keys, "pos", F.col("kind").alias("action"), "roles", listed.alias("listed"))
+    return rows.withColumn("role", F.explode("roles")).withColumn("privilege", F.explode("listed")).drop("roles", "listed")
+
+
+def reduce_posture(migrations: DataFrame) -> dict[str, DataFrame]:
+    """The posture that migration files (repo_id, path, content) leave: W2 to W6 composed over S9 and S10.
+
+    repositories (state COVERED, PARTIAL where any gap is left, or REJECTED for an order key used twice, which has no other rows), gaps,
+    schemas, relations, policies, policy_removals, functions, function_grants, grants, generic_grants (schemas and sequences).
+    """
+    ordered, rejected = discover_migrations(migrations)
+    # Parsed once: each of the folds reads what is kept.
+    statements = cut_lineage(extract_ddl(ordered)).withColumn("pos", position(F.col("migration_order"), F.col("statement_index")))
+    gap_rows, states = gaps(statements)
+    rejects = rejected.select("repo_id", F.lit(0).cast("long").alias("gaps"), F.lit("REJECTED").alias("state"))
+    empty = ordered.select("repo_id").distinct().join(states.select("repo_id"), "repo_id", "left_anti").select("repo_id", F.lit(0).cast("long").alias("gaps"), F.lit("COVERED").alias("state"))
+    keys = ["repo_id", "object_schema", "object_name"]
+    good = statements.where("outcome = 'SUPPORTED'")
+    schemas = good.where("kind = 'CREATE_SCHEMA'").groupBy("repo_id", F.col("object_name").alias("schema_name")).agg(F.max("pos").alias("provenance"))
+    generic = _moves(good.where("object_kind in ('SCHEMA', 'SEQUENCE')"), ["repo_id", "object_kind", "object_schema", "object_name"])
+    named = good.where("object_schema is not null")
+
+    changes = named.where(F.col("kind").isin("CREATE_POLICY", "ALTER_POLICY", "DROP_POLICY")).withColumn("kind", F.substring_index("kind", "_", 1))
+    made = F.col("kind") == "CREATE"  # what ALTER doesn't name stays
+    changes = changes.withColumns({"roles": F.when(made | (F.size("roles") > 0), F.col("roles")), **{c: F.when(made | F.col(c), F.col(c)) for c in ("has_using", "has_with_check")}})
+    policy_keys = [*keys, "policy_name"]
+    all_policies = policies(changes, policy_keys)
+    removed = all_policies.where("status in ('DROPPED', 'ALTERED_AFTER_DROP')").select(*policy_keys).join(removals(changes, policy_keys), policy_keys)
+    live = all_policies.where("status <> 'DROPPED'")
+
+    relation = F.when(F.col("kind") == "CREATE_VIEW", "VIEW").when(F.col("kind").isin("CREATE_TABLE", "ENABLE_RLS", "DISABLE_RLS") | F.col("kind").contains("POLICY") | (F.col("object_kind") == "TABLE"), "TABLE")
+    touched = named.withColumn("relation_kind", relation).where("relation_kind is not null")
+    rls = F.when(F.col("kind") == "ENABLE_RLS", "ENABLED").when(F.col("kind") == "DISABLE_RLS", "DISABLED")
+    view = F.when(F.col("kind") == "CREATE_VIEW", F.coalesce(F.when(F.col("security_invoker"), "ENABLED").when(~F.col("security_invoker"), "DISABLED"), F.lit("UNKNOWN")))
+    last = lambda c: F.coalesce(F.max_by(c, F.when(c.isNotNull(), F.col("pos"))), F.lit("UNKNOWN"))
+    relations = touched.groupBy(*keys, "relation_kind").agg(F.bool_or(F.col("kind").isin("CREATE_TABLE", "CREATE_VIEW")).alias("created"), last(rls).alias("rls_state"), last(view).alias("view_security_invoker"), F.max("pos").alias("last_security_change"))
+    n = live.groupBy(*keys).agg(F.count("*").alias("n_policies")).withColumn("relation_kind", F.lit("TABLE"))
+    relations = relations.join(n, [*keys, "relation_kind"], "left").withColumn("n_policies", F.coalesce("n_policies", F.lit(0)))
+
+    own = named.where(F.col("kind").isin("CREATE_FUNCTION", "ALTER_FUNCTION", "DROP_FUNCTION") | (F.col("object_kind") == "FUNCTION")).withColumn("kind", F.substring_index("kind", "_", 1))
+    executes = F.col("kind").isin("CREATE", "ALTER", "DROP") | F.arrays_overlap("privileges", F.array(F.lit("EXECUTE"), F.lit("ALL")))
+    attributes, execute = functions(own.where(executes).withColumn("role", F.explode_outer("roles")), keys)
+    dropped = own.where("kind = 'DROP'").groupBy(*keys).agg(F.max("pos").alias("dropped_at"))
+    known = own.join(dropped, keys, "left").where("dropped_at is null or pos > dropped_at").groupBy(*keys).agg(F.bool_or(F.col("kind") == "CREATE").alias("created"), F.max("pos").alias("last_change"))
+    return {
+        "repositories": states.unionByName(rejects).unionByName(empty), "gaps": gap_rows, "schemas": schemas, "relations": relations, "policies": live, "policy_removals": removed,
+        "functions": known.join(attributes.drop("provenance"), keys, "left"), "function_grants": execute.drop("privilege"),
+        "grants": grants(_moves(named.where("object_kind = 'TABLE'"), keys), keys), "generic_grants": grants(generic.withColumn("object_schema", F.coalesce("object_schema", F.lit(""))), ["repo_id", "object_kind", "object_schema", "object_name"]),
+    }
+
+
 # --- observers -------------------------------------------------------------------------------------------------------
 
 
@@ -140,8 +200,8 @@ def storage_posture(relations: DataFrame, live: DataFrame) -> DataFrame:
     return r.unionByName(live.where("object_schema = 'storage' and status = 'LIVE'").select("repo_id", "object_name", F.lit("POLICY").alias("kind"), "policy_name"))
 
 
-def edge_auth(config: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edge functions whose token check is off and whose source doesn't prove one (J15), and coverage.
+def edge_auth_matrix(config: DataFrame, sources: DataFrame) -> DataFrame:
+    """(repo_id, function, token_check, source_check) of every edge function that configuration or source has.
 
     config: repo_id, function, verify_jwt; sources: repo_id, function, line. A source proves its check by a call that verifies a token.
     """
@@ -150,7 +210,12 @@ def edge_auth(config: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFra
     seen = sources.groupBy("repo_id", "function").agg(F.when(proof, "PROVEN").when(dynamic, "UNKNOWN").otherwise("NOT_PROVEN").alias("source_check"))
     rows = config.join(seen, ["repo_id", "function"], "full_outer")
     flag = F.when(F.col("verify_jwt").isNull(), "UNKNOWN").when(F.col("verify_jwt"), "ENABLED").otherwise("DISABLED")
-    rows = rows.select("repo_id", "function", flag.alias("token_check"), F.coalesce("source_check", F.lit("UNKNOWN")).alias("source_check"))
+    return rows.select("repo_id", "function", flag.alias("token_check"), F.coalesce("source_check", F.lit("UNKNOWN")).alias("source_check"))
+
+
+def edge_auth(config: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edge functions whose token check is off and whose source doesn't prove one (J15), and coverage."""
+    rows = edge_auth_matrix(config, sources)
     coverage = rows.select("repo_id", "function", F.when((F.col("token_check") == "UNKNOWN") | (F.col("source_check") == "UNKNOWN"), "PARTIAL").otherwise("COVERED").alias("state"))
     return rows.where("token_check = 'DISABLED' and source_check = 'NOT_PROVEN'"), coverage
 

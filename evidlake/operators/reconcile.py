@@ -99,5 +99,14 @@ def capped(df: DataFrame, key: str, most: int, code: str) -> tuple[DataFrame, Da
 
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    return df.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    """The row of each key that is last in ``order``."""
+    return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), order).alias("last_row")).select("last_row.*")
+
+
+def presented(df: DataFrame, of: list[str], order: list[str]) -> DataFrame:
+    """Rows in the order they are shown (W10): ``position`` in each result set ``of``, by the ids and tie-breaks of ``order``, nulls first.
+
+    A result set is what one reader sees at once, so its rows are ordered in one task; the sets themselves are spread.
+    """
+    by = [F.col(c).asc_nulls_first() for c in order]
+    return df.withColumn("position", F.row_number().over(Window.partitionBy(*of).orderBy(*by))).orderBy(*of, "position")

@@ -365,11 +365,11 @@ def v11(s, d):
     return events.bind_decisions(decisions, o.where("action_id % 6 <> 0").withColumn("authority", F.lit("kernel"))).select("action_id", "binding")
 
 
-@query("w9_approvals", "WITH i AS (SELECT event_id, user_id % 10 AS g, CASE WHEN event_id % 3 = 0 THEN 'ASK' WHEN event_id % 3 = 1 THEN 'ALLOW' ELSE 'DENY' END AS v FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY g, v ORDER BY event_id) AS k FROM i), a AS (SELECT o_orderkey, o_custkey % 10 AS g, row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderkey) AS k FROM orders WHERE o_orderkey % 2 = 0) SELECT event_id AS invocation_id, CASE v WHEN 'ALLOW' THEN 'PASSED' WHEN 'ASK' THEN CASE WHEN o_orderkey IS NULL THEN 'WAITING' ELSE 'APPROVED' END ELSE 'BLOCKED' END AS outcome, o_orderkey AS approval_id FROM r LEFT JOIN a ON r.v = 'ASK' AND r.g = a.g AND r.k = a.k")
+@query("w9_approvals", "WITH i AS (SELECT event_id, user_id AS g, CASE WHEN event_id % 3 = 0 THEN 'ASK' WHEN event_id % 3 = 1 THEN 'ALLOW' ELSE 'DENY' END AS v FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY g, v ORDER BY event_id) AS k FROM i), a AS (SELECT o_orderkey, o_custkey AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders WHERE o_orderkey % 2 = 0) SELECT event_id AS invocation_id, CASE v WHEN 'ALLOW' THEN 'PASSED' WHEN 'ASK' THEN CASE WHEN o_orderkey IS NULL THEN 'WAITING' ELSE 'APPROVED' END ELSE 'BLOCKED' END AS outcome, o_orderkey AS approval_id FROM r LEFT JOIN a ON r.v = 'ASK' AND r.g = a.g AND r.k = a.k")
 def w9(s, d):
     m = F.col("event_id") % 3
-    asked = ev(s, d).select(F.col("event_id").alias("invocation_id"), (F.col("user_id") % 10).alias("digest"), F.when(m == 0, "ASK").when(m == 1, "ALLOW").otherwise("DENY").alias("verdict"), F.col("event_id").alias("at"))
-    return events.authorize(asked, table(s, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("approval_id"), (F.col("o_custkey") % 10).alias("digest")))
+    asked = ev(s, d).select(F.col("event_id").alias("invocation_id"), F.col("user_id").alias("digest"), F.when(m == 0, "ASK").when(m == 1, "ALLOW").otherwise("DENY").alias("verdict"), F.col("event_id").alias("at"))
+    return events.authorize(asked, table(s, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("approval_id"), F.col("o_custkey").alias("digest")))
 
 
 CHAIN = "SELECT *, lag(h) OVER (PARTITION BY user_id ORDER BY q) AS prev FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS q, sha256(user_id || '-' || event_id) AS h FROM events)"
@@ -402,17 +402,17 @@ def w8(s, d):
     return events.session_heads(chain(s, d, False))
 
 
-@query("k6_chain_append", f"SELECT user_id AS session_id, q AS sequence FROM ({CHAIN}) WHERE q >= 5 AND q < CASE WHEN user_id % 4 = 0 THEN 9 ELSE 12 END")
+@query("k6_chain_append", f"SELECT user_id AS session_id, q AS sequence FROM ({CHAIN}) WHERE q >= 5 AND (user_id % 4 <> 0 OR q < 9)")
 def k6(s, d):
     rows = chain(s, d, False).select("session_id", "sequence", "event_hash", "previous_event_hash")
-    new = rows.where("sequence between 3 and 11 and not (session_id % 4 = 0 and sequence = 9)")
+    new = rows.where("sequence >= 3 and not (session_id % 4 = 0 and sequence = 9)")
     return events.chain_append(new, rows.where("sequence < 5"))[0].select("session_id", "sequence")
 
 
-@query("k6_chain_rejects", f"SELECT user_id AS session_id, q AS sequence, 'SEQUENCE_GAP' AS reject_reason FROM ({CHAIN}) WHERE q BETWEEN 10 AND 11 AND user_id % 4 = 0")
+@query("k6_chain_rejects", f"SELECT user_id AS session_id, q AS sequence, 'SEQUENCE_GAP' AS reject_reason FROM ({CHAIN}) WHERE q >= 10 AND user_id % 4 = 0")
 def k6_rejects(s, d):
     rows = chain(s, d, False).select("session_id", "sequence", "event_hash", "previous_event_hash")
-    new = rows.where("sequence between 3 and 11 and not (session_id % 4 = 0 and sequence = 9)")
+    new = rows.where("sequence >= 3 and not (session_id % 4 = 0 and sequence = 9)")
     return events.chain_append(new, rows.where("sequence < 5"))[1].select("session_id", "sequence", "reject_reason")
 
 
@@ -593,11 +593,15 @@ def j14(s, d):
 
 @query("j15_edge_auth", "SELECT s_nationkey AS repo_id, s_name AS function FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 4 = 1")
 def j15(s, d):
+    return posture.edge_auth(*edge_sides(s, d))[0].select("repo_id", "function")
+
+
+def edge_sides(s, d):
     k = F.col("s_suppkey")
     rows = table(s, d, "supplier")
     cfg = rows.select(F.col("s_nationkey").alias("repo_id"), F.col("s_name").alias("function"), F.when(k % 3 == 0, False).when(k % 3 == 1, True).alias("verify_jwt"))
     src = rows.where("s_suppkey % 4 > 0").select(F.col("s_nationkey").alias("repo_id"), F.col("s_name").alias("function"), F.when(k % 4 == 2, "await jwtVerify(token)").when(k % 4 == 3, "await import (name)").otherwise("return new Response()").alias("line"))
-    return posture.edge_auth(cfg, src)[0].select("repo_id", "function")
+    return cfg, src
 
 
 @query("j16_config_coverage", "SELECT n_nationkey AS repo_id, CASE WHEN n_nationkey % 4 = 0 THEN 'UNAVAILABLE' WHEN n_nationkey % 3 = 0 THEN 'PARTIAL' ELSE 'COVERED' END AS state, CASE WHEN n_nationkey % 3 = 0 THEN 2 ELSE 0 END AS diagnostics FROM nation")

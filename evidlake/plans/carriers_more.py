@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -149,10 +148,10 @@ def d13(s, d):
 
 def tools(s, d):
     k = F.col("p_partkey")
-    return table(s, d, "part").select((k % 20).alias("server_id"), F.when((k % 20 == 3) & (k % 40 == 3), "same").otherwise(F.concat("p_name", k.cast("string"))).alias("name"), F.col("p_type").alias("description"), F.create_map(F.lit("b"), F.col("p_brand"), F.lit("a"), F.lit("x")).alias("schema"), "p_partkey")
+    return table(s, d, "part").select(F.expr("p_partkey div 100").alias("server_id"), F.when((k % 400 < 100) & (k % 40 == 3), "same").otherwise(F.concat("p_name", k.cast("string"))).alias("name"), F.col("p_type").alias("description"), F.create_map(F.lit("b"), F.col("p_brand"), F.lit("a"), F.lit("x")).alias("schema"), "p_partkey")
 
 
-TOOL_SQL = "SELECT p_partkey % 20 AS server_id, CASE WHEN p_partkey % 40 = 3 THEN 'same' ELSE p_name || p_partkey END AS name, p_type, p_brand FROM part"
+TOOL_SQL = "SELECT p_partkey // 100 AS server_id, CASE WHEN p_partkey % 400 < 100 AND p_partkey % 40 = 3 THEN 'same' ELSE p_name || p_partkey END AS name, p_type, p_brand FROM part"
 
 
 @query("d15_tool_inventory", f"SELECT server_id, name, {sid('tool.description', chr(39) + '{' + chr(34) + 'description' + chr(34) + ':' + chr(34) + chr(39) + ' || p_type || ' + chr(39) + chr(34) + ',' + chr(34) + 'name' + chr(34) + ':' + chr(34) + chr(39) + ' || name || ' + chr(39) + chr(34) + '}' + chr(39))} AS description_hash FROM ({TOOL_SQL}) WHERE server_id NOT IN (SELECT server_id FROM ({TOOL_SQL}) GROUP BY server_id HAVING count(DISTINCT name) < count(*))")
@@ -232,11 +231,11 @@ def s6(s, d):
     return packages.parse_advisories(table(s, d, "part").select(F.to_json(F.struct(F.lit("1").alias("schema_version"), F.array(item).alias("advisories"))).alias("body")))[0].select("advisory_id", "package")
 
 
-@query("s7_advisory_cache", "SELECT p_name AS name, p_size AS fetched_at FROM part WHERE p_partkey % 4 <> 0 AND (SELECT count(*) FROM part) <= 10000")
+@query("s7_advisory_cache", "SELECT p_name AS name, p_size AS fetched_at FROM part WHERE p_partkey % 4 <> 0")
 def s7(s, d):
     k = F.col("p_partkey")
     body = F.to_json(F.struct(F.lit("npm").alias("ecosystem"), F.col("p_name").alias("name"), F.lit("1").alias("version"), F.col("p_size").alias("fetched_at"), F.array(F.lit("a")).alias("advisories"), F.when(k % 4 == 0, 1).alias("extra")))
-    return packages.parse_cache(table(s, d, "part").select(body.alias("value")))[0].select("name", "fetched_at")
+    return packages.parse_cache(table(s, d, "part").select(F.expr("p_partkey div 2000").alias("file_id"), body.alias("value")))[0].select("name", "fetched_at")
 
 
 @query("s8_merge_pages", "SELECT l_orderkey AS package, l_partkey % 5 AS advisory_id, arg_min('s' || l_linenumber, l_linenumber) AS summary FROM lineitem WHERE l_orderkey % 6 <> 0 GROUP BY 1, 2")
@@ -325,22 +324,22 @@ def part_edges(s, d):
 PE = "SELECT p_partkey AS s, (p_partkey * 7 + 3) % n AS t FROM part, (SELECT max(p_partkey) + 1 AS n FROM part) UNION ALL SELECT p_partkey, (p_partkey * 3 + 1) % n FROM part, (SELECT max(p_partkey) + 1 AS n FROM part)"
 
 
-@query("g1_reverse_reach", f"WITH RECURSIVE e AS ({PE}), w(node, depth) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey % 100 = 5 UNION SELECT e.s, depth + 1 FROM w JOIN e ON e.t = w.node WHERE depth < 4), r AS (SELECT x.p_partkey AS seed FROM part x WHERE x.p_partkey % 100 = 5), v(seed, node, depth) AS (SELECT seed, seed, 0 FROM r UNION SELECT v.seed, e.s, v.depth + 1 FROM v JOIN e ON e.t = v.node WHERE v.depth < 4) SELECT seed, node, min(depth) AS depth FROM v GROUP BY 1, 2")
+@query("g1_reverse_reach", f"WITH RECURSIVE e AS ({PE}), w(node, depth) AS (SELECT p_partkey, 0 FROM part UNION SELECT e.s, depth + 1 FROM w JOIN e ON e.t = w.node WHERE depth < 4), r AS (SELECT x.p_partkey AS seed FROM part x), v(seed, node, depth) AS (SELECT seed, seed, 0 FROM r UNION SELECT v.seed, e.s, v.depth + 1 FROM v JOIN e ON e.t = v.node WHERE v.depth < 4) SELECT seed, node, min(depth) AS depth FROM v GROUP BY 1, 2")
 def g1(s, d):
-    seeds = table(s, d, "part").where("p_partkey % 100 = 5").select(F.col("p_partkey").alias("seed"))
+    seeds = table(s, d, "part").select(F.col("p_partkey").alias("seed"))
     return graph.reverse_reach(part_edges(s, d), seeds, 4).select("seed", "node", "depth")
 
 
-@query("g1_witness_lengths", f"WITH RECURSIVE e AS ({PE}), v(seed, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 100 = 5 UNION SELECT v.seed, e.s, v.depth + 1 FROM v JOIN e ON e.t = v.node WHERE v.depth < 3) SELECT seed, node, min(depth) AS edges FROM v GROUP BY 1, 2")
+@query("g1_witness_lengths", f"WITH RECURSIVE e AS ({PE}), v(seed, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION SELECT v.seed, e.s, v.depth + 1 FROM v JOIN e ON e.t = v.node WHERE v.depth < 3) SELECT seed, node, min(depth) AS edges FROM v GROUP BY 1, 2")
 def g1_witness(s, d):
-    seeds = table(s, d, "part").where("p_partkey % 100 = 5").select(F.col("p_partkey").alias("seed"))
+    seeds = table(s, d, "part").select(F.col("p_partkey").alias("seed"))
     e = part_edges(s, d)
     return graph.witnesses(graph.reverse_reach(e, seeds, 3), e, 3).select("seed", "node", F.size("witness_edges").alias("edges"))
 
 
-@query("g2_subtree", f"WITH RECURSIVE e AS ({PE}), v(seed, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 100 = 8 UNION SELECT v.seed, e.t, v.depth + 1 FROM v JOIN e ON e.s = v.node WHERE v.depth < 3) SELECT seed, node, min(depth) AS depth FROM v GROUP BY 1, 2")
+@query("g2_subtree", f"WITH RECURSIVE e AS ({PE}), v(seed, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION SELECT v.seed, e.t, v.depth + 1 FROM v JOIN e ON e.s = v.node WHERE v.depth < 3) SELECT seed, node, min(depth) AS depth FROM v GROUP BY 1, 2")
 def g2(s, d):
-    roots = table(s, d, "part").where("p_partkey % 100 = 8").select(F.col("p_partkey").alias("seed"))
+    roots = table(s, d, "part").select(F.col("p_partkey").alias("seed"))
     return graph.subtree(part_edges(s, d), roots, 3)[0]
 
 
@@ -389,12 +388,12 @@ def layers(s, d):
     text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     c, o = table(s, d, "customer"), table(s, d, "orders")
     repo = F.lit(1)
-    routes = c.select((F.col("c_custkey") % 40).alias("repo_id"), text("r", "c_custkey").alias("route_id"), F.array(text("m", "c_custkey"), text("h", "c_custkey")).alias("callback_chain"), F.when(F.col("c_custkey") % 9 == 0, "PARTIAL").otherwise("COVERED").alias("coverage_state"))
+    routes = c.select(F.expr("c_custkey div 100").alias("repo_id"), text("r", "c_custkey").alias("route_id"), F.array(text("m", "c_custkey"), text("h", "c_custkey")).alias("callback_chain"), F.when(F.col("c_custkey") % 9 == 0, "PARTIAL").otherwise("COVERED").alias("coverage_state"))
     filters = F.array(F.struct(F.lit("tenant").alias("field"), F.lit("EQ").alias("operator"), text("v", "o_custkey").alias("value_origin")))
-    ops = o.select((F.col("o_custkey") % 40).alias("repo_id"), text("o", "o_orderkey").alias("operation_id"), text("h", "o_custkey").alias("handler_symbol"), filters.alias("filters"), text("k", "o_orderkey").alias("provider_client"), F.lit("COVERED").alias("coverage_state"), "o_orderkey", "o_custkey")
+    ops = o.select(F.expr("o_custkey div 100").alias("repo_id"), text("o", "o_orderkey").alias("operation_id"), text("h", "o_custkey").alias("handler_symbol"), filters.alias("filters"), text("k", "o_orderkey").alias("provider_client"), F.lit("COVERED").alias("coverage_state"), "o_orderkey", "o_custkey")
     none = s.createDataFrame([], "repo_id long, actor_id string")
-    values = c.select((F.col("c_custkey") % 40).alias("repo_id"), text("v", "c_custkey").alias("value_id"), text("a", "c_custkey").alias("source_actor"), F.array().cast("array<string>").alias("derivation_inputs"))
-    guards = c.where("c_custkey % 4 = 0").select((F.col("c_custkey") % 40).alias("repo_id"), text("g", "c_custkey").alias("guard_id"), text("a", "c_custkey").alias("subject_actor"))
+    values = c.select(F.expr("c_custkey div 100").alias("repo_id"), text("v", "c_custkey").alias("value_id"), text("a", "c_custkey").alias("source_actor"), F.array().cast("array<string>").alias("derivation_inputs"))
+    guards = c.where("c_custkey % 4 = 0").select(F.expr("c_custkey div 100").alias("repo_id"), text("g", "c_custkey").alias("guard_id"), text("a", "c_custkey").alias("subject_actor"))
     clients = o.where("o_orderkey % 3 = 0").select(text("k", "o_orderkey").alias("client_id"))
     return routes, none, guards, values, ops, clients, repo
 
@@ -502,12 +501,16 @@ def j33(s, d):
 
 
 
-def scoped(s, d):
+def scope_sides(s, d):
     none = F.array().cast("array<string>")
     inv = table(s, d, "nation").select((F.col("n_nationkey") % 40).alias("repo_id"), F.col("n_nationkey").alias("invariant_id"), none.alias("routes"), F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("F"))).otherwise(none).alias("methods"), none.alias("resources"), none.alias("kinds"), none.alias("target_paths"))
     o = F.col("o_orderkey")
     rows = table(s, d, "orders").select((F.col("o_custkey") % 40).alias("repo_id"), o.alias("path_id"), F.lit("/x").alias("route_pattern"), F.col("o_orderstatus").alias("method"), F.lit("t").alias("resource"), F.lit("READ").alias("kind"), o.alias("operation_id"), F.when(o % 11 == 0, "GROUP").otherwise("TENANT").alias("identity"), F.lit("tenant").alias("field"), F.array(F.lit("admin")).alias("roles"), F.array(F.lit("owner")).alias("protected"), F.when(o % 4 == 0, "REQUEST_OBJECT").when(o % 4 == 1, "EXPLICIT").when(o % 4 == 2, "EXPLICIT").otherwise("DYNAMIC").alias("mutation_mode"), F.array(F.when(o % 4 == 1, "owner").otherwise("name")).alias("mutation_fields"), F.col("o_custkey").alias("client_id"), F.when(o % 3 == 0, "STANDARD").when(o % 3 == 1, "ELEVATED").otherwise("UNRESOLVED").alias("authority"), F.when(o % 2 == 0, "SERVER").otherwise("BROWSER").alias("context"), (o % 5 != 0).alias("has_guard"))
-    return invariants.in_scope(inv, rows)
+    return inv, rows
+
+
+def scoped(s, d):
+    return invariants.in_scope(*scope_sides(s, d))
 
 
 SCOPED = "SELECT n_nationkey AS inv, o_orderkey AS o, o_custkey AS c, n_nationkey % 2 = 1 OR o_orderstatus = 'F' AS applies FROM nation JOIN orders ON n_nationkey % 40 = o_custkey % 40"
@@ -521,25 +524,38 @@ def i0(s, d):
 TENANT = f"SELECT inv AS invariant_id, o AS path_id, CASE WHEN NOT applies THEN 'NOT_APPLICABLE' WHEN o % 11 = 0 THEN 'UNKNOWN' WHEN coalesce(u, false) THEN 'UNKNOWN' WHEN n = 0 OR coalesce(v, false) THEN 'VIOLATED' ELSE 'SATISFIED' END AS state FROM ({SCOPED}) LEFT JOIN (SELECT l_orderkey, count(*) AS n, bool_or(l_linenumber % 5 = 4 OR l_suppkey % 6 = 0) AS u, bool_or(l_suppkey % 6 = 1) AS v FROM lineitem WHERE l_linenumber <> 7 GROUP BY 1) ON l_orderkey = o"
 
 
-def tenant_states(s, d):
+def tenant_inputs(s, d):
     filters = table(s, d, "lineitem").select(F.col("l_orderkey").alias("operation_id"), F.when(F.col("l_linenumber") == 7, "other").otherwise("tenant").alias("field"), F.when(F.col("l_linenumber") % 5 == 4, "LIKE").otherwise("EQ").alias("operator"), F.col("l_suppkey").alias("value_origin"))
     k = F.col("s_suppkey")
     p = table(s, d, "supplier")
     values = p.select(k.alias("value_id"), k.alias("source_actor"))
     actors = p.select(k.alias("actor_id"), F.when(k % 6 == 1, "ROLE").otherwise("TENANT").alias("identity_kind"), F.when(k % 6 == 0, "REQUEST_BODY").otherwise("TOKEN_CLAIM").alias("source_kind"), F.lit("VERIFIED").alias("trust_basis"))
-    return invariants.tenant_binding(scoped(s, d), filters, values, actors)
+    return filters, values, actors
+
+
+TENANT_STATES = TENANT.replace("n = 0", "n IS NULL")
+
+
+def tenant_states(s, d):
+    return invariants.tenant_binding(scoped(s, d), *tenant_inputs(s, d))
 
 
-@query("i1_tenant_binding", TENANT.replace("n = 0", "n IS NULL"))
+@query("i1_tenant_binding", TENANT_STATES)
 def i1(s, d):
     return tenant_states(s, d)
 
 
-@query("i2_required_role", f"SELECT inv AS invariant_id, o AS path_id, CASE WHEN NOT applies THEN 'NOT_APPLICABLE' WHEN o % 4 = 0 THEN 'SATISFIED' WHEN o % 4 = 1 THEN 'UNKNOWN' ELSE 'VIOLATED' END AS state FROM ({SCOPED})")
-def i2(s, d):
+ROLE = f"SELECT inv AS invariant_id, o AS path_id, CASE WHEN NOT applies THEN 'NOT_APPLICABLE' WHEN o % 4 = 0 THEN 'SATISFIED' WHEN o % 4 = 1 THEN 'UNKNOWN' ELSE 'VIOLATED' END AS state FROM ({SCOPED})"
+
+
+def role_guards(s, d):
     o = F.col("path_id")
-    guards = table(s, d, "orders").select(F.col("o_orderkey").alias("path_id")).where(o % 4 != 3).select("path_id", F.concat(F.lit("g"), o.cast("string")).alias("guard_id"), F.lit("ROLE").alias("guard_kind"), F.when(o % 4 == 2, "other").otherwise("t").alias("guard_resource"), F.array(F.lit("admin")).alias("values"), (o % 4 != 1).alias("resolved"))
-    return invariants.required_role(scoped(s, d), guards).select("invariant_id", "path_id", "state")
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("path_id")).where(o % 4 != 3).select("path_id", F.concat(F.lit("g"), o.cast("string")).alias("guard_id"), F.lit("ROLE").alias("guard_kind"), F.when(o % 4 == 2, "other").otherwise("t").alias("guard_resource"), F.array(F.lit("admin")).alias("values"), (o % 4 != 1).alias("resolved"))
+
+
+@query("i2_required_role", ROLE)
+def i2(s, d):
+    return invariants.required_role(scoped(s, d), role_guards(s, d)).select("invariant_id", "path_id", "state")
 
 
 PROTECTED = f"SELECT inv AS invariant_id, o AS path_id, CASE WHEN NOT applies THEN 'NOT_APPLICABLE' WHEN o % 4 IN (0, 1) THEN 'VIOLATED' WHEN o % 4 = 2 THEN 'SATISFIED' ELSE 'UNKNOWN' END AS state FROM ({SCOPED})"
@@ -550,10 +566,16 @@ def i3(s, d):
     return invariants.protected_properties(scoped(s, d))
 
 
-@query("i4_elevated_client", f"SELECT inv AS invariant_id, o AS path_id, CASE WHEN NOT applies OR o % 3 = 0 THEN 'NOT_APPLICABLE' WHEN o % 3 = 2 OR c % 7 = 0 THEN 'UNKNOWN' WHEN o % 2 = 1 OR o % 5 = 0 THEN 'VIOLATED' ELSE 'SATISFIED' END AS state FROM ({SCOPED})")
+ELEVATED = f"SELECT inv AS invariant_id, o AS path_id, CASE WHEN NOT applies OR o % 3 = 0 THEN 'NOT_APPLICABLE' WHEN o % 3 = 2 OR c % 7 = 0 THEN 'UNKNOWN' WHEN o % 2 = 1 OR o % 5 = 0 THEN 'VIOLATED' ELSE 'SATISFIED' END AS state FROM ({SCOPED})"
+
+
+def known_clients(s, d):
+    return table(s, d, "orders").where("o_custkey % 7 <> 0").select(F.col("o_custkey").alias("client_id"))
+
+
+@query("i4_elevated_client", ELEVATED)
 def i4(s, d):
-    known = table(s, d, "orders").where("o_custkey % 7 <> 0").select(F.col("o_custkey").alias("client_id"))
-    return invariants.elevated_client(scoped(s, d), known)
+    return invariants.elevated_client(scoped(s, d), known_clients(s, d))
 
 
 @query("a8_tightened", f"SELECT invariant_id, path_id, CASE WHEN bool_or(state = 'VIOLATED') THEN 'VIOLATED' WHEN bool_or(state = 'UNKNOWN') THEN 'UNKNOWN' WHEN bool_or(state = 'SATISFIED') THEN 'SATISFIED' ELSE 'NOT_APPLICABLE' END AS state FROM ({TENANT.replace('n = 0', 'n IS NULL')} UNION ALL {PROTECTED}) GROUP BY 1, 2")
@@ -781,7 +803,7 @@ def k8(s, d):
 
 def drained(s, stream, name):
     """What a stream has written once it has read all there is."""
-    root = f"{(s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-evidlake-')).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    root = f"{graph.shared_folder(s)}/stream-{name}-{uuid.uuid4().hex}"
     run = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return s.read.schema(stream.schema).parquet(f"{root}/out")
@@ -797,7 +819,7 @@ def event_stream(s, d):
 def st1(s, d):
     from evidlake.plans.carriers import chain
 
-    root = f"{(s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-evidlake-')).rstrip('/')}/chain-{uuid.uuid4().hex}"
+    root = f"{graph.shared_folder(s)}/chain-{uuid.uuid4().hex}"
     chain(s, d, False).select(F.col("session_id").cast("string"), "sequence", "event_hash", "previous_event_hash").write.parquet(root)
     rows = s.readStream.schema("session_id string, sequence long, event_hash string, previous_event_hash string").parquet(root)
     return drained(s, jobs.chain_stream(rows), "chain").select(F.col("session_id").cast("long").alias("session_id"), "sequence", "outcome")
@@ -812,7 +834,7 @@ def st2(s, d):
 
 @query("st3_evidence_stream", "SELECT 'e' || (event_id - event_id % 2) AS evidence_id FROM events GROUP BY 1 HAVING count(DISTINCT event_id % 2 * (event_id % 10 // 9)) = 1")
 def st3(s, d):
-    root = f"{(s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-evidlake-')).rstrip('/')}/evidence-{uuid.uuid4().hex}"
+    root = f"{graph.shared_folder(s)}/evidence-{uuid.uuid4().hex}"
     i = F.col("event_id")
     rows = event_stream(s, d).select(F.concat(F.lit("e"), (i - i % 2).cast("string")).alias("evidence_id"), F.when(i % 10 == 9, "other").otherwise("same").alias("digest"))
     run = rows.writeStream.foreachBatch(jobs.evidence_sink(f"{root}/table", f"{root}/conflicts")).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
@@ -826,6 +848,14 @@ def st4(s, d):
     return drained(s, jobs.text_telemetry(rows, ["error"], (("buy", ("purchase",)),)), "texts").select("content_hash", F.array_join("rule_ids", ",").alias("rule_ids"))
 
 
-@query("st5_activity_windows")
+@query(
+    "st5_activity_windows",
+    """
+SELECT w AS window_start, user_id AS actor, event_type AS kind, count(*) AS n
+FROM (SELECT *, floor(epoch(ts))::BIGINT // 300 * 300 AS w FROM events)
+WHERE w + 300 <= (SELECT epoch(max(ts)) - 600 FROM events) GROUP BY 1, 2, 3
+""",
+)
 def st5(s, d):
-    return drained(s, jobs.activity_windows(event_stream(s, d).select("ts", F.col("user_id").alias("actor"), F.col("event_type").alias("kind"))), "activity")
+    found = drained(s, jobs.activity_windows(event_stream(s, d).select("ts", F.col("user_id").alias("actor"), F.col("event_type").alias("kind"))), "activity")
+    return found.withColumn("window_start", F.unix_timestamp("window_start"))

@@ -13,7 +13,8 @@ FORMS = (
     ("DROP_POLICY", rf"(?i)^drop\s+policy\s+(?:if\s+exists\s+)?(\"[^\"]+\"|[a-z_][a-z0-9_$]*)\s+on\s+{NAME}"), ("CREATE_TABLE", rf"(?i)^create\s+table\s+(?:if\s+not\s+exists\s+)?{NAME}"),
     ("ENABLE_RLS", rf"(?i)^alter\s+table\s+(?:if\s+exists\s+)?(?:only\s+)?{NAME}\s+(?:enable|force)\s+row\s+level\s+security"), ("DISABLE_RLS", rf"(?i)^alter\s+table\s+(?:if\s+exists\s+)?(?:only\s+)?{NAME}\s+disable\s+row\s+level\s+security"),
     ("CREATE_VIEW", rf"(?i)^create\s+(?:or\s+replace\s+)?view\s+{NAME}"), ("CREATE_FUNCTION", rf"(?i)^create\s+(?:or\s+replace\s+)?function\s+{NAME}"), ("ALTER_FUNCTION", rf"(?i)^alter\s+function\s+{NAME}"),
-    ("DROP_FUNCTION", rf"(?i)^drop\s+function\s+(?:if\s+exists\s+)?{NAME}"), ("GRANT", rf"(?i)^grant\s+.+?\s+on\s+(?:table\s+|function\s+|schema\s+)?{NAME}"), ("REVOKE", rf"(?i)^revoke\s+.+?\s+on\s+(?:table\s+|function\s+|schema\s+)?{NAME}"),
+    ("DROP_FUNCTION", rf"(?i)^drop\s+function\s+(?:if\s+exists\s+)?{NAME}"), ("CREATE_SCHEMA", rf"(?i)^create\s+schema\s+(?:if\s+not\s+exists\s+)?{NAME}"),
+    ("GRANT", rf"(?i)^grant\s+.+?\s+on\s+(?:table\s+|function\s+|schema\s+|sequence\s+)?(?!all\s){NAME}"), ("REVOKE", rf"(?i)^revoke\s+.+?\s+on\s+(?:table\s+|function\s+|schema\s+|sequence\s+)?(?!all\s){NAME}"),
 )
 UNSUPPORTED = r"(?i)^(do|call|execute|prepare|set|reset|alter\s+default\s+privileges|create\s+role|alter\s+role|alter\s+policy|create\s+policy|drop\s+policy|grant|revoke|security\s+label)\b"
 
@@ -38,7 +39,7 @@ def _plain(name: Column) -> Column:
 
 def extract_ddl(migrations: DataFrame) -> DataFrame:
     """One row a statement: repo_id, path, migration_order, statement_index, outcome, kind, object_schema, object_name, policy_name, command,
-    roles, privileges, has_using, has_with_check, security_mode, search_path.
+    roles, privileges, has_using, has_with_check, security_mode, search_path, object_kind (of grants), security_invoker (of views).
 
     outcome: SUPPORTED, IGNORED_SAFE, UNSUPPORTED (it can change privileges) or MALFORMED, which takes all statements of its file.
     """
@@ -57,6 +58,8 @@ def extract_ddl(migrations: DataFrame) -> DataFrame:
     is_policy, is_grant = F.col("kind").contains("POLICY"), F.col("kind").isin("GRANT", "REVOKE")
     outcome = F.when(F.col("broken"), "MALFORMED").when(F.col("kind").isNotNull(), "SUPPORTED").when(F.col("s").rlike(UNSUPPORTED), "UNSUPPORTED").otherwise("IGNORED_SAFE")
     mode = F.when(F.col("s").rlike(r"(?i)\bsecurity\s+definer\b"), "DEFINER").when(F.col("s").rlike(r"(?i)\bsecurity\s+invoker\b"), "INVOKER")
+    setting = F.lower(F.regexp_extract("s", r"(?i)\bwith\s*\([^)]*\bsecurity_invoker\b\s*=?\s*([a-z]*)", 1))
+    invoker = F.when(F.col("s").rlike(r"(?i)\bwith\s*\([^)]*\bsecurity_invoker\b"), ~setting.isin("false", "off", "no"))
     supported = lambda c: F.when(~F.col("broken"), c)
     return rows.select(
         "repo_id", "path", "migration_order", "statement_index", outcome.alias("outcome"), supported(F.col("kind")).alias("kind"), supported(F.when(F.size(parts) > 1, _plain(parts[0]))).alias("object_schema"),
@@ -65,6 +68,8 @@ def extract_ddl(migrations: DataFrame) -> DataFrame:
         supported(F.when(is_policy | is_grant, F.filter(who, lambda w: w != ""))).alias("roles"), supported(F.when(is_grant, granted)).alias("privileges"),
         supported(F.when(is_policy, F.col("s").rlike(r"(?i)\susing\s*\("))).alias("has_using"), supported(F.when(is_policy, F.col("s").rlike(r"(?i)\swith\s+check\s*\("))).alias("has_with_check"),
         supported(F.when(F.col("kind").contains("FUNCTION"), mode)).alias("security_mode"), supported(F.when(F.col("kind").contains("FUNCTION"), F.nullif(F.trim(F.regexp_extract("s", r"(?i)\bset\s+search_path\s*(?:=|to)\s*([^;]*?)(?:\s+as\s|\s+language\s|$)", 1)), F.lit("")))).alias("search_path"),
+        supported(F.when(is_grant, F.coalesce(F.nullif(F.upper(F.regexp_extract("s", r"(?i)\son\s+(table|function|schema|sequence)\s", 1)), F.lit("")), F.lit("TABLE")))).alias("object_kind"),
+        supported(F.when(F.col("kind") == "CREATE_VIEW", invoker)).alias("security_invoker"),
     )
 
 

@@ -54,11 +54,11 @@ def parse_advisories(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def parse_cache(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cache entries of JSON lines (value), keys exactly those of the contract; past CACHE_MOST entries the file is rejected as a whole."""
+    """Cache entries of JSON lines (file_id, value), keys exactly those of the contract; past CACHE_MOST entries a file is rejected as a whole."""
     rows = raw.withColumn("extra", known_keys(F.col("value"), CACHE_KEYS)).withColumn("e", F.from_json("value", "ecosystem string, name string, version string, fetched_at bigint, advisories array<string>"))
     bad = F.when(F.size("extra") > 0, "UNKNOWN_FIELD").when(F.col("e.name").isNull() | F.col("e.fetched_at").isNull(), "MALFORMED")
-    over = raw.agg((F.count("*") > CACHE_MOST).alias("over"))
-    rows = rows.withColumn("bad", bad).crossJoin(over).withColumn("reject_reason", F.when(F.col("over"), "TOO_MANY_ENTRIES").otherwise(F.col("bad")))
+    over = raw.groupBy("file_id").agg((F.count("*") > CACHE_MOST).alias("over"))
+    rows = rows.withColumn("bad", bad).join(over, "file_id").withColumn("reject_reason", F.when(F.col("over"), "TOO_MANY_ENTRIES").otherwise(F.col("bad")))
     return rows.where("reject_reason is null").select("e.*"), rows.where("reject_reason is not null").select("value", "reject_reason")
 
 
