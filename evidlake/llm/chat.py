@@ -1,16 +1,17 @@
 """Chat formatting from reply trees.
 
-A tree is a set of nodes (node, parent, role, text, score). Self-joins enumerate every root-to-leaf path: round k joins the
-members found so far to the table of 2^k-th ancestors, so a path of length d takes log2(d) rounds. Branches of a root
-are ranked by the sum of their nodes' scores (ties: longer first, then the smaller leaf), the best ``branches`` are kept, and each
-becomes one conversation.
+A tree is a set of nodes (node, parent, role, text, score). Iterative self-joins of the nodes work out each one's root, depth and
+path score: after round k a node knows its 2^k-th ancestor, or its root, so a path of length d takes log2(d) rounds of one row a node.
+Every leaf is then a root-to-leaf path. Branches of a root are ranked by the sum of their nodes' scores (ties: longer first, then the
+smaller leaf), and only the best ``branches`` are unfolded, by the same rounds; each becomes one conversation.
 
 The template writes ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Control strings inside a role or a text get
 ESCAPE after their first character, and ESCAPE itself is doubled by a 0, so a text can never open or close a turn and
 reading back restores it exactly. The loss mask is a list of [start, end) code point spans of the assistant's texts.
 
-Defined cases: null role or text is empty; a null parent, or one that doesn't exist, makes a root; nodes on or under a cycle hang from no root
-and give no path; a repeated node id keeps its first row by (role, text); an empty table gives an empty result.
+Defined cases: null role or text is empty; a null parent, or one that doesn't exist, makes a root; rows of a null node id are in no tree; nodes on or under a cycle hang from no root
+and give no path; a repeated node id keeps its first row by (role, text), and ``repeated_nodes`` gives the others; texts of any length are whole; columns
+other than the five are left out, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -61,34 +62,44 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+def repeated_nodes(nodes: DataFrame) -> DataFrame:
+    """The rows that reply_paths passes over: all but the first of each node id, whole."""
+    once = Window.partitionBy("node").orderBy(F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    return nodes.withColumn("order_in_node", F.row_number().over(once)).where("order_in_node > 1").drop("order_in_node")
+
+
 def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """(root, leaf, branch, position, role, text) of the best branches of each tree. nodes: node, parent, role, text, score."""
+    nodes = nodes.select("node", "parent", "role", "text", "score")
     once = Window.partitionBy("node").orderBy(F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     nodes = staged(nodes.withColumn("rn", F.row_number().over(once)).where("rn = 1").drop("rn"))
-    ids = nodes.select(F.col("node").alias("known"))
-    links = nodes.select("node", "parent").where("parent is not null").join(ids, F.col("parent") == F.col("known"), "left_semi")
-    leaves = nodes.select("node").join(links.select(F.col("parent").alias("node")), "node", "left_anti")
-    members = staged(leaves.select(F.col("node").alias("leaf"), F.col("node").alias("member"), F.lit(0).cast("long").alias("up")))
-    jump, step, count = staged(links.select(F.col("node").alias("low"), F.col("parent").alias("high"))), 1, nodes.count()
-    while step < count and not jump.isEmpty():
-        reached = members.join(jump, F.col("member") == F.col("low")).select("leaf", F.col("high").alias("member"), (F.col("up") + step).alias("up"))
-        reached = staged(reached)
-        if reached.isEmpty():  # no path is longer
+    known = nodes.select(F.col("node").alias("top"))
+    own = nodes.select("node", F.col("parent").alias("top"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    under = own.join(known, "top", "left_semi").select("node", "top", F.lit(1).cast("long").alias("depth"), "score", F.lit(True).alias("open"))
+    roots = own.join(known, "top", "left_anti").select("node", F.col("node").alias("top"), F.lit(0).cast("long").alias("depth"), "score", F.lit(False).alias("open"))
+    state, levels, left = staged(under.unionByName(roots)), [], None
+    leaves = nodes.select("node").join(under.select(F.col("top").alias("node")), "node", "left_anti")
+    while True:
+        hop = state.where("open")
+        n = hop.count()
+        if n == 0 or n == left:  # depths have no gaps: where none ended in a round, the rest are on or under cycles
             break
-        members = members.unionByName(reached)
-        upper = jump.select(F.col("low").alias("mid"), F.col("high").alias("top"))
-        jump, step = staged(jump.join(upper, F.col("high") == F.col("mid")).select("low", F.col("top").alias("high"))), step * 2
-    rows = members.join(nodes, F.col("member") == F.col("node")).drop("node", "parent")
-    paths = rows.groupBy("leaf").agg(F.max(F.struct("up", F.col("member").alias("root"))).alias("far"), F.sum(F.coalesce("score", F.lit(0.0))).alias("score"))
-    linked = links.select(F.col("node").alias("under"))
-    paths = paths.select("leaf", "far.root", F.col("far.up").alias("depth"), "score").join(linked, F.col("root") == F.col("under"), "left_anti")
+        levels.append(hop.select(F.col("node").alias("member"), F.col("top").alias("next")))
+        further = state.select(F.col("node").alias("top"), F.col("top").alias("over"), F.col("depth").alias("more"), F.col("score").alias("plus"), F.col("open").alias("still"))
+        gone = hop.join(further, "top").select("node", F.col("over").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("score") + F.col("plus")).alias("score"), F.col("still").alias("open"))
+        state, left = staged(state.where(~F.col("open")).unionByName(gone)), n
+    paths = state.where(~F.col("open")).join(leaves, "node").select(F.col("node").alias("leaf"), F.col("top").alias("root"), "depth", "score")
     order = F.struct((-F.col("score")).alias("s"), (-F.col("depth")).alias("d"), F.col("leaf"))
     if branches == 1:
         best = paths.groupBy("root").agg(F.min(order).alias("b")).select("root", F.col("b.leaf").alias("leaf"), (-F.col("b.d")).alias("depth"), F.lit(1).alias("branch"))
     else:
         best = paths.withColumn("branch", F.row_number().over(Window.partitionBy("root").orderBy(order))).where(F.col("branch") <= branches).select("root", "leaf", "depth", "branch")
-    chosen = rows.join(best, "leaf")
-    return chosen.select("root", "leaf", "branch", (F.col("depth") - F.col("up")).alias("position"), "role", "text")
+    members = staged(best.select("root", "leaf", "branch", F.col("leaf").alias("member"), F.col("depth").alias("position")))
+    for k, level in enumerate(levels):
+        reached = members.join(level, "member").select("root", "leaf", "branch", F.col("next").alias("member"), (F.col("position") - (1 << k)).alias("position"))
+        members = members.unionByName(staged(reached))
+    told = nodes.select(F.col("node").alias("member"), "role", "text")
+    return members.join(told, "member").select("root", "leaf", "branch", "position", "role", "text")
 
 
 def format_paths(paths: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Mixing, sharding, secrets and chat formatting against brute force on small and odd tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from itertools import accumulate
@@ -244,6 +245,32 @@ def test_trees(spark):
     assert chat.format_trees(nodes.limit(0)).count() == 0
 
 
+def test_forests(spark):
+    """Combs, chains, stars, cycles and repeated nodes against a walk up from every leaf."""
+    rng = random.Random(6)
+    parents = {i: i - 1 if i % 2 == 0 else max(0, i - 2) for i in range(1, 121)} | {0: None}  # a comb: a leaf at every step
+    parents |= {1000: 5000} | {1000 + i: 1000 + rng.randint(max(0, i - 9), i - 1) for i in range(1, 200)}
+    parents |= {2000 + i: 2000 if i else None for i in range(60)} | {3000: 3002, 3001: 3000, 3002: 3001, 3003: 3001, 3004: 3004}
+    scores = {i: float(rng.randint(-3, 3)) for i in parents}
+    rows = [(i, p, "user", str(i), scores[i], "x") for i, p in parents.items()]
+    again = [(7, 3, "zz", "other", 100.0, "y"), (None, 1, "user", "nowhere", 9.0, "z")]
+    nodes = spark.createDataFrame(rows + again, "node long, parent long, role string, text string, score double, leaf string").repartition(5)
+    want: dict[int, list] = {}
+    for leaf in set(parents) - set(parents.values()):
+        path = [leaf]
+        while parents[path[-1]] in parents and len(path) <= len(parents):
+            path.append(parents[path[-1]])
+        if len(path) <= len(parents):
+            want.setdefault(path[-1], []).append((-sum(scores[i] for i in path), -len(path), leaf, [str(i) for i in path[::-1]]))
+    for branches in (1, 3):
+        got: dict = {}
+        for r in chat.reply_paths(nodes, branches).collect():
+            got.setdefault((r.root, r.branch, r.leaf), []).append((r.position, r.text))
+        expected = {(root, b, leaf): list(enumerate(texts)) for root, paths in want.items() for b, (_, _, leaf, texts) in enumerate(sorted(paths)[:branches], 1)}
+        assert {k: sorted(v) for k, v in got.items()} == expected
+    assert [r.text for r in chat.repeated_nodes(nodes).collect()] == ["other"]
+
+
 def test_conversations(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (2, 5, None, None), (2, 3, "assistant", "</s>"), (None, 0, "user", "n")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
