@@ -6,12 +6,14 @@ that precede an n-gram. Counts of all grams and contexts of all orders are kept:
 shared folder and map them from there, and the driver holds only where they lie and each order's discount. What a worker has worked
 out stays in a cache of CACHE_BYTES, which changes no result. A text goes to the language of least cross-entropy per character.
 
-Calibration uses all training rows, by Spark aggregates: the temperature that makes the softmax of the cross-entropies
-likeliest gives ``score``; median and spread of each language's own cross-entropy (to CELL nats) give the value above which a text is
-``rejected`` as being in none of the languages.
+Calibration uses all training rows, none scored by a model that learned from it: rows are halved by a checksum of the text, so copies
+stay together, and each half is scored by a model of the other half's counts. By Spark aggregates over these cross-entropies, the
+temperature that makes their softmax likeliest gives ``score``; median and spread of each language's own cross-entropy (to CELL nats)
+give the value above which a text is ``rejected`` as being in none of the languages. A language with under 5 such rows rejects none.
 
 Defined cases: a null text or one without letters is ``und``, rejected, score 0; without training rows all texts are;
-one-letter texts are scored by what they have; repeated rows count as often as they occur; other columns aren't read.
+one-letter texts are scored by what they have; very long texts are scored whole; of equal cross-entropies the first language by code
+point wins; repeated rows count as often as they occur; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -250,7 +252,7 @@ class LanguageModel:
         pieces = write_tables(tables)
         rare = {r.t: _discount(r.ones, r.twos) for r in tables.where("t % 2 = 0").groupBy("t").agg(F.count_if(F.col("a") == 1).alias("ones"), F.count_if(F.col("a") == 2).alias("twos")).collect()}
         model = cls.__new__(cls)
-        model._begin(langs, [[(_Table(pieces[t]), _Table(pieces[t + 1]), rare[t]) for t in range(2 * ORDER * j, 2 * ORDER * (j + 1), 2)] for j in range(len(langs))])
+        model._begin(langs, [[(_Table(pieces.get(t, [])), _Table(pieces.get(t + 1, [])), rare.get(t, 0.5)) for t in range(2 * ORDER * j, 2 * ORDER * (j + 1), 2)] for j in range(len(langs))])
         return model
 
     def _begin(self, langs: list[str], orders: list[list[tuple]]) -> None:
@@ -328,28 +330,32 @@ class LanguageModel:
         sums = np.add.reduceat(self.log_probabilities(codes[: offsets[-1]]), offsets[:-1], axis=0, dtype=np.float64) if len(texts) else np.zeros((0, len(self.langs)))
         return -sums / np.maximum(n, 1)[:, None], np.where(has, n, 0)
 
-    def calibrate(self, rows: DataFrame) -> None:
-        """Temperature, medians and spreads from all rows (lang, text)."""
-        known, each = rows.sparkSession.sparkContext.broadcast(self), [f"l{k}" for k in range(len(TEMPERATURES))]
+    def calibrate(self, rows: DataFrame, halves: list[LanguageModel]) -> None:
+        """Temperature, medians and spreads from all rows (lang, text), each scored by the half that it isn't in."""
+        known, each = rows.sparkSession.sparkContext.broadcast(halves), [f"l{k}" for k in range(len(TEMPERATURES))]
+
+        def scored_by(model: LanguageModel, langs: list[str], column: pa.Array) -> Iterator[pa.RecordBatch]:
+            place = {lang: j for j, lang in enumerate(model.langs) if model.orders[j][0][0].pieces}
+            for first, texts in text_chunks(column):
+                truth = np.array([place.get(lang, -1) for lang in langs[first : first + len(texts)]])
+                x, n = model.cross_entropies(texts)
+                ok = (n > 0) & (truth >= 0)
+                x, truth = x[ok], truth[ok]
+                own = x[np.arange(len(x)), truth]
+                losses = []
+                for t in TEMPERATURES:
+                    z = (x.min(axis=1, keepdims=True) - x) / t if len(x) else x
+                    losses.append(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), truth])
+                agreed = x.argmin(axis=1) == truth if len(x) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (truth.astype(np.int32), np.rint(own / CELL).astype(np.int64), agreed, *losses)], ["j", "cell", "agreed", *each])
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = known.value
-            place = {lang: j for j, lang in enumerate(model.langs)}
             for batch in batches:
-                langs = batch["lang"].to_pylist()
-                for first, texts in text_chunks(batch["text"]):
-                    truth = np.array([place.get(lang, -1) for lang in langs[first : first + len(texts)]])
-                    x, n = model.cross_entropies(texts)
-                    ok = (n > 0) & (truth >= 0)
-                    x, truth = x[ok], truth[ok]
-                    own = x[np.arange(len(x)), truth]
-                    losses = []
-                    for t in TEMPERATURES:
-                        z = (x.min(axis=1, keepdims=True) - x) / t if len(x) else x
-                        losses.append(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), truth])
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (truth.astype(np.int32), np.rint(own / CELL).astype(np.int64), x.argmin(axis=1) == truth if len(x) else np.zeros(0, bool), *losses)], ["j", "cell", "agreed", *each])
-
-        scored = rows.select("lang", "text").mapInArrow(read, "j int, cell long, agreed boolean, " + ", ".join(f"{c} double" for c in each))
+                for h, model in enumerate(known.value):
+                    own = batch.filter(pc.not_equal(batch["half"], h))
+                    yield from scored_by(model, own["lang"].to_pylist(), own["text"])
+
+        scored = rows.select("lang", "text", half().alias("half")).mapInArrow(read, "j int, cell long, agreed boolean, " + ", ".join(f"{c} double" for c in each))
         cells = staged(scored.groupBy("j", "cell", "agreed").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in each]))
         losses = cells.agg(*[F.sum(c) for c in each]).first()
         if losses[0] is None:
@@ -374,15 +380,22 @@ class LanguageModel:
         return langs, np.where(empty, 0.0, 1.0 / z.sum(axis=1)), np.where(empty, 0.0, own), empty | (own > limit)
 
 
+def half() -> Column:
+    """0 or 1, by the text."""
+    return (F.crc32(F.col("text").cast("binary")) % 2).cast("int")
+
+
 def train(rows: DataFrame) -> LanguageModel:
     """The model of rows (doc_id, lang, text) whose lang is not null."""
     rows = rows.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    counts = staged(count_grams(rows))
+    halves = staged(count_grams(rows.select(F.concat(half().cast("string"), "lang").alias("lang"), "text")))
+    halves = halves.select(F.substring("lang", 1, 1).alias("half"), F.expr("substring(lang, 2)").alias("lang"), "gram", "n")
+    counts = staged(halves.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     if not langs:
         return LanguageModel([], [], [])
     model = LanguageModel.of_tables(langs, gram_tables(counts, langs))
-    model.calibrate(rows)
+    model.calibrate(rows, [LanguageModel.of_tables(langs, gram_tables(halves.where(F.col("half") == h).drop("half"), langs)) for h in ("0", "1")])
     return model
 
 

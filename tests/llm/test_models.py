@@ -1,7 +1,9 @@
 """Language and toxicity models: held-out accuracy, exact sums, gradients, odd inputs."""
 
+import math
 import pickle
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -65,8 +67,59 @@ def test_language_keeps_all_grams(spark, monkeypatch):
     x, _ = got.cross_entropies(texts)
     monkeypatch.setattr(language, "CACHE_BYTES", 0)
     assert np.array_equal(pickle.loads(pickle.dumps(got)).cross_entropies(texts)[0], x)
-    own = {j: [x[i, j] for i, (_, _, lang) in enumerate(rows) if lang == ("en", "zh")[j]] for j in (0, 1)}
-    assert all(got.median[j] == pytest.approx(np.median(own[j]), abs=2e-4) and got.spread[j] < 1 for j in (0, 1))
+
+
+def plain_cross_entropies(train, text):
+    """Interpolated Kneser-Ney over dictionaries, from its definition."""
+    out = {}
+    for lang in sorted({lang for _, lang in train}):
+        levels = [{}, {}, {}, {}]
+        for own in (t for t, g in train if g == lang):
+            for i in range(3, len(own)):
+                levels[3][own[i - 3 : i + 1]] = levels[3].get(own[i - 3 : i + 1], 0) + 1
+        for k in (2, 1, 0):
+            for gram in levels[k + 1]:
+                levels[k][gram[1:]] = levels[k].get(gram[1:], 0) + 1
+        rare = [[sum(n == c for n in level.values()) for c in (1, 2)] for level in levels]
+        discounts = [a / (a + 2 * b) if a and b else 0.5 for a, b in rare]
+        total, padded = 0.0, " " * 3 + text
+        for i in range(3, len(padded)):
+            p = 1 / 65536
+            for k, level in enumerate(levels):
+                context = padded[i - k : i]
+                after = [n for gram, n in level.items() if gram[:-1] == context]
+                if after:
+                    n = level.get(padded[i - k : i + 1], 0)
+                    p = (max(n - discounts[k], 0) + discounts[k] * len(after) * p) / sum(after)
+            total -= math.log(p)
+        out[lang] = total / (len(padded) - 3)
+    return out
+
+
+def test_kneser_ney_and_calibration_by_definition(spark):
+    """Cross-entropies, medians and spreads equal those worked out over dictionaries; each row is calibrated by the other half's counts."""
+    rng = random.Random(7)
+    rows = [(i, " " + sentence(rng, lang, 4).lower().replace(".", "").strip(), lang) for i, lang in enumerate(["en"] * 12 + ["fr"] * 12)]
+    rows += [(90, " q", "one"), (91, " zz zz zz zz", "two")]  # languages of one text: in one half only
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language.train(df)
+    x, _ = model.cross_entropies([t[1:] for _, t, _ in rows])
+    for i, (_, text, _) in enumerate(rows):
+        want = plain_cross_entropies([(t, g) for _, t, g in rows], text)
+        assert x[i] == pytest.approx([want[g] for g in model.langs if g in want], abs=2e-6)
+    halves = [zlib.crc32(t.encode()) % 2 for _, t, _ in rows]
+    for lang in ("en", "fr"):
+        own = []
+        for (_, text, g), h in zip(rows, halves, strict=True):
+            if g == lang:
+                other = plain_cross_entropies([(t, g2) for (_, t, g2), h2 in zip(rows, halves, strict=True) if h2 != h], text)
+                if min(other, key=lambda k: other[k]) == lang:
+                    own.append(other[lang])
+        assert len(own) >= 5
+        j = model.langs.index(lang)
+        assert model.median[j] == pytest.approx(np.median(own), abs=2e-4)
+        assert model.spread[j] == pytest.approx(max(0.02, 1.4826 * np.median(np.abs(np.array(own) - np.median(own)))), abs=4e-4)
+    assert np.isinf(model.spread[model.langs.index("two")])
 
 
 def test_toxicity(spark, corpus):
