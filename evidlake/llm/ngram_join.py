@@ -368,6 +368,19 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, count_l
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """documents without near copies: of each component the row of the least doc_id, with all columns."""
+    """documents without near copies: of each component the row of the least doc_id, with all columns. Of rows equal in doc_id and
+    text any one stays. A row of null doc_id goes where another row, of any doc_id, has its text; all rows without words stay."""
     copies = staged(similar_documents(docs, size, percent, count_links=False).where("doc_id <> component_id").select(F.col("doc_id").alias("copy")).distinct())
-    return docs.join(copies, docs["doc_id"].cast("long") == copies["copy"], "left_anti")
+    kept = docs.join(copies, docs["doc_id"].cast("long") == copies["copy"], "left_anti")
+    digest = F.when(docs["text"].rlike(r"[^\x20\x09-\x0D]"), F.sha2(docs["text"].cast("binary"), 256))
+    digests = docs.select(docs["doc_id"].cast("long").alias("of"), digest.alias("same_text")).where("same_text is not null")
+    repeated = staged(digests.groupBy("of", "same_text").agg(F.count("*").alias("n")).where("n > 1 or of is null"))
+    if repeated.isEmpty():
+        return kept
+    # Only rows of these texts are regrouped; the others stay where they are.
+    mine = digest.eqNullSafe(repeated["same_text"]) & docs["doc_id"].cast("long").eqNullSafe(repeated["of"])
+    apart = kept.join(repeated, mine, "left_anti")
+    together = kept.join(repeated, mine, "left_semi").dropDuplicates(["doc_id", "text"])
+    named = staged(digests.where("of is not null").select("same_text").join(repeated.where("of is null").select("same_text"), "same_text", "left_semi").distinct())
+    told = F.when(docs["doc_id"].isNull(), digest) == named["same_text"]
+    return apart.unionByName(together.join(named, told, "left_anti"))

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evidlake.llm import decontamination, ngram_join
 from evidlake.llm.components import components
@@ -173,3 +174,15 @@ def test_leaks_with_null_ids_and_repeated_rows(spark):
     assert {(r.doc_id, r.item_id): r.matched for r in decontamination.find_leaks(d, b).collect()} == {(i, j): 20 for i in (None, 5, 6) for j in (1, None)}
     kept = sorted((r.doc_id or -1, r.text or "") for r in decontamination.decontaminate(d, b).collect())
     assert kept == sorted((i or -1, t or "") for i, t in rows if item not in (t or ""))
+
+
+def test_one_of_each_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(WORDS[i : i + 40]) for i in (0, 50, 100))
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "y"), (2, a, "x"), (None, a, "x"), (None, b, "x"), (None, b, "z"), (3, c, "x"), (4, " ", "x"), (4, " ", "x"), (None, "", "x"), (None, None, "x"), (5, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, of string").withColumn("same_text", F.lit(1)).withColumn("n", F.lit(2)).repartition(4)
+    got = ngram_join.one_of_each(df)
+    assert got.columns == df.columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[1] is None)
+    want = [(1, a), (None, b), (3, c), (4, " "), (4, " "), (None, ""), (None, None), (5, None)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted(want, key=key)
+    assert ngram_join.one_of_each(df.limit(0)).count() == 0
