@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidlake.llm import chat, decontamination, language, mixing, ngram_join, search, secrets, sharding, substrings, toxicity
+from evidlake.llm import chat, decontamination, divergence, filter_audit, language, mixing, ngram_join, search, secrets, sharding, substrings, toxicity, url_filter
 from evidlake.llm.common import table
 
 
@@ -65,6 +65,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("root.conv_id").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"), 30, 50)
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_pages(table(spark, sf_dir, "pages"), url_filter.RULES)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_ngram_join": op2_ngram_join,
@@ -76,11 +88,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_search": op9_search,
     "op10_chat": op10_chat,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_url_filter": op12_url_filter,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _CONTROL = "|".join([chat.ESCAPE, *(c.replace("|", r"\|").replace("[", r"\[").replace("]", r"\]").replace("/", r"\/") for c in chat.CONTROL)])
 
 ORACLES: dict[str, str] = {
+    "op11_source_divergence": divergence.ORACLE,
+    "op12_url_filter": url_filter.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
     # Every control string, and the escape itself, grows by one character; a turn adds 24 of the template's own.
     "op10_chat": f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r0, text AS t0 FROM conversations
