@@ -25,8 +25,8 @@ name are not read.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from evidlake.llm.common import chunks, staged, words
 
 UNIT, SMOOTH = 1_000_000_000, 5
-BLOCK_BYTES = 64 << 20
-SHARD_ROWS = 1 << 19
+BLOCK_BYTES = 32 << 20
+SHARD_ROWS, FAN, PIECE = 1 << 19, 64, 1 << 13
 TILE, TILE_ROWS, TERMS_AT_ONCE = 256, 1 << 18, 512
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -49,8 +49,28 @@ POSTING = "term binary, lang string, source string, cf long, df long"
 
 
 def _summed(parts: list[pa.Table]) -> pa.Table:
-    table = pa.concat_tables(parts).group_by(_KEY, use_threads=False).aggregate([("cf", "sum"), ("df", "sum")])
-    return pa.Table.from_arrays([table.column(c) for c in (*_KEY, "cf_sum", "df_sum")], schema=_POSTING)
+    """Postings with equal keys summed, in order of term, lang and source. Strings are compared once each: rows are ordered by ranks."""
+    table = pa.concat_tables(parts).combine_chunks()
+    if not len(table):
+        return table
+    term, lang, source = (table.column(c).chunk(0).dictionary_encode() for c in _KEY)
+    order = pc.sort_indices(term.dictionary)
+    names = term.dictionary.take(order)
+    rank = np.empty(len(names), dtype=np.int64)
+    rank[order.to_numpy()] = np.arange(len(names))
+    pair, group = np.unique(lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy(), return_inverse=True)
+    named = [(lang.dictionary[x // len(source.dictionary)].as_py().encode(), source.dictionary[x % len(source.dictionary)].as_py().encode()) for x in pair.tolist()]
+    by_name = sorted(range(len(named)), key=named.__getitem__)
+    place = np.empty(len(named), dtype=np.int64)
+    place[by_name] = np.arange(len(named))
+    key = rank[term.indices.to_numpy()] * len(named) + place[group]
+    rows = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[rows], prepend=-1))
+    key = key[rows[first]]
+    sums = [pa.array(np.add.reduceat(table.column(c).to_numpy()[rows], first)) for c in ("cf", "df")]
+    pair = pair[by_name][key % len(named)]
+    of = [coded.dictionary.take(pa.array(at)) for coded, at in ((lang, pair // len(source.dictionary)), (source, pair % len(source.dictionary)))]
+    return pa.Table.from_arrays([names.take(pa.array(key // len(named))), *of, *sums], schema=_POSTING)
 
 
 def _postings(batch: pa.RecordBatch) -> Iterator[pa.Table]:
@@ -66,7 +86,7 @@ def _postings(batch: pa.RecordBatch) -> Iterator[pa.Table]:
 
     groups, n = np.unique(pair, return_counts=True)
     yield table(groups, pa.array([b""] * len(groups), pa.binary()), np.zeros(len(groups), np.int64), n)
-    for first, data, offsets in chunks(text, 4 << 20):
+    for first, data, offsets in chunks(text, 2 << 20):
         w = words(data, offsets, ~_LETTER)
         if not len(w.start):
             continue
@@ -93,34 +113,57 @@ def _runs(limit: int):
                     block = [_summed(block)]
                     held = floor = block[0].nbytes
                 if held > limit:
-                    yield from _summed(block).sort_by([(c, "ascending") for c in _KEY]).to_batches()
+                    yield from _summed(block).to_batches()
                     block, held, floor = [], 0, 0
         if block:
-            yield from _summed(block).sort_by([(c, "ascending") for c in _KEY]).to_batches()
+            yield from _summed(block).to_batches()
 
     return index
 
 
 def _falls(batch: pa.RecordBatch) -> list[int]:
-    """Places at which a row's key is less than that of the row before: there another run begins."""
-    falls, same = None, None
+    """Places at which a row's key isn't above that of the row before: there another run begins."""
+    above, same = None, None
     for name in _KEY:
         a, b = batch.column(name)[:-1], batch.column(name)[1:]
-        less = pc.less(b, a) if same is None else pc.and_(same, pc.less(b, a))
-        falls = less if falls is None else pc.or_(falls, less)
+        more = pc.less(a, b) if same is None else pc.and_(same, pc.less(a, b))
+        above = more if above is None else pc.or_(above, more)
         same = pc.equal(a, b) if same is None else pc.and_(same, pc.equal(a, b))
-    return (np.flatnonzero(falls.to_numpy(zero_copy_only=False)) + 1).tolist()
+    return (np.flatnonzero(~above.to_numpy(zero_copy_only=False)) + 1).tolist()
 
 
-def _rows(run: list[pa.RecordBatch], at_once: int = 2048) -> Iterator[tuple]:
-    """A run's rows as tuples, so few at a time that many runs can be open."""
-    for piece in run:
-        for start in range(0, len(piece), at_once):
-            yield from zip(*(c.to_pylist() for c in piece.slice(start, at_once).columns), strict=True)
+def _key(piece: pa.RecordBatch, row: int) -> tuple:
+    return tuple(piece.column(c)[row].as_py() for c in _KEY)
+
+
+def _up_to(piece: pa.RecordBatch, key: tuple) -> int:
+    return bisect_right(range(len(piece)), key, key=lambda row: _key(piece, row))
+
+
+def _heap_merge(runs: list[list[pa.RecordBatch]]) -> Iterator[pa.Table]:
+    """Sums of equal keys, in blocks of ascending keys. The heap holds the last key of each run's open piece: up to the least of these, every run's rows are at hand."""
+    pieces = [(p.slice(i, PIECE) for p in run for i in range(0, len(p), PIECE)) for run in runs]
+    opened = [next(p) for p in pieces]
+    heap = [(_key(p, len(p) - 1), run) for run, p in enumerate(opened)]
+    heapq.heapify(heap)
+    while heap:
+        bound, taken = heap[0][0], []
+        for _, run in heap:
+            if n := _up_to(opened[run], bound):
+                taken.append(opened[run].slice(0, n))
+                opened[run] = opened[run].slice(n)
+        yield _summed([pa.Table.from_batches(taken)])
+        while heap and heap[0][0] == bound:
+            run = heap[0][1]
+            if (following := next(pieces[run], None)) is None:
+                heapq.heappop(heap)
+            else:
+                opened[run] = following
+                heapq.heapreplace(heap, (_key(following, len(following) - 1), run))
 
 
 def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Equal keys of the runs in ``batches`` summed by a heap merge; runs are told by where keys fall, so nothing rests on how they arrive."""
+    """Equal keys of the runs in ``batches`` summed by heap merges of ``FAN`` runs; runs are told by where keys fall, so nothing rests on how they arrive."""
     runs, last = [], None
     for batch in batches:
         if not len(batch):
@@ -128,22 +171,15 @@ def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = [0, *_falls(batch), len(batch)]
         for start, end in zip(cuts[:-1], cuts[1:], strict=True):
             piece = batch.slice(start, end - start)
-            first = tuple(piece.column(c)[0].as_py() for c in _KEY)
-            if start or last is None or first < last:
+            if start or last is None or _key(piece, 0) <= last:
                 runs.append([])
             runs[-1].append(piece)
-            last = tuple(piece.column(c)[len(piece) - 1].as_py() for c in _KEY)
-    out: list[tuple] = []
-    for key, same in groupby(heapq.merge(*map(_rows, runs)), key=lambda row: row[:3]):
-        cf = df = 0
-        for row in same:
-            cf, df = cf + row[3], df + row[4]
-        out.append((*key, cf, df))
-        if len(out) == 1 << 16:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _POSTING, strict=True)], schema=_POSTING)
-            out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _POSTING, strict=True)], schema=_POSTING)
+            last = _key(piece, len(piece) - 1)
+    while len(runs) > FAN:  # as many short runs come from many tasks
+        some, runs = runs[:FAN], runs[FAN:]
+        runs.append([b for t in _heap_merge(some) for b in t.to_batches()])
+    for table in _heap_merge(runs):
+        yield from table.to_batches()
 
 
 def term_frequencies(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_rows: int = SHARD_ROWS) -> DataFrame:
