@@ -10,6 +10,7 @@ from evidlake.functions import identity as I
 from evidlake.operators import detect, graph, invariants, metrics, paths, regression
 from evidlake.plans.carriers import EDGE, EV, NODE, ev, query, sid, table
 from evidlake.sources import ddl, packages, reports, sinks
+from evidlake.sources.store import RecordStore
 from evidlake.streaming import jobs
 
 # --- detection -------------------------------------------------------------------------------------------------------
@@ -825,11 +826,25 @@ def st1(s, d):
     return drained(s, jobs.chain_stream(rows), "chain").select(F.col("session_id").cast("long").alias("session_id"), "sequence", "outcome")
 
 
-@query("st2_approval_stream")
+@query(
+    "st2_approval_stream",
+    """
+WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY ms, kind, id) AS rn FROM
+       (SELECT user_id || '-' || event_type AS digest, CASE WHEN event_id % 3 = 0 THEN 'APPROVAL' ELSE 'ASK' END AS kind, event_id::VARCHAR AS id, epoch_ms(ts) AS ms FROM events)
+     WHERE ms <= (SELECT max(epoch_ms(ts)) FROM events) - 600000),
+   step AS (SELECT digest, 0::BIGINT AS rn, []::STRUCT(ms BIGINT, id VARCHAR)[] AS have, NULL::VARCHAR AS id, NULL::VARCHAR AS approval_id, NULL::VARCHAR AS outcome FROM (SELECT DISTINCT digest FROM r)
+     UNION ALL
+     SELECT r.digest, r.rn, CASE WHEN r.kind = 'APPROVAL' THEN list_append(live, {'ms': r.ms, 'id': r.id}) ELSE live[2:] END, r.id,
+            CASE WHEN r.kind = 'ASK' THEN live[1].id END, CASE WHEN r.kind = 'APPROVAL' THEN 'HELD' WHEN len(live) > 0 THEN 'APPROVED' ELSE 'WAITING' END
+     FROM (SELECT s.digest, q.rn, q.kind, q.id, q.ms, list_filter(s.have, lambda h: h.ms + 86400000 > q.ms) AS live FROM step s JOIN r q ON q.digest = s.digest AND q.rn = s.rn + 1) r)
+SELECT digest, id AS invocation_id, approval_id, outcome FROM step WHERE outcome IN ('APPROVED', 'WAITING')
+""",
+)
 def st2(s, d):
     i = F.col("event_id")
-    rows = event_stream(s, d).select((F.col("user_id") % 50).cast("string").alias("digest"), F.when(i % 3 == 0, "APPROVAL").otherwise("ASK").alias("kind"), i.cast("string").alias("id"), F.col("ts").alias("event_time"))
-    return drained(s, jobs.approval_stream(rows), "approvals")
+    digest = F.concat_ws("-", F.col("user_id").cast("string"), "event_type")
+    rows = event_stream(s, d).select(digest.alias("digest"), F.when(i % 3 == 0, "APPROVAL").otherwise("ASK").alias("kind"), i.cast("string").alias("id"), F.col("ts").alias("event_time"))
+    return drained(s, jobs.approval_stream(rows, ttl_ms=86_400_000), "approvals")
 
 
 @query("st3_evidence_stream", "SELECT 'e' || (event_id - event_id % 2) AS evidence_id FROM events GROUP BY 1 HAVING count(DISTINCT event_id % 2 * (event_id % 10 // 9)) = 1")
@@ -837,9 +852,9 @@ def st3(s, d):
     root = f"{graph.shared_folder(s)}/evidence-{uuid.uuid4().hex}"
     i = F.col("event_id")
     rows = event_stream(s, d).select(F.concat(F.lit("e"), (i - i % 2).cast("string")).alias("evidence_id"), F.when(i % 10 == 9, "other").otherwise("same").alias("digest"))
-    run = rows.writeStream.foreachBatch(jobs.evidence_sink(f"{root}/table", f"{root}/conflicts")).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    run = rows.writeStream.foreachBatch(jobs.evidence_sink(f"{root}/table")).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return s.read.schema("evidence_id string, digest string").parquet(f"{root}/table").select("evidence_id")
+    return RecordStore(s, f"{root}/table").current().select("evidence_id")
 
 
 @query("st4_text_stream", "SELECT 'sha256:' || sha256(replace(event_type, 'error', '[redacted]')) AS content_hash, CASE WHEN event_type = 'purchase' THEN 'buy' ELSE '' END AS rule_ids FROM events")

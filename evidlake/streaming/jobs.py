@@ -2,112 +2,198 @@
 
 from __future__ import annotations
 
+import heapq
+import json
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from evidlake.operators.detect import flag_instructions, redact
-from evidlake.sources.sinks import append_immutable
+from evidlake.sources.store import RecordStore
 
-BUFFER_MOST = 1000
+#: Arbitrary state with timers needs this store; it keeps state on disk, so a key isn't bound by memory.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+BUFFER_MOST, HELD_MOST = 1000, 10_000
 CHAIN = "session_id string, sequence long, event_hash string, previous_event_hash string, outcome string"
 
 
-def append_chain(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One session's rows in chain order (ST1). State: next sequence, last hash, and rows that came early.
+def on_rocksdb(df: DataFrame) -> DataFrame:
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return df
+
+
+class ChainAppend(StatefulProcessor):
+    """One session's rows in chain order (ST1). State: the head (next sequence, last hash), and rows that came early, by sequence.
 
-    A batch's rows are drained first; of those still ahead of the head the nearest BUFFER_MOST wait, and the others are rejected, as are
-    forks and broken links. A replayed row is dropped.
+    A batch's rows are drained first; of those still ahead of the head the nearest ``BUFFER_MOST`` wait, and the others are rejected, as are
+    forks and broken links. A replayed row is dropped. At most ``HELD_MOST`` sequences of a batch are held in memory, the others go to the state's
+    map, so a session of any length and order passes. With ``gap_ms``, rows that wait while the head stands still for so long are rejected (GAP_TIMEOUT).
     """
-    head, last, waiting = state.get if state.exists else (0, None, [])
-    early: dict[int, dict[str, str]] = {}
-    for s, h, p in (w.split("|", 2) for w in waiting):
-        early.setdefault(int(s), {})[h] = p
-    out = []
-    for frame in frames:
-        for row in frame.itertuples(index=False):
-            prior = row.previous_event_hash if isinstance(row.previous_event_hash, str) else ""
+
+    def __init__(self, gap_ms: int | None = None) -> None:
+        self.gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", "sequence long, last string, waiting long, since long")
+        self.early = handle.getMapState("early", "sequence long", "own string")  # JSON of hash: previous hash
+
+    def _row(self, key: tuple, sequence: int, own: str, prior: str, outcome: str) -> Row:
+        return Row(session_id=key[0], sequence=sequence, event_hash=own, previous_event_hash=prior, outcome=outcome)
+
+    def _keep(self, sequence: int, own: dict[str, str]) -> int:
+        """Adds rows to those that wait; how many are new."""
+        held = json.loads(self.early.getValue((sequence,))[0]) if self.early.containsKey((sequence,)) else {}
+        self.early.updateValue((sequence,), (json.dumps(held | own),))
+        return len(own.keys() - held.keys())
+
+    def _take(self, sequence: int, batch: dict[int, dict[str, str]], waiting: int) -> tuple[dict[str, str], int]:
+        """All rows of one sequence, and how many wait after that."""
+        own = batch.pop(sequence, {})
+        if waiting and self.early.containsKey((sequence,)):
+            held = json.loads(self.early.getValue((sequence,))[0])
+            self.early.removeKey((sequence,))
+            own, waiting = held | own, waiting - len(held)
+        return own, waiting
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        head, last, waiting, since = self.head.get() or (0, None, 0, 0)
+        began, batch = head, {}
+        for row in rows:
+            prior = row.previous_event_hash or ""
             if row.sequence < head:
                 if row.sequence == head - 1 and row.event_hash != last:
-                    out.append((key[0], row.sequence, row.event_hash, prior, "FORK"))
-                continue
-            early.setdefault(int(row.sequence), {})[row.event_hash] = prior
-    while head in early:
-        taken = False
-        for h, prior in sorted(early.pop(head).items()):
-            good = not taken and prior == (last or "")
-            out.append((key[0], head, h, prior, "APPENDED" if good else "FORK" if taken else "PREVIOUS_HASH"))
-            if good:
-                taken, fresh = True, h
-        if not taken:
-            break
-        head, last = head + 1, fresh
-    ahead = sorted((s, h, p) for s, own in early.items() for h, p in own.items())
-    out += [(key[0], s, h, p, "BUFFER_FULL") for s, h, p in ahead[BUFFER_MOST:]]
-    state.update((head, last, [f"{s}|{h}|{p}" for s, h, p in ahead[:BUFFER_MOST]]))
-    yield pd.DataFrame(out, columns=["session_id", "sequence", "event_hash", "previous_event_hash", "outcome"])
-
-
-def chain_stream(events: DataFrame) -> DataFrame:
-    return events.select("session_id", "sequence", "event_hash", "previous_event_hash").groupBy("session_id").applyInPandasWithState(append_chain, CHAIN, "head long, last string, waiting array<string>", "append", GroupStateTimeout.NoTimeout)
+                    yield self._row(key, row.sequence, row.event_hash, prior, "FORK")
+            elif row.sequence in batch or len(batch) < HELD_MOST:
+                batch.setdefault(row.sequence, {})[row.event_hash] = prior
+            else:
+                waiting += self._keep(row.sequence, {row.event_hash: prior})
+        while True:
+            own, waiting = self._take(head, batch, waiting)
+            taken = None
+            for h, prior in sorted(own.items()):
+                good = taken is None and prior == (last or "")
+                yield self._row(key, head, h, prior, "APPENDED" if good else "FORK" if taken is not None else "PREVIOUS_HASH")
+                taken = h if good else taken
+            if taken is None:
+                break
+            head, last = head + 1, taken
+        for sequence, own in batch.items():
+            waiting += self._keep(sequence, own)
+        if waiting > BUFFER_MOST:
+            each = lambda: ((k[0], h, p) for k, v in self.early.iterator() for h, p in json.loads(v[0]).items())
+            nearest = heapq.nsmallest(BUFFER_MOST, each())
+            for row in each():
+                if row > nearest[-1]:
+                    yield self._row(key, *row, "BUFFER_FULL")
+            self.early.clear()
+            waiting = sum(self._keep(s, {h: p}) for s, h, p in nearest)
+        if waiting and self.gap_ms is not None and (head > began or not since):
+            since = timerValues.getCurrentProcessingTimeInMs()
+            self.handle.registerTimer(since + self.gap_ms)
+        self.head.update((head, last, waiting, since if waiting else 0))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        head, last, waiting, since = self.head.get() or (0, None, 0, 0)
+        if waiting and since + self.gap_ms <= expiredTimerInfo.getExpiryTimeInMs():  # the head hasn't moved since the timer was set
+            for (sequence,), (own,) in self.early.iterator():
+                for h, prior in json.loads(own).items():
+                    yield self._row(key, sequence, h, prior, "GAP_TIMEOUT")
+            self.early.clear()
+            self.head.update((head, last, 0, 0))
+
+
+def chain_stream(events: DataFrame, gap_ms: int | None = None) -> DataFrame:
+    """``gap_ms`` needs a trigger that keeps running: timers of the clock give Spark a reason for one more batch for ever, so an available-now run wouldn't end."""
+    rows = on_rocksdb(events).select("session_id", "sequence", "event_hash", "previous_event_hash")
+    return rows.groupBy("session_id").transformWithState(ChainAppend(gap_ms), CHAIN, "append", "None" if gap_ms is None else "ProcessingTime")
 
 
 APPROVAL = "digest string, invocation_id string, approval_id string, outcome string"
 
 
-def consume_approvals(ttl_ms: int):
-    """Single-use approvals of one digest with a time to live (ST2). Rows: kind (APPROVAL, ASK), id, event_time.
+class ApprovalQueue(StatefulProcessor):
+    """Single-use approvals of one digest with a time to live (ST2). Rows: kind (APPROVAL, ASK), id, at (milliseconds).
 
-    State that the watermark has outlived is dropped, so digests that fall silent leave nothing behind.
+    Rows wait under their time, and a timer brings each time up when the watermark has passed it: so all are taken in order of (at, kind, id)
+    over any number of batches. Unused approvals are a queue in the state, first in, first out; a timer at its end of life drops one that nobody
+    asked for, so digests that fall silent leave nothing behind. Memory holds the rows of one digest and millisecond at a time, and
+    up to ``HELD_MOST`` rows of a batch before they go to the state.
     """
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        if state.hasTimedOut:
-            state.remove()
-        else:
-            have = list(state.get[0]) if state.exists else []
-            rows = pd.concat(list(frames)).sort_values(["at", "kind", "id"])
-            for row in rows.itertuples(index=False):
-                have = [h for h in have if int(h.split("|", 1)[0]) + ttl_ms > row.at]
-                if row.kind == "APPROVAL":
-                    have.append(f"{row.at}|{row.id}")
-                elif have:
-                    out.append((key[0], row.id, have.pop(0).split("|", 1)[1], "APPROVED"))
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getMapState("pending", "at long", "own string")  # JSON list of [kind, id]
+        self.queue = handle.getMapState("queue", "place long", "at long, id string")
+        self.ends = handle.getValueState("ends", "first long, next long")
+
+    def _keep(self, held: dict[int, list]) -> None:
+        for at, own in held.items():
+            if self.pending.containsKey((at,)):
+                own = json.loads(self.pending.getValue((at,))[0]) + own
+            else:
+                self.handle.registerTimer(at)
+            self.pending.updateValue((at,), (json.dumps(own),))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        while some := list(islice(rows, HELD_MOST)):
+            held: dict[int, list] = {}
+            for row in some:
+                held.setdefault(row.at, []).append([row.kind, row.id])
+            self._keep(held)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        first, following = self.ends.get() or (0, 0)
+        while first < following and self.queue.getValue((first,))[0] + self.ttl_ms <= at:
+            self.queue.removeKey((first,))
+            first += 1
+        if self.pending.containsKey((at,)):
+            own = json.loads(self.pending.getValue((at,))[0])
+            self.pending.removeKey((at,))
+            for kind, name in sorted(own):
+                if kind == "APPROVAL":
+                    self.queue.updateValue((following,), (at, name))
+                    following += 1
+                elif first < following:
+                    approval = self.queue.getValue((first,))[1]
+                    self.queue.removeKey((first,))
+                    first += 1
+                    yield Row(digest=key[0], invocation_id=name, approval_id=approval, outcome="APPROVED")
                 else:
-                    out.append((key[0], row.id, None, "WAITING"))
-            state.update((have,))
-            state.setTimeoutTimestamp(max(int(rows["at"].max()) + ttl_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["digest", "invocation_id", "approval_id", "outcome"])
-
-    return run
+                    yield Row(digest=key[0], invocation_id=name, approval_id=None, outcome="WAITING")
+            if first < following:
+                self.handle.registerTimer(at + self.ttl_ms)
+        if first < following:
+            self.ends.update((first, following))
+        else:
+            self.ends.clear()
 
 
 def approval_stream(rows: DataFrame, ttl_ms: int = 3_600_000, late: str = "10 minutes") -> DataFrame:
-    timed = rows.withWatermark("event_time", late).select("digest", "kind", "id", "event_time", F.unix_millis("event_time").alias("at"))
-    return timed.groupBy("digest").applyInPandasWithState(consume_approvals(ttl_ms), APPROVAL, "have array<string>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def evidence_sink(path: str, conflicts: str, key: str = "evidence_id", digest: str = "digest"):
-    """A foreachBatch function that inserts each piece of evidence once (ST3); a batch that runs again changes nothing."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        try:
-            table = spark.read.schema(batch.schema).parquet(path)
-            table.limit(0).collect()
-        except Exception as error:  # the table doesn't exist before the first batch
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            table = batch.limit(0)
-        new, _same, bad = append_immutable(batch, table, key, digest)
-        new.write.mode("append").parquet(path)
-        bad.write.mode("append").parquet(conflicts)
-        batch.unpersist()
+    timed = on_rocksdb(rows).withWatermark("event_time", late).select("digest", "kind", "id", "event_time", F.unix_millis("event_time").alias("at"))
+    return timed.groupBy("digest").transformWithState(ApprovalQueue(ttl_ms), APPROVAL, "append", "EventTime")
+
+
+def evidence_sink(root: str, key: str = "evidence_id", digest: str = "digest", stream: str = "evidence", buckets: int = 64):
+    """A foreachBatch function that inserts each piece of evidence once into the record table at ``root`` (ST3).
+
+    The batch's number is published with its data and its conflicts, by one rename: a batch that failed at any point is written anew, and one that was
+    written changes nothing when it runs again. A stream that starts over with a new checkpoint needs a new ``stream`` name.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        table = RecordStore.create(batch.sparkSession, root, batch.schema, key, buckets)
+        table.put(batch, digest, immutable=True, batch=(stream, number))
 
     return write
 

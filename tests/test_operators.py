@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from evidlake.functions import identity, predicates
 from evidlake.operators import coverage, deltas, detect, events, graph, metrics, paths, posture, reconcile, regression
 from evidlake.sources import ddl, packages, reports, sinks
-from evidlake.streaming import jobs
 
 
 def rows(df, *columns):
@@ -170,33 +169,3 @@ def test_dispositions(spark):
     cases = [(base, "REGRESSION"), (("VIOLATED", "SATISFIED", *base[2:]), "IMPROVEMENT"), ((*base[:2], "COVERED", "PARTIAL", *base[4:]), "COVERAGE_LOST"), ((*base[:5], "CONFLICT", False, False), "UNKNOWN"), ((*base[:4], "BASE_ONLY", "UNPAIRED", False, True), "REGRESSION"), (("UNKNOWN", "SATISFIED", *base[2:]), "UNKNOWN")]
     df = spark.createDataFrame([(i, *c) for i, (c, _) in enumerate(cases)], "i int, base_state string, candidate_state string, base_coverage string, candidate_coverage string, presence string, continuity string, capped boolean, removal_proven boolean")
     assert {r.i: r.disposition for r in regression.disposition(df).collect()} == {i: d for i, (_, d) in enumerate(cases)}
-
-
-def test_chain_state():
-    import pandas as pd
-
-    class State:
-        exists, value = False, None
-
-        @property
-        def get(self):
-            return self.value
-
-        def update(self, value):
-            self.exists, self.value = True, value
-
-    state = State()
-    frame = lambda data: pd.DataFrame(data, columns=["session_id", "sequence", "event_hash", "previous_event_hash"])
-    run = lambda *data: [tuple(r)[1:3] + (r.outcome,) for r in next(jobs.append_chain(("s",), iter([frame(data)]), state)).itertuples(index=False)]
-    assert run(("s", 1, "b", "a"), ("s", 0, "a", None)) == [(0, "a", "APPENDED"), (1, "b", "APPENDED")]
-    assert run(("s", 1, "b", "a"), ("s", 3, "d", "c")) == []
-    assert run(("s", 1, "x", "a")) == [(1, "x", "FORK")]
-    assert run(("s", 2, "c", "b")) == [(2, "c", "APPENDED"), (3, "d", "APPENDED")]
-    assert run(("s", 4, "e", "wrong")) == [(4, "e", "PREVIOUS_HASH")]
-    # A session of over BUFFER_MOST events in one batch, in any order, is appended whole; only rows that still wait count.
-    state = State()
-    chain = [("s", i, f"h{i}", f"h{i - 1}" if i else None) for i in range(3 * jobs.BUFFER_MOST)]
-    assert run(*chain[::-1]) == [(i, f"h{i}", "APPENDED") for i in range(len(chain))]
-    state = State()
-    assert run(*chain[1:]) == [(i, f"h{i}", "BUFFER_FULL") for i in range(jobs.BUFFER_MOST + 1, len(chain))]
-    assert run(chain[0]) == [(i, f"h{i}", "APPENDED") for i in range(jobs.BUFFER_MOST + 1)]
