@@ -19,9 +19,10 @@ Only sets of documents that take part in a pair are made again and joined; nothi
 shingle cells counted often, of which there are at most HOT_CELLS.
 
 Defined cases: null, empty and blank texts have the empty set, link with nothing and form their own component; equal texts, and texts
-that differ in case or white space only, are one class; repeated rows give a row each; different texts under one doc_id count as
-one node, linked by the text of the least digest; rows of null doc_id are
-left alone, each its own component (null); an empty table gives an empty result.
+that differ in case or white space only, are one class; repeated rows give a row each; classes are the nodes, and different texts under one
+doc_id tie their classes, so that what links with one of them is reached from all (ties are no links and don't count in ``links``); rows of null
+doc_id are left alone, each its own component (null); texts of any length are read whole; an empty table gives an empty result; only doc_id and
+text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -172,13 +173,13 @@ def signatures(docs: DataFrame, size: int, percent: int, hot: tuple[np.ndarray,
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, shingles): packed sorted sets of the classes in ids (id, f1), each from a document of that id and digest.
+    """(id, shingles): packed sorted sets of the classes in ids (id, of, f1), each from a document of doc_id ``of`` and that digest.
 
     Up to BROADCAST_IDS ids are broadcast, so texts stay where they are; more are joined by a shuffle.
     """
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    picked = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id")
+    picked = docs.select(F.col("doc_id").cast("long").alias("of"), "text").join(ids, "of")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,12 +322,19 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, count_l
     hot = shingle_counts(docs, size)
     rows = staged(signatures(docs, size, percent, hot))
     filled = rows.where("n > 0 and doc_id is not null")
-    classes = staged(filled.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id")))
-    copies = staged(filled.join(classes, ["n", "f1", "f2"]).where("doc_id <> id").select("doc_id").distinct())
-    one = filled
-    if filled.count() > filled.select("doc_id").distinct().count():
-        one = filled.groupBy("doc_id").agg(F.min_by(F.struct("n", "f1", "f2", "bits", "prefix"), "f1").alias("m")).select("doc_id", "m.*")
-    one = one.join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", "f1", "bits", "prefix", F.xxhash64("prefix").alias("h1"), F.xxhash64(F.lit(1), "prefix").alias("h2"))
+    classes = filled.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("of"))
+    several = filled.count() > filled.select("doc_id").distinct().count()
+    classes = staged(classes.withColumn("id", F.monotonically_increasing_id() if several else F.col("of")))
+    ties = None
+    if several:  # rows of one doc_id: their classes have numbers of their own
+        held = staged(filled.join(classes, ["n", "f1", "f2"]).select("doc_id", "id").distinct())
+        hubs = held.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("most")).where("a < most").select("doc_id", "a")
+        ties = staged(held.join(hubs, "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct())
+        one = filled.join(classes, ["n", "f1", "f2"]).where("doc_id = of").dropDuplicates(["id"])
+    else:
+        copies = staged(filled.join(classes, ["n", "f1", "f2"]).where("doc_id <> id").select("doc_id"))
+        one = filled.join(copies, "doc_id", "left_anti").withColumnRenamed("doc_id", "id")
+    one = one.select("id", "n", "f1", "bits", "prefix", F.xxhash64("prefix").alias("h1"), F.xxhash64(F.lit(1), "prefix").alias("h2"))
     grouped = one.groupBy("n", "h1", "h2").agg(F.min("id").alias("gid"), F.count("*").alias("k"))
     members = staged(one.select("id", "n", "bits", "h1", "h2").join(grouped, ["n", "h1", "h2"]).select("gid", "id", "n", "bits", "k"))
     others = staged(members.where("gid <> id").select("id"))
@@ -343,7 +351,7 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, count_l
     for turn in range(ROUNDS):
         pairs = pairs.unionByName(leader_pairs(long, percent, turn))
     pairs = staged(pairs.distinct())
-    taken = lambda ids: staged(sets_of(docs, staged(classes.join(ids, "id", "left_semi").groupBy("id").agg(F.min("f1").alias("f1"))), size))
+    taken = lambda ids: staged(sets_of(docs, staged(classes.join(ids, "id", "left_semi").select("id", "of", "f1")), size))
     sets = taken(members_of(pairs))
     links = staged(verified(pairs, sets, percent))
     labels = staged(components(links))
@@ -354,33 +362,37 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, count_l
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = staged(components(links))
-    classes = classes.select("n", "f1", "f2", F.col("id").alias("node")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # Ties come last, so that every link has been looked for.
+    named = labels if ties is None else staged(components(links.unionByName(ties)))
+    classes = classes.select("n", "f1", "f2", "of", F.col("id").alias("node")).join(named, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    if several:  # a component's name is its least doc_id
+        classes = staged(classes)
+        classes = classes.join(classes.groupBy("label").agg(F.min("of").alias("least")), "label").withColumn("label", F.col("least")).drop("least")
     if count_links:
         partly = labels.join(long.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("label").distinct()
         dense = staged(labels.join(partly, "label", "left_semi").select("node", "label"))
         ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
         degree = ends.join(dense, "node", "left_anti").groupBy("node").agg(F.count("*").alias("links")).unionByName(degrees(dense, sets, percent))
         classes = classes.join(degree, "node", "left").withColumn("links", F.coalesce("links", F.lit(0)))
-    classes = staged(classes.drop("node"))
+    classes = staged(classes.drop("node", "of"))
     whole = rows.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left")
     own = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"), *([F.coalesce("links", F.lit(0)).alias("links")] if count_links else []))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """documents without near copies: of each component the row of the least doc_id, with all columns. Of rows equal in doc_id and
-    text any one stays. A row of null doc_id goes where another row, of any doc_id, has its text; all rows without words stay."""
-    copies = staged(similar_documents(docs, size, percent, count_links=False).where("doc_id <> component_id").select(F.col("doc_id").alias("copy")).distinct())
-    kept = docs.join(copies, docs["doc_id"].cast("long") == copies["copy"], "left_anti")
-    digest = F.when(docs["text"].rlike(r"[^\x20\x09-\x0D]"), F.sha2(docs["text"].cast("binary"), 256))
-    digests = docs.select(docs["doc_id"].cast("long").alias("of"), digest.alias("same_text")).where("same_text is not null")
-    repeated = staged(digests.groupBy("of", "same_text").agg(F.count("*").alias("n")).where("n > 1 or of is null"))
-    if repeated.isEmpty():
-        return kept
-    # Only rows of these texts are regrouped; the others stay where they are.
-    mine = digest.eqNullSafe(repeated["same_text"]) & docs["doc_id"].cast("long").eqNullSafe(repeated["of"])
-    apart = kept.join(repeated, mine, "left_anti")
-    together = kept.join(repeated, mine, "left_semi").dropDuplicates(["doc_id", "text"])
-    named = staged(digests.where("of is not null").select("same_text").join(repeated.where("of is null").select("same_text"), "same_text", "left_semi").distinct())
-    told = F.when(docs["doc_id"].isNull(), digest) == named["same_text"]
-    return apart.unionByName(together.join(named, told, "left_anti"))
+    """documents without near copies: of each component of texts the row of the least doc_id, with all columns.
+
+    Texts are told apart as rows, not by doc_id: where ids repeat or are null, rows get numbers of their own, and a text never goes
+    because another one has its doc_id. Null ids come last; of rows that tie any one stays. All rows without words stay.
+    """
+    n, named, kinds = docs.select(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id")).first()
+    if n == named == kinds:
+        copies = staged(similar_documents(docs, size, percent, count_links=False).where("doc_id <> component_id").select(F.col("doc_id").alias("copy")))
+        return docs.join(copies, docs["doc_id"].cast("long") == copies["copy"], "left_anti")
+    rows = staged(docs.withColumn("row_of_near_copies", F.monotonically_increasing_id()))
+    found = similar_documents(rows.select(F.col("row_of_near_copies").alias("doc_id"), "text"), size, percent, count_links=False)
+    ids = rows.select(F.col("row_of_near_copies").alias("row"), F.col("doc_id").alias("id"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "row")
+    kept = staged(found.join(ids, F.col("doc_id") == F.col("row")).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias("kept_row")))
+    return rows.join(kept, rows["row_of_near_copies"] == kept["kept_row"], "left_semi").drop("row_of_near_copies")

@@ -11,8 +11,8 @@ one task. A fifth of them only calibrates. As labels are per document, a toxic d
 first, in which its own row doesn't count, then by the network itself. Other documents teach with strong and random windows.
 
 Defined cases: a null or empty text has one window of padding and so the lowest evidence; a window shorter than WINDOW
-is padded; with training rows of one class only (or none) every score is that class's share (0 with none); repeated rows are
-scored alike; other columns aren't read.
+is padded; with training rows of one class only (or none) every score is that class's share (0 with none); a text of any length is scored
+whole, and equal windows tie at one logit; repeated rows are scored alike; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidlake.llm.common import CHUNK_BYTES, chunks, mix, prefix_hashes, span_hashes, words
+from evidlake.llm.common import CHUNK_BYTES, chunks, mix, prefix_hashes, span_hashes, text_bytes, words
 from evidlake.llm.decontamination import _BREAK
 
 TRAIN_ROWS = 4000
@@ -252,7 +252,8 @@ def fit(texts: list[str | None], toxic: np.ndarray, seed: int = 11) -> Model | C
         return Constant(float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
     column = pc.utf8_lower(pa.array([t or "" for t in texts], pa.large_string()))
-    vocabularies = [Vocabulary(data, offsets) for _, data, offsets in chunks(column, 1)]
+    data, ends = text_bytes(column)
+    vocabularies = [Vocabulary(data[a:b], np.array([0, b - a])) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]  # one a row, empty texts too
     spare = np.zeros(len(y), bool)
     for kind in (True, False):
         own = rng.permutation(np.flatnonzero(y == kind))

@@ -84,12 +84,43 @@ def test_similar_edges(spark):
     got = sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.similar_documents(df, 3, 90).collect())
     assert got == [(0, 0), (1, 1), (1, 1), (7, 7)]
     assert ngram_join.similar_documents(df.limit(0)).count() == 0
-    # Two texts under one doc_id: the rows are one node, linked by the text of the least digest; no row is lost.
+    # Two texts under one doc_id: no row is lost.
     both = spark.createDataFrame([(3, "a b c d e f"), (3, "x y z u v w"), (5, "q r s t u v")], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in ngram_join.similar_documents(both, 3, 90).collect()) == [(3, 3), (3, 3), (5, 5)]
     assert ngram_join.one_of_each(df.withColumn("copy", df.doc_id)).columns == ["doc_id", "text", "copy"]
 
 
+def test_several_texts_under_ids_that_others_share(spark):
+    """A document reaches all that any of its texts links with; texts are never lost for another text's copy."""
+    rng = random.Random(21)
+    texts = near_copies(rng)
+    rows = [(rng.randrange(40), t, "x") for t in texts for _ in range(rng.choice([1, 1, 2]))]
+    long = [WORDS[i % len(WORDS)] + str(i) for i in range(61)]
+    rows += [(101, "one two three four five", "x"), (103, " ".join(long), "x"), (104, " ".join([*long[:-1], long[-1], "more"]), "x"), (102, "one two three four five", "x"), (102, " ".join(long), "x"), (105, None, "x"), (105, "", "x")]
+    sets = [(i, frozenset(shingles(t or "", 3))) for i, t, _ in rows]
+    parent = {i: i for i, _ in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, s in sets:
+        for j, t in sets:
+            if i != j and s & t and 100 * len(s & t) >= 90 * len(s | t):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    df = spark.createDataFrame(rows, "doc_id long, text string, of string").withColumn("a", F.lit(1)).repartition(5)
+    got = ngram_join.similar_documents(df, 3, 90).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((i, len(s), root(i) if s else i) for i, s in sets)
+    linked = {s: sum(1 for t in {s for _, s in sets} if s != t and s & t and 100 * len(s & t) >= 90 * len(s | t)) for _, s in sets}
+    assert sorted((r.doc_id, r.n_shingles, r.links) for r in got) == sorted((i, len(s), linked[s]) for i, s in sets)
+    assert {r.component_id for r in got if r.doc_id in (101, 102, 103, 104)} == {101}
+    a, z = (" ".join(f"{k}{i}" for i in range(30)) for k in "az")
+    kept = ngram_join.one_of_each(spark.createDataFrame([(1, a), (2, a), (2, z), (3, z)], "doc_id long, text string"), 5, 80)
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, a), (2, z)]
+
+
 def test_pack_round_trip():
     rng = np.random.default_rng(1)
     cells = np.unique(rng.integers(1 << 20, 1 << 28, 500)).astype(np.uint32)

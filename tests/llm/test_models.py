@@ -6,7 +6,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from evidlake.llm import language, toxicity
 
@@ -146,6 +148,24 @@ def test_toxicity(spark, corpus):
     assert toxicity.score(df.limit(0), model).count() == 0
 
 
+def test_toxicity_with_empty_training_texts(spark):
+    """Null and empty labelled texts first, next to each other and last, under ids of their own and repeated: labels of the others stay in place."""
+    rows = [(i, f"du {'idiot' if i % 2 else 'freund'} wort{i % 7} und {'dummer' if i % 2 else 'guter'} satz{i % 5}", i % 2) for i in range(10, 90)]
+    odd = [(0, None, 0), (1, "", 0), (30, "", 1), (31, None, 0), (31, "", 0), (31, "", 0), (95, "", 0), (96, None, 1), (97, "", 0)]
+    some = sorted([*rows, *odd], key=lambda r: r[0])
+    model = toxicity.fit([t for _, t, _ in some], np.array([y for *_, y in some]))
+    scores = model.scores(pa.array([t for _, t, _ in rows]))
+    y = np.array([y for *_, y in rows], dtype=bool)
+    assert scores[y].min() > scores[~y].max()
+    docs = spark.createDataFrame([r[:2] for r in some], "doc_id long, text string")
+    labels = spark.createDataFrame(sorted({(i, 0, y) for i, _, y in some}), "doc_id long, quality int, toxic int")
+    trained = toxicity.train(toxicity.labelled(docs, labels, F.lit(True)))
+    found = toxicity.score(docs, trained).select("doc_id", "toxicity").collect()
+    assert len(found) == len(some) and all(0 <= r.toxicity <= 1 for r in found)
+    means = [np.mean([r.toxicity for r in found if r.doc_id in {i for i, _, y in rows if y == k}]) for k in (0, 1)]
+    assert means[1] > means[0] + 0.3
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = toxicity.Network(1)
