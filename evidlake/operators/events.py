@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidlake.functions.identity import content_id
+from evidlake.operators.ranks import SEGMENT_ROWS, in_order, ranked
 
 
 def event_hash(fields: tuple[str, ...] = ("session_id", "sequence", "kind", "payload", "previous_event_hash")) -> Column:
     return content_id("agent.event", {c: F.col(c) for c in fields})
 
 
+def _chained(rows: DataFrame) -> DataFrame:
+    """Rows with ``rank`` (from 1) and ``prior`` hash in their session, by sequence and hash. A session's rows are dealt in segments of its sequence."""
+    segment = F.floor(F.col("sequence") / SEGMENT_ROWS)
+    return in_order(rows.withColumn("segment_of_session", segment), ["session_id"], ["sequence", "event_hash"], "segment_of_session", "event_hash").drop("segment_of_session")
+
+
 def verify_sessions(events: DataFrame, heads: DataFrame, recomputed: Column) -> DataFrame:
     """(session_id, outcome, n_events): the first failing row decides, and within a row hash, then sequence, then previous hash.
 
     events: session_id, sequence, event_hash, previous_event_hash; heads: session_id, head_hash (trusted).
     """
-    order = Window.partitionBy("session_id").orderBy("sequence", "event_hash")
-    rows = events.withColumn("own", recomputed).withColumn("rn", F.row_number().over(order) - 1).withColumn("prior", F.lag("event_hash").over(order))
+    rows = _chained(events.withColumn("own", recomputed)).withColumn("rn", F.col("rank") - 1)
     code = F.when(F.col("event_hash") != F.col("own"), "EVENT_HASH_MISMATCH").when(F.col("sequence") != F.col("rn"), "SEQUENCE_GAP").when(~F.col("previous_event_hash").eqNullSafe(F.col("prior")), "PREVIOUS_HASH_MISMATCH")
     first = F.min_by(code, F.when(code.isNotNull(), F.col("rn")))
     state = rows.groupBy("session_id").agg(first.alias("code"), F.max_by("event_hash", "sequence").alias("last_hash"), F.count("*").alias("n_events"))
@@ -38,13 +44,15 @@ def chain_append(new: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
     fork = rows.where("held is not null and held <> event_hash").drop("held").withColumn("reject_reason", F.lit("FORK"))
     fresh = rows.where("held is null").drop("held").dropDuplicates(["session_id", "sequence", "event_hash"])
     heads = log.groupBy("session_id").agg(F.max("sequence").alias("last"), F.max_by("event_hash", "sequence").alias("last_hash"))
-    order = Window.partitionBy("session_id").orderBy("sequence", "event_hash")
-    rows = fresh.join(heads, "session_id", "left").withColumn("rn", F.row_number().over(order)).withColumn("prior", F.lag("event_hash").over(order))
-    want = F.coalesce("last", F.lit(-1)) + F.col("rn")
-    bad = F.when(F.col("sequence") != want, "SEQUENCE_GAP").when(~F.col("previous_event_hash").eqNullSafe(F.when(F.col("rn") == 1, F.col("last_hash")).otherwise(F.col("prior"))), "PREVIOUS_HASH")
-    rows = rows.withColumn("bad", bad).withColumn("broken", F.first("bad", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ok = rows.where("broken is null").select(*new.columns)
-    return ok, fork.unionByName(rows.where("broken is not null").withColumn("reject_reason", F.col("broken")).select(*new.columns, "reject_reason"))
+    rows = _chained(fresh).join(heads, "session_id", "left")
+    want = F.coalesce("last", F.lit(-1)) + F.col("rank")
+    bad = F.when(F.col("sequence") != want, "SEQUENCE_GAP").when(~F.col("previous_event_hash").eqNullSafe(F.when(F.col("rank") == 1, F.col("last_hash")).otherwise(F.col("prior"))), "PREVIOUS_HASH")
+    rows = rows.withColumn("bad", bad)
+    # What comes after a session's first bad row is rejected for that row's reason.
+    first = rows.where("bad is not null").groupBy(F.col("session_id").alias("of_session")).agg(F.min(F.struct("rank", "bad")).alias("broken"))
+    rows = rows.join(first, F.col("session_id") == F.col("of_session"), "left").withColumn("late", F.coalesce(F.col("rank") >= F.col("broken.rank"), F.lit(False)))
+    ok = rows.where("not late").select(*new.columns)
+    return ok, fork.unionByName(rows.where("late").withColumn("reject_reason", F.col("broken.bad")).select(*new.columns, "reject_reason"))
 
 
 def compose_verdicts(actions: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
@@ -80,9 +88,9 @@ def bind_decisions(decisions: DataFrame, actions: DataFrame) -> DataFrame:
 
 def authorize(invocations: DataFrame, approvals: DataFrame) -> DataFrame:
     """Invocations (invocation_id, digest, verdict, at) with an outcome; each approval (approval_id, digest) serves one ASK of its digest, in order."""
-    asks = Window.partitionBy("digest", "verdict").orderBy("at", "invocation_id")
-    rows = invocations.withColumn("k", F.when(F.col("verdict") == "ASK", F.row_number().over(asks)))
-    have = approvals.withColumn("k", F.row_number().over(Window.partitionBy("digest").orderBy("approval_id")))
+    asks = ranked(invocations.where("verdict = 'ASK'"), ["digest"], ["at", "invocation_id"]).withColumnRenamed("rank", "k")
+    rows = asks.unionByName(invocations.where("verdict is null or verdict <> 'ASK'").withColumn("k", F.lit(None).cast("long")))
+    have = ranked(approvals, ["digest"], ["approval_id"]).withColumnRenamed("rank", "k")
     rows = rows.join(have, ["digest", "k"], "left")
     outcome = F.when(F.col("verdict") == "ALLOW", "PASSED").when((F.col("verdict") == "ASK") & F.col("approval_id").isNotNull(), "APPROVED").when(F.col("verdict") == "ASK", "WAITING").otherwise("BLOCKED")
     return rows.select("invocation_id", outcome.alias("outcome"), F.when(F.col("verdict") == "ASK", F.col("approval_id")).alias("approval_id"))
