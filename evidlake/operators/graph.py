@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evidlake.functions.identity import edge_id, node_id
 
 DEPTH_MOST, SUBTREE_DEPTH, SUBTREE_NODES = 64, 32, 4096
+HUB, BROADCAST_HUBS = 100_000, 10_000
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -28,26 +29,66 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or tempfile.mkdtemp(prefix="spark-evidlake-")).rstrip("/")
 
 
-def reverse_reach(edges: DataFrame, seeds: DataFrame, max_depth: int, relations: tuple[str, ...] | None = None) -> DataFrame:
-    """(seed, node, depth, via_edge): nodes from which a seed is reached, with the edge of one shortest way.
+def numbered_seeds(seeds: DataFrame) -> DataFrame:
+    """(seed, block, bit): 64 seeds to a block. Numbers are written once, as they depend on how the rows are dealt."""
+    number = F.monotonically_increasing_id()
+    return cut_lineage(seeds.select("seed").distinct().withColumn("number", number)).select("seed", F.shiftright("number", 6).alias("block"), F.expr("cast(number & 63 as int)").alias("bit"))
 
-    Breadth first: each round joins the frontier to the edges that end in it and drops what was seen. Ties go to the least
-    (source, edge, target).
+
+def reach_levels(steps: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
+    """(node, block, depth, bits): which seeds of a block are first reached from a node at a depth; ``steps``: step_from, step_to; ``seeds``: as ``numbered_seeds``.
+
+    Breadth first for all seeds at once: a round joins the frontier to the edges that end in it, ORs the bits that come to a node, and drops those that the
+    node has. A round has a row for each node and block at most. A node in which over ``HUB`` edges end has them dealt over several keys, and its
+    frontier rows repeated for each.
+    """
+    ends = cut_lineage(steps.groupBy("step_to").agg((F.count("*") / HUB).cast("int").alias("deals")).where("deals > 0").select(F.col("step_to").alias("hub"), "deals"))
+    hubs = F.broadcast(ends) if ends.count() <= BROADCAST_HUBS else ends
+    dealt = steps.join(hubs, F.col("step_to") == F.col("hub"), "left")
+    dealt = cut_lineage(dealt.select("step_from", "step_to", F.pmod(F.xxhash64("step_from"), F.coalesce("deals", F.lit(0)) + 1).cast("int").alias("deal")).distinct())
+    frontier = cut_lineage(seeds.groupBy(F.col("seed").alias("node"), "block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")))
+    seen, levels = frontier, frontier.withColumn("depth", F.lit(0))
+    for depth in range(1, max_depth + 1):
+        spread = frontier.join(hubs, F.col("node") == F.col("hub"), "left").withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(0))))).select("node", "block", "bits", "deal")
+        come = spread.join(dealt, (F.col("node") == F.col("step_to")) & spread["deal"].eqNullSafe(dealt["deal"])).groupBy(F.col("step_from").alias("node"), "block").agg(F.bit_or("bits").alias("come"))
+        both = come.join(seen.withColumnRenamed("bits", "had"), ["node", "block"], "full_outer")
+        had = F.coalesce("had", F.lit(0).cast("long"))
+        both = cut_lineage(both.select("node", "block", had.alias("had"), F.coalesce("come", F.lit(0).cast("long")).bitwiseAND(F.bitwise_not(had)).alias("new")))
+        frontier = both.where("new <> 0").select("node", "block", F.col("new").alias("bits"))
+        if frontier.isEmpty():
+            break
+        seen = both.select("node", "block", F.col("had").bitwiseOR(F.col("new")).alias("bits"))
+        levels = levels.unionByName(frontier.withColumn("depth", F.lit(depth)))
+    return levels.select("node", "block", "depth", "bits")
+
+
+def _by_seed(rows: DataFrame, seeds: DataFrame, *columns: str) -> DataFrame:
+    """A row for each seed whose bit is set in ``bits``, with those columns."""
+    each = rows.withColumn("bit", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("shiftright", F.col("bits"), b).bitwiseAND(F.lit(1).cast("long")) != 0)))
+    return each.join(seeds, ["block", "bit"]).select("seed", *columns)
+
+
+def reverse_reach(edges: DataFrame, seeds: DataFrame, max_depth: int, relations: tuple[str, ...] | None = None, via: bool = True) -> DataFrame:
+    """(seed, node, depth, via_edge): nodes from which a seed is reached, with the edge of one shortest way; without ``via`` no edge is looked for.
+
+    Seeds travel as bits (``reach_levels``); only the result has a row for each seed and node. Ties go to the least (source, edge, target): at
+    each level an edge counts for the seeds whose bits its target had one level before.
     """
     if not 0 <= max_depth <= DEPTH_MOST:
         raise ValueError(f"max_depth must be within 0 and {DEPTH_MOST}")
     if relations is not None:
         edges = edges.where(F.col("relation").isin(*relations))
     steps = edges.select(F.col("source").alias("step_from"), F.col("target").alias("step_to"), "edge_id")
-    seen = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast(edges.schema["edge_id"].dataType).alias("via_edge"))
-    frontier = seen
-    for depth in range(1, max_depth + 1):
-        found = frontier.join(steps, F.col("node") == F.col("step_to")).groupBy("seed", F.col("step_from").alias("node")).agg(F.min(F.struct("edge_id", "step_to")).alias("e"))
-        frontier = cut_lineage(found.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(depth).alias("depth"), F.col("e.edge_id").alias("via_edge")))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen
+    numbers = numbered_seeds(seeds)
+    levels = reach_levels(steps.drop("edge_id"), numbers, max_depth)
+    if not via:
+        return _by_seed(levels, numbers, "node", "depth")
+    start = levels.where("depth = 0").withColumn("via_edge", F.lit(None).cast(edges.schema["edge_id"].dataType))
+    before = levels.select(F.col("node").alias("step_to"), "block", (F.col("depth") + 1).alias("depth"), F.col("bits").alias("had"))
+    ways = levels.where("depth > 0").join(steps, F.col("node") == F.col("step_from")).join(before, ["step_to", "block", "depth"])
+    ways = ways.withColumn("bits", F.col("bits").bitwiseAND(F.col("had"))).where("bits <> 0")
+    found = _by_seed(ways, numbers, "node", "depth", "edge_id", "step_to").groupBy("seed", "node", "depth").agg(F.min(F.struct("edge_id", "step_to")).alias("e"))
+    return _by_seed(start, numbers, "node", "depth", "via_edge").unionByName(found.select("seed", "node", "depth", F.col("e.edge_id").alias("via_edge")))
 
 
 def witnesses(reached: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
@@ -68,7 +109,7 @@ def subtree(edges: DataFrame, roots: DataFrame, max_depth: int, relations: tuple
     if not 0 <= max_depth <= SUBTREE_DEPTH:
         raise ValueError(f"max_depth must be within 0 and {SUBTREE_DEPTH}")
     turned = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "edge_id", *[c for c in ("relation",) if c in edges.columns])
-    nodes = reverse_reach(turned, roots, max_depth, relations).select("seed", "node", "depth")
+    nodes = cut_lineage(reverse_reach(turned, roots, max_depth, relations, via=False))
     over = nodes.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > SUBTREE_NODES).withColumn("diagnostic", F.lit("TOO_MANY_NODES"))
     nodes = nodes.join(over.select("seed"), "seed", "left_anti")
     kept = edges if relations is None else edges.where(F.col("relation").isin(*relations))

@@ -1,6 +1,7 @@
 """Operators on hand-written rows: reject and gap rows, orders of rules, and independence of input order."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,37 @@ def test_reach_and_witness(spark):
         graph.reverse_reach(e, seeds, 65)
 
 
+@pytest.mark.parametrize("hub", [100_000, 3])
+def test_reach_of_many_seeds(spark, monkeypatch, hub):
+    """Over 64 seeds, cycles, a node in which most edges end; no round has more rows than nodes times blocks."""
+    monkeypatch.setattr(graph, "HUB", hub)
+    r = random.Random(3)
+    edges = sorted({(r.randrange(60), r.choice([0, 0, r.randrange(60)])) for _ in range(160)} | {(i, i) for i in range(5)})
+    named = [(a, b, f"e{a}-{b}") for a, b in edges] + [(7, 0, "a7-0"), (7, 0, "z7-0")]
+    seeds = [*range(50), *range(100, 130), 5]
+    want = {}
+    for seed in set(seeds):
+        level, seen, depth = {seed}, {seed: (0, None)}, 0
+        while level and depth < 6:
+            depth += 1
+            found = {}
+            for a, b, e in named:
+                if b in level and a not in seen:
+                    found[a] = min(found.get(a, ("~", 0)), (e, b))
+            seen |= {a: (depth, e) for a, (e, _) in found.items()}
+            level = set(found)
+        want |= {(seed, n): v for n, v in seen.items()}
+    e = spark.createDataFrame(named, "source int, target int, edge_id string").repartition(3)
+    s = spark.createDataFrame([(x,) for x in seeds], "seed int").repartition(3)
+    got = graph.reverse_reach(e, s, 6).collect()
+    assert len(got) == len(want) and {(x.seed, x.node): (x.depth, x.via_edge) for x in got} == want
+    assert rows(graph.reverse_reach(e, s, 6, via=False)) == sorted((a, b, d) for (a, b), (d, _) in want.items())
+    numbers = graph.numbered_seeds(s)
+    levels = graph.reach_levels(e.select(F.col("source").alias("step_from"), F.col("target").alias("step_to")), numbers, 6)
+    blocks, nodes = numbers.select("block").distinct().count(), len({n for x in named for n in x[:2]} | set(seeds))
+    assert max(x["count"] for x in levels.groupBy("depth").count().collect()) <= nodes * blocks and levels.groupBy("node", "block", "depth").count().where("count > 1").isEmpty()
+
+
 def test_path_caps_are_reported(spark):
     links = spark.createDataFrame([(1, f"n{i}", f"n{j}", "EXTRACTED") for i in range(6) for j in range(6) if i != j], "repo_id int, source string, target string, basis string")
     routes = spark.createDataFrame([(1, "n0", "COVERED")], "repo_id int, route_id string, coverage_state string")
