@@ -131,17 +131,24 @@ def contract_check(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.where("code is not null").select("code", F.col("node_id").alias("id")).unionByName(e.where("code is not null").select("code", F.col("edge_id").alias("id")))
 
 
-def observation_records(routes: DataFrame, operations: DataFrame, invariants: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Observations as graph records: route REFS handler, handler READS_FROM or WRITES_TO resource (none for a call), invariant nodes. Provenance merges per id."""
+def observation_records(routes: DataFrame, operations: DataFrame, invariants: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Observations as graph records: route REFS handler, handler READS_FROM or WRITES_TO resource (none for a call), invariant nodes.
+
+    Nodes (node_id, kind, key, n_evidence) and edges (edge_id, source, relation, target, n_evidence) count their evidence; its ids merge per record in the third table,
+    (record_id, evidence_id), a row each, so a handler that everything touches is no list.
+    """
     node = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), key.alias("key"), "evidence_id")
     rows = node(routes, "ROUTE", F.col("route_id")).unionByName(node(routes, "HANDLER", F.col("handler"))).unionByName(node(operations, "HANDLER", F.col("handler"))).unionByName(node(operations, "RESOURCE", F.col("resource"))).unionByName(node(invariants, "INVARIANT", F.col("invariant_id")))
-    nodes = rows.withColumn("node_id", node_id(F.col("kind"), F.col("key"))).groupBy("node_id", "kind", "key").agg(F.sort_array(F.collect_set("evidence_id")).alias("provenance"))
+    rows = rows.distinct().withColumn("node_id", node_id(F.col("kind"), F.col("key")))
+    nodes = rows.groupBy("node_id", "kind", "key").agg(F.count("evidence_id").alias("n_evidence"))
     to = lambda kind, key: node_id(F.lit(kind), F.col(key))
     refs = routes.select(to("ROUTE", "route_id").alias("source"), F.lit("REFS").alias("relation"), to("HANDLER", "handler").alias("target"), "evidence_id")
     relation = F.when(F.col("operation") == "READ", "READS_FROM").when(F.col("operation").isin("INSERT", "UPDATE", "UPSERT", "DELETE"), "WRITES_TO")
     uses = operations.withColumn("relation", relation).where("relation is not null").select(to("HANDLER", "handler").alias("source"), "relation", to("RESOURCE", "resource").alias("target"), "evidence_id")
-    edges = refs.unionByName(uses).withColumn("edge_id", edge_id(F.col("source"), F.col("relation"), F.col("target"))).groupBy("edge_id", "source", "relation", "target").agg(F.sort_array(F.collect_set("evidence_id")).alias("provenance"))
-    return nodes, edges
+    links = refs.unionByName(uses).distinct().withColumn("edge_id", edge_id(F.col("source"), F.col("relation"), F.col("target")))
+    edges = links.groupBy("edge_id", "source", "relation", "target").agg(F.count("evidence_id").alias("n_evidence"))
+    told = rows.select(F.col("node_id").alias("record_id"), "evidence_id").unionByName(links.select(F.col("edge_id").alias("record_id"), "evidence_id"))
+    return nodes, edges, told.where("evidence_id is not null")
 
 
 def graph_diff(before: DataFrame, after: DataFrame, key: str, digest: str) -> DataFrame:

@@ -25,15 +25,21 @@ def policies(statements: DataFrame, keys: list[str]) -> DataFrame:
 
     statements: keys, pos, kind (CREATE, ALTER, DROP), command, roles, has_using, has_with_check. Each CREATE or DROP starts an
     epoch; only the last counts. status: LIVE, DROPPED, ALTERED_AFTER_DROP (command unknown) or ALTERED_ONLY.
+
+    What is named last is kept with its position; it holds if it isn't before the last CREATE or DROP. So the fold is a grouped sum that Spark combines before
+    the shuffle, for an object of any number of statements.
     """
-    run = Window.partitionBy(*keys).orderBy("pos")
-    rows = statements.withColumn("epoch", F.count_if(F.col("kind").isin("CREATE", "DROP")).over(run))
-    last = Window.partitionBy(*keys)
-    rows = rows.withColumn("final", F.max("epoch").over(last)).where("epoch = final")
-    pick = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c)
-    state = rows.groupBy(*keys).agg(F.min_by("kind", "pos").alias("opened_by"), F.count_if(F.col("kind") == "ALTER").alias("alters"), *[pick(c) for c in ("command", "roles", "has_using", "has_with_check")], F.max("pos").alias("provenance"))
-    status = F.when(F.col("opened_by") == "CREATE", "LIVE").when((F.col("opened_by") == "DROP") & (F.col("alters") == 0), "DROPPED").when(F.col("opened_by") == "DROP", "ALTERED_AFTER_DROP").otherwise("ALTERED_ONLY")
-    return state.withColumn("status", status).withColumn("command", F.when(status == "LIVE", F.col("command")).when(status == "DROPPED", F.lit(None)).otherwise(F.lit("UNKNOWN")))
+    last = lambda c, where: F.max_by(F.struct(F.col("pos").alias("at"), F.col(c).alias("value")), F.when(where, F.col("pos")))
+    opens = F.col("kind").isin("CREATE", "DROP")
+    named = ("command", "roles", "has_using", "has_with_check")
+    sums = [last("kind", opens).alias("opened"), F.max(F.when(F.col("kind") == "ALTER", F.col("pos"))).alias("altered_at"), *[last(c, F.col(c).isNotNull()).alias(f"last_{c}") for c in named], F.max("pos").alias("provenance")]
+    state = statements.groupBy(*keys).agg(*sums)
+    holds = lambda at: F.coalesce(at >= F.col("opened.at"), F.lit(True))
+    state = state.select("*", F.coalesce("opened.value", F.lit("ALTER")).alias("opened_by"), *[F.when(holds(F.col(f"last_{c}.at")), F.col(f"last_{c}.value")).alias(c) for c in named])
+    altered = F.col("altered_at").isNotNull() & holds(F.col("altered_at"))
+    status = F.when(F.col("opened_by") == "CREATE", "LIVE").when((F.col("opened_by") == "DROP") & ~altered, "DROPPED").when(F.col("opened_by") == "DROP", "ALTERED_AFTER_DROP").otherwise("ALTERED_ONLY")
+    state = state.select(*keys, "opened_by", *named, "provenance", status.alias("status"))
+    return state.withColumn("command", F.when(F.col("status") == "LIVE", F.col("command")).when(F.col("status") == "DROPPED", F.lit(None)).otherwise(F.lit("UNKNOWN")))
 
 
 def removals(statements: DataFrame, keys: list[str]) -> DataFrame:

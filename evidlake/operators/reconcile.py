@@ -31,12 +31,12 @@ def seal_drafts(drafts: DataFrame, fields: tuple[str, ...]) -> tuple[DataFrame,
     return seal_evidence(drafts.withColumn("producer_kind", F.lit("LLM")).withColumn("verified", F.lit(False)), fields)
 
 
-def reconcile(evidence: DataFrame, rules: DataFrame, collect_ids: bool = True) -> tuple[DataFrame, DataFrame]:
+def reconcile(evidence: DataFrame, rules: DataFrame, collect_ids: bool = False) -> tuple[DataFrame, DataFrame]:
     """Findings and rejected groups.
 
     evidence: evidence_id, category, epistemic_class, producer, subjects, locations, attributes; rules: rule_id, category. Sums are
-    combined before the shuffle on the fingerprint; ``collect_ids=False`` leaves the id lists to ``finding_evidence``, for
-    groups of any size.
+    combined before the shuffle on the fingerprint. The members of groups are rows of their own (``finding_evidence``, by finding_id), so groups
+    may have any size; ``collect_ids`` adds them as lists, for groups known to be small.
     """
     rows = evidence.join(rules, "category").withColumn("fingerprint", fingerprint(F.col("category"), F.col("subjects"), F.col("locations"), F.col("attributes")))
     contra = F.col("epistemic_class") == "CONTRADICTION"

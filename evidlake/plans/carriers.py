@@ -69,7 +69,7 @@ FID = sid("finding", """'{"category":"' || category || '","fingerprint":"' || fp
 
 @query("a1_reconcile", f"{FINDINGS} SELECT {FID} AS finding_id, 'rule-' || category AS rule_id, CASE WHEN n_contradictions > 0 THEN 'CONTESTED' WHEN n_producers >= 2 THEN 'CORROBORATED' ELSE 'DETECTED' END AS support_state, n_evidence, n_contradictions, n_producers, primary_path, ids AS evidence_ids FROM g WHERE n_evidence > n_contradictions")
 def a1(s, d):
-    found, _ = reconcile.reconcile(evidence(s, d), rules(s, d))
+    found, _ = reconcile.reconcile(evidence(s, d), rules(s, d), collect_ids=True)
     return found.select("finding_id", "rule_id", "support_state", "n_evidence", "n_contradictions", "n_producers", "primary_path", F.array_join("evidence_ids", ",").alias("evidence_ids"))
 
 
@@ -473,14 +473,14 @@ def j4(s, d):
 # --- posture ---------------------------------------------------------------------------------------------------------
 
 KIND = "CASE event_type WHEN 'signup' THEN 'CREATE' WHEN 'view' THEN 'ALTER' WHEN 'error' THEN 'DROP' WHEN 'click' THEN 'GRANT' ELSE 'REVOKE' END"
-DDL = f"SELECT event_id, user_id % 50 AS obj, {KIND} AS kind, 'role' || (k % 3) AS role, CASE WHEN (k // 3) % 4 = 3 THEN 'ALL' ELSE 'priv' || ((k // 3) % 4) END AS privilege, k FROM ({EV})"
+DDL = f"SELECT event_id, user_id AS obj, {KIND} AS kind, 'role' || (k % 3) AS role, CASE WHEN (k // 3) % 4 = 3 THEN 'ALL' ELSE 'priv' || ((k // 3) % 4) END AS privilege, k FROM ({EV})"
 
 
 def statements(s, d):
     t = F.col("event_type")
     kind = F.when(t == "signup", "CREATE").when(t == "view", "ALTER").when(t == "error", "DROP").when(t == "click", "GRANT").otherwise("REVOKE")
     p = F.floor(F.col("k") / 3) % 4
-    return ev(s, d).select((F.col("user_id") % 50).alias("obj"), kind.alias("kind"), kind.alias("action"), posture.position(F.lit(0), F.col("event_id")).alias("pos"), F.concat(F.lit("role"), (F.col("k") % 3).cast("string")).alias("role"), F.when(p == 3, "ALL").otherwise(F.concat(F.lit("priv"), p.cast("string"))).alias("privilege"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("cmd"), (F.col("k") % 5).cast("string"))).alias("command"), F.array(F.concat(F.lit("role"), (F.col("k") % 3).cast("string"))).alias("roles"), (F.col("k") % 3 == 0).alias("has_using"), F.when(F.col("k") % 4 == 0, F.col("k") % 8 == 0).alias("has_with_check"), "k", "event_id")
+    return ev(s, d).select(F.col("user_id").alias("obj"), kind.alias("kind"), kind.alias("action"), posture.position(F.lit(0), F.col("event_id")).alias("pos"), F.concat(F.lit("role"), (F.col("k") % 3).cast("string")).alias("role"), F.when(p == 3, "ALL").otherwise(F.concat(F.lit("priv"), p.cast("string"))).alias("privilege"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("cmd"), (F.col("k") % 5).cast("string"))).alias("command"), F.array(F.concat(F.lit("role"), (F.col("k") % 3).cast("string"))).alias("roles"), (F.col("k") % 3 == 0).alias("has_using"), F.when(F.col("k") % 4 == 0, F.col("k") % 8 == 0).alias("has_with_check"), "k", "event_id")
 
 
 @query("w2_last_value", f"SELECT obj, arg_max('cmd' || (k % 5), event_id) AS command, max(event_id) AS event_id FROM ({DDL}) WHERE k % 2 = 0 GROUP BY 1")

@@ -253,18 +253,18 @@ def g3_rows(s, d):
 @query(
     "j20_edge_rows",
     """
-SELECT 'REFS' AS relation, 'r' || c_custkey AS source, 'h' || (c_custkey % 20) AS target, 'e' || c_custkey AS provenance FROM customer
+SELECT 'REFS' AS relation, 'r' || c_custkey AS source, 'h' || (c_custkey // 20) AS target, 1 AS n_evidence, 'e' || c_custkey AS evidence_id FROM customer
 UNION ALL
-SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'READS_FROM' ELSE 'WRITES_TO' END, 'h' || (o_custkey % 20), 't' || (o_orderkey % 5),
-       string_agg(DISTINCT 'o' || o_orderkey, ',' ORDER BY 'o' || o_orderkey)
-FROM orders WHERE o_orderkey % 4 <> 3 GROUP BY 1, 2, 3
+SELECT relation, 'h' || h, 't' || t, count(*) OVER (PARTITION BY relation, h, t), 'o' || o_orderkey
+FROM (SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'READS_FROM' ELSE 'WRITES_TO' END AS relation, o_custkey // 20 AS h, o_orderkey % 5 AS t, o_orderkey
+      FROM orders WHERE o_orderkey % 4 <> 3)
 """,
 )
 def j20_rows(s, d):
-    nodes, edges = graph.observation_records(*observations(s, d))[:2]
+    nodes, edges, told = graph.observation_records(*observations(s, d))
     name = lambda end: nodes.select(F.col("node_id").alias(end), F.col("key").alias(f"{end}_key"))
-    named = edges.join(name("source"), "source").join(name("target"), "target")
-    return named.select("relation", F.col("source_key").alias("source"), F.col("target_key").alias("target"), F.array_join(F.array_sort("provenance"), ",").alias("provenance"))
+    named = edges.join(name("source"), "source").join(name("target"), "target").join(told.withColumnRenamed("record_id", "edge_id"), "edge_id")
+    return named.select("relation", F.col("source_key").alias("source"), F.col("target_key").alias("target"), "n_evidence", "evidence_id")
 
 
 @query(

@@ -359,16 +359,24 @@ def j24(s, d):
 
 def observations(s, d):
     c, o = table(s, d, "customer"), table(s, d, "orders")
-    routes = c.select(F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("route_id"), F.concat(F.lit("h"), (F.col("c_custkey") % 20).cast("string")).alias("handler"), F.concat(F.lit("e"), F.col("c_custkey").cast("string")).alias("evidence_id"))
+    routes = c.select(F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("route_id"), F.concat(F.lit("h"), F.floor(F.col("c_custkey") / 20).cast("string")).alias("handler"), F.concat(F.lit("e"), F.col("c_custkey").cast("string")).alias("evidence_id"))
     kinds = F.array(*map(F.lit, ("READ", "INSERT", "UPDATE", "CALL")))
-    ops = o.select(F.concat(F.lit("h"), (F.col("o_custkey") % 20).cast("string")).alias("handler"), F.concat(F.lit("t"), (F.col("o_orderkey") % 5).cast("string")).alias("resource"), F.get(kinds, (F.col("o_orderkey") % 4).cast("int")).alias("operation"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("evidence_id"))
+    ops = o.select(F.concat(F.lit("h"), F.floor(F.col("o_custkey") / 20).cast("string")).alias("handler"), F.concat(F.lit("t"), (F.col("o_orderkey") % 5).cast("string")).alias("resource"), F.get(kinds, (F.col("o_orderkey") % 4).cast("int")).alias("operation"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("evidence_id"))
     return routes, ops, c.where("c_custkey % 50 = 0").select(F.concat(F.lit("i"), F.col("c_custkey").cast("string")).alias("invariant_id"), F.lit("x").alias("evidence_id"))
 
 
-@query("j20_graph_edges", "SELECT relation, sum(n) AS provenance, count(*) AS edges FROM (SELECT 'REFS' AS relation, c_custkey AS a, 0 AS b, 1 AS n FROM customer UNION ALL SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'READS_FROM' ELSE 'WRITES_TO' END, o_custkey % 20, o_orderkey % 5, count(DISTINCT o_orderkey) FROM orders WHERE o_orderkey % 4 <> 3 GROUP BY 1, 2, 3) GROUP BY 1")
+@query(
+    "j20_graph_edges",
+    """
+SELECT relation, sum(n)::BIGINT AS provenance, count(*) AS edges
+FROM (SELECT 'REFS' AS relation, c_custkey AS a, 0 AS b, 1 AS n FROM customer
+      UNION ALL SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'READS_FROM' ELSE 'WRITES_TO' END, o_custkey // 20, o_orderkey % 5, count(DISTINCT o_orderkey)
+      FROM orders WHERE o_orderkey % 4 <> 3 GROUP BY 1, 2, 3) GROUP BY 1
+""",
+)
 def j20(s, d):
     edges = graph.observation_records(*observations(s, d))[1]
-    return edges.groupBy("relation").agg(F.sum(F.size("provenance")).alias("provenance"), F.count("*").alias("edges"))
+    return edges.groupBy("relation").agg(F.sum("n_evidence").alias("provenance"), F.count("*").alias("edges"))
 
 
 @query("j23_finding_context", "SELECT o_orderkey AS finding_id, (o_custkey % 100)::VARCHAR AS symbol, CASE WHEN o_custkey % 100 < 20 THEN 'REMOVED' WHEN o_custkey % 100 < 40 THEN 'ADDED' WHEN o_custkey % 100 < 60 THEN 'MODIFIED' WHEN o_custkey % 100 < 80 THEN 'UNCHANGED' ELSE 'UNRESOLVED' END AS state FROM orders")

@@ -49,8 +49,8 @@ def test_reconcile_order_independent(spark):
     data = [(f"e{i}", "cat", "CONTRADICTION" if i == 3 else "FACT", (f"p{i % 2}", "1", "S"), [("user", str(i // 4))], where, {"rule": "r"}) for i in range(12)] + [("e99", "cat", "CONTRADICTION", ("p", "1", "S"), [("user", "z")], where, {})]
     schema = "evidence_id string, category string, epistemic_class string, producer struct<id:string,version:string,kind:string>, subjects array<struct<kind:string,id:string>>, locations array<struct<path:string,symbol:string>>, attributes map<string,string>"
     rules = spark.createDataFrame([("r1", "cat")], "rule_id string, category string")
-    a, bad = reconcile.reconcile(spark.createDataFrame(data, schema), rules)
-    b, _ = reconcile.reconcile(spark.createDataFrame(data[::-1], schema).repartition(3), rules)
+    a, bad = reconcile.reconcile(spark.createDataFrame(data, schema), rules, collect_ids=True)
+    b, _ = reconcile.reconcile(spark.createDataFrame(data[::-1], schema).repartition(3), rules, collect_ids=True)
     columns = ("finding_id", "support_state", "evidence_ids", "contradiction_ids", "n_producers")
     assert rows(a, *columns) == rows(b, *columns)
     assert sorted(r.support_state for r in a.collect()) == ["CONTESTED", "CORROBORATED", "CORROBORATED"] and bad.first().reject_reason == "CONTRADICTION_ONLY"
