@@ -41,13 +41,20 @@ def tenant_binding(scoped: DataFrame, filters: DataFrame, values: DataFrame, act
     return sums.select("invariant_id", "path_id", state.alias("state"))
 
 
+def _guards_covered(rows: DataFrame) -> Column:
+    """Whether guards of the path were looked for throughout; rows without ``guard_coverage`` are taken as covered."""
+    return F.col("guard_coverage").eqNullSafe("COVERED") if "guard_coverage" in rows.columns else F.lit(True)
+
+
 def required_role(scoped: DataFrame, guards: DataFrame) -> DataFrame:
-    """A role guard on the path allows only required roles on its resource (I2). scoped: also roles, resource; guards: path_id, guard_id, guard_kind, guard_resource, values, resolved."""
-    rows = scoped.join(guards.where("guard_kind = 'ROLE'"), "path_id", "left")
+    """A role guard on the path allows only required roles on its resource (I2). scoped: also roles, resource and, if known, guard_coverage; guards: path_id, guard_id,
+    guard_kind, guard_resource, values, resolved. Where guards weren't looked for throughout, the state is UNKNOWN."""
+    rows = scoped.withColumn("covered", _guards_covered(scoped)).join(guards.where("guard_kind = 'ROLE'"), "path_id", "left")
     here = F.col("guard_id").isNotNull() & (F.col("guard_resource").isNull() | (F.col("guard_resource") == F.col("resource")))
     good = here & F.col("resolved") & F.arrays_overlap("roles", "values")
-    sums = rows.groupBy("invariant_id", "path_id", "applies").agg(F.bool_or(F.coalesce(good, F.lit(False))).alias("good"), F.bool_or(F.coalesce(here & ~F.col("resolved"), F.lit(False))).alias("open"), F.min(F.when(good, F.col("guard_id"))).alias("supporting_guard"))
-    return sums.select("invariant_id", "path_id", _state(F.col("applies"), (F.col("good"), "SATISFIED"), (F.col("open"), "UNKNOWN"), default="VIOLATED").alias("state"), "supporting_guard")
+    sums = rows.groupBy("invariant_id", "path_id", "applies", "covered").agg(F.bool_or(F.coalesce(good, F.lit(False))).alias("good"), F.bool_or(F.coalesce(here & ~F.col("resolved"), F.lit(False))).alias("open"), F.min(F.when(good, F.col("guard_id"))).alias("supporting_guard"))
+    state = _state(F.col("applies"), (~F.col("covered"), "UNKNOWN"), (F.col("good"), "SATISFIED"), (F.col("open"), "UNKNOWN"), default="VIOLATED")
+    return sums.select("invariant_id", "path_id", state.alias("state"), F.when(F.col("covered"), F.col("supporting_guard")).alias("supporting_guard"))
 
 
 def protected_properties(scoped: DataFrame) -> DataFrame:
@@ -57,10 +64,18 @@ def protected_properties(scoped: DataFrame) -> DataFrame:
     return scoped.select("invariant_id", "path_id", state.alias("state"))
 
 
+def _support(supported: DataFrame) -> DataFrame:
+    """(client_id, exact) of each client whose static support was worked out; exact unless a row says that its boundary isn't the client's."""
+    exact = F.bool_or(F.col("exact")) if "exact" in supported.columns else F.lit(True)
+    return supported.groupBy("client_id").agg(F.coalesce(exact, F.lit(False)).alias("exact"))
+
+
 def elevated_client(scoped: DataFrame, supported: DataFrame) -> DataFrame:
-    """An elevated client runs on a server with static support and the required guard (I4). scoped: also client_id, authority, context, has_guard; supported: client_id."""
-    rows = scoped.join(supported.select("client_id", F.lit(True).alias("known")).distinct(), "client_id", "left")
-    state = _state(F.col("applies"), (F.col("authority") == "STANDARD", "NOT_APPLICABLE"), (F.col("authority") != "ELEVATED", "UNKNOWN"), (F.col("known").isNull(), "UNKNOWN"), (~F.col("context").isin("SERVER", "EDGE"), "VIOLATED"), (~F.col("has_guard"), "VIOLATED"), default="SATISFIED")
+    """An elevated client runs on a server with exact static support and the required guard (I4). scoped: also client_id, authority, context, has_guard and, if known,
+    guard_coverage; supported: client_id and, if known, exact."""
+    rows = scoped.withColumn("covered", _guards_covered(scoped)).join(_support(supported), "client_id", "left")
+    known = F.coalesce("exact", F.lit(False))
+    state = _state(F.col("applies"), (F.col("authority") == "STANDARD", "NOT_APPLICABLE"), (F.col("authority") != "ELEVATED", "UNKNOWN"), (~F.col("covered") | ~known, "UNKNOWN"), (~F.col("context").isin("SERVER", "EDGE"), "VIOLATED"), (~F.col("has_guard"), "VIOLATED"), default="SATISFIED")
     return rows.select("invariant_id", "path_id", state.alias("state"))
 
 
@@ -68,19 +83,23 @@ def project_states(declared: DataFrame, paths: DataFrame, filters: DataFrame, va
     """Project-declared invariants on paths: (invariant_id, path_id, state) by the evaluation of each one's kind, and rejects with a reason.
 
     declared: repo_id, invariant_id, source, invariant_kind and the scope arrays; paths as for I0 to I4. Only declarations are
-    evaluated here; a path without a client, where one is needed, is a reject. The states tighten built-in ones by ``tightened``.
+    evaluated here; where a client is needed, a path without one is a reject, and so is one whose client's static support was never worked out. The states
+    tighten built-in ones by ``tightened``.
     """
     kinds = ("TENANT_BINDING", "REQUIRED_ROLE", "PROTECTED_PROPERTIES", "ELEVATED_CLIENT_CONTEXT")
     reason = F.when(F.col("source") != "PROJECT_DECLARATION", "NOT_PROJECT_DECLARATION").when(~F.col("invariant_kind").isin(*kinds), "UNKNOWN_KIND")
     admitted = in_scope(declared.where(F.coalesce(reason.isNull(), F.lit(False))), paths)
-    no_client = (F.col("invariant_kind") == "ELEVATED_CLIENT_CONTEXT") & F.col("client_id").isNull()
-    of = lambda kind: admitted.where((F.col("invariant_kind") == kind) & ~no_client)
+    worked_out = supported.select(F.col("client_id").alias("client_of"), F.lit(True).alias("worked_out")).distinct()
+    admitted = admitted.join(worked_out, F.col("client_id") == F.col("client_of"), "left").drop("client_of")
+    lacks = F.when(F.col("invariant_kind") == "ELEVATED_CLIENT_CONTEXT", F.when(F.col("client_id").isNull(), "MISSING_PROVIDER_CLIENT").when(F.col("worked_out").isNull(), "MISSING_STATIC_SUPPORT"))
+    admitted = admitted.withColumn("lacks", lacks).drop("worked_out")
+    of = lambda kind: admitted.where((F.col("invariant_kind") == kind) & F.col("lacks").isNull())
     found = [tenant_binding(of(kinds[0]), filters, values, actors), required_role(of(kinds[1]), guards).drop("supporting_guard"), protected_properties(of(kinds[2])), elevated_client(of(kinds[3]), supported)]
     states = found[0]
     for f in found[1:]:
         states = states.unionByName(f)
     rejects = declared.withColumn("reject_reason", reason).where("reject_reason is not null").select("invariant_id", F.lit(None).cast(paths.schema["path_id"].dataType).alias("path_id"), "reject_reason")
-    return states, rejects.unionByName(admitted.where(no_client).select("invariant_id", "path_id", F.lit("MISSING_PROVIDER_CLIENT").alias("reject_reason")))
+    return states, rejects.unionByName(admitted.where("lacks is not null").select("invariant_id", "path_id", F.col("lacks").alias("reject_reason")))
 
 
 def tightened(*evaluations: DataFrame) -> DataFrame:

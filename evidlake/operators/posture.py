@@ -86,7 +86,7 @@ def gaps(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
     if {"kind", "object_kind"} <= set(statements.columns):  # schemas and sequences are named without one
         schemaless = F.coalesce(F.col("kind") == "CREATE_SCHEMA", F.lit(False)) | F.coalesce(F.col("object_kind").isin("SCHEMA", "SEQUENCE"), F.lit(False))
     unnamed = F.col("object_schema").isNull() & F.col("outcome").eqNullSafe("SUPPORTED") & ~schemaless
-    reason = F.when(F.col("outcome").isin("UNSUPPORTED", "MALFORMED"), F.col("outcome")).when(unnamed, F.lit("UNQUALIFIED_NAME"))
+    reason = F.when(F.col("outcome").isin("UNSUPPORTED", "MALFORMED", "SCAN_REJECTED"), F.col("outcome")).when(unnamed, F.lit("UNQUALIFIED_NAME"))
     rows = statements.withColumn("gap", reason)
     states = rows.groupBy("repo_id").agg(F.count("gap").alias("gaps"), (F.countDistinct("pos") < F.count("*")).alias("ambiguous"))
     state = F.when(F.col("ambiguous"), "REJECTED").when(F.col("gaps") > 0, "PARTIAL").otherwise("COVERED")
@@ -109,7 +109,8 @@ def reduce_posture(migrations: DataFrame) -> dict[str, DataFrame]:
     """The posture that migration files (repo_id, path, content) leave: W2 to W6 composed over S9 and S10.
 
     repositories (state COVERED, PARTIAL where any gap is left, or REJECTED for an order key used twice, which has no other rows), gaps,
-    schemas, relations, policies, policy_removals, functions, function_grants, grants, generic_grants (schemas and sequences).
+    schemas, relations, policies, policy_removals, functions, function_grants, grants, generic_grants (schemas and sequences); and statements, from which
+    ``located`` gives a fact's place.
     """
     ordered, rejected = discover_migrations(migrations)
     # Parsed once: each of the folds reads what is kept.
@@ -148,10 +149,17 @@ def reduce_posture(migrations: DataFrame) -> dict[str, DataFrame]:
     return {
         "repositories": states.unionByName(rejects).unionByName(empty), "gaps": gap_rows, "schemas": schemas, "relations": relations, "policies": live, "policy_removals": removed,
         "functions": known.join(attributes.drop("provenance"), keys, "left"), "function_grants": execute.drop("privilege"),
+        "statements": statements,
         "grants": grants(_moves(named.where("object_kind = 'TABLE'"), keys), keys), "generic_grants": grants(generic.withColumn("object_schema", F.coalesce("object_schema", F.lit(""))), ["repo_id", "object_kind", "object_schema", "object_name"]),
     }
 
 
+def located(facts: DataFrame, statements: DataFrame, at: str = "provenance") -> DataFrame:
+    """Facts with where they come from: path, statement_index, start_byte, end_byte and content_digest of the statement at position ``at``."""
+    place = statements.select(F.col("repo_id").alias("repo_of"), F.col("pos").alias("pos_of"), "path", "statement_index", "start_byte", "end_byte", "content_digest")
+    return facts.join(place, (F.col("repo_id") == F.col("repo_of")) & (F.col(at) == F.col("pos_of")), "left").drop("repo_of", "pos_of")
+
+
 # --- observers -------------------------------------------------------------------------------------------------------
 
 

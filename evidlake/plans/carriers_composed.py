@@ -107,6 +107,28 @@ def w1(s, d):
     return out
 
 
+@query(
+    "w1_provenance",
+    """
+WITH g AS (SELECT o_custkey AS r, o_orderkey AS k, o_orderkey % 13 AS m, (o_orderkey // 13) % 2 AS j, o_custkey % 10 = 9 AND count(*) OVER (PARTITION BY o_custkey) > 1 AS bad FROM orders),
+     s AS (SELECT *, 'supabase/migrations/' || CASE WHEN r % 10 = 9 THEN '11111111111111' ELSE lpad(k::VARCHAR, 14, '0') END || '_' || k || '.sql' AS path FROM g WHERE NOT bad),
+     t AS (SELECT r, j, max(k) FILTER (m = 6) AS granted, max(k) FILTER (m = 7) AS revoked, max(k) FILTER (m <= 7) AS changed FROM s GROUP BY r, j),
+     f AS (SELECT r, 'grant' AS part, j, granted AS k FROM t WHERE granted > coalesce(revoked, -1) UNION ALL SELECT r, 'relation', j, changed FROM t WHERE changed IS NOT NULL),
+     b AS (SELECT f.*, m, path, ['create table app.t' || f.j || ' (id int);', 'alter table app.t' || f.j || ' enable row level security;',
+             '-- off; again' || chr(10) || 'alter table app.t' || f.j || ' disable row level security;', 'create policy p on app.t' || f.j || ' for select to anon using (name = ''a;b'');',
+             'alter policy p on app.t' || f.j || ' to authenticated;', 'drop policy if exists p on app.t' || f.j || ';', 'grant select, insert on table app.t' || f.j || ' to anon;',
+             'revoke all on table app.t' || f.j || ' from anon;'][m + 1] AS content FROM f JOIN s USING (r, k))
+SELECT r AS repo_id, part, 't' || j AS object, path, 0 AS statement_index, CASE WHEN m = 2 THEN 14 ELSE 0 END AS start_byte,
+       length(content) - 1 AS end_byte, 'sha256:' || sha256(content) AS content_digest FROM b
+""",
+)
+def w1_provenance(s, d):
+    found = posture.reduce_posture(migrations(s, d))
+    granted = found["grants"].select("repo_id", F.lit("grant").alias("part"), F.col("object_name").alias("object"), F.col("granted_at").alias("provenance")).distinct()
+    changed = found["relations"].where("relation_kind = 'TABLE'").select("repo_id", F.lit("relation").alias("part"), F.col("object_name").alias("object"), F.col("last_security_change").alias("provenance"))
+    return posture.located(granted.unionByName(changed), found["statements"]).drop("provenance")
+
+
 # --- I5: project-declared invariants ---------------------------------------------------------------------------------
 
 KINDS = ("TENANT_BINDING", "REQUIRED_ROLE", "PROTECTED_PROPERTIES", "ELEVATED_CLIENT_CONTEXT")
@@ -117,17 +139,20 @@ def project_states(s, d):
     n = F.col("invariant_id") % 5
     kind = F.get(F.array(*map(F.lit, [*KINDS, "TENANT_BINDING"])), n.cast("int"))
     declared = inv.withColumns({"invariant_kind": kind, "source": F.when(n == 4, "BUILTIN").otherwise("PROJECT_DECLARATION")})
-    rows = rows.withColumn("client_id", F.when(F.col("client_id") % 9 != 0, F.col("client_id")))
-    return invariants.project_states(declared, rows, *tenant_inputs(s, d), role_guards(s, d), known_clients(s, d))
+    coverage = F.when(F.col("path_id") % 13 == 0, "PARTIAL").otherwise("COVERED")
+    rows = rows.withColumns({"client_id": F.when(F.col("client_id") % 9 != 0, F.col("client_id")), "guard_coverage": coverage})
+    support = known_clients(s, d).withColumn("exact", F.col("client_id") % 7 != 1)
+    return invariants.project_states(declared, rows, *tenant_inputs(s, d), role_guards(s, d), support)
 
 
 I5_SQL = f"""
 WITH c AS (SELECT o_orderkey AS path_id, o_custkey AS c FROM orders),
 p AS (
   SELECT * FROM ({TENANT_STATES}) WHERE invariant_id % 5 = 0
-  UNION ALL SELECT * FROM ({ROLE}) WHERE invariant_id % 5 = 1
+  UNION ALL SELECT invariant_id, path_id, CASE WHEN state <> 'NOT_APPLICABLE' AND path_id % 13 = 0 THEN 'UNKNOWN' ELSE state END FROM ({ROLE}) WHERE invariant_id % 5 = 1
   UNION ALL SELECT * FROM ({PROTECTED}) WHERE invariant_id % 5 = 2
-  UNION ALL SELECT e.* FROM ({ELEVATED}) e JOIN c USING (path_id) WHERE invariant_id % 5 = 3 AND c.c % 9 <> 0)
+  UNION ALL SELECT invariant_id, path_id, CASE WHEN state <> 'NOT_APPLICABLE' AND (path_id % 13 = 0 OR c.c % 7 = 1) THEN 'UNKNOWN' ELSE state END
+  FROM ({ELEVATED}) e JOIN c USING (path_id) WHERE invariant_id % 5 = 3 AND c.c % 9 <> 0 AND c.c % 7 <> 0)
 SELECT invariant_id, path_id,
        CASE WHEN bool_or(state = 'VIOLATED') THEN 'VIOLATED' WHEN bool_or(state = 'UNKNOWN') THEN 'UNKNOWN'
             WHEN bool_or(state = 'SATISFIED') THEN 'SATISFIED' ELSE 'NOT_APPLICABLE' END AS state
@@ -145,8 +170,8 @@ def i5(s, d):
     """
 SELECT n_nationkey AS invariant_id, NULL AS path_id, 'NOT_PROJECT_DECLARATION' AS reject_reason FROM nation WHERE n_nationkey % 5 = 4
 UNION ALL
-SELECT n_nationkey, o_orderkey, 'MISSING_PROVIDER_CLIENT'
-FROM nation JOIN orders ON n_nationkey % 40 = o_custkey % 40 WHERE n_nationkey % 5 = 3 AND o_custkey % 9 = 0
+SELECT n_nationkey, o_orderkey, CASE WHEN o_custkey % 9 = 0 THEN 'MISSING_PROVIDER_CLIENT' ELSE 'MISSING_STATIC_SUPPORT' END
+FROM nation JOIN orders ON n_nationkey % 40 = o_custkey % 40 WHERE n_nationkey % 5 = 3 AND (o_custkey % 9 = 0 OR o_custkey % 7 = 0)
 """,
 )
 def i5_rejects(s, d):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 MIGRATION = r"^(.*/)?supabase/migrations/(\d{14})(_[^/]+)?\.sql$"
 NAME = r'((?:"[^"]+"|[a-z_][a-z0-9_$]*)(?:\.(?:"[^"]+"|[a-z_][a-z0-9_$]*))?)'
+#: Limits of one file.
+SCAN_BYTES, SCAN_STATEMENTS = 4 * 1024 * 1024, 4096
 #: Supported forms by kind, tried in this order; group 1 is the object, or group 1 the policy and group 2 its relation.
 FORMS = (
     ("CREATE_POLICY", rf"(?i)^create\s+policy\s+(\"[^\"]+\"|[a-z_][a-z0-9_$]*)\s+on\s+{NAME}"), ("ALTER_POLICY", rf"(?i)^alter\s+policy\s+(\"[^\"]+\"|[a-z_][a-z0-9_$]*)\s+on\s+{NAME}"),
@@ -27,27 +29,46 @@ def discover_migrations(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.join(twice, "repo_id", "left_anti").withColumn("migration_order", F.row_number().over(order) - 1), twice.withColumn("reject_reason", F.lit("AMBIGUOUS_ORDER"))
 
 
+#: Comments, dollar-quoted bodies and string literals.
+HIDDEN = r"--[^\n]*|/\*.*?\*/|\$([A-Za-z_]*)\$.*?\$\1\$|'(?:[^']++|'')*+'"
+
+
 def masked(sql: Column) -> Column:
-    """SQL without comments, with string and dollar-quoted bodies emptied: what is left of ``;`` parts statements."""
+    """SQL with comments and with string and dollar-quoted bodies blanked, byte for byte, so places are those of the file: what is left of ``;`` parts statements."""
     # One pass from the left, so a quote within a comment opens nothing, nor a comment within a literal.
-    return F.regexp_replace(sql, r"(?s)--[^\n]*|/\*.*?\*/|\$([A-Za-z_]*)\$.*?\$\1\$|'(?:[^']++|'')*+'", " ")
+    tokens = F.regexp_extract_all(sql, F.lit(rf"(?s){HIDDEN}|[^-/$']++|."), F.lit(0))
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(rf"(?s)^(?:{HIDDEN})$"), F.repeat(F.lit(" "), F.octet_length(t))).otherwise(t)), "")
 
 
 def _plain(name: Column) -> Column:
     return F.when(name.startswith('"'), F.regexp_replace(name, '"', "")).otherwise(F.lower(name))
 
 
-def extract_ddl(migrations: DataFrame) -> DataFrame:
+def extract_ddl(migrations: DataFrame, max_bytes: int = SCAN_BYTES, max_statements: int = SCAN_STATEMENTS) -> DataFrame:
     """One row a statement: repo_id, path, migration_order, statement_index, outcome, kind, object_schema, object_name, policy_name, command,
-    roles, privileges, has_using, has_with_check, security_mode, search_path, object_kind (of grants), security_invoker (of views).
+    roles, privileges, has_using, has_with_check, security_mode, search_path, object_kind (of grants), security_invoker (of views),
+    start_byte, end_byte (exclusive) and content_digest of its place in the file.
 
-    outcome: SUPPORTED, IGNORED_SAFE, UNSUPPORTED (it can change privileges) or MALFORMED, which takes all statements of its file.
+    outcome: SUPPORTED, IGNORED_SAFE, UNSUPPORTED (it can change privileges) or MALFORMED, which takes all statements of its file. A file over
+    a limit gives one row, SCAN_REJECTED, without index or place: it isn't read in part.
     """
-    rows = migrations.withColumn("bare", masked(F.col("content")))
+    size = F.coalesce(F.octet_length("content"), F.lit(0))
+    rows = migrations.withColumn("content_digest", F.concat(F.lit("sha256:"), F.sha2(F.coalesce("content", F.lit("")), 256)))
+    over = rows.where(size > max_bytes)
+    rows = rows.where(size <= max_bytes).withColumn("bare", masked(F.col("content")))
     broken = F.col("bare").rlike(r"\$[A-Za-z_]*\$") | (F.size(F.split(F.col("bare"), "'")) % 2 == 0) | F.col("bare").contains("/*")
-    rows = rows.withColumn("broken", broken).select("repo_id", "path", "migration_order", "broken", F.posexplode(F.regexp_extract_all("bare", F.lit(r'(?:[^;"]++|"[^"]*+")++'), F.lit(0))).alias("nth", "s"))
-    text = F.trim(F.regexp_replace("s", r"\s+", " "))
-    rows = rows.withColumn("s", text).where("s <> ''").withColumn("statement_index", F.row_number().over(Window.partitionBy("repo_id", "path").orderBy("nth")) - 1)
+    pieces = F.regexp_extract_all("bare", F.lit(r'(?:[^;"]++|"[^"]*+")++|[;"]'), F.lit(0))
+    rows = rows.withColumn("broken", broken).select("repo_id", "path", "migration_order", "content_digest", "broken", F.posexplode(pieces).alias("nth", "piece"))
+    along = Window.partitionBy("repo_id", "path").orderBy("nth")
+    begin = F.coalesce(F.sum(F.octet_length("piece")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest, inner = F.regexp_replace("piece", r"^\s+", ""), F.regexp_replace("piece", r"^\s+|\s+$", "")
+    start = begin + F.octet_length("piece") - F.octet_length(rest)
+    rows = rows.withColumns({"start_byte": start, "end_byte": start + F.octet_length(inner)}).where(~F.col("piece").isin(";", '"') & (inner != ""))
+    rows = rows.withColumn("s", F.regexp_replace(inner, r"\s+", " ")).withColumn("statement_index", F.row_number().over(along) - 1)
+    # A file with too many statements is not read in part.
+    many = rows.where(F.col("statement_index") >= max_statements).select("repo_id", "path", "migration_order", "content_digest").distinct()
+    rows = rows.join(many.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
+    over = over.select("repo_id", "path", "migration_order", "content_digest").unionByName(many)
     kind = F.coalesce(*[F.when(F.col("s").rlike(p), F.lit(k)) for k, p in FORMS])
     rows = rows.withColumn("kind", kind)
     target = F.coalesce(*[F.when(F.col("kind") == k, F.regexp_extract("s", p, 2 if "POLICY" in k else 1)) for k, p in FORMS])
@@ -61,7 +82,7 @@ def extract_ddl(migrations: DataFrame) -> DataFrame:
     setting = F.lower(F.regexp_extract("s", r"(?i)\bwith\s*\([^)]*\bsecurity_invoker\b\s*=?\s*([a-z]*)", 1))
     invoker = F.when(F.col("s").rlike(r"(?i)\bwith\s*\([^)]*\bsecurity_invoker\b"), ~setting.isin("false", "off", "no"))
     supported = lambda c: F.when(~F.col("broken"), c)
-    return rows.select(
+    found = rows.select(
         "repo_id", "path", "migration_order", "statement_index", outcome.alias("outcome"), supported(F.col("kind")).alias("kind"), supported(F.when(F.size(parts) > 1, _plain(parts[0]))).alias("object_schema"),
         supported(F.when(F.size(parts) > 0, _plain(F.element_at(parts, -1)))).alias("object_name"), supported(_plain(policy)).alias("policy_name"),
         supported(F.when(is_policy, F.upper(F.nullif(F.regexp_extract("s", r"(?i)\sfor\s+(all|select|insert|update|delete)\b", 1), F.lit(""))))).alias("command"),
@@ -70,7 +91,9 @@ def extract_ddl(migrations: DataFrame) -> DataFrame:
         supported(F.when(F.col("kind").contains("FUNCTION"), mode)).alias("security_mode"), supported(F.when(F.col("kind").contains("FUNCTION"), F.nullif(F.trim(F.regexp_extract("s", r"(?i)\bset\s+search_path\s*(?:=|to)\s*([^;]*?)(?:\s+as\s|\s+language\s|$)", 1)), F.lit("")))).alias("search_path"),
         supported(F.when(is_grant, F.coalesce(F.nullif(F.upper(F.regexp_extract("s", r"(?i)\son\s+(table|function|schema|sequence)\s", 1)), F.lit("")), F.lit("TABLE")))).alias("object_kind"),
         supported(F.when(F.col("kind") == "CREATE_VIEW", invoker)).alias("security_invoker"),
+        "start_byte", "end_byte", "content_digest",
     )
+    return found.unionByName(over.withColumn("outcome", F.lit("SCAN_REJECTED")), allowMissingColumns=True)
 
 
 def extract_api_config(files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,6 @@
 """Operators on hand-written rows: reject and gap rows, orders of rules, and independence of input order."""
 
+import hashlib
 import itertools
 import random
 
@@ -93,6 +94,23 @@ def test_ddl(spark):
     assert all(r.outcome == "MALFORMED" and r.kind is None for k, r in got.items() if k[0] == 1)
 
 
+def test_places_of_statements(spark):
+    """Bytes of each statement in its file, whatever hides in comments and literals; files over a limit are one row."""
+    text = "\n-- nöte; x\n CREATE TABLE app.\"t;é\" (a int) /* ö; */ ;;\n'é;' ;\n\tgrant select on app.t to anon"
+    files = spark.createDataFrame([("r", "supabase/migrations/20240101000000_a.sql", text), ("r", "supabase/migrations/20240102000000_b.sql", "select 1; select 2; select 3"), ("r", "supabase/migrations/20240103000000_c.sql", "")], "repo_id string, path string, content string")
+    found = ddl.extract_ddl(ddl.discover_migrations(files)[0], max_statements=2)
+    got = sorted((r for r in found.collect() if r.migration_order == 0), key=lambda r: r.statement_index)
+    data = text.encode()
+    assert [data[r.start_byte : r.end_byte].decode() for r in got] == ['CREATE TABLE app."t;é" (a int)', "grant select on app.t to anon"]
+    assert {r.content_digest for r in got} == {"sha256:" + hashlib.sha256(data).hexdigest()} and [r.object_name for r in got] == ["t;é", "t"]
+    assert [(r.outcome, r.statement_index, r.start_byte) for r in found.collect() if r.migration_order == 1] == [("SCAN_REJECTED", None, None)]
+    assert {r.outcome for r in ddl.extract_ddl(ddl.discover_migrations(files)[0], max_bytes=30).where("migration_order = 0").collect()} == {"SCAN_REJECTED"}
+    reduced = posture.reduce_posture(files.withColumn("content", F.when(F.col("path").contains("_b"), F.repeat(F.lit("x;"), 5000)).otherwise(F.col("content"))))
+    assert rows(reduced["gaps"], "gap", "path") == [("SCAN_REJECTED", "supabase/migrations/20240102000000_b.sql")] and rows(reduced["repositories"], "state") == [("PARTIAL",)]
+    placed = posture.located(reduced["grants"], reduced["statements"], "granted_at").first()
+    assert data[placed.start_byte : placed.end_byte] == b"grant select on app.t to anon" and placed.path.endswith("_a.sql")
+
+
 def test_policy_epochs(spark):
     data = [("p", i, k, c, ["a"], None, None) for i, (k, c) in enumerate([("CREATE", "ALL"), ("ALTER", "SELECT"), ("DROP", None), ("ALTER", "ALL")])] + [("q", 0, "DROP", None, None, None, None), ("q", 1, "CREATE", "ALL", ["a"], True, None), ("q", 2, "ALTER", None, ["b"], None, None), ("z", 0, "CREATE", "ALL", None, None, None), ("z", 1, "DROP", None, None, None, None)]
     df = spark.createDataFrame(data, "policy string, at int, kind string, command string, roles array<string>, has_using boolean, has_with_check boolean").withColumn("pos", posture.position(F.lit(0), F.col("at")))
