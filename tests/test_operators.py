@@ -201,6 +201,21 @@ def test_path_caps_are_reported(spark):
     assert found.count() == 0 and rows(bad) == [(1, "TOO_MANY_PATHS")]
 
 
+def test_crowded_repositories_are_counted_not_expanded(spark, monkeypatch):
+    """Repository 1 has 10^12 paths in layers, 2 is the same in small, 3 has few paths but cycles of many walks, 4 is a long chain."""
+    layers = lambda repo, width, depth: [(repo, f"{d}.{i}", f"{d + 1}.{j}", "EXTRACTED") for d in range(depth) for i in range(width if d else 1) for j in range(width)]
+    data = layers(1, 10, 12) + layers(2, 2, 3) + [(3, "0.0", "c", "EXTRACTED"), ("3", "c", "0.0", "EXTRACTED"), (3, "c", "d", "EXTRACTED"), (3, "d", "c", "EXTRACTED"), (3, "d", "end", "EXTRACTED")] + [(4, f"{i}.0", f"{i + 1}.0", "EXTRACTED") for i in range(40)]
+    links = spark.createDataFrame([(int(r), *x) for r, *x in data], "repo_id int, source string, target string, basis string")
+    routes = spark.createDataFrame([(r, "0.0", "COVERED") for r in (1, 2, 3, 4, 5)], "repo_id int, route_id string, coverage_state string")
+    ops = spark.createDataFrame([(1, "12.0", "COVERED"), (2, "3.1", "COVERED"), (3, "end", "COVERED"), (4, "31.0", "COVERED")], "repo_id int, operation_id string, coverage_state string")
+    starts, ends = routes.select("repo_id", F.col("route_id").alias("at")), ops.select(F.col("repo_id").alias("end_repo"), F.col("operation_id").alias("end"))
+    hops = links.select("repo_id", F.col("source").alias("at"), F.col("target").alias("to"))
+    assert rows(paths.crowded(starts, hops, ends, 32, 8)) == [(1,)] and rows(paths.crowded(starts, hops, ends, 32, 3)) == [(1,), (2,)]
+    found, bad = paths.correlate_paths(routes, ops, links, most=8)
+    assert rows(bad) == [(1, "TOO_MANY_PATHS")]
+    assert rows(found, "repo_id", F.size("nodes").alias("n")) == [(2, 4)] * 4 + [(3, 4), (4, 32)]
+
+
 def test_versions_and_conflicts(spark):
     s = "k int, digest string"
     new = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "x"), (4, "y"), (1, "a")], s)
