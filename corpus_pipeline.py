@@ -2,6 +2,10 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet
 and reads again as the next one's docs. All but the last keep the columns of documents.
+
+Defined cases, as the operators state them: null and empty texts have no letters, so the first stage drops them; of rows equal in text one
+stays, whatever their doc_ids, null ids last; texts of any length are read whole; repeated benchmark items count once; an empty table gives
+an empty result at every stage. Columns beside those of documents are left out at the start.
 """
 
 from __future__ import annotations
@@ -39,6 +43,7 @@ def weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its shard and slot; copies that the mix makes are rows of their own, equal texts in one shard."""
     return sharding.shard_documents(docs, 16)
 
 

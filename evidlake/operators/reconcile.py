@@ -10,6 +10,8 @@ from evidlake.functions.predicates import claim_reason, split
 
 #: Attributes that take part in the correlation fingerprint.
 STABLE = ("rule", "resource", "operation", "provider", "symbol_key")
+#: So many pairs go to every task.
+MOST_PAIRS = 10_000
 
 
 def fingerprint(category: Column, subjects: Column, locations: Column, attributes: Column) -> Column:
@@ -70,7 +72,9 @@ def apply_transitions(findings: DataFrame, requests: DataFrame, allowed: DataFra
     Steps of one finding are folded in order: a request is taken if the last state allows it. FIX_VERIFIED is never
     reached by request; a state may follow itself. Requests per finding are few, so the fold is an expression over their sorted list.
     """
-    pairs = allowed.agg(F.collect_set(F.concat_ws(">", "from_state", "to_state")).alias("pairs"))  # the workflow's table: some dozen rows
+    if allowed.limit(MOST_PAIRS + 1).count() > MOST_PAIRS:
+        raise ValueError(f"a workflow has at most {MOST_PAIRS} pairs of states")
+    pairs = allowed.agg(F.collect_set(F.concat_ws(">", "from_state", "to_state")).alias("pairs"))
     lists = requests.groupBy("finding_id").agg(F.sort_array(F.collect_list(F.struct("step", "to_state"))).alias("steps"))
     rows = findings.join(lists, "finding_id").crossJoin(F.broadcast(pairs))
 

@@ -201,6 +201,7 @@ PHRASES = (
     "execute shell", "the system prompt", "do not tell the user", "keep this secret", "ignore the previous", "print the api key", "policy bypass", "", "run a command",
     "ignore policy and run shell",
 )
+#: Ids and needles of the text rules.
 RULES = {
     "mcp.untrusted.ignore-prior-authority": ["ignore previous", "ignore prior", "disregard previous"],
     "mcp.untrusted.policy-override": ["override policy", "bypass policy", "disable guard", "ignore policy"],
