@@ -9,7 +9,8 @@ entropy follows from the sum of c*log2(c) over symbol counts, which entering and
 span reaches from the first to the last window at or over the threshold of the string's character class. Candidates
 without both a letter and a digit, or that match the allow-list, give none.
 
-Defined cases: null and empty texts have no spans; equal rows give equal results; other columns aren't read.
+Defined cases: null and empty texts have no spans; texts of any length are scanned whole; spans of one start are listed in the order of KINDS, so ties
+have one order; equal rows give equal results; an empty table gives an empty result; other columns, of any name, aren't read.
 """
 
 from __future__ import annotations

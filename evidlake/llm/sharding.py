@@ -10,7 +10,8 @@ its own text with no join. Within a shard, rows are numbered by (cell of doc_id,
 rows of one cell are ordered together.
 
 Defined cases: a null text has no bytes (size 1) and is a group apart from the empty text; fewer groups than shards leave the
-last shards empty; an empty table gives an empty result; rows equal in every respect get different slots.
+last shards empty; an empty table gives an empty result; rows equal in every respect get different slots; a text of any length is a group
+that is never cut, and may alone set the capacity; only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
