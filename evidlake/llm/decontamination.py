@@ -4,7 +4,8 @@ Texts become words: runs of letters and digits, lower case. A seed hashes the wo
 those at its 0s, so a substituted word spares every seed that has a 0 there. Seeds of the benchmark and of the documents are
 joined on their hash; each hit proposes a shift between item and document, and the words around the hits are compared under
 that shift. An item leaks into a document if, under one shift, some WINDOW aligned words (all words of a shorter item) agree
-in at least AGREE per cent; items under LEAST words must agree in full.
+in at least AGREE per cent; items under LEAST words must agree in full, and with the document's whole text: "Yes" as an item is
+held by the document "Yes!", not by every text with that word (``whole_below`` sets the length under which this holds; 0 looks for all items anywhere).
 
 Items of WINDOW words or more have seeds of MASKS at every position: whichever two of WINDOW words are substituted, one of these seeds
 keeps clear of them. A shorter item has masks as long as itself: it is cut into parts, and a mask leaves out as many of them as
@@ -150,8 +151,9 @@ def item_seeds(items: DataFrame) -> DataFrame:
     return items.mapInArrow(read, "item long, mask int, place int, seed long")
 
 
-def _scan(docs: DataFrame, known, masks: list[int]) -> DataFrame:
-    """Documents with hits: key, doc_id, hits (seed, place), and the words around them as runs (at, words)."""
+def _scan(docs: DataFrame, known, masks: list[int], whole_below: int) -> DataFrame:
+    """Documents with hits: key, doc_id, hits (seed, place), and the words around them as runs (at, words). Masks of items under ``whole_below`` words hit
+    only documents of as many words, so a common short item is no hot seed."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = known.value
@@ -165,6 +167,9 @@ def _scan(docs: DataFrame, known, masks: list[int]) -> DataFrame:
                     at = keep(found)
                     row = np.searchsorted(offsets, at, side="right")
                     at = at[at + len(ALL_MASKS[m][1]) <= offsets[np.minimum(row, len(offsets) - 1)]]
+                    if 0 < ALL_MASKS[m][0] < whole_below:
+                        row = np.searchsorted(offsets, at, side="right")
+                        at = at[offsets[row] - offsets[row - 1] == ALL_MASKS[m][0]]
                     places.append(at)
                     values.append(found[at])
                 place, value = np.concatenate(places), np.concatenate(values)
@@ -222,7 +227,7 @@ def _verified(candidates: DataFrame) -> DataFrame:
     return candidates.mapInArrow(read, "key long, doc_id long, item_id long, matched long, at_word long, item_words long")
 
 
-def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _leaks(docs: DataFrame, benchmark: DataFrame, whole_below: int) -> DataFrame:
     """(key, doc_id, item_id, matched, at_word, item_words) of every verified shift."""
     sc = docs.sparkSession.sparkContext
     items = staged(item_words(benchmark))
@@ -232,20 +237,20 @@ def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     slots = parts.select(F.col("seed").bitwiseAND(bits - 1).alias("slot")).distinct().toArrow()["slot"].to_numpy()
     exact = np.sort(parts.select("seed").distinct().toArrow()["seed"].to_numpy().astype(np.int64).view(np.uint64)) if 0 < count <= SEEDS_EXACT else None
     masks = sorted(r.mask for r in parts.select("mask").distinct().collect())
-    found = staged(_scan(keyed(docs, "doc_id"), sc.broadcast(SeedFilter(slots.astype(np.int64), bits, exact)), masks).dropDuplicates(["key"]))
+    found = staged(_scan(keyed(docs, "doc_id"), sc.broadcast(SeedFilter(slots.astype(np.int64), bits, exact)), masks, whole_below).dropDuplicates(["key"]))
     hits = found.select("key", F.explode("hits").alias("h")).select("key", F.col("h.seed").alias("seed"), F.col("h.place").alias("at"))
     pairs = hits.join(parts, "seed").select("key", "item", (F.col("at") - F.col("place")).alias("shift")).distinct()
     return _verified(pairs.join(found.select("key", "doc_id", "runs"), "key").join(items, "item"))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, whole_below: int = LEAST) -> DataFrame:
     """(doc_id, item_id, matched, at_word, item_words): every benchmark item that a document holds."""
     best = F.max_by(F.struct("matched", "at_word", "item_words"), F.struct("matched", -F.col("at_word")))
-    return _leaks(docs, benchmark).groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
+    return _leaks(docs, benchmark, whole_below).groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, whole_below: int = LEAST) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    leaks = staged(_leaks(docs, benchmark).select(F.col("key").alias("leak"), F.col("doc_id").alias("leaked")).distinct())
+    leaks = staged(_leaks(docs, benchmark, whole_below).select(F.col("key").alias("leak"), F.col("doc_id").alias("leaked")).distinct())
     own = docs["doc_id"].cast("long")
     return docs.join(leaks, (F.xxhash64(own, docs["text"]) == leaks["leak"]) & own.eqNullSafe(leaks["leaked"]), "left_anti")

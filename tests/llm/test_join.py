@@ -146,9 +146,9 @@ def test_leaks(spark):
     docs = [noise(50) + " " + items[0] + ". " + noise(5), noise(9) + " " + " ".join(sub), items[1].upper() + "!", noise(300), items[2].replace(" ", ", "), None, "", " ".join(items[5].split()[100:140]), " ".join(items[0].split()[:9]) + " q " + noise(20), items[4] + " " + noise(30), items[3]]
     d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(docs)], "doc_id long, text string, words string").repartition(2)
     b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.matched for r in decontamination.find_leaks(d, b).collect()}
+    got = {(r.doc_id, r.item_id): r.matched for r in decontamination.find_leaks(d, b, whole_below=0).collect()}
     assert got == {(0, 0): 40, (1, 0): 35, (2, 1): 20, (4, 2): 9, (7, 5): 40, (9, 4): 5, (10, 3): 8}
-    kept = decontamination.decontaminate(d, b)
+    kept = decontamination.decontaminate(d, b, whole_below=0)
     assert {r.doc_id for r in kept.collect()} == {3, 5, 6, 8} and kept.columns == d.columns
     assert decontamination.find_leaks(d.limit(0), b).count() == 0 and decontamination.find_leaks(d, b.limit(0)).count() == 0
 
@@ -190,9 +190,23 @@ def test_leaks_of_every_length_against_brute_force(spark):
             w[p] = "zzz"
         docs.append((i // 2 if i % 9 else None, noise(rng.randint(0, 20)) + " " + " ".join(w) + " " + noise(rng.randint(0, 20))))
     d = spark.createDataFrame([(*r, 1, 2) for r in docs], "doc_id long, text string, key int, item_id int").repartition(3)
-    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    items_df = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(d, items_df, whole_below=0).collect()}
     assert got == brute_leaks(docs, items) and len(got) > 80
+    # As registered, items under 8 words are held by whole texts only.
+    short = {i for i, t in items if len(t.split()) < 8}
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(d, items_df).collect()}
+    assert {x for x in got if x[1] not in short} == {x for x in brute_leaks(docs, items) if x[1] not in short}
+
 
+def test_short_items_empty_no_corpus(spark):
+    words_of = ["yes", "no way", "one two three", "a b c d", "v w x y z", "six words are still too few", "seven words are one under the bound"]
+    rows = [(i, f"well {w} and more of the same, {w}") for i, w in enumerate(words_of)] + [(100 + i, w.upper() + "!") for i, w in enumerate(words_of)] + [(200, None), (201, ""), (202, "yes yes")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(list(enumerate(words_of)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in decontamination.find_leaks(d, b).collect()}
+    assert got == {(100 + i, i): len(w.split()) for i, w in enumerate(words_of)}
+    assert {r.doc_id for r in decontamination.decontaminate(d, b).collect()} == {r[0] for r in rows if not 100 <= r[0] < 200}
 
 def test_leaks_with_null_ids_and_repeated_rows(spark):
     rng = random.Random(12)
