@@ -236,6 +236,13 @@ class RecordStore:
                 continue
         raise StaleWrite("5 attempts")
 
+    def compact_log(self) -> None:
+        """One folder in place of the log's many: a manifest names every folder of the log, so a table of many small writes should have it done now and then."""
+        m, write = self.manifest(), uuid.uuid4().hex
+        if len(m.log) > 1:
+            self.log().write.parquet(f"{self.root}/log/{write}")
+            self._publish(Manifest(m.version + 1, m.key, m.schema, m.buckets, m.data, [write], m.batches))
+
     def vacuum(self) -> int:
         """Removes manifests before the last and what no manifest needs: of killed, replaced and stale writes. Not beside a running write or reader of old versions."""
         m = self.manifest()

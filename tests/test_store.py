@@ -35,6 +35,11 @@ def test_outcomes(spark, tmp_path):
     assert got(t.put(frame(spark, [(1, "a", "y"), (7, "a", "y")]), "digest", immutable=True), "k", "outcome") == [(1, "CONFLICT"), (7, "INSERTED")]
     assert got(t.current(), "k", "digest", "revision") == [(1, "x", 1), (2, "y", 2), (3, None, 1), (4, "z", 1), (7, "y", 1)]
     assert got(t.history().where("k = 2"), "digest", "revision") == [("x", 1), ("y", 2)]
+    told = got(t.log(), "k", "outcome", "write")
+    t.compact_log()
+    assert got(t.log(), "k", "outcome", "write") == told and len(t.manifest().log) == 1
+    t.vacuum()
+    assert got(t.log(), "k", "outcome", "write") == told and got(t.current(), "k") == [(1,), (2,), (3,), (4,), (7,)]
     assert got(t.lookup(frame(spark, [(2, "", ""), (9, "", "")]), "k"), "k") == [(2,)]
 
 
