@@ -36,7 +36,7 @@ ORDER = 4
 CACHE_BYTES = 1 << 26
 TEMPERATURES = (0.02, 0.05, 0.1, 0.2, 0.4, 0.8)
 CELL = 1e-4
-CHUNK_CHARS = 1 << 19
+CHUNK_BYTES = 1 << 19
 #: A text is rejected when its cross-entropy is over the median of its language by so many spreads and by so many nats, more
 #: for short texts. The nats keep texts that mix known languages.
 SPREADS = 10.0
@@ -80,16 +80,13 @@ def grams(symbols: np.ndarray) -> np.ndarray:
 
 
 def text_chunks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """Runs of whole lower-case texts of about CHUNK_CHARS characters."""
-    texts, first, size = [], 0, 0
-    for i, text in enumerate(pc.utf8_lower(column.fill_null("")).to_pylist()):
-        texts.append(text)
-        size += len(text)
-        if size >= CHUNK_CHARS:
-            yield first, texts
-            texts, first, size = [], i + 1, 0
-    if texts:
-        yield first, texts
+    """Runs of whole lower-case texts of about CHUNK_BYTES bytes; only one run at a time is held as strings."""
+    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first, done = 0, 0
+    while first < len(column):
+        end = max(first + 1, int(np.searchsorted(ends, done + CHUNK_BYTES, side="right")))
+        yield first, pc.utf8_lower(column.slice(first, end - first).fill_null("")).to_pylist()
+        first, done = end, int(ends[end - 1])
 
 
 def _inside(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -403,15 +400,14 @@ def identify(docs: DataFrame, model: LanguageModel, out: str = "language") -> Da
     """documents plus struct ``out``: lang_pred, score, cross_entropy, rejected."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
-    def predict(texts):
-        import pandas as pd
-
+    @F.arrow_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
+    def predict(texts: pa.Array) -> pa.Array:
         found: list[list] = [[], [], [], []]
-        for _, part in text_chunks(pa.Array.from_pandas(texts, type=pa.string())):
+        for _, part in text_chunks(texts):
             for column, values in zip(found, known.value.predict(part), strict=True):
                 column.extend(values)
-        return pd.DataFrame(dict(zip(("lang_pred", "score", "cross_entropy", "rejected"), found, strict=True)))
+        kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
+        return pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip(found, kinds, strict=True)], ["lang_pred", "score", "cross_entropy", "rejected"])
 
     return docs.withColumn(out, predict(docs["text"]))
 
