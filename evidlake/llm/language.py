@@ -2,12 +2,15 @@
 
 Texts are lower case; every character that isn't a letter becomes a space and runs of spaces one. All 4-grams of all
 training rows are counted per language by Spark. Lower orders follow from the 4-gram types: order n counts the different characters
-that precede an n-gram. Counts of all grams and contexts of all orders are kept: executors write them as sorted arrays to the
-shared folder and map them from there, and the driver holds only where they lie and each order's discount. What a worker has worked
-out stays in a cache of CACHE_BYTES, which changes no result. A text goes to the language of least cross-entropy per character.
+that precede an n-gram. Counts of all grams and contexts of all orders are kept: Spark writes them, sorted, as Parquet to the shared
+folder, whatever store that is on, and the driver holds only where each range of keys lies and each order's discount. An executor takes
+the columns it needs once into flat files of its own Spark work folder, which its workers map; a new executor does so again. From
+stores other than a file system the Parquet files come to the executors by ``SparkContext.addFile``. What a worker has worked out stays
+in a cache of CACHE_BYTES, which changes no result. A text goes to the language of least cross-entropy per character.
 
 Calibration uses all training rows, none scored by a model that learned from it: rows are halved by a checksum of the text, so copies
-stay together, and each half is scored by a model of the other half's counts. By Spark aggregates over these cross-entropies, the
+stay together, and each half is scored by a model of the other half's counts. Counts of all rows and of both halves stand side by side
+in one table, so three models cost one sort. By Spark aggregates over these cross-entropies, the
 temperature that makes their softmax likeliest gives ``score``; median and spread of each language's own cross-entropy (to CELL nats)
 give the value above which a text is ``rejected`` as being in none of the languages. A language with under 5 such rows rejects none.
 
@@ -18,15 +21,17 @@ point wins; repeated rows count as often as they occur; other columns aren't rea
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 from collections.abc import Iterator
-from contextlib import ExitStack
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow import fs
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +42,11 @@ CACHE_BYTES = 1 << 26
 TEMPERATURES = (0.02, 0.05, 0.1, 0.2, 0.4, 0.8)
 CELL = 1e-4
 CHUNK_BYTES = 1 << 19
+#: Distinct grams that a counting task holds of one language before it hands them on, and rows of a table in one file.
+HELD_GRAMS = 1 << 19
+PIECE_ROWS = 1 << 20
+#: Suffixes of the columns of counts: all rows, and each half.
+SIDES = ("", "0", "1")
 #: A text is rejected when its cross-entropy is over the median of its language by so many spreads and by so many nats, more
 #: for short texts. The nats keep texts that mix known languages.
 SPREADS = 10.0
@@ -99,16 +109,21 @@ def _inside(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return good
 
 
-def count_grams(rows: DataFrame) -> DataFrame:
-    """(lang, gram, n) over all rows (lang, text)."""
+def _counted(rows: DataFrame) -> DataFrame:
+    """(lang, gram, n) of the rows (lang, text) that a task reads together, a gram once or more."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    def merged(parts):
+        codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        return codes, np.bincount(at, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
-        def merged(parts):
-            codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-            return codes, np.bincount(at, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+    def out(lang: str, parts) -> Iterator[pa.RecordBatch]:
+        codes, n = merged(parts)
+        for a in range(0, len(codes), 100_000):
+            c = codes[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(c.view(np.int64)), pa.array(n[a : a + 100_000])], ["lang", "gram", "n"])
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             langs = batch["lang"].to_pylist()
             for lang in sorted(set(langs)):
@@ -119,86 +134,83 @@ def count_grams(rows: DataFrame) -> DataFrame:
                     own = found.setdefault(lang, [])
                     own.append(part)
                     if len(own) >= 16:
-                        found[lang] = [merged(own)]
+                        own[:] = [merged(own)]
+                        if len(own[0][0]) >= HELD_GRAMS:
+                            yield from out(lang, found.pop(lang))
         for lang, parts in found.items():
-            codes, n = merged(parts)
-            for a in range(0, len(codes), 100_000):
-                c = codes[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(c.view(np.int64)), pa.array(n[a : a + 100_000])], ["lang", "gram", "n"])
+            yield from out(lang, parts)
 
-    counted = rows.select("lang", "text").where("lang is not null and text is not null").mapInArrow(read, "lang string, gram long, n long")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.select("lang", "text").where("lang is not null and text is not null").mapInArrow(read, "lang string, gram long, n long")
+
+
+def count_grams(rows: DataFrame) -> DataFrame:
+    """(lang, gram, n) over all rows (lang, text)."""
+    return _counted(rows).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def count_halves(rows: DataFrame) -> DataFrame:
+    """(lang, gram, n, n0, n1) over all rows (lang, text): counts of all rows and of each half."""
+    counted = _counted(rows.select(F.concat(half().cast("string"), "lang").alias("lang"), "text"))
+    sides = [F.sum(F.when(F.substring("lang", 1, 1) == h, F.col("n")).otherwise(0)).alias(f"n{h}") for h in SIDES[1:]]
+    return counted.groupBy(F.expr("substring(lang, 2)").alias("lang"), "gram").agg(F.sum("n").alias("n"), *sides)
 
 
 def gram_tables(counts: DataFrame, langs: list[str]) -> DataFrame:
-    """(t, key, a, b) of all orders: t is 8 * language + 2 * (order - 1), and 1 more for contexts. A gram's a is its count, of lower
+    """(t, key, a, b) of all orders, a and b of each side: t is 8 * language + 2 * (order - 1), and 1 more for contexts. A gram's a is its count, of lower
     orders the number of grams one longer that end in it; a context's a is the sum of the counts of its grams, b their number."""
-    level, found = counts.select((F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1).alias("lang"), "gram", "n"), []
+    ns = [f"n{h}" for h in SIDES]
+    level, found = counts.select((F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1).alias("lang"), "gram", *ns), []
     for k in range(ORDER, 0, -1):
         if k < ORDER:
-            level = staged(level.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << (16 * k)) - 1)).alias("gram")).agg(F.count("*").alias("n")))
+            level = staged(level.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << (16 * k)) - 1)).alias("gram")).agg(*[F.count_if(F.col(n) > 0).alias(n) for n in ns]))
         t = F.col("lang") * (2 * ORDER) + 2 * (k - 1)
-        found.append(level.select(t.alias("t"), F.col("gram").alias("key"), F.col("n").cast("double").alias("a"), F.lit(0.0).alias("b")))
-        contexts = level.groupBy("lang", F.shiftrightunsigned("gram", 16).alias("key")).agg(F.sum("n").cast("double").alias("a"), F.count("*").cast("double").alias("b"))
-        found.append(contexts.select((t + 1).alias("t"), "key", "a", "b"))
+        own = [c for h in SIDES for c in (F.col(f"n{h}").cast("double").alias(f"a{h}"), F.lit(0.0).alias(f"b{h}"))]
+        found.append(level.select(t.alias("t"), F.col("gram").alias("key"), *own))
+        sums = [c for h in SIDES for c in (F.sum(f"n{h}").cast("double").alias(f"a{h}"), F.count_if(F.col(f"n{h}") > 0).cast("double").alias(f"b{h}"))]
+        contexts = level.groupBy("lang", F.shiftrightunsigned("gram", 16).alias("key")).agg(*sums)
+        found.append(contexts.select((t + 1).alias("t"), "key", *[f"{c}{h}" for h in SIDES for c in "ab"]))
     out = found[0]
     for df in found[1:]:
         out = out.unionByName(df)
     return staged(out)
 
 
-def _files(path: str) -> tuple[fs.FileSystem, str]:
-    path = re.sub(r"^file:/+", "/", path)
-    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
-
-
 def write_tables(tables: DataFrame) -> dict[int, list[tuple]]:
-    """Writes the tables as sorted arrays to the shared folder, each task its range; gives the pieces of each t in order."""
-    folder = f"{shared_dir(tables.sparkSession)}/evidlake-{uuid.uuid4().hex}"
-    system, path = _files(folder)
-    system.create_dir(path, recursive=True)
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, at, runs = f"{folder}/{uuid.uuid4().hex}", 0, []
-        with ExitStack() as stack:
-            outs = []
-            for batch in batches:
-                if not outs:
-                    outs = [stack.enter_context(_files(f"{name}.{c}")[0].open_output_stream(_files(f"{name}.{c}")[1])) for c in ("key", "a", "b")]
-                t, keys = batch["t"].to_numpy(), batch["key"].to_numpy()
-                for out, c in zip(outs, ("key", "a", "b"), strict=True):
-                    out.write(np.ascontiguousarray(batch[c].to_numpy()).tobytes())
-                begins = np.flatnonzero(np.diff(t, prepend=-1)).tolist()
-                for i, j in zip(begins, [*begins[1:], len(t)], strict=True):
-                    if runs and runs[-1][0] == t[i]:
-                        runs[-1][4] += j - i
-                    else:
-                        runs.append([int(t[i]), int(keys[i]), name, at + i, j - i])
-                at += len(t)
-        yield pa.RecordBatch.from_pydict({c: [r[k] for r in runs] for k, c in enumerate(pieces.names)}, schema=pieces)
-
-    pieces = pa.schema([("t", pa.int32()), ("first", pa.int64()), ("path", pa.string()), ("at", pa.int64()), ("length", pa.int64())])
-    n = int(tables.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = tables.repartitionByRange(n, "t", "key").sortWithinPartitions("t", "key")
+    """Writes the tables to the shared folder, in files sorted by table and key; gives the pieces of each t in order."""
+    spark = tables.sparkSession
+    folder = f"{shared_dir(spark)}/evidlake-{uuid.uuid4().hex}"
+    tables.repartitionByRange(1 + tables.count() // PIECE_ROWS, "t", "key").sortWithinPartitions("t", "key").write.option("compression", "zstd").parquet(folder)
+    runs = spark.read.schema(tables.schema).parquet(folder).groupBy(F.col("_metadata.file_path").alias("path"), "t").agg(F.min("key").alias("first"), F.count("*").alias("n"))
     found: dict[int, list[tuple]] = {}
-    for r in ranged.mapInArrow(write, "t int, first long, path string, at long, length long").collect():
-        found.setdefault(r.t, []).append((r.first, r.path, r.at, r.length))
+    ends: dict[str, int] = {}
+    for r in runs.orderBy("path", "t").collect():
+        at = ends.get(r.path, 0)
+        found.setdefault(r.t, []).append((r.first, unquote(r.path), at, r.n))
+        ends[r.path] = at + r.n
+    whole = unquote(min(ends)).rsplit("/", 1)[0]
+    if not whole.startswith("file:"):
+        spark.sparkContext.addFile(whole, recursive=True)
     return {t: sorted(p) for t, p in found.items()}
 
 
-def _mapped(path: str, dtype: str, at: int, length: int) -> np.ndarray:
-    system, path = _files(path)
-    if isinstance(system, fs.LocalFileSystem):
-        return np.asarray(np.memmap(path, dtype, "r", offset=8 * at, shape=(length,)))
-    with system.open_input_file(path) as source:
-        return np.frombuffer(source.read_at(8 * length, 8 * at), dtype)
+def _mapped(path: str, column: str, dtype: str) -> np.ndarray:
+    """One column of a file of the tables, mapped. The executor's first use of it copies it to a flat file, a batch at a time; the rename makes that whole or absent."""
+    folder, name = path.split("/")[-2:]
+    flat = f"{SparkFiles.getRootDirectory()}/{folder}.{name}.{column}"
+    if not os.path.exists(flat):
+        part = f"{flat}.{uuid.uuid4().hex}"
+        with pq.ParquetFile(re.sub("^file:/+", "/", path) if path.startswith("file:") else SparkFiles.get(f"{folder}/{name}")) as source, open(part, "wb") as out:
+            for batch in source.iter_batches(columns=[column]):
+                out.write(batch.column(0).to_numpy(zero_copy_only=False).astype(dtype).tobytes())
+        os.replace(part, flat)
+    return np.memmap(flat, dtype, "r")
 
 
 class _Table:
-    """A table of sorted keys in pieces, each (first key, path, at, length) or (first key, arrays). Only paths are pickled."""
+    """One side of a table of sorted keys in pieces, each (first key, path, at, length) or (first key, arrays). Only paths are pickled."""
 
-    def __init__(self, pieces: list[tuple]):
-        self.pieces, self.firsts, self.opened = pieces, np.array([p[0] for p in pieces], np.int64), {}
+    def __init__(self, pieces: list[tuple], side: str = ""):
+        self.pieces, self.side, self.firsts, self.opened = pieces, side, np.array([p[0] for p in pieces], np.int64), {}
 
     def __getstate__(self):
         return self.__dict__ | {"opened": {}}
@@ -206,7 +218,11 @@ class _Table:
     def _arrays(self, i: int) -> tuple[np.ndarray, ...]:
         if i not in self.opened:
             _, *where = self.pieces[i]
-            self.opened[i] = where[0] if len(where) == 1 else tuple(_mapped(f"{where[0]}.{c}", d, *where[1:]) for c, d in (("key", "<i8"), ("a", "<f8"), ("b", "<f8")))
+            if len(where) == 1:
+                self.opened[i] = where[0]
+            else:
+                path, at, n = where
+                self.opened[i] = tuple(np.asarray(_mapped(path, c, d)[at : at + n]) for c, d in (("key", "<i8"), (f"a{self.side}", "<f8"), (f"b{self.side}", "<f8")))
         return self.opened[i]
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,12 +261,21 @@ class LanguageModel:
         self._begin(langs, orders)
 
     @classmethod
-    def of_tables(cls, langs: list[str], tables: DataFrame) -> LanguageModel:
-        pieces = write_tables(tables)
-        rare = {r.t: _discount(r.ones, r.twos) for r in tables.where("t % 2 = 0").groupBy("t").agg(F.count_if(F.col("a") == 1).alias("ones"), F.count_if(F.col("a") == 2).alias("twos")).collect()}
-        model = cls.__new__(cls)
-        model._begin(langs, [[(_Table(pieces.get(t, [])), _Table(pieces.get(t + 1, [])), rare.get(t, 0.5)) for t in range(2 * ORDER * j, 2 * ORDER * (j + 1), 2)] for j in range(len(langs))])
-        return model
+    def of_tables(cls, langs: list[str], tables: DataFrame) -> list[LanguageModel]:
+        """The models of all rows and of each half, which share one set of files."""
+        pieces, models = write_tables(tables), []
+        rare = {r.t: r for r in tables.where("t % 2 = 0").groupBy("t").agg(*[F.count_if(F.col(f"a{h}") == c).alias(f"{of}{h}") for h in SIDES for of, c in (("ones", 1), ("twos", 2))], *[F.count_if(F.col(f"a{h}") > 0).alias(f"all{h}") for h in SIDES]).collect()}
+
+        def level(t: int, side: str) -> tuple[_Table, _Table, float]:
+            there = rare[t][f"all{side}"] > 0  # a language may be in one half only
+            of = [_Table(pieces[x] if there else [], side) for x in (t, t + 1)]
+            return *of, _discount(rare[t][f"ones{side}"], rare[t][f"twos{side}"])
+
+        for h in SIDES:
+            model = cls.__new__(cls)
+            model._begin(langs, [[level(t, h) for t in range(2 * ORDER * j, 2 * ORDER * (j + 1), 2)] for j in range(len(langs))])
+            models.append(model)
+        return models
 
     def _begin(self, langs: list[str], orders: list[list[tuple]]) -> None:
         self.langs, self.orders = langs, orders
@@ -269,7 +294,8 @@ class LanguageModel:
         self.hashes, self.table = hashes[order], table[order]
         bits = max(4, len(hashes).bit_length() + 1)
         self.shift = np.uint64(64 - bits)
-        self.first = np.append(np.searchsorted(self.hashes >> self.shift, np.arange(1 << bits, dtype=np.uint64)), len(hashes)).astype(np.int32)
+        self.first = np.zeros((1 << bits) + 1, dtype=np.int32)
+        np.cumsum(np.bincount((self.hashes >> self.shift).astype(np.int64), minlength=1 << bits), out=self.first[1:])
 
     def _worked_out(self, codes: np.ndarray) -> np.ndarray:
         """Log-probabilities of 4-grams under each language, by interpolation of all orders."""
@@ -306,7 +332,7 @@ class LanguageModel:
             codes, inverse = np.unique(codes[lost], return_inverse=True)
             found = self._worked_out(codes)
             result[lost] = found[inverse]
-            if len(codes) > len(self.hashes) // 50 and (len(codes) + len(self.hashes)) * max(1, len(self.langs)) * 4 <= CACHE_BYTES:
+            if len(codes) > len(self.hashes) // 50 and (len(codes) + len(self.hashes)) * (4 * len(self.langs) + 24) <= CACHE_BYTES:
                 self._cache(np.concatenate([self.hashes, mix(codes)]), np.concatenate([self.table, found]))
         return result
 
@@ -354,6 +380,7 @@ class LanguageModel:
 
         scored = rows.select("lang", "text", half().alias("half")).mapInArrow(read, "j int, cell long, agreed boolean, " + ", ".join(f"{c} double" for c in each))
         cells = staged(scored.groupBy("j", "cell", "agreed").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in each]))
+        known.unpersist()
         losses = cells.agg(*[F.sum(c) for c in each]).first()
         if losses[0] is None:
             return
@@ -385,14 +412,12 @@ def half() -> Column:
 def train(rows: DataFrame) -> LanguageModel:
     """The model of rows (doc_id, lang, text) whose lang is not null."""
     rows = rows.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    halves = staged(count_grams(rows.select(F.concat(half().cast("string"), "lang").alias("lang"), "text")))
-    halves = halves.select(F.substring("lang", 1, 1).alias("half"), F.expr("substring(lang, 2)").alias("lang"), "gram", "n")
-    counts = staged(halves.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counts = staged(count_halves(rows))
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     if not langs:
         return LanguageModel([], [], [])
-    model = LanguageModel.of_tables(langs, gram_tables(counts, langs))
-    model.calibrate(rows, [LanguageModel.of_tables(langs, gram_tables(halves.where(F.col("half") == h).drop("half"), langs)) for h in ("0", "1")])
+    model, *halves = LanguageModel.of_tables(langs, gram_tables(counts, langs))
+    model.calibrate(rows, halves)
     return model
 
 

@@ -71,6 +71,35 @@ def test_language_keeps_all_grams(spark, monkeypatch):
     assert np.array_equal(pickle.loads(pickle.dumps(got)).cross_entropies(texts)[0], x)
 
 
+def test_tables_on_a_store_that_only_spark_opens(spark, corpus, tmp_path, monkeypatch):
+    """With the shared folder on a file system of Spark's own, the model and its predictions are those of a local folder."""
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.own.link./kept", f"file://{tmp_path}")
+    df = spark.createDataFrame([*corpus[:200], (-1, None, "en"), (-2, "", "fr")], "doc_id long, text string, lang string").repartition(3)
+    want = language.train(df)
+    monkeypatch.setattr("evidlake.llm.common.shared_dir", lambda _: "viewfs://own/kept")
+    monkeypatch.setattr(language, "shared_dir", lambda _: "viewfs://own/kept")
+    got = language.train(df)
+    assert all(t.pieces[0][1].startswith("viewfs://own/kept/") for levels in got.orders for *tables, _ in levels for t in tables)
+    assert (got.temperature, got.median.tolist(), got.spread.tolist()) == (want.temperature, want.median.tolist(), want.spread.tolist())
+    assert sorted(map(str, language.identify(df, got).collect())) == sorted(map(str, language.identify(df, want).collect()))
+
+
+def test_counting_hands_on_what_it_holds(spark, corpus, monkeypatch):
+    """Counts, files and models don't depend on how many grams a task holds or how many rows a file has."""
+    df = spark.createDataFrame([*corpus[:200]], "doc_id long, text string, lang string").repartition(2)
+    sums = lambda: sorted(map(tuple, language.count_halves(df).select("lang", "gram", "n", "n0", "n1").collect()))
+    want, model = sums(), language.train(df)
+    assert all(n == a + b for *_, n, a, b in want)
+    monkeypatch.setattr(language, "HELD_GRAMS", 10)
+    monkeypatch.setattr(language, "CHUNK_BYTES", 1 << 9)
+    monkeypatch.setattr(language, "PIECE_ROWS", 1000)
+    assert sums() == want
+    small = language.train(df)
+    assert len({t.pieces[k][1] for levels in small.orders for *tables, _ in levels for t in tables for k in range(len(t.pieces))}) > 3
+    codes = np.array([g for _, g, *_ in want], np.int64).view(np.uint64)
+    assert np.array_equal(small._worked_out(codes), model._worked_out(codes)) and small.median.tolist() == model.median.tolist()
+
+
 def plain_cross_entropies(train, text):
     """Interpolated Kneser-Ney over dictionaries, from its definition."""
     out = {}
