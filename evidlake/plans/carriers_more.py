@@ -168,9 +168,20 @@ def d16(s, d):
 # --- sources ---------------------------------------------------------------------------------------------------------
 
 
-@query("s1_repo_files")
+@query(
+    "s1_repo_files",
+    """
+SELECT 'kind=' || event_type AS folder, sum(strlen(props) + 1)::BIGINT AS length, sum(strlen(props) + 1)::BIGINT AS content_bytes, count(*) AS n_lines
+FROM events GROUP BY event_type
+""",
+)
 def s1(s, d):
-    return reports.read_repo_files(s, d, "data", "now").select("path", "length")
+    """The properties of events written out as a snapshot of files, a folder for each kind, and scanned."""
+    root = f"{graph.shared_folder(s)}/snapshot-{uuid.uuid4().hex}"
+    ev(s, d).select(F.col("event_type").alias("kind"), "props").write.partitionBy("kind").option("maxRecordsPerFile", 10_000).text(root)
+    files = reports.read_repo_files(s, root, "events", "now").where(~F.col("path").startswith("_"))
+    lines = F.octet_length("content") - F.octet_length(F.translate(F.decode("content", "utf-8"), "\n", "").cast("binary"))
+    return files.groupBy(F.substring_index("path", "/", 1).alias("folder")).agg(F.sum("length").alias("length"), F.sum(F.octet_length("content")).alias("content_bytes"), F.sum(lines).alias("n_lines"))
 
 
 @query("s2_tool_json", "SELECT event_id AS run_id, event_type AS category, 'src/' || user_id || '.py' AS path FROM events WHERE event_id % 10 > 2")

@@ -14,9 +14,12 @@ SARIF = "struct<version:string,runs:array<struct<tool:struct<driver:struct<name:
 
 
 def read_repo_files(spark: SparkSession, root: str, repo_id: str, snapshot_id: str) -> DataFrame:
-    """(repo_id, snapshot_id, path, length, content) of all files under ``root``; content is only read where it is selected."""
+    """(repo_id, snapshot_id, path, length, content) of the files under ``root``; content is only read where it is selected.
+
+    Spark's file listing passes over empty files and names that begin with a dot or an underscore.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    tail = F.regexp_replace("path", "^.*?" + root.rstrip("/").split(":")[-1].replace(".", "\\.") + "/", "")
+    tail = F.regexp_replace("path", r"^.*?\Q" + root.rstrip("/").split(":")[-1] + r"\E/", "")
     return files.select(F.lit(repo_id).alias("repo_id"), F.lit(snapshot_id).alias("snapshot_id"), tail.alias("path"), "length", "content")
 
 

@@ -141,6 +141,17 @@ def test_reports(spark):
     assert rows(ok, "run_id") == [(3,)] and rows(bad, "run_id", "reject_reason") == [(1, "PATH_OUTSIDE_ROOT"), (2, "MALFORMED")]
 
 
+def test_repo_files_of_folders(spark, tmp_path):
+    """Paths are relative to the root, whatever characters it has; Spark's listing leaves out empty and hidden files."""
+    root = tmp_path / "a+b (c).d"
+    (root / "src" / "deep").mkdir(parents=True)
+    for name, text in (("EMPTY", ""), (".hidden", "x"), ("src/a.py", "x\n"), ("src/deep/é.sql", "select 1")):
+        (root / name).write_text(text, encoding="utf-8")
+    got = reports.read_repo_files(spark, str(root), "r", "s")
+    assert {(r.path, r.length, bytes(r.content).decode()) for r in got.collect()} == {("src/a.py", 2, "x\n"), ("src/deep/é.sql", 8, "select 1")}
+    assert {(r.repo_id, r.snapshot_id) for r in got.collect()} == {("r", "s")}
+
+
 def test_secrets_hide_values(spark):
     line = "x ghp_" + "a" * 36 + " y ghp_" + "a" * 36
     df = spark.createDataFrame([("r", "a.py", "ok\n" + line)], "repo_id string, path string, content string")
