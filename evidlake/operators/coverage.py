@@ -47,17 +47,25 @@ def profile_matrix(subjects: DataFrame, packs: DataFrame, dimensions: tuple[str,
 
 
 def project_profile(detections: DataFrame, packs: DataFrame) -> DataFrame:
-    """Detected subjects and the packs that serve them; packs: pack_id, subject."""
-    rows = detections.join(packs, "subject", "left")
+    """Detected subjects and the packs that serve them; packs: pack_id, subject. Each pair counts once, before the join."""
+    rows = detections.select("repo_id", "subject").distinct().join(packs.select("pack_id", "subject").distinct(), "subject", "left")
     return rows.groupBy("repo_id", "subject").agg(F.sort_array(F.collect_set("pack_id")).alias("pack_ids")).withColumn("availability", F.when(F.size("pack_ids") > 0, "AVAILABLE").otherwise("NOT_INSTALLED"))
 
 
 def roll_up(areas: DataFrame, key: str, required: tuple[str, ...] = AREAS) -> tuple[DataFrame, DataFrame]:
-    """The worst state over exactly the required areas, once each; keys that lack or repeat one are rejected."""
-    worst = F.min_by("state", rank(F.col("state")))
-    n = areas.groupBy(key).agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("area").isin(*required), F.col("area"))).alias("k"), worst.alias("state"))
-    good = (F.col("n") == len(required)) & (F.col("k") == len(required))
-    return n.where(good).select(key, "state"), n.where(~good).select(key, F.when(F.col("k") < len(required), "MISSING_AREA").otherwise("DUPLICATE_AREA").alias("reject_reason"))
+    """The worst state over exactly the required areas, once each; keys that lack or repeat one are rejected. A state without a rank is the worst.
+
+    Areas are summed as bits and states as ranks, so Spark hashes the sums; texts among them would be sorted, all rows of a task. Only states without a rank are summed by name.
+    """
+    ranked = rank(F.col("state"))
+    bits = [F.coalesce(*[F.when(F.col("area") == a, F.lit(1 << i).cast("long")) for i, a in enumerate(required[at : at + 63])], F.lit(0).cast("long")) for at in range(0, len(required), 63)]
+    n = areas.groupBy(key).agg(F.count("*").alias("rows_of_key"), F.min(ranked).cast("int").alias("rank_of_key"), *[F.bit_or(b).alias(f"bits{i}") for i, b in enumerate(bits)])
+    n = n.withColumn("areas_of_key", sum(F.bit_count(f"bits{i}") for i in range(len(bits))))
+    good = (F.col("rows_of_key") == len(required)) & (F.col("areas_of_key") == len(required))
+    other = areas.where(ranked == 0).groupBy(F.col(key).alias("of_key")).agg(F.min("state").alias("other"))
+    rows = n.where(good).join(other, F.col(key).eqNullSafe(F.col("of_key")), "left")
+    state = F.when(F.col("rank_of_key") == 0, F.col("other")).otherwise(F.get(F.array(*map(F.lit, PRECEDENCE)), F.col("rank_of_key") - 1))
+    return rows.select(key, state.alias("state")), n.where(~good).select(key, F.when(F.col("areas_of_key") < len(required), "MISSING_AREA").otherwise("DUPLICATE_AREA").alias("reject_reason"))
 
 
 def run_coverage(runs: DataFrame, rejects: DataFrame) -> DataFrame:

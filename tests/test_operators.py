@@ -245,3 +245,31 @@ def test_dispositions(spark):
     cases = [(base, "REGRESSION"), (("VIOLATED", "SATISFIED", *base[2:]), "IMPROVEMENT"), ((*base[:2], "COVERED", "PARTIAL", *base[4:]), "COVERAGE_LOST"), ((*base[:5], "CONFLICT", False, False), "UNKNOWN"), ((*base[:4], "BASE_ONLY", "UNPAIRED", False, True), "REGRESSION"), (("UNKNOWN", "SATISFIED", *base[2:]), "UNKNOWN")]
     df = spark.createDataFrame([(i, *c) for i, (c, _) in enumerate(cases)], "i int, base_state string, candidate_state string, base_coverage string, candidate_coverage string, presence string, continuity string, capped boolean, removal_proven boolean")
     assert {r.i: r.disposition for r in regression.disposition(df).collect()} == {i: d for i, (_, d) in enumerate(cases)}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_profile_counts_pairs_once(spark):
+    """Repeated pairs don't meet: both sides are distinct before the join."""
+    found = spark.createDataFrame([("r", "k1"), ("r", "k1"), ("r", "k2"), ("q", None)], "repo_id string, subject string")
+    packs = spark.createDataFrame([("p2", "k1"), ("p1", "k1"), ("p1", "k1"), ("p3", None)], "pack_id string, subject string")
+    got = coverage.project_profile(found, packs)
+    assert rows(got.select("repo_id", F.coalesce("subject", F.lit("")).alias("subject"), "pack_ids", "availability")) == [("q", "", [], "NOT_INSTALLED"), ("r", "k1", ["p1", "p2"], "AVAILABLE"), ("r", "k2", [], "NOT_INSTALLED")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)
+    assert plan[1].count("Aggregate") == 2
+
+
+def test_roll_up_is_hashed(spark):
+    """Sums of texts are sorted in each task; the roll-up has none, and keeps states that have no rank."""
+    areas = [(k, a, s) for k, s in (("good", "COVERED"), ("odd", "WEIRD"), ("none", None), (None, "PARTIAL")) for a in coverage.AREAS]
+    areas += [("less", "ROUTES", "COVERED"), *[("more", a, "COVERED") for a in (*coverage.AREAS, "ROUTES")]]
+    areas = [("good", "ROUTES", "SKIPPED") if x[:2] == ("good", "ROUTES") else x for x in areas]
+    ok, bad = coverage.roll_up(spark.createDataFrame(areas, "k string, area string, state string"), "k")
+    assert sorted(map(tuple, ok.collect()), key=str) == sorted([("good", "SKIPPED"), ("odd", "WEIRD"), ("none", None), (None, "PARTIAL")], key=str)
+    assert rows(bad) == [("less", "MISSING_AREA"), ("more", "DUPLICATE_AREA")]
+    assert "SortAggregate" not in plan_of(bad)
+    many = tuple(f"a{i}" for i in range(130))
+    wide = spark.range(130).selectExpr("1 AS k", "concat('a', id) AS area", "'COVERED' AS state")
+    assert rows(coverage.roll_up(wide, "k", many)[0]) == [(1, "COVERED")] and coverage.roll_up(wide.where("area <> 'a64'"), "k", many)[0].isEmpty()
