@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +42,16 @@ def path_reason(path: Column) -> Column:
 
 def normalised_tool_path(uri: Column) -> Column:
     """A tool's path relative to the root, percent-decoded; null if it has a scheme or drive, is malformed or leaves the root."""
-    decoded = F.try_url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
-    plain = F.when(~decoded.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & ~decoded.startswith("/") & ~decoded.contains("\\"), decoded)
     step = lambda acc, p: F.when(p.isin("", "."), acc).when((p == "..") & (F.size(acc) == 0), F.array(F.lit("\0"))).when(p == "..", F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.concat(acc, F.array(p)))
-    parts = F.aggregate(F.split(plain, "/"), F.array().cast("array<string>"), step)
-    path = F.array_join(parts, "/")
-    return F.when((F.size(parts) > 0) & ~F.array_contains(parts, "\0") & path_reason(path).isNull(), path)
+    plain = lambda c: F.when(~c.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & ~c.startswith("/") & ~c.contains("\\"), c)
+    parts = bound(F.try_url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), lambda c: F.aggregate(F.split(plain(c), "/"), F.array().cast("array<string>"), step))
+    good = lambda p: bound(F.array_join(p, "/"), lambda path: F.when(path_reason(path).isNull(), path))
+    return bound(parts, lambda p: F.when((F.size(p) > 0) & ~F.array_contains(p, "\0"), good(p)))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that Spark works out once a row: each use of a plain column repeats its expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def is_utc_timestamp(text: Column) -> Column:

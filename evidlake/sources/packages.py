@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidlake.sources.reports import known_keys
+from evidlake.sources.reports import known_keys, once
 
 ADVISORY = "struct<schema_version:string,advisories:array<struct<id:string,ecosystem:string,package:string,affected_versions:array<string>,summary:string>>>"
 CACHE_KEYS = ("ecosystem", "name", "version", "fetched_at", "advisories")
@@ -27,7 +27,7 @@ def cargo_packages(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def npm_packages(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """As ``cargo_packages``, of npm lockfiles of version 2 and 3; links and the root don't count."""
     body = F.from_json("content", "struct<lockfileVersion:int,packages:map<string,struct<name:string,version:string,link:boolean>>>")
-    docs = files.select("repo_id", "path", body.alias("d"))
+    docs = once(files.select("repo_id", "path", "content"), d=body).drop("content")
     bad = F.when(F.col("d.lockfileVersion").isNull() | F.col("d.packages").isNull(), "MALFORMED").when(~F.col("d.lockfileVersion").isin(2, 3), "UNSUPPORTED_VERSION")
     docs = docs.withColumn("reject_reason", bad)
     rows = docs.where("reject_reason is null").select("repo_id", F.explode("d.packages").alias("at", "p")).where(F.col("at") != "").where(~F.coalesce("p.link", F.lit(False)))

@@ -273,3 +273,12 @@ def test_roll_up_is_hashed(spark):
     many = tuple(f"a{i}" for i in range(130))
     wide = spark.range(130).selectExpr("1 AS k", "concat('a', id) AS area", "'COVERED' AS state")
     assert rows(coverage.roll_up(wide, "k", many)[0]) == [(1, "COVERED")] and coverage.roll_up(wide.where("area <> 'a64'"), "k", many)[0].isEmpty()
+
+
+def test_bodies_and_paths_once(spark):
+    """A row's body is parsed once, and its paths are normalised once, however many rules use them."""
+    raw = spark.createDataFrame([(1, '{"schema_version":"1","evidence":[{"observation":"o","category":"c","locations":[{"repo_relative_path":"./a//b/../c%20d"}]}]}'), (2, "x")], "run_id long, body string")
+    ok, bad = reports.ingest_tool_json(raw)
+    assert rows(ok, "run_id", "paths") == [(1, ["a/c d"])] and rows(bad, "run_id", "reject_reason") == [(2, "MALFORMED")]
+    plan = ok._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and plan.count("url_decode") + plan.count("UrlDecode") <= 2
