@@ -227,6 +227,22 @@ def test_crowded_repositories_are_counted_not_expanded(spark, monkeypatch):
     assert rows(found, "repo_id", F.size("nodes").alias("n")) == [(2, 4)] * 4 + [(3, 4), (4, 32)]
 
 
+def test_only_repositories_that_could_go_over_are_counted(spark, monkeypatch):
+    """Repository 1 is over its cap in the third round, 2 stays under it; the links are read from what is kept, not worked out in every round."""
+    data = [(1, "0", f"1.{i}") for i in range(3)] + [(1, f"1.{i}", f"2.{j}") for i in range(3) for j in range(3)] + [(1, f"2.{j}", "end") for j in range(3)] + [(2, "0", "a"), (2, "a", "b"), (2, "b", "end"), (2, "b", "a")]
+    worked = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda basis: worked.add(1) or basis)
+    links = spark.createDataFrame([(*x, "INFERRED" if x[1] == "a" else "EXTRACTED") for x in data], "repo_id int, source string, target string, basis string").withColumn("basis", seen("basis"))
+    routes = spark.createDataFrame([(r, "0", "COVERED") for r in (1, 2)], "repo_id int, route_id string, coverage_state string")
+    ops = spark.createDataFrame([(r, "end", "COVERED") for r in (1, 2)], "repo_id int, operation_id string, coverage_state string")
+    counted, crowded = [], paths.crowded
+    monkeypatch.setattr(paths, "crowded", lambda starts, hops, ends, *limits: counted.append({r.repo_id for r in hops.collect()}) or crowded(starts, hops, ends, *limits))
+    found, bad = paths.correlate_paths(routes, ops, links, most=8)
+    assert rows(bad) == [(1, "TOO_MANY_PATHS")] and counted == [{1}]
+    assert rows(found, "repo_id", F.concat_ws(" ", "nodes").alias("n"), "state") == [(2, "0 a b end", "PARTIAL")]
+    assert worked.value <= 2 * len(data)
+
+
 def test_versions_and_conflicts(spark):
     s = "k int, digest string"
     new = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "x"), (4, "y"), (1, "a")], s)
