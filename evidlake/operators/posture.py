@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidlake.operators.graph import cut_lineage
-from evidlake.sources.ddl import discover_migrations, extract_ddl
+from evidlake.sources.ddl import discover_migrations, extract_ddl, migration_repositories
 
 API_ROLES = ("anon", "authenticated", "public")
 
@@ -112,12 +112,12 @@ def reduce_posture(migrations: DataFrame) -> dict[str, DataFrame]:
     schemas, relations, policies, policy_removals, functions, function_grants, grants, generic_grants (schemas and sequences); and statements, from which
     ``located`` gives a fact's place.
     """
-    ordered, rejected = discover_migrations(migrations)
-    # Parsed once: each of the folds reads what is kept.
-    statements = cut_lineage(extract_ddl(ordered)).withColumn("pos", position(F.col("migration_order"), F.col("statement_index")))
+    # Read and parsed once: each of the folds reads what is kept.
+    known = cut_lineage(migration_repositories(migrations))
+    statements = cut_lineage(extract_ddl(discover_migrations(migrations)[0])).withColumn("pos", position(F.col("migration_order"), F.col("statement_index")))
     gap_rows, states = gaps(statements)
-    rejects = rejected.select("repo_id", F.lit(0).cast("long").alias("gaps"), F.lit("REJECTED").alias("state"))
-    empty = ordered.select("repo_id").distinct().join(states.select("repo_id"), "repo_id", "left_anti").select("repo_id", F.lit(0).cast("long").alias("gaps"), F.lit("COVERED").alias("state"))
+    rejects = known.where("ambiguous").select("repo_id", F.lit(0).cast("long").alias("gaps"), F.lit("REJECTED").alias("state"))
+    empty = known.where("not ambiguous").join(states.select("repo_id"), "repo_id", "left_anti").select("repo_id", F.lit(0).cast("long").alias("gaps"), F.lit("COVERED").alias("state"))
     keys = ["repo_id", "object_schema", "object_name"]
     good = statements.where("outcome = 'SUPPORTED'")
     schemas = good.where("kind = 'CREATE_SCHEMA'").groupBy("repo_id", F.col("object_name").alias("schema_name")).agg(F.max("pos").alias("provenance"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 MIGRATION = r"^(.*/)?supabase/migrations/(\d{14})(_[^/]+)?\.sql$"
 NAME = r'((?:"[^"]+"|[a-z_][a-z0-9_$]*)(?:\.(?:"[^"]+"|[a-z_][a-z0-9_$]*))?)'
+#: What a pattern's \s takes.
+SPACE = " \t\n\x0b\f\r"
 #: Limits of one file.
 SCAN_BYTES, SCAN_STATEMENTS = 4 * 1024 * 1024, 4096
 #: Supported forms by kind, tried in this order; group 1 is the object, or group 1 the policy and group 2 its relation.
@@ -21,12 +23,24 @@ FORMS = (
 UNSUPPORTED = r"(?i)^(do|call|execute|prepare|set|reset|alter\s+default\s+privileges|create\s+role|alter\s+role|alter\s+policy|create\s+policy|drop\s+policy|grant|revoke|security\s+label)\b"
 
 
+def _migrations(files: DataFrame) -> DataFrame:
+    return files.where(F.col("path").rlike(MIGRATION)).withColumn("order_key", F.regexp_extract("path", MIGRATION, 2))
+
+
+def migration_repositories(files: DataFrame) -> DataFrame:
+    """(repo_id, ambiguous): repositories with migrations, and whether one uses an order key twice."""
+    keys = _migrations(files).groupBy("repo_id", "order_key").agg((F.count("*") > 1).alias("twice"))
+    return keys.groupBy("repo_id").agg(F.bool_or("twice").alias("ambiguous"))
+
+
 def discover_migrations(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Migrations in order (repo_id, path, order_key, migration_order), and repositories rejected for using an order key twice."""
-    rows = files.where(F.col("path").rlike(MIGRATION)).withColumn("order_key", F.regexp_extract("path", MIGRATION, 2))
-    twice = rows.groupBy("repo_id", "order_key").count().where("count > 1").select("repo_id").distinct()
-    order = Window.partitionBy("repo_id").orderBy("order_key")
-    return rows.join(twice, "repo_id", "left_anti").withColumn("migration_order", F.row_number().over(order) - 1), twice.withColumn("reject_reason", F.lit("AMBIGUOUS_ORDER"))
+    repo = Window.partitionBy("repo_id")
+    order = repo.orderBy("order_key")
+    again = F.coalesce(F.lag("order_key").over(order) == F.col("order_key"), F.lit(False))
+    rows = _migrations(files).withColumns({"migration_order": F.row_number().over(order) - 1, "again": again}).withColumn("ambiguous", F.bool_or("again").over(repo))
+    rejects = migration_repositories(files).where("ambiguous").select("repo_id", F.lit("AMBIGUOUS_ORDER").alias("reject_reason"))
+    return rows.where(~F.col("ambiguous")).drop("again", "ambiguous"), rejects
 
 
 #: Comments, dollar-quoted bodies and string literals.
@@ -52,38 +66,39 @@ def extract_ddl(migrations: DataFrame, max_bytes: int = SCAN_BYTES, max_statemen
     outcome: SUPPORTED, IGNORED_SAFE, UNSUPPORTED (it can change privileges) or MALFORMED, which takes all statements of its file. A file over
     a limit gives one row, SCAN_REJECTED, without index or place: it isn't read in part.
     """
-    size = F.coalesce(F.octet_length("content"), F.lit(0))
-    rows = migrations.withColumn("content_digest", F.concat(F.lit("sha256:"), F.sha2(F.coalesce("content", F.lit("")), 256)))
-    over = rows.where(size > max_bytes)
-    rows = rows.where(size <= max_bytes).withColumn("bare", masked(F.col("content")))
+    # A file over the limit is one piece, so all files take one way.
+    big = F.coalesce(F.octet_length("content"), F.lit(0)) > max_bytes
+    rows = migrations.withColumns({"content_digest": F.concat(F.lit("sha256:"), F.sha2(F.coalesce("content", F.lit("")), 256)), "big": big}).withColumn("bare", F.when(~F.col("big"), masked(F.col("content"))))
     broken = F.col("bare").rlike(r"\$[A-Za-z_]*\$") | (F.size(F.split(F.col("bare"), "'")) % 2 == 0) | F.col("bare").contains("/*")
-    pieces = F.regexp_extract_all("bare", F.lit(r'(?:[^;"]++|"[^"]*+")++|[;"]'), F.lit(0))
-    rows = rows.withColumn("broken", broken).select("repo_id", "path", "migration_order", "content_digest", "broken", F.posexplode(pieces).alias("nth", "piece"))
-    along = Window.partitionBy("repo_id", "path").orderBy("nth")
+    pieces = F.when(F.col("big"), F.array(F.lit("?"))).otherwise(F.regexp_extract_all("bare", F.lit(r'(?:[^;"]++|"[^"]*+")++|[;"]'), F.lit(0)))
+    rows = rows.withColumn("broken", broken).select("repo_id", "path", "migration_order", "content_digest", "big", "broken", F.posexplode(pieces).alias("nth", "piece"))
+    of_file = Window.partitionBy("repo_id", "path", "big")
+    along = of_file.orderBy("nth")
     begin = F.coalesce(F.sum(F.octet_length("piece")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest, inner = F.regexp_replace("piece", r"^\s+", ""), F.regexp_replace("piece", r"^\s+|\s+$", "")
+    rest, inner = F.ltrim("piece", F.lit(SPACE)), F.btrim("piece", F.lit(SPACE))
     start = begin + F.octet_length("piece") - F.octet_length(rest)
     rows = rows.withColumns({"start_byte": start, "end_byte": start + F.octet_length(inner)}).where(~F.col("piece").isin(";", '"') & (inner != ""))
-    rows = rows.withColumn("s", F.regexp_replace(inner, r"\s+", " ")).withColumn("statement_index", F.row_number().over(along) - 1)
+    rows = rows.withColumns({"s": F.regexp_replace(inner, r"\s+", " "), "statement_index": F.row_number().over(along) - 1, "statements": F.count("*").over(of_file)})
     # A file with too many statements is not read in part.
-    many = rows.where(F.col("statement_index") >= max_statements).select("repo_id", "path", "migration_order", "content_digest").distinct()
-    rows = rows.join(many.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
-    over = over.select("repo_id", "path", "migration_order", "content_digest").unionByName(many)
+    rows = rows.withColumn("rejected", F.col("big") | (F.col("statements") > max_statements)).where("not rejected or statement_index = 0")
     kind = F.coalesce(*[F.when(F.col("s").rlike(p), F.lit(k)) for k, p in FORMS])
+    # Named before the last projection, which would repeat them in every use.
     rows = rows.withColumn("kind", kind)
     target = F.coalesce(*[F.when(F.col("kind") == k, F.regexp_extract("s", p, 2 if "POLICY" in k else 1)) for k, p in FORMS])
     policy = F.coalesce(*[F.when(F.col("kind") == k, F.regexp_extract("s", p, 1)) for k, p in FORMS if "POLICY" in k])
     parts = F.regexp_extract_all(target, F.lit(r'"[^"]+"|[A-Za-z_][A-Za-z0-9_$]*'), F.lit(0))
+    rows, parts, policy = rows.withColumns({"parts": parts, "policy": policy}), F.col("parts"), F.col("policy")
     granted = F.split(F.upper(F.regexp_replace(F.regexp_extract("s", r"(?i)^(?:grant|revoke(?:\s+grant\s+option\s+for)?)\s+(.+?)\s+on\s", 1), r"(?i)\s*privileges", "")), r"\s*,\s*")
     who = F.split(F.lower(F.regexp_replace(F.regexp_extract("s", r"(?i)\s(?:to|from)\s+([a-z0-9_,\s\"]+?)(?:\s+with\s+grant|\s+using|\s+with\s+check|\s+cascade|\s+restrict|$)", 1), '"', "")), r"\s*,\s*")
     is_policy, is_grant = F.col("kind").contains("POLICY"), F.col("kind").isin("GRANT", "REVOKE")
-    outcome = F.when(F.col("broken"), "MALFORMED").when(F.col("kind").isNotNull(), "SUPPORTED").when(F.col("s").rlike(UNSUPPORTED), "UNSUPPORTED").otherwise("IGNORED_SAFE")
+    outcome = F.when(F.col("rejected"), "SCAN_REJECTED").when(F.col("broken"), "MALFORMED").when(F.col("kind").isNotNull(), "SUPPORTED").when(F.col("s").rlike(UNSUPPORTED), "UNSUPPORTED").otherwise("IGNORED_SAFE")
     mode = F.when(F.col("s").rlike(r"(?i)\bsecurity\s+definer\b"), "DEFINER").when(F.col("s").rlike(r"(?i)\bsecurity\s+invoker\b"), "INVOKER")
     setting = F.lower(F.regexp_extract("s", r"(?i)\bwith\s*\([^)]*\bsecurity_invoker\b\s*=?\s*([a-z]*)", 1))
     invoker = F.when(F.col("s").rlike(r"(?i)\bwith\s*\([^)]*\bsecurity_invoker\b"), ~setting.isin("false", "off", "no"))
-    supported = lambda c: F.when(~F.col("broken"), c)
-    found = rows.select(
-        "repo_id", "path", "migration_order", "statement_index", outcome.alias("outcome"), supported(F.col("kind")).alias("kind"), supported(F.when(F.size(parts) > 1, _plain(parts[0]))).alias("object_schema"),
+    supported = lambda c: F.when(~F.col("broken") & ~F.col("rejected"), c)
+    placed = lambda c: F.when(~F.col("rejected"), F.col(c)).alias(c)
+    return rows.select(
+        "repo_id", "path", "migration_order", placed("statement_index"), outcome.alias("outcome"), supported(F.col("kind")).alias("kind"), supported(F.when(F.size(parts) > 1, _plain(parts[0]))).alias("object_schema"),
         supported(F.when(F.size(parts) > 0, _plain(F.element_at(parts, -1)))).alias("object_name"), supported(_plain(policy)).alias("policy_name"),
         supported(F.when(is_policy, F.upper(F.nullif(F.regexp_extract("s", r"(?i)\sfor\s+(all|select|insert|update|delete)\b", 1), F.lit(""))))).alias("command"),
         supported(F.when(is_policy | is_grant, F.filter(who, lambda w: w != ""))).alias("roles"), supported(F.when(is_grant, granted)).alias("privileges"),
@@ -91,9 +106,8 @@ def extract_ddl(migrations: DataFrame, max_bytes: int = SCAN_BYTES, max_statemen
         supported(F.when(F.col("kind").contains("FUNCTION"), mode)).alias("security_mode"), supported(F.when(F.col("kind").contains("FUNCTION"), F.nullif(F.trim(F.regexp_extract("s", r"(?i)\bset\s+search_path\s*(?:=|to)\s*([^;]*?)(?:\s+as\s|\s+language\s|$)", 1)), F.lit("")))).alias("search_path"),
         supported(F.when(is_grant, F.coalesce(F.nullif(F.upper(F.regexp_extract("s", r"(?i)\son\s+(table|function|schema|sequence)\s", 1)), F.lit("")), F.lit("TABLE")))).alias("object_kind"),
         supported(F.when(F.col("kind") == "CREATE_VIEW", invoker)).alias("security_invoker"),
-        "start_byte", "end_byte", "content_digest",
+        placed("start_byte"), placed("end_byte"), "content_digest",
     )
-    return found.unionByName(over.withColumn("outcome", F.lit("SCAN_REJECTED")), allowMissingColumns=True)
 
 
 def extract_api_config(files: DataFrame) -> tuple[DataFrame, DataFrame]:

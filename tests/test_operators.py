@@ -111,6 +111,18 @@ def test_places_of_statements(spark):
     assert data[placed.start_byte : placed.end_byte] == b"grant select on app.t to anon" and placed.path.endswith("_a.sql")
 
 
+def test_migrations_are_read_once(spark):
+    """Files over a limit, files with too many statements, empty files and others go one way; repositories with a doubled key are known without their texts."""
+    texts = [("r", 1, "create table app.t (a int); grant select on app.t to anon"), ("r", 2, "select 1;" * 5000), ("r", 3, ""), ("e", 1, ""), ("q", 1, "x"), ("q", 1, "y")]
+    worked = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda text: worked.add(1) or text)
+    files = spark.createDataFrame([(r, f"supabase/migrations/{k:014d}_{i}.sql", t) for i, (r, k, t) in enumerate(texts)], "repo_id string, path string, content string").withColumn("content", seen("content"))
+    found = posture.reduce_posture(files)
+    assert rows(found["repositories"], "repo_id", "state") == [("e", "COVERED"), ("q", "REJECTED"), ("r", "PARTIAL")]
+    assert rows(found["grants"], "object_name", "role") == [("t", "anon")] and rows(found["gaps"], "gap", "statement_index") == [("SCAN_REJECTED", None)]
+    assert worked.value <= len(texts)
+
+
 def test_policy_epochs(spark):
     data = [("p", i, k, c, ["a"], None, None) for i, (k, c) in enumerate([("CREATE", "ALL"), ("ALTER", "SELECT"), ("DROP", None), ("ALTER", "ALL")])] + [("q", 0, "DROP", None, None, None, None), ("q", 1, "CREATE", "ALL", ["a"], True, None), ("q", 2, "ALTER", None, ["b"], None, None), ("z", 0, "CREATE", "ALL", None, None, None), ("z", 1, "DROP", None, None, None, None)]
     df = spark.createDataFrame(data, "policy string, at int, kind string, command string, roles array<string>, has_using boolean, has_with_check boolean").withColumn("pos", posture.position(F.lit(0), F.col("at")))
