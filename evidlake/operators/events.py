@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidlake.functions.identity import content_id
@@ -39,20 +39,38 @@ def session_heads(events: DataFrame) -> DataFrame:
 
 def chain_append(new: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that extend their session's chain without a gap, and rejects (K6); a row already in the log is neither."""
-    known = log.select("session_id", "sequence", F.col("event_hash").alias("held"))
-    rows = new.join(known, ["session_id", "sequence"], "left")
-    fork = rows.where("held is not null and held <> event_hash").drop("held").withColumn("reject_reason", F.lit("FORK"))
-    fresh = rows.where("held is null").drop("held").dropDuplicates(["session_id", "sequence", "event_hash"])
+    # Log and new rows are dealt once, by session and segment of its sequence; windows, the segments' sums and the last join keep that deal.
+    rows = new.withColumn("in_log", F.lit(False)).unionByName(log.select("session_id", "sequence", "event_hash", F.lit(True).alias("in_log")), allowMissingColumns=True)
+    rows = rows.withColumn("segment_of_session", F.coalesce(F.floor(F.col("sequence") / SEGMENT_ROWS), F.lit(-(1 << 62))))
+    same = Window.partitionBy("session_id", "segment_of_session", "sequence").orderBy("event_hash")
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    held = F.when(F.col("in_log"), F.col("event_hash"))
+    rows = rows.withColumns({"held_least": F.min(held).over(whole), "held_most": F.max(held).over(whole), "again": F.lag("event_hash").over(same).eqNullSafe(F.col("event_hash"))}).where("not in_log")
+    fork = rows.where("held_least <> event_hash or held_most <> event_hash").select(*new.columns, F.lit("FORK").alias("reject_reason"))
+    local = Window.partitionBy("session_id", "segment_of_session").orderBy("sequence", "event_hash")
+    rows = rows.where("held_least is null and not again")
+    rows = rows.withColumns({"own_rank": F.row_number().over(local), "own_prior": F.lag("event_hash").over(local), "first_sequence": F.first("sequence").over(local)})
+    # Past the first row of a segment, a row's place among the others says whether it is bad, if the first isn't.
+    gap = F.coalesce(F.col("sequence") - F.col("first_sequence") != F.col("own_rank") - 1, F.lit(False))
+    own_bad = F.when(F.col("own_rank") > 1, F.when(gap, "SEQUENCE_GAP").when(~F.col("previous_event_hash").eqNullSafe(F.col("own_prior")), "PREVIOUS_HASH"))
+    rows = rows.withColumn("own_bad", own_bad)
     heads = log.groupBy("session_id").agg(F.max("sequence").alias("last"), F.max_by("event_hash", "sequence").alias("last_hash"))
-    rows = _chained(fresh).join(heads, "session_id", "left")
-    want = F.coalesce("last", F.lit(-1)) + F.col("rank")
-    bad = F.when(F.col("sequence") != want, "SEQUENCE_GAP").when(~F.col("previous_event_hash").eqNullSafe(F.when(F.col("rank") == 1, F.col("last_hash")).otherwise(F.col("prior"))), "PREVIOUS_HASH")
-    rows = rows.withColumn("bad", bad)
+    sums = [F.count("*").alias("n"), F.max_by("event_hash", "own_rank").alias("tail"), F.min("first_sequence").alias("first_sequence"), F.min_by("previous_event_hash", "own_rank").alias("first_previous")]
+    broken = F.min(F.when(F.col("own_bad").isNotNull(), F.struct("own_rank", F.col("own_bad").alias("reason")))).alias("own_broken")
+    along = Window.partitionBy("session_id").orderBy("segment_of_session")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("session_id", "segment_of_session").agg(*sums, broken).join(heads, "session_id", "left")
+    parts = parts.withColumns({"ahead": F.coalesce(F.sum("n").over(before), F.lit(0)), "tail_before": F.lag("tail").over(along)})
+    first_gap = F.coalesce(F.col("first_sequence") != F.coalesce("last", F.lit(-1)) + F.col("ahead") + 1, F.lit(False))
+    prior = F.when(F.col("ahead") == 0, F.col("last_hash")).otherwise(F.col("tail_before"))
+    first_bad = F.when(first_gap, "SEQUENCE_GAP").when(~F.col("first_previous").eqNullSafe(prior), "PREVIOUS_HASH")
+    parts = parts.withColumn("broken", F.when(first_bad.isNotNull(), F.struct(F.lit(1).alias("own_rank"), first_bad.alias("reason"))).otherwise(F.col("own_broken")))
     # What comes after a session's first bad row is rejected for that row's reason.
-    first = rows.where("bad is not null").groupBy(F.col("session_id").alias("of_session")).agg(F.min(F.struct("rank", "bad")).alias("broken"))
-    rows = rows.join(first, F.col("session_id") == F.col("of_session"), "left").withColumn("late", F.coalesce(F.col("rank") >= F.col("broken.rank"), F.lit(False)))
-    ok = rows.where("not late").select(*new.columns)
-    return ok, fork.unionByName(rows.where("late").withColumn("reject_reason", F.col("broken.bad")).select(*new.columns, "reject_reason"))
+    parts = parts.withColumn("earlier", F.first("broken", ignorenulls=True).over(before))
+    late_from = F.when(F.col("earlier").isNotNull(), F.lit(1)).otherwise(F.col("broken.own_rank"))
+    parts = parts.select(F.col("session_id").alias("of_session"), F.col("segment_of_session").alias("of_segment"), late_from.alias("late_from"), F.coalesce("earlier.reason", "broken.reason").alias("reject_reason")).where("late_from is not null")
+    rows = rows.join(parts, (F.col("session_id") == F.col("of_session")) & (F.col("segment_of_session") == F.col("of_segment")), "left").withColumn("late", F.coalesce(F.col("own_rank") >= F.col("late_from"), F.lit(False)))
+    return rows.where("not late").select(*new.columns), fork.unionByName(rows.where("late").select(*new.columns, "reject_reason"))
 
 
 def compose_verdicts(actions: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:

@@ -81,6 +81,44 @@ def test_append_in_segments(spark, monkeypatch, rows):
     assert sorted((x.session_id, x.sequence, x.reject_reason) for x in bad.collect()) == [(1, 3, "FORK"), *[(2, i, "SEQUENCE_GAP") for i in (6, 7, 8)], *[(4, i, "PREVIOUS_HASH") for i in (3, 4)]]
 
 
+@pytest.mark.parametrize("rows", [1 << 16, 3])
+def test_append_deals_rows_once(spark, monkeypatch, rows):
+    """Random chains with gaps, forks, doubles and wrong hashes against a plain loop; rows are dealt once for the result and once for the segments' sums."""
+    monkeypatch.setattr(events, "SEGMENT_ROWS", rows)
+    r, schema, log, new = random.Random(11), "session_id int, sequence long, event_hash string, previous_event_hash string", [], []
+    for s in range(60):
+        chain = [(s, q, f"{s}h{q}", f"{s}h{q - 1}" if q else None) for q in range(14)]
+        cut = r.randrange(6)
+        log += chain[:cut]
+        own = chain[max(cut - r.randrange(3), 0) :]
+        for _ in range(r.randrange(3)):
+            k = r.randrange(len(own))
+            own[k] = r.choice([own[k][:3] + ("x",), (s, own[k][1], f"{s}f", own[k][3]), (s, own[k][1] + 20, *own[k][2:])])
+        new += [x for x in own if r.random() < 0.97] + own[:1]
+    held = {x[:2]: x[2] for x in log}
+    ok, bad = set(), []
+    for s in range(60):
+        forks = [x for x in new if x[0] == s and held.get(x[:2], x[2]) != x[2]]
+        bad += [(*x[:3], "FORK") for x in forks]
+        last = max((q for a, q in held if a == s), default=-1)
+        prior, reason = held.get((s, last)), None
+        for n, x in enumerate(sorted({x for x in new if x[0] == s and x[:2] not in held}, key=lambda x: x[1:3])):
+            reason = reason or ("SEQUENCE_GAP" if x[1] != last + n + 1 else "PREVIOUS_HASH" if x[3] != prior else None)
+            prior = x[2]
+            bad += [(*x[:3], reason)] if reason else []
+            ok |= set() if reason else {x}
+    good, rejects = events.chain_append(spark.createDataFrame(new, schema).repartition(3), spark.createDataFrame(log, schema))
+    assert {tuple(x) for x in good.collect()} == ok and good.count() == len(ok)
+    assert sorted((x.session_id, x.sequence, x.event_hash, x.reject_reason) for x in rejects.collect()) == sorted(bad) and {x[3] for x in bad} == {"FORK", "SEQUENCE_GAP", "PREVIOUS_HASH"}
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = events.chain_append(spark.createDataFrame(new, schema), spark.createDataFrame(log, schema))[0]
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 7
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_approvals_of_a_hot_digest(spark):
     r = random.Random(5)
     asks = [(i, "hot" if r.random() < 0.5 else f"d{r.randrange(5)}", r.choice(["ASK", "ASK", "ALLOW", "DENY", None]), r.randrange(200)) for i in range(500)]
