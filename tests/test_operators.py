@@ -255,6 +255,15 @@ def test_only_repositories_that_could_go_over_are_counted(spark, monkeypatch):
     assert worked.value <= 2 * len(data)
 
 
+def test_explained_paths_go_before_their_evaluations(spark):
+    """A path of which an evaluation is named isn't expanded and dropped again."""
+    contexts = spark.createDataFrame([("p", "p-1", "i"), ("p", "p-2", "i"), ("p", "p-2", "i"), ("q", "q-1", "j")], "path_id string, evaluation_id string, invariant_id string")
+    named = [("a", ["cross_layer_path:p"]), ("b", ["cross_layer_path:p", "invariant_evaluation:p-1"]), ("c", ["cross_layer_path:q", "invariant_evaluation:p-2"]), ("d", ["invariant:i", "cross_layer_path:p", "invariant_evaluation:p-1"]), ("e", ["invariant:x"])]
+    found = paths.explanation_chains(spark.createDataFrame(named, "finding_id string, affected_subjects array<string>"), contexts)
+    assert rows(found) == [("a", "p", "p-1"), ("a", "p", "p-2"), ("b", "p", "p-1"), ("c", "p", "p-2"), ("c", "q", "q-1"), ("d", "p", "p-1"), ("d", "p", "p-2")]
+    assert "LeftOuter" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_versions_and_conflicts(spark):
     s = "k int, digest string"
     new = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "x"), (4, "y"), (1, "a")], s)
