@@ -82,8 +82,9 @@ def ingest_occurrences(occurrences: DataFrame) -> tuple[DataFrame, DataFrame, Da
     """Nodes, REFS edges and coverage of (repo_id, path, symbol, line, is_definition, quality); a heuristic index is PARTIAL."""
     file_key, symbol_key = F.concat_ws(":", "repo_id", "path"), F.concat_ws(":", "repo_id", "symbol")
     ref_key = F.concat_ws(":", "repo_id", "path", "line", "symbol")
-    kinds = F.array(F.struct(F.lit("FILE").alias("kind"), file_key.alias("key")), F.struct(F.lit("SYMBOL").alias("kind"), symbol_key.alias("key")), F.when(~F.col("is_definition"), F.struct(F.lit("REFERENCE").alias("kind"), ref_key.alias("key"))))
-    nodes = occurrences.select("repo_id", F.explode(F.array_compact(kinds)).alias("n")).select("repo_id", "n.kind", "n.key").distinct()
+    # Each kind on its own: its rows are told apart by repository and key alone.
+    kind = lambda rows, name, key: rows.select("repo_id", key.alias("key")).distinct().select("repo_id", F.lit(name).alias("kind"), "key")
+    nodes = kind(occurrences, "FILE", file_key).unionByName(kind(occurrences, "SYMBOL", symbol_key)).unionByName(kind(occurrences.where("not is_definition"), "REFERENCE", ref_key))
     nodes = nodes.withColumn("node_id", node_id(F.col("kind"), F.col("key")))
     source, target = node_id(F.lit("REFERENCE"), ref_key), node_id(F.lit("SYMBOL"), symbol_key)
     edges = occurrences.where("not is_definition").select("repo_id", source.alias("source"), F.lit("REFS").alias("relation"), target.alias("target")).distinct()

@@ -293,6 +293,14 @@ def test_workflow_facts_within_a_row(spark):
     assert "Window" not in plan and "posexplode" not in plan
 
 
+def test_occurrence_nodes_by_kind(spark):
+    """Keys that meet after they are joined are one node; no row carries all kinds."""
+    data = [("r", "a", "s", "1", True, "EXACT"), ("r", "a", "s", "2", False, "EXACT"), ("r", "a", "s", "2", False, "EXACT"), ("r:a", "b", "s", "3", None, "EXACT"), ("r", "a:b", "s", "1", True, "EXACT"), ("q", "a", "s", "2", False, "EXACT")]
+    found = reports.ingest_occurrences(spark.createDataFrame(data, "repo_id string, path string, symbol string, line string, is_definition boolean, quality string"))[0]
+    assert rows(found, "repo_id", "kind", "key") == sorted([("r", "FILE", "r:a"), ("r", "FILE", "r:a:b"), ("r:a", "FILE", "r:a:b"), ("q", "FILE", "q:a"), ("r", "SYMBOL", "r:s"), ("r:a", "SYMBOL", "r:a:s"), ("q", "SYMBOL", "q:s"), ("r", "REFERENCE", "r:a:2:s"), ("q", "REFERENCE", "q:a:2:s")])
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_versions_and_conflicts(spark):
     s = "k int, digest string"
     new = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "x"), (4, "y"), (1, "a")], s)
