@@ -1,14 +1,15 @@
 """Exact top-k search by BM25, with block-max WAND pruning in inverted indexes of shards.
 
 Queries are whole texts: each distinct word of a query counts once. Every task reads its part of the documents as shards of about
-SHARD_POSTINGS postings, and indexes each: postings in order of word and document, cut into blocks of BLOCK documents, with the highest
-impact of each word in each block. Documents of a shard stand in an order that puts texts alike next to each other, so that maxima lie
-close to what a block's documents have. Statistics (documents, mean length, documents per word) are global, so scores of different
-shards compare and the k best of each task hold the k best of all.
+SHARD_POSTINGS postings, and indexes each: postings in order of word and document; for words that many documents of the shard hold, a column
+of impacts besides, cut into blocks of BLOCK documents, with the highest impact of each word in each block. Documents of a shard stand in an
+order that puts texts alike next to each other, so that maxima lie close to what a block's documents have. Statistics (documents, mean
+length, documents per word) are global, so scores of different shards compare and the k best of each task hold the k best of all.
 
-Per query and shard, the block maxima of the query's words add up to a bound of each block. Blocks are opened from the highest bound
-down, some at a time, as long as the bound reaches the threshold: the k-th best score so far, over all shards that the task has
-read. Only postings inside opened blocks are touched; those of all others are jumped over. Nothing that could enter the top k is left out.
+Per query and shard, postings of its rare words are added up by document. The pivot of a block is the document that has most so far: with
+the maxima of the query's common words, it bounds the block. The blocks of the highest bounds are opened first, then all others whose bound
+reaches the threshold: the k-th best score so far, over all shards that the task has read. Common words are scored only inside opened blocks,
+by one product for all queries that open a block at the time; all other blocks are jumped over. Nothing that could enter the top k is left out.
 
 Queries go to tasks in blocks of about QUERY_BYTES of words and weights, whatever their number and length, so what is broadcast is
 bounded. A task gives k rows a query, however many shards it has read. A task's shards are indexed again for each block of queries:
@@ -37,8 +38,12 @@ from evidlake.llm.decontamination import _BREAK
 K1, B = 1.2, 0.75
 SHARD_POSTINGS = 2_000_000
 BLOCK = 64
-QUERY_BYTES = 4 << 20
+QUERY_BYTES = 16 << 20
 OPENED_FIRST = 8
+#: A shard answers up to QUERIES at a time, fewer where they would take over CELLS scores.
+QUERIES, CELLS = 128, 1 << 20
+#: A word is common in a shard if one document in COMMON holds it, and COMMON_LEAST in all: so columns take some 8 * COMMON bytes a posting at most.
+COMMON, COMMON_LEAST = 12, 16
 #: Scores are compared after rounding to DIGITS, so a document this much under the threshold can tie with it.
 DIGITS, SLACK = 6, 2e-6
 
@@ -81,6 +86,16 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(start - begin, size) + np.arange(size.sum()), size
 
 
+class Questions:
+    """Queries, as (doc_id, sorted terms, idf), with their words numbered, so that a shard looks each word up once for all of them."""
+
+    def __init__(self, queries: list[tuple[int, np.ndarray, np.ndarray]]):
+        self.ids = np.array([q for q, *_ in queries], np.int64)
+        self.start = np.cumsum([0, *(len(t) for _, t, _ in queries)])
+        self.words, first, self.word = np.unique(np.concatenate([np.zeros(0, np.uint64), *(t for _, t, _ in queries)]), return_index=True, return_inverse=True)
+        self.idf = np.concatenate([np.zeros(0), *(w for *_, w in queries)])[first]  # of each word, in whatever query
+
+
 class Index:
     """Postings of one shard. Impacts leave out the word's own weight, which the query brings."""
 
@@ -98,45 +113,78 @@ class Index:
         every = np.concatenate([*terms, np.zeros(0, np.uint64)])
         order = np.argsort(every, kind="stable")
         every, self.docs, self.impacts = every[order], doc[order], impact[order]
-        # A segment is a word's postings in one block.
-        block, other = self.docs // BLOCK, np.ones(len(every), bool)
-        other[1:] = every[1:] != every[:-1]
-        new = other.copy()
-        new[1:] |= block[1:] != block[:-1]
-        self.terms, self.segment = every[other], np.append(np.flatnonzero(new), len(block))
-        self.block = block[self.segment[:-1]]
-        self.highest = np.maximum.reduceat(self.impacts, self.segment[:-1]) if len(block) else np.zeros(0)
-        self.of_term = np.append(np.flatnonzero(other[self.segment[:-1]]), len(self.block))  # its segments
+        new = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
+        self.terms, self.of_term = every[new], np.append(new, len(every))
+        # Words of many documents have a column of impacts each, block by block, and a maximum in each block.
+        df = np.diff(self.of_term)
+        common = np.flatnonzero((df >= COMMON_LEAST) & (df * COMMON >= len(ids)))
+        self.column = np.full(len(df), -1)
+        self.column[common] = np.arange(len(common))
         self.blocks = -(-len(ids) // BLOCK)
+        self.dense = np.zeros((self.blocks * BLOCK, len(common)))
+        place, size = _ranges(self.of_term[common], self.of_term[common + 1])
+        self.dense[self.docs[place], np.repeat(np.arange(len(common)), size)] = self.impacts[place]
+        self.dense = self.dense.reshape(self.blocks, BLOCK, len(common))
+        self.highest = self.dense.max(axis=1)
 
     def top(self, query: int, terms: np.ndarray, idf: np.ndarray, k: int, best: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
         """The k best of ``best`` and of this shard, as (rounded score, doc_id, whether it is null). terms are sorted."""
-        at = np.searchsorted(self.terms, terms)
+        found = [best]
+        self.answer(Questions([(query, terms, idf)]), k, found)
+        return found[0]
+
+    def answer(self, asked: Questions, k: int, best: list[tuple[np.ndarray, ...]]) -> None:
+        """``top`` for all queries: best[j] holds what is found for query j."""
+        at = np.searchsorted(self.terms, asked.words)
         at[at == len(self.terms)] = 0
-        found = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        at, idf = at[found], idf[found]
-        segments, size = _ranges(self.of_term[at], self.of_term[at + 1])
-        own_block, weight = self.block[segments], np.repeat(idf, size)
-        bound = np.bincount(own_block, self.highest[segments] * weight, minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        opened, upto, more = np.zeros(self.blocks, bool), 0, OPENED_FIRST
-        while upto < self.blocks:
-            threshold = best[0][k - 1] - SLACK if len(best[0]) >= k else 0.0
-            turn = order[upto : upto + more]
-            turn = turn[(bound[turn] > 0) & (bound[turn] >= threshold)]
-            if not len(turn):
-                break
-            opened[:] = False
-            opened[turn] = True
-            inside = np.flatnonzero(opened[own_block])
-            s = segments[inside]
-            place, size = _ranges(self.segment[s], self.segment[s + 1])
-            score = np.bincount(self.docs[place], self.impacts[place] * np.repeat(weight[inside], size), minlength=len(self.ids))
-            live = np.flatnonzero((score > 0) & (score >= threshold))
-            live = live[(self.ids[live] != query) | self.no_id[live]]
-            best = _best(k, *(np.concatenate(x) for x in zip(best, (np.round(score[live], DIGITS), self.ids[live], self.no_id[live]), strict=True)))
-            upto, more = upto + more, 2 * more
-        return best
+        at = np.where(self.terms[at] == asked.words, at, -1) if len(self.terms) else np.full(len(at), -1)
+        idf = np.zeros(len(self.terms))
+        idf[at[at >= 0]] = asked.idf[at >= 0]
+        scores = self.impacts * np.repeat(idf, np.diff(self.of_term))
+        step = max(1, min(QUERIES, CELLS // max(1, self.blocks * BLOCK, self.dense.shape[2])))
+        for first in range(0, len(asked.ids), step):
+            self._answer(asked, range(first, min(first + step, len(asked.ids))), at, idf, scores, k, best)
+
+    def _answer(self, asked: Questions, part: range, at: np.ndarray, idf: np.ndarray, scores: np.ndarray, k: int, best: list[tuple[np.ndarray, ...]]) -> None:
+        weights = np.zeros((len(part), self.dense.shape[2]))
+        rare = np.zeros((len(part), self.blocks * BLOCK))
+        for j, query in enumerate(part):
+            term = at[asked.word[asked.start[query] : asked.start[query + 1]]]
+            term = term[term >= 0]
+            column = self.column[term]
+            weights[j, column[column >= 0]] = idf[term[column >= 0]]
+            term = term[column < 0]
+            place, _ = _ranges(self.of_term[term], self.of_term[term + 1])
+            rare[j] = np.bincount(self.docs[place], scores[place], minlength=rare.shape[1])
+        # A block's pivot is the document of most by its rare words; with the maxima of the others it bounds the block.
+        rare = rare.reshape(len(part), self.blocks, BLOCK)
+        bound = rare.max(axis=2) + weights @ self.highest.T
+        if self.blocks > OPENED_FIRST:
+            most = -np.partition(-bound, OPENED_FIRST - 1, axis=1)[:, OPENED_FIRST - 1]
+        else:
+            most = np.zeros(len(part))
+        left = bound > 0
+        for least in (most, np.zeros(len(part))):
+            threshold = np.array([best[q][0][k - 1] - SLACK if len(best[q][0]) >= k else 0.0 for q in part])
+            opened = left & (bound >= np.maximum(least, threshold)[:, None])
+            left &= ~opened
+            found = []
+            for block in np.flatnonzero(opened.any(axis=0)).tolist():
+                own = np.flatnonzero(opened[:, block])
+                score = rare[own, block] + weights[own] @ self.dense[block].T
+                row, doc = np.nonzero((score > 0) & (score >= threshold[own, None]))
+                found.append((own[row], block * BLOCK + doc, score[row, doc]))
+            if not found:
+                continue
+            row, doc, score = (np.concatenate(x) for x in zip(*found, strict=True))
+            live = (self.ids[doc] != asked.ids[part.start + row]) | self.no_id[doc]
+            row, doc, score = row[live], doc[live], np.round(score[live], DIGITS)
+            order = np.argsort(row, kind="stable")
+            row, doc, score = row[order], doc[order], score[order]
+            edges = np.append(np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)]), len(row))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                q = part[int(row[a])]
+                best[q] = _best(k, *(np.concatenate(x) for x in zip(best[q], (score[a:b], self.ids[doc[a:b]], self.no_id[doc[a:b]]), strict=True)))
 
 
 NONE = (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool))
@@ -179,16 +227,15 @@ def _answers(rows: DataFrame, asked, mean: float, k: int) -> DataFrame:
     """(query_id, doc_id, score): for each query, the k best of each task's documents."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = [(q, np.frombuffer(t, np.uint64), np.frombuffer(w, np.float64)) for q, t, w in asked.value]
-        best = [NONE] * len(queries)
+        questions = Questions([(q, np.frombuffer(t, np.uint64), np.frombuffer(w, np.float64)) for q, t, w in asked.value])
+        best = [NONE] * len(questions.ids)
 
         def shard(parts: list[pa.RecordBatch]) -> None:
             group = pa.Table.from_batches(parts)
             frame = lambda c, t: [np.frombuffer(x.as_buffer(), t) for x in group[c]]
             ids = group["doc_id"].combine_chunks()
             index = Index(ids.fill_null(0).to_numpy(), np.asarray(ids.is_null()), group["size"].to_numpy(), frame("terms", np.uint64), frame("counts", np.uint32), mean)
-            for j, (query, terms, idf) in enumerate(queries):
-                best[j] = index.top(query, terms, idf, k, best[j])
+            index.answer(questions, k, best)
 
         held, size = [], 0
         for batch in batches:
@@ -205,7 +252,7 @@ def _answers(rows: DataFrame, asked, mean: float, k: int) -> DataFrame:
                     held, size = [], 0
         if held:
             shard(held)
-        for (query, *_), (score, ids, no_id) in zip(queries, best, strict=True):
+        for query, (score, ids, no_id) in zip(questions.ids.tolist(), best, strict=True):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(score), query)), pa.array(ids, mask=no_id), pa.array(score)], ["query_id", "doc_id", "score"])
 
     return rows.mapInArrow(search, "query_id long, doc_id long, score double")

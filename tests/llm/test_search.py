@@ -66,3 +66,48 @@ def test_blocks_are_jumped_over(monkeypatch):
         order = np.lexsort((np.arange(len(every)), -np.round(every, 6)))[:5]
         assert ids.tolist() == order.tolist() and np.allclose(score, every[order])
         assert sum(touched[1:]) < 0.5 * sum(len(t) for t in terms)
+
+
+def random_shard(rng, n, common=40):
+    """Sizes, sorted words and counts of n documents: each of the first ``common`` words in half of them, others in few."""
+    every = rng.permutation(np.arange(1, 4_000, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    terms = [np.unique(np.concatenate([every[:common][rng.random(common) < 0.5], rng.choice(every[common:], rng.integers(0, 12))])) for _ in range(n)]
+    counts = [rng.integers(1, 5, len(t)).astype(np.uint32) for t in terms]
+    return np.array([int(c.sum()) for c in counts]), terms, counts
+
+
+def test_postings_of_common_words_are_not_walked(monkeypatch):
+    sizes, terms, counts = random_shard(np.random.default_rng(4), 640)
+    index = search.Index(np.arange(640), np.zeros(640, bool), sizes, terms, counts, sizes.mean())
+    touched = []
+    ranges = search._ranges
+    monkeypatch.setattr(search, "_ranges", lambda a, b: touched.append(int((b - a).sum())) or ranges(a, b))
+    query = max(range(640), key=lambda d: len(terms[d]))
+    assert len(index.top(query, terms[query], np.ones(len(terms[query])), 10, search.NONE)[0]) == 10
+    held = sum(np.isin(t, terms[query]).sum() for t in terms)
+    assert sum(touched) < 0.1 * held
+
+
+def test_queries_answered_together(monkeypatch):
+    """Whatever number a shard answers at a time, over several shards, with null ids, repeated ids and words of no document."""
+    rng = np.random.default_rng(9)
+    sizes, terms, counts = random_shard(rng, 1_500)
+    ids, no_id, mean = rng.integers(0, 1_200, 1_500), rng.random(1_500) < 0.05, sizes.mean()
+    ids[no_id] = 0
+    weight = dict(zip(np.unique(np.concatenate(terms)).tolist(), rng.random(4_000) * 5 + 0.1, strict=False))
+    queries = [(int(ids[d]), terms[d], np.array([weight[t] for t in terms[d].tolist()])) for d in range(0, 1_500, 30)]
+    queries += [(-1, np.array([5], np.uint64), np.ones(1)), (-2, np.zeros(0, np.uint64), np.zeros(0))]
+    for cells in (1, 1 << 12, 1 << 20):
+        monkeypatch.setattr(search, "CELLS", cells)
+        best = [search.NONE] * len(queries)
+        for a in (0, 20, 900):  # the first shard is smaller than a block
+            b = {0: 20, 20: 900, 900: 1_500}[a]
+            search.Index(ids[a:b], no_id[a:b], sizes[a:b], terms[a:b], counts[a:b], mean).answer(search.Questions(queries), 10, best)
+        for (q, own, idf), (score, found, null) in zip(queries, best, strict=True):
+            w = dict(zip(own.tolist(), idf.tolist(), strict=True))
+            every = []
+            for d in range(1_500):
+                s = sum(w[t] * c * (search.K1 + 1) / (c + search.K1 * (1 - search.B + search.B * sizes[d] / mean)) for t, c in zip(terms[d].tolist(), counts[d].tolist(), strict=True) if t in w)
+                if s > 0 and (ids[d] != q or no_id[d]):
+                    every.append((-round(float(s), 6), bool(no_id[d]), int(ids[d])))
+            assert [(-s, bool(x), int(i)) for s, i, x in zip(score, found, null, strict=True)] == sorted(every)[:10]
