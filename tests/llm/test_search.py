@@ -111,3 +111,50 @@ def test_queries_answered_together(monkeypatch):
                 if s > 0 and (ids[d] != q or no_id[d]):
                     every.append((-round(float(s), 6), bool(no_id[d]), int(ids[d])))
             assert [(-s, bool(x), int(i)) for s, i, x in zip(score, found, null, strict=True)] == sorted(every)[:10]
+
+
+def test_shards_hold_documents_alike_and_others_queries_pass_them_by(monkeypatch):
+    """Two languages in one run: each has its own shard, and lists are only walked for queries that can reach their floor there."""
+    rng = np.random.default_rng(12)
+    words = np.unique(rng.integers(1, 1 << 60, 6_400, dtype=np.uint64))[:6_000]
+    rng.shuffle(words)
+    language = rng.integers(0, 2, 1_600)
+    own = words.reshape(2, 3_000)
+    terms = [np.unique(np.concatenate([own[g][:40][rng.random(40) < 0.5], rng.choice(own[g][40:], rng.integers(5, 60)), own[1 - g][:1]])) for g in language]
+    counts = [rng.integers(1, 4, len(t)).astype(np.uint32) for t in terms]
+    sizes, ids = np.array([int(c.sum()) for c in counts]), np.arange(1_600)
+    groups = search.alike(terms, sizes)
+    assert sorted(np.concatenate(groups).tolist()) == ids.tolist() and len(groups) == 2
+    assert all(len(set(language[g].tolist())) == 1 for g in groups)
+    weight = dict(zip(words.tolist(), (rng.random(6_000) * 5 + 0.1).tolist(), strict=True))
+    queries = [(d, terms[d], np.array([weight[t] for t in terms[d].tolist()])) for d in range(0, 1_600, 40)]
+    expected = []
+    for q, t, w in queries:
+        w = dict(zip(t.tolist(), w.tolist(), strict=True))
+        impact = lambda d: counts[d] * (search.K1 + 1) / (counts[d] + search.K1 * (1 - search.B + search.B * sizes[d] / sizes.mean()))
+        expected.append(sorted((-round(float(sum(w.get(x, 0) * i for x, i in zip(terms[d].tolist(), impact(d).tolist(), strict=True))), 6), d) for d in range(1_600) if d != q)[:10])
+    walked = []
+    walk = search.Index._walk
+    monkeypatch.setattr(search.Index, "_walk", lambda self, term, start, lists: walked.append((len(start) - 1) * len(self.ids)) or walk(self, term, start, lists))
+    for floor in (None, np.array([-e[-1][0] for e in expected])):  # floors are the best k-th scores there are: ties stay
+        walked.clear()
+        best = [search.NONE] * len(queries)
+        for g in groups:
+            search.Index.read(ids[g], np.zeros(len(g), bool), sizes[g], *search.inverted([terms[i] for i in g], [counts[i] for i in g]), sizes.mean()).answer(search.Questions(queries), 10, best, floor)
+        assert [[(-s, d) for s, d in zip(b[0].tolist(), b[1].tolist(), strict=True)] for b in best] == expected
+    assert sum(walked) < 0.6 * len(queries) * 1_600
+
+
+def test_rounds_and_blocks_of_queries(spark, monkeypatch):
+    """Whichever runs are searched first, and however many blocks the queries make, answers are those of one round."""
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(300)]
+    rows = [(i % 260 if i % 17 else None, " ".join(rng.choices(vocab, k=rng.randint(1, 50)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(search, "SHARD_POSTINGS", 900)
+    found = []
+    for sample, size in ((1, 1 << 20), (3, 1_500), (1 << 40, 1 << 20)):
+        monkeypatch.setattr(search, "SAMPLE", sample)
+        monkeypatch.setattr(search, "QUERY_BYTES", size)
+        found.append(sorted((r.query_id, r.rank, r.doc_id is None, r.doc_id or 0, r.score) for r in search.top_documents(df, F.col("doc_id") % 20 == 0, 5).collect()))
+    assert len(found[0]) == 13 * 5 and found[0] == found[1] == found[2]
