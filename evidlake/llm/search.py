@@ -13,8 +13,8 @@ so far: with the maxima of the query's common words, it bounds the block. Blocks
 by one product for all queries that open one of them; all others are jumped over. All that is in single precision, with its error
 allowed for; documents that can then be among the k best get their score in double precision. Nothing that could enter the top k is left out.
 
-The threshold is the k-th best score so far: of the task, of the pivots of k blocks, and of the first round, in which one run in SAMPLE answers
-all queries; the second round is all other runs. A task gives k rows a query at most, in the second round only those that reach the threshold.
+The threshold is the k-th best score so far: of the task, of the pivots of k blocks, and of earlier rounds: one run in SAMPLE answers all queries
+first, then EARLY in SAMPLE, then all others. A task gives k rows a query at most, in later rounds only those that reach the threshold.
 
 Queries go to tasks in blocks of about QUERY_BYTES of words, whatever their number and length, so what is broadcast is bounded.
 
@@ -57,8 +57,8 @@ NEVER = np.float32(-1e30)
 #: documents holds; centres of a cosine of CLOSE are one. A shard has PIECE documents at most. In a group, lengths are told apart by LENGTHS steps an octave.
 GROUPS, GROUP_LEAST, GROUP_SEEN, GROUP_COLUMNS, GROUP_WORDS, CLOSE = 8, 256, 2048, 256, 50, 0.4
 PIECE, LENGTHS = 1 << 16, 2
-#: One in SAMPLE of the tasks' runs is searched first, whose k-th best scores are the others' thresholds.
-SAMPLE = 8
+#: Rounds: one in SAMPLE of the tasks' runs is searched first, then EARLY of them, then the others; k-th best scores are thresholds of later rounds.
+SAMPLE, EARLY = 64, 8
 #: Scores are compared after rounding to DIGITS, so a document this much under the threshold can tie with it.
 DIGITS, SLACK = 6, 2e-6
 
@@ -299,9 +299,10 @@ class Index:
             place, own = _ranges(start[part], start[part] + size[part])
             self._answer(asked.ids[part], part, term[place], np.append(0, np.cumsum(own)), idf, weigh, lists, threshold[part], k, best)
 
-    def _walk(self, term: np.ndarray, start: np.ndarray, lists: pa.Array) -> np.ndarray:
-        """For queries whose terms begin at start, the sums of their rare words by document."""
-        sums, width = np.empty((len(start) - 1, self.blocks * BLOCK), np.float32), self.blocks * BLOCK
+    def _walk(self, term: np.ndarray, start: np.ndarray, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """For queries whose terms begin at start, the sums of their rare words by block and document, and the most in each block."""
+        width = self.blocks * BLOCK
+        sums, pivots = np.empty((len(start) - 1, self.blocks, BLOCK), np.float32), np.empty((len(start) - 1, self.blocks), np.float32)
         length = self.df[term]
         ends = np.append(0, np.cumsum(length))[start].tolist()
         step = max(1, WALKED // width)
@@ -313,11 +314,12 @@ class Index:
             doc = found["doc"].astype(np.int64)
             for j in range(1, b - a):
                 doc[ends[a + j] - ends[a] : ends[a + j + 1] - ends[a]] += j * width
-            sums[a:b] = np.bincount(doc, found["score"], minlength=(b - a) * width).reshape(b - a, width)
-        return sums
+            sums[a:b] = np.bincount(doc, found["score"], minlength=(b - a) * width).reshape(b - a, self.blocks, BLOCK)
+            pivots[a:b] = sums[a:b].max(axis=2)
+        return sums, pivots
 
     def _answer(self, ids: np.ndarray, part: np.ndarray, term: np.ndarray, start: np.ndarray, idf: np.ndarray, weigh: np.ndarray, lists: pa.Array, threshold: np.ndarray, k: int, best: list[tuple[np.ndarray, ...]]) -> None:
-        score = self._walk(term, start, lists).reshape(len(part), self.blocks, BLOCK)
+        score, pivots = self._walk(term, start, lists)
         column = self.column[term]
         weights = np.zeros((len(part), self.dense.shape[1]), np.float32)
         common = np.flatnonzero(column >= 0)
@@ -328,6 +330,7 @@ class Index:
         place, own = _ranges(np.searchsorted(by_id, ids), np.searchsorted(by_id, ids, side="right"))
         own, place = np.repeat(np.arange(len(ids)), own), self.by_id[place]
         score[own, place // BLOCK, place % BLOCK] = NEVER
+        pivots[own, place // BLOCK] = score[own, place // BLOCK].max(axis=1)
 
         # A block's pivot is the document of most by its rare words; with the maxima of the others it bounds the block.
         def reached(pivots: np.ndarray) -> np.ndarray:
@@ -336,7 +339,6 @@ class Index:
                 return threshold
             return np.maximum(threshold, -np.partition(-pivots, k - 1, axis=1)[:, k - 1] * (1 - off) - SLACK)
 
-        pivots = score.max(axis=2)
         bound = (np.maximum(pivots, 0) + weights @ self.highest.T) * (1 + off)
         opened = (bound > 0) & (bound >= reached(pivots)[:, None])
         for a in range(0, self.blocks, TOGETHER):
@@ -443,18 +445,18 @@ def top_documents(docs: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
         part = weighted.where(F.pmod(F.xxhash64(F.lit(7), "query_id"), F.lit(blocks)) == block).toArrow()
         questions = Questions([(q, np.frombuffer(t, np.uint64), np.frombuffer(w, np.float64)) for q, t, w in zip(*(part[c].to_pylist() for c in ("query_id", "terms", "idf")), strict=True)])
         del part
-        asked, floor = sc.broadcast(questions), np.zeros(len(questions.ids))
-        for first in (True, False):
-            least = sc.broadcast(floor)
-            sampled = F.col("dealt") % SAMPLE == 0
-            best = staged(_answers(rows.where(sampled if first else ~sampled), asked, least, mean, k))
-            least.unpersist()
-            found = best if found is None else found.unionByName(best)
-            if first:
-                reached = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", "score").toArrow()
+        asked, floor, answers = sc.broadcast(questions), np.zeros(len(questions.ids)), None
+        dealt = F.pmod("dealt", F.lit(SAMPLE))
+        for runs in (dealt == 0, (dealt > 0) & (dealt < EARLY), dealt >= max(1, EARLY)):
+            if answers is not None:
+                reached = answers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", "score").toArrow()
                 at = np.argsort(questions.ids)
-                floor = np.zeros(len(questions.ids))
                 floor[at[np.searchsorted(questions.ids[at], reached["query_id"].to_numpy())]] = reached["score"].to_numpy()
+            least = sc.broadcast(floor)
+            best = staged(_answers(rows.where(runs), asked, least, mean, k))
+            least.unpersist()
+            answers = best if answers is None else answers.unionByName(best)
+        found = answers if found is None else found.unionByName(answers)
         asked.unpersist()
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
